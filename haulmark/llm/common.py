@@ -151,6 +151,24 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
+def row_pieces(batches, column: str = "text", most: int = 2 << 20):
+    """Slices of Arrow batches that hold about most bytes of a text column each, so that numpy's arrays beside them stay small."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def text_pieces(batches, column: str = "text", most: int = 2 << 20):
+    for piece in row_pieces(batches, column, most):
+        yield text_buffer(piece.column(column))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... start+length-1 of each span, one after the other."""
     total = int(lengths.sum())

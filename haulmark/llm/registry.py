@@ -5,21 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from haulmark.llm.common import table
+from haulmark.llm.minhash_dedup import minhash_dedup
+from haulmark.llm.quality_rules import ORACLE as QUALITY_SQL
+from haulmark.llm.quality_rules import quality_rules
 from haulmark.llm.substring_dedup import substring_dedup
 from haulmark.llm.suffix_array_dedup import suffix_array_dedup
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("n_lines", "rejected_by")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": QUALITY_SQL,
+}
