@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulmark.llm.common import table
 from haulmark.llm.minhash_dedup import minhash_dedup
+from haulmark.llm.packing import best_fit_packing
 from haulmark.llm.quality_rules import ORACLE as QUALITY_SQL
 from haulmark.llm.quality_rules import quality_rules
 from haulmark.llm.substring_dedup import substring_dedup
 from haulmark.llm.suffix_array_dedup import suffix_array_dedup
+from haulmark.llm.token_counts import token_counts
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,15 +26,25 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
