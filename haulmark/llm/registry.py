@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haulmark.llm.chat_formatting import format_conversations, read_back
 from haulmark.llm.common import table
 from haulmark.llm.minhash_dedup import minhash_dedup
 from haulmark.llm.packing import best_fit_packing
@@ -38,6 +39,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(conversations.unionByName(control)))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
@@ -45,6 +52,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
