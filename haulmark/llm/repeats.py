@@ -33,7 +33,7 @@ class Setting:
     unit: str = "words"
     window: int = 50
     gram: int = 25
-    part_bytes: int = 8 << 20
+    part_bytes: int = 4 << 20
     hot_parts: int = 4096
 
 
@@ -82,7 +82,7 @@ def runs(part: Part, s: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     full = part.ends - part.starts >= s.window
     np.add.at(marks, part.starts[full], 1)
     np.add.at(marks, part.ends[full] - s.window + 1, -1)
-    valid = np.cumsum(marks[:-1]) > 0
+    valid = np.cumsum(marks[:-1], dtype=np.int32) > 0
     opens = np.zeros(part.n + 1, bool)
     opens[part.starts[full]] = True
     firsts, values, stops = [], [], []
@@ -176,7 +176,7 @@ def flags(part: Part, found: pa.Table, width: int) -> np.ndarray:
         base = part.starts[np.frombuffer(rows, np.int32)]
         np.add.at(marks, base + np.frombuffer(starts, np.int64), 1)
         np.add.at(marks, base + np.frombuffer(stops, np.int64) + width - 1, -1)
-    return np.cumsum(marks[:-1]) > 0
+    return np.cumsum(marks[:-1], dtype=np.int32) > 0
 
 
 def joined(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

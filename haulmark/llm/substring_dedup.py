@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import U64, gram_hashes, hash_words, mix64, text_buffer, text_bytes, word_spans
+from haulmark.llm.common import U64, gram_hashes, hash_words, mix64, text_bytes, text_pieces, word_spans
 from haulmark.llm.repeats import Part, Setting, each, gone_table, joined, local_repeats, repeats
 
 SUFFIX = np.dtype([("code", "<u8"), ("head", "<u8"), ("tail", "<u8")])
@@ -78,15 +78,14 @@ def choose_prefixes(docs: DataFrame, s: Setting, limit: int) -> Prefixes:
 
 
 def count_prefixes(batches, bits: int, above: Prefixes, s: Setting):
-    for batch in batches:
-        buf, offsets = text_buffer(batch["text"])
+    for buf, offsets in text_pieces(batches):
         first, last = word_spans(buf, offsets)
         bounds = np.searchsorted(first, offsets)
         marks = np.zeros(len(first) + 1, np.int32)
         full = bounds[1:] - bounds[:-1] >= s.window
         np.add.at(marks, bounds[:-1][full], 1)
         np.add.at(marks, bounds[1:][full] - s.window + 1, -1)
-        at = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        at = np.flatnonzero(np.cumsum(marks[:-1], dtype=np.int32) > 0)
         code = prefix_codes(hash_words(buf, first, last), at)
         for level, crowded in zip(above.bits, above.crowded, strict=True):
             code = code[np.isin(code >> U64(64 - level), crowded)]
