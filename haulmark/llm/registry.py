@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulmark.llm.chat_formatting import format_conversations, read_back
 from haulmark.llm.common import table
+from haulmark.llm.decontamination import benchmark_overlap
 from haulmark.llm.minhash_dedup import minhash_dedup
 from haulmark.llm.packing import best_fit_packing
 from haulmark.llm.quality_rules import ORACLE as QUALITY_SQL
@@ -15,6 +16,10 @@ from haulmark.llm.suffix_array_dedup import suffix_array_dedup
 from haulmark.llm.token_counts import token_counts
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("n_lines", "rejected_by")
 
@@ -46,6 +51,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
