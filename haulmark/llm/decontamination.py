@@ -194,7 +194,26 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, setting: Tiling | N
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, setting: Tiling | None = None) -> DataFrame:
-    """The documents that no benchmark item covers, with the columns they had; rows of one doc_id go or stay together."""
+    """The documents that no benchmark item covers, with the columns they had.
+
+    A benchmark of one block filters rows where they are read. Larger ones need a join by doc_id: rows of one doc_id then go or stay
+    together, and rows without one stay.
+    """
+    s = setting or Tiling()
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     names = docs.columns
-    bad = benchmark_overlap(docs, benchmark, setting).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
+    if text_bytes(bench) <= s.block_bytes:
+        items = prepare([(r[0], r[1]) for r in bench.collect()], s.least)
+        plain = docs.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        own = docs.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(names)]).schema
+
+        def keep(batches):
+            for batch in batches:
+                for piece, found in zip(row_pieces([batch]), search([batch], items, s), strict=True):
+                    covered, size = found.column("covered").to_numpy(), found.column("item_tokens").to_numpy()
+                    clean = (100 * covered < s.coverage * size) | (covered == 0)
+                    yield piece.select(own.names).filter(pa.array(clean))
+
+        return plain.mapInArrow(keep, own).withColumnsRenamed({f"x{i}": c for i, c in enumerate(names)})
+    bad = benchmark_overlap(docs, benchmark, s).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti").select(*[F.col(f"`{c}`") for c in names])

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from haulmark.llm.chat_formatting import format_conversations, read_back
-from haulmark.llm.common import table
+from haulmark.llm.common import shared_dir, table
 from haulmark.llm.decontamination import benchmark_overlap
+from haulmark.llm.html_extraction import html_extraction
 from haulmark.llm.minhash_dedup import minhash_dedup
 from haulmark.llm.packing import best_fit_packing
 from haulmark.llm.quality_rules import ORACLE as QUALITY_SQL
 from haulmark.llm.quality_rules import quality_rules
+from haulmark.llm.sharding import sharding
 from haulmark.llm.substring_dedup import substring_dedup
 from haulmark.llm.suffix_array_dedup import suffix_array_dedup
 from haulmark.llm.token_counts import token_counts
@@ -24,6 +29,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("n_lines", "rejected_by")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -50,15 +59,22 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(conversations.unionByName(control)))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding(table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

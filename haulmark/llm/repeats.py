@@ -50,6 +50,7 @@ class Part:
     words: tuple[np.ndarray, np.ndarray] | None
     symbols: Callable[[int, int], np.ndarray]
     n: int
+    table: pa.Table
 
 
 def load(table: pa.Table, s: Setting) -> Part:
@@ -61,11 +62,11 @@ def load(table: pa.Table, s: Setting) -> Part:
     ids = table["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
     buf, offsets = text_buffer(table["text"])
     if s.unit == "bytes":
-        return Part(ids, table["doc_id"], buf, offsets, offsets[:-1], offsets[1:], None, lambda a, b: BYTE_SYMBOLS[buf[a:b]], len(buf))
+        return Part(ids, table["doc_id"], buf, offsets, offsets[:-1], offsets[1:], None, lambda a, b: BYTE_SYMBOLS[buf[a:b]], len(buf), table)
     first, last = word_spans(buf, offsets)
     hashed = hash_words(buf, first, last)
     bounds = np.searchsorted(first, offsets)
-    return Part(ids, table["doc_id"], buf, offsets, bounds[:-1], bounds[1:], (first, last), lambda a, b: hashed[a:b], len(first))
+    return Part(ids, table["doc_id"], buf, offsets, bounds[:-1], bounds[1:], (first, last), lambda a, b: hashed[a:b], len(first), table)
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -207,14 +208,18 @@ def gone_table(rows: list[tuple]) -> pa.Table:
     return pa.table({"part": pa.array(cols[0], pa.int32()), **{name: pa.array(col, pa.binary()) for name, col in zip(("rows", "starts", "stops"), cols[1:], strict=True)}})
 
 
-def in_parts(docs: DataFrame, s: Setting) -> tuple[DataFrame, int]:
+def in_parts(docs: DataFrame, s: Setting, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     parts = max(12, -(-text_bytes(docs) // s.part_bytes))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")), parts
+    more = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carry)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more, F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")), parts
 
 
-def repeats(docs: DataFrame, s: Setting, expand: Callable, settle: Callable[[pa.Table], pa.Table], result: Callable[[Part, np.ndarray], dict], schema: str) -> DataFrame:
-    """expand: a part's candidates -> WORK. settle: a group's WORK -> GONE. result: a part and its covered symbols -> columns."""
-    d, parts = in_parts(docs, s)
+def repeats(docs: DataFrame, s: Setting, expand: Callable, settle: Callable[[pa.Table], pa.Table], result: Callable[[Part, np.ndarray], dict], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """expand: a part's candidates -> WORK. settle: a group's WORK -> GONE. result: a part and its covered symbols -> columns.
+
+    carry: columns of docs that come back beside the result.
+    """
+    d, parts = in_parts(docs, s, carry)
     buckets = parts
 
     def first_pass(table: pa.Table) -> pa.Table:
@@ -229,12 +234,14 @@ def repeats(docs: DataFrame, s: Setting, expand: Callable, settle: Callable[[pa.
     def last_pass(left: pa.Table, right: pa.Table) -> pa.Table:
         part = load(left, s)
         covered = flags(part, right, s.window) if right.num_rows else np.zeros(part.n, bool)
-        return pa.table({"doc_id": part.given, **result(part, covered)})
+        return pa.table({"doc_id": part.given, **result(part, covered), **{f"x{i}": part.table[f"x{i}"] for i in range(len(carry))}})
 
     found = d.groupBy("part").applyInArrow(first_pass, ANCHORS).groupBy("bucket").applyInArrow(lambda t: repeated_anchors(t, s), REPEATED)
     work = d.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(second_pass, WORK)
     gone = work.groupBy("grp").applyInArrow(settle, GONE)
-    return d.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(last_pass, schema)
+    types = dict(docs.dtypes)
+    out = d.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(last_pass, schema + "".join(f", x{i} {types[c]}" for i, c in enumerate(carry)))
+    return out.withColumnsRenamed({f"x{i}": c for i, c in enumerate(carry)})
 
 
 def local_repeats(hashes: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -145,34 +145,36 @@ def settle(table: pa.Table) -> pa.Table:
     return gone_table(out)
 
 
-def kept(part: Part, covered: np.ndarray) -> dict:
+def kept(part: Part, covered: np.ndarray, texts_too: bool) -> dict:
+    given = part.table["text"].to_pylist() if texts_too else None
     first, last = part.words
     n_removed, digests, texts = [], [], []
     sums = np.concatenate([[0], np.cumsum(covered)])
     whole = part.buf.tobytes()
-    for a, b in zip(part.starts, part.ends, strict=True):
+    for i, (a, b) in enumerate(zip(part.starts, part.ends, strict=True)):
         gone = int(sums[b] - sums[a])
         n_removed.append(gone)
         if gone:
             at = a + np.flatnonzero(~covered[a:b])
-            body = b" ".join([whole[i:j] for i, j in zip(first[at], last[at], strict=True)])
+            body = b" ".join([whole[x:y] for x, y in zip(first[at], last[at], strict=True)])
             texts.append(body.decode())
         else:
             body = b" ".join(whole[first[a] : last[b - 1]].split()) if b > a else b""
-            texts.append(None)
+            texts.append(given[i] if given else None)
         digests.append(hashlib.sha256(body).hexdigest())
     return {"n_words": pa.array(part.ends - part.starts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(texts, pa.string())}
 
 
-def substring_dedup(docs: DataFrame, setting: Setting | None = None, group_suffixes: int = 1 << 21) -> DataFrame:
+def substring_dedup(docs: DataFrame, setting: Setting | None = None, group_suffixes: int = 1 << 21, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a 50-word window that also starts in a document with a smaller doc_id.
 
     Returns per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and kept_text (null
     where nothing was removed). Null and empty texts have no words. Rows with equal doc_id don't remove each other's words; a null
     doc_id counts as larger than all others. Other columns of docs don't matter. An empty table gives an empty result.
     group_suffixes: suffixes that a group may hold before its prefix gets longer.
+    texts: give kept_text of every row, the text itself where nothing was removed. carry: columns of docs to give back too.
     """
     s = setting or Setting("words")
 
     prefixes = choose_prefixes(docs, s, group_suffixes)
-    return repeats(docs, s, lambda *a: suffixes(*a, prefixes=prefixes, s=s), settle, kept, SCHEMA)
+    return repeats(docs, s, lambda *a: suffixes(*a, prefixes=prefixes, s=s), settle, lambda part, covered: kept(part, covered, texts), SCHEMA, carry)

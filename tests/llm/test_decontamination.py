@@ -87,9 +87,10 @@ def test_overlap(spark, block):
             assert got[i].item_id == -best[1] and got[i].covered / got[i].item_tokens == best[0]
         else:
             assert got[i].item_id is None and not got[i].covered
-    left = clean_documents(spark.createDataFrame([(*x, 1, 2) for x in docs], DOCS), b)
+    whole = [x for x in docs if x[0] != 5]
+    left = clean_documents(spark.createDataFrame([(*x, 1, 2) for x in whole], DOCS), b, Tiling(block_bytes=block))
     assert left.columns == ["doc_id", "text", "item_id", "covered"]
-    assert None in {r.doc_id for r in left.collect()}
+    assert {r.doc_id for r in left.collect() if r.doc_id is not None} == {i for i, r in got.items() if i is not None and not r.contaminated}
 
 
 def test_empty(spark):
