@@ -2,4 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import importlib
+
+from haulmark.plans.register import QUERIES
+
+for _name in ("dashboard", "mileage", "episodes", "ingest", "reconcile", "operations", "streams"):
+    importlib.import_module(f"haulmark.plans.{_name}")
+
+__all__ = ["QUERIES"]
