@@ -37,7 +37,7 @@ def is_plate(c: Column) -> Column:
 def canonical_plate(device: Column, *candidates: Column) -> Column:
     """The first candidate of plate shape; else the first that is neither the device id nor all digits; else the device id; else the first."""
     labels = [plate_label(c) for c in candidates]
-    shaped = [F.when(is_plate(c), c) for c in labels]
+    shaped = [F.when(c.rlike(r"^\p{L}{3}\d{3}$"), c) for c in labels]
     named = [F.when((c != F.coalesce(device, F.lit(""))) & ~c.rlike(r"^\d+$"), c) for c in labels]
     return F.coalesce(*shaped, *named, F.nullif(device, F.lit("")), *labels)
 
