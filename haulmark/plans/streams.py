@@ -1 +1,60 @@
-"""Queries."""
+"""Streaming queries, run to the end of what is there and read back as tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haulmark.plans.episodes import SESSION_SQL
+from haulmark.plans.register import query
+from haulmark.sources import domain as d
+from haulmark.sources.shared import shared_dir
+from haulmark.streaming import cuts
+
+
+def stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files, with the columns of alarms."""
+    schema = d.events(spark, sf_dir).schema
+    found = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return d.from_events(found)
+
+
+def folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there; its last result as a table."""
+    base = folder(spark)
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        last.append(f"{base}/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+
+
+@query("stream_session", f", {SESSION_SQL.strip()} SELECT plate, category, start_at, n FROM sessions")
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = stream_of(spark, sf_dir).filter(F.coalesce(F.col("review") != "discarded", F.lit(True)))
+    # a session window ends a gap after its last event, exclusive; sessions that touch are one in both forms
+    return finished(spark, cuts.session_stream(kept), "complete")
+
+
+@query("stream_cuts", "SELECT time_bucket(INTERVAL 15 MINUTE, occurred_at) + to_minutes(15 * k.k) - INTERVAL 30 MINUTE AS start_at, count(*) AS n FROM alarms, (SELECT unnest(range(3)) AS k) k GROUP BY 1")
+def stream_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(spark, cuts.cut_stream(stream_of(spark, sf_dir)), "complete")
+
+
+@query("stream_status_state", "SELECT device_id, count(*) AS accepted, CAST(0 AS BIGINT) AS regressions, round(CAST(sum(value) AS DOUBLE), 2) AS last_total FROM alarms GROUP BY device_id")
+def stream_status_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odometer state of each device over a stream of readings, as a rising total never regresses."""
+    base = folder(spark)
+    d.readings(spark, sf_dir).write.parquet(f"{base}/readings")
+    schema = spark.read.parquet(f"{base}/readings").schema
+    readings = spark.readStream.schema(schema).parquet(f"{base}/readings")
+    return finished(spark, cuts.status_stream(readings.select("device_id", "observed_at", "event_id", "total_km")), "update").withColumn("last_total", F.round("last_total", 2))

@@ -45,8 +45,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_events(events(spark, sf_dir))
+
+
+def from_events(e: DataFrame) -> DataFrame:
     """guid, device, plate, tenant, fleet, category, subtype code, times (UTC and local) and review status of each alarm."""
-    e, u = events(spark, sf_dir), F.col("user_id")
+    u = F.col("user_id")
     ts = F.col("ts").cast("timestamp")
     letter = lambda n: F.chr((65 + F.floor(u / n) % 26).cast("long"))
     kind = F.when(F.col("event_type") == "error", "Ojos cerrados").when(F.col("event_type") == "click", "Bostezo").when(F.col("event_type") == "purchase", "Uso de celular").when(F.col("event_type") == "signup", "Riesgo de colision").otherwise("Distraccion")
