@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from haulmark.functions.expressions import valid_distance
 from haulmark.plans.register import query
 from haulmark.sources import domain as d
 
-BY_DAY = Window.partitionBy("device_id").orderBy("day")
+
+def by_day() -> WindowSpec:
+    return Window.partitionBy("device_id").orderBy("day")
+
 
 DELTA_SQL = """
 d1 AS (SELECT device_id, plate, day, greatest(total_km, 0) AS total_km, day_km, lag(greatest(total_km, 0)) OVER (PARTITION BY device_id ORDER BY day) AS prev FROM daily),
@@ -20,7 +23,7 @@ km AS (SELECT device_id, plate, day, total_km, CASE WHEN day_km >= 0 AND day_km
 def daily_distance(daily: DataFrame) -> DataFrame:
     """Kilometres of each device and day: the reported ones if valid, else the rise of the odometer since the device's previous day, else 0."""
     total = F.greatest("total_km", F.lit(0))
-    rows = daily.select("device_id", "plate", "day", total.cast("decimal(24,2)").alias("total_km"), "day_km", F.lag(total).over(BY_DAY).alias("prev"))
+    rows = daily.select("device_id", "plate", "day", total.cast("decimal(24,2)").alias("total_km"), "day_km", F.lag(total).over(by_day()).alias("prev"))
     rise = F.col("total_km") - F.col("prev")
     km = F.when(valid_distance(F.col("day_km"), F.col("total_km")), F.col("day_km")).when(F.col("prev").isNotNull() & (rise >= 0) & (rise <= 1000), rise).when(F.col("prev").isNotNull(), F.greatest(rise, F.lit(0))).otherwise(0)
     return rows.withColumn("km", km.cast("decimal(24,4)")).select("device_id", "plate", "day", "total_km", "km")
@@ -111,7 +114,7 @@ def deviation_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(count(*) FILTER (day_km > 1000) AS BIGINT) AS above_limit, CAST(count(*) FILTER (day_km IS NULL) AS BIGINT) AS not_told FROM (SELECT *, lag(total_km) OVER (PARTITION BY device_id ORDER BY day) AS prev FROM daily) GROUP BY company_slug""",
 )
 def km_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = d.daily(spark, sf_dir).withColumn("prev", F.lag("total_km").over(BY_DAY))
+    rows = d.daily(spark, sf_dir).withColumn("prev", F.lag("total_km").over(by_day()))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return rows.groupBy("company_slug").agg(
         F.count("*").alias("rows"), n(F.col("total_km") + F.expr("0.1BD") < F.col("prev")).alias("regressions"), n(F.col("day_km") > F.col("total_km") + F.expr("0.1BD")).alias("above_total"),
@@ -126,7 +129,7 @@ def km_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def km_repair_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day's distance from its odometer range, from the previous day's maximum where there is one."""
     span = d.readings(spark, sf_dir).groupBy("device_id", "day").agg(F.min("total_km").alias("lo"), F.max("total_km").alias("hi"))
-    return span.select("device_id", "day", F.greatest(F.col("hi") - F.coalesce(F.lag("hi").over(BY_DAY), "lo"), F.lit(0)).alias("repaired_km"))
+    return span.select("device_id", "day", F.greatest(F.col("hi") - F.coalesce(F.lag("hi").over(by_day()), "lo"), F.lit(0)).alias("repaired_km"))
 
 
 @query(
