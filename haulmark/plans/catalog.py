@@ -6,7 +6,7 @@ import importlib
 
 from haulmark.plans.register import QUERIES
 
-for _name in ("dashboard", "mileage", "episodes", "ingest", "reconcile", "operations", "streams"):
+for _name in ("dashboard", "mileage", "episodes", "ingest", "reconcile", "operations", "streams", "history"):
     importlib.import_module(f"haulmark.plans.{_name}")
 
 __all__ = ["QUERIES"]

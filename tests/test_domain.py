@@ -219,3 +219,31 @@ def test_publish_guard(spark):
     old = spark.createDataFrame([("a", m(30)), ("b", m(0))], "company_slug string, cut_at timestamp")
     new = spark.createDataFrame([("a", m(15)), ("b", m(15)), ("c", m(0))], "company_slug string, cut_at timestamp")
     assert sorted(map(tuple, cuts.publish_guard(old, new).collect())) == [("a", m(30)), ("b", m(15)), ("c", m(0))]
+
+
+def test_catch_up_planner():
+    from haulmark.streaming.planner import Limits, Progress, backoff, due_cuts, next_range
+
+    at = lambda day, h, mi: dt.datetime(2026, 8, day, h, mi, tzinfo=dt.UTC)
+    now, limits = at(16, 3, 15), Limits()
+    assert next_range(now, Progress(at(16, 3, 5)), limits) == (at(16, 2, 55), now, 0)
+    assert next_range(now, Progress(at(16, 0, 0)), limits) == (at(15, 23, 50), at(16, 0, 10), 0)
+    assert next_range(now, Progress(at(16, 2, 50), (at(16, 3, 0), at(16, 3, 25)), 17), limits) == (at(16, 3, 0), at(16, 3, 20), 17)
+    assert next_range(now, Progress(at(16, 3, 5), retry_at=at(16, 3, 20)), limits) is None
+    assert next_range(now, Progress(), limits) == (at(15, 21, 15), at(15, 21, 35), 0)
+    assert next_range(now, Progress(at(16, 0, 0)), limits, refusals=5) == (at(15, 23, 50), at(16, 0, 0), 0)
+    assert [backoff(k).seconds for k in (0, 1, 9)] == [5, 10, 300]
+    assert due_cuts(at(16, 2, 15), now) == [at(16, 2, 30), at(16, 2, 45), at(16, 3, 0)] and due_cuts(None, now) == [at(16, 3, 0)] and due_cuts(at(16, 3, 0), now) == []
+    assert len(due_cuts(at(15, 0, 0), now)) == 4
+
+
+def test_snapshot_adds_up(spark):
+    from haulmark.plans.history import snapshot_full
+    from haulmark.sources.domain import month
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.company_slug: r["count"] for r in month(spark, sf).groupBy("company_slug").count().collect()}
+    for r in snapshot_full(spark, sf).collect():
+        s = json.loads(r.snapshot_json)
+        assert s["alarms"] == want[r.company_slug] == sum(x["n"] for x in s["series"]) == sum(x["n"] for x in s["hours"])
+        assert len(s["top"]) == 8 and [x["place"] for x in s["top"]] == list(range(1, 9))
