@@ -246,4 +246,4 @@ def test_snapshot_adds_up(spark):
     for r in snapshot_full(spark, sf).collect():
         s = json.loads(r.snapshot_json)
         assert s["alarms"] == want[r.company_slug] == sum(x["n"] for x in s["series"]) == sum(x["n"] for x in s["hours"])
-        assert len(s["top"]) == 8 and [x["place"] for x in s["top"]] == list(range(1, 9))
+        assert [x["place"] for x in s["top"]] == list(range(1, min(8, s["vehicles"]) + 1))
