@@ -5,7 +5,8 @@ four bits of all minima packed into eight longs, and the text in zstd. Documents
 least doc_id goes on. Classes that share a band key are candidates. A pair whose bit counts, corrected for chance collisions, leave
 room for the similarity is confirmed on the full shingle sets. Pairs come first from pivots: a bucket's members against one of them, as
 many rounds as given, each with other pivots and only between what isn't connected yet. Buckets that still hold several components
-are then compared in full, on signatures in blocks, so no link is lost, while a large group of near copies costs a row per member.
+are then compared in full, in blocks that give only the links which connect components, so no link is lost, while a large group of
+near copies makes rows by its members, not by its pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class MinHash:
     bits: int = 4
     slack: float = 0.24
     rounds: int = 2
-    block: int = 4096
+    block: int = 2048
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -162,27 +163,59 @@ def confirmed(pairs: DataFrame, signed: DataFrame, m: MinHash) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(lambda batches: confirm(batches, m), "a long, b long")
 
 
-def close_pairs(table: pa.Table, m: MinHash) -> pa.Table:
-    """One block of a bucket against another (or itself): pairs of different components whose signatures may be similar enough."""
+def block_links(table: pa.Table, m: MinHash) -> pa.Table:
+    """Confirmed links of one block of a bucket with another (or itself) that connect its components: a forest, not all pairs.
+
+    For each document of the first block, those of the second whose component differs and whose signature may be similar enough are
+    compared on full shingle sets, numbered within the block: one pass over the second block's sets counts all its intersections.
+    """
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor()
     ids, label, side = (table[c].to_numpy() for c in ("id", "label", "block"))
     sig = np.stack([table[f"s{i}"].to_numpy().view(U64) for i in range(8)], axis=1)
     lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
     left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-    lows = U64(sum(1 << i for i in range(0, 64, m.bits)))
-    chance = 1 / (1 << m.bits)
-    most = int((1 - chance) * (1 - (m.similarity / 100 - m.slack)) * m.hashes)
     out_a, out_b = [], []
-    for i in left:
-        x = sig[right] ^ sig[i]
-        y = x.copy()
-        for k in range(1, m.bits):
-            y |= x >> U64(k)
-        differ = np.bitwise_count(y & lows).sum(axis=1)
-        hit = right[(differ <= most) & (label[right] != label[i])]
-        hit = hit[ids[hit] > ids[i]] if lo == hi else hit
-        out_a.append(np.maximum(ids[hit], ids[i]))
-        out_b.append(np.minimum(ids[hit], ids[i]))
-    return pa.table({"a": pa.array(np.concatenate(out_a) if out_a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(out_b) if out_b else np.zeros(0, np.int64))})
+    if len(left) and len(right) and len(np.unique(label)) > 1:
+        sets = []
+        for body in table["body"].to_pylist():
+            text = np.frombuffer(plain.decompress(body), np.uint8)
+            sets.append(shingle_sets(text, np.array([0, len(text)]), m.words)[0])
+        size = np.array([len(x) for x in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        starts = np.cumsum(size) - size
+        flat = np.concatenate([number[starts[j] : starts[j] + size[j]] for j in right])
+        at = np.cumsum(size[right]) - size[right]
+        mark = np.zeros(int(number.max()) + 1, bool)
+        lows = U64(sum(1 << i for i in range(0, 64, m.bits)))
+        chance = 1 / (1 << m.bits)
+        most = int((1 - chance) * (1 - (m.similarity / 100 - m.slack)) * m.hashes)
+        now = label.copy()
+        for i in left.tolist():
+            other = now[right] != now[i]
+            if lo == hi:
+                other &= ids[right] > ids[i]
+            if not other.any():
+                continue
+            x = sig[right] ^ sig[i]
+            y = x.copy()
+            for k in range(1, m.bits):
+                y |= x >> U64(k)
+            other &= np.bitwise_count(y & lows).sum(axis=1) <= most
+            if not other.any():
+                continue
+            own = number[starts[i] : starts[i] + size[i]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], at, dtype=np.int64)
+            mark[own] = False
+            other &= 100 * both >= m.similarity * (size[right] + size[i] - both)
+            for j in right[other].tolist():
+                if now[j] != now[i]:
+                    out_a.append(ids[i])
+                    out_b.append(ids[j])
+                    now[now == now[j]] = now[i]
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
 def minhash_dedup(docs: DataFrame, setting: MinHash | None = None) -> DataFrame:
@@ -225,9 +258,8 @@ def minhash_dedup(docs: DataFrame, setting: MinHash | None = None) -> DataFrame:
     blocks = F.ceil(F.col("size") / m.block).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", "id", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rest = rest.join(cands.select("id", *[f"s{i}" for i in range(8)]), "id")
-    pairs = rest.groupBy("key", "lo", "hi").applyInArrow(lambda t: close_pairs(t, m), "a long, b long").distinct()
-    labels = merge(confirmed(pairs, cands, m))
+    rest = rest.join(cands.select("id", "body", *[f"s{i}" for i in range(8)]), "id")
+    labels = merge(rest.groupBy("key", "lo", "hi").applyInArrow(lambda t: block_links(t, m), "a long, b long"))
 
     found = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component"))
     out = whole.join(found, ["set_a", "set_b", "n_shingles"], "left").groupBy("id").agg(F.min("component").alias("component"))

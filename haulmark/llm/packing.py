@@ -8,8 +8,12 @@ executors, and a join places each document. No document or bin passes through th
 
 from __future__ import annotations
 
+import json
+import os
+import unicodedata
 import zlib
 from collections import deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark.llm.common import ragged, row_pieces, written
+from haulmark.llm.token_counts import merges
 
 
 class Capacities:
@@ -105,14 +110,28 @@ def pack(items: DataFrame, size: int, order: list[str]) -> DataFrame:
 
 
 class WordIds:
-    """Token ids of texts by the library, asked once for each run of non-space bytes: white space never lies inside a token."""
+    """Token ids of texts. White space never lies inside a token, so ids are worked out once for each distinct run of non-space bytes.
 
-    def __init__(self, path: str, most: int = 300_000):
+    A run is normalised and split as the vocabulary file says; its words merge by rank in numpy. Runs that hold a special string go
+    through the library itself.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.rules = merges(path)
+        spec = json.loads(self.library.to_str())
+        steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split":
+            raise ValueError(f"{path} isn't a word vocabulary of the known kind")
+        self.find = regex.compile("\n|" + split["pattern"]["Regex"]).findall
+        #: What every special string begins with, so runs without it hold none.
+        self.marker = os.path.commonprefix(self.rules.special).encode() if self.rules.special else b"\n"
         self.most = most
         self.clear()
 
@@ -120,18 +139,46 @@ class WordIds:
         self.index: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
 
-    def learn(self, words: list[bytes]) -> None:
-        found = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))
-        self.ids = self.room(self.ids, self.used + len(flat))
-        self.starts, self.sizes = self.room(self.starts, self.n + len(size)), self.room(self.sizes, self.n + len(size))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[self.n : self.n + len(size)] = self.used + np.cumsum(size) - size
-        self.sizes[self.n : self.n + len(size)] = size
-        self.index.update(zip(words, range(self.n, self.n + len(size)), strict=True))
-        self.used, self.n = self.used + len(flat), self.n + len(size)
+    def words(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
+        """All words of all runs, as the library's normaliser and pre-tokenizer give them, and how many each run has.
+
+        Runs are joined by line ends, which are white space to both, and go through one pass. Capital sigma is lowered first, as the
+        library lowers letters one by one and Python looks at a sigma's neighbours.
+        """
+        joined = "\n".join(runs)
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined).replace("\u03a3", "\u03c3")
+        found = self.find(joined.lower())
+        breaks = np.flatnonzero(np.fromiter((w == "\n" for w in found), bool, len(found)))
+        return [w for w in found if w != "\n"], np.diff(np.r_[-1, breaks, len(found)]) - 1
+
+    def learn(self, runs: list[bytes]) -> None:
+        odd = [w for w in runs if self.marker in w]
+        if odd:
+            found = [e.ids for e in self.library.encode_batch([w.decode() for w in odd], add_special_tokens=False)]
+            self.add(odd, np.array([x for y in found for x in y], np.uint32), np.array([len(y) for y in found], np.int64))
+            runs = [w for w in runs if self.marker not in w]
+        if not runs:
+            return
+        words, n_words = self.words(b"\n".join(runs).decode().split("\n"))
+        fresh = list(set(words))
+        flat, size = self.rules.merge([w.encode() for w in fresh])
+        start = np.cumsum(size) - size
+        number = dict(zip(fresh, range(len(fresh)), strict=True))
+        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        ids = flat[ragged(start[at], size[at])].astype(np.uint32)
+        total = np.r_[0, np.cumsum(size[at])]
+        last = np.cumsum(n_words)
+        self.add(runs, ids, total[last] - total[last - n_words])
+
+    def add(self, runs: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = self.room(self.ids, self.used + len(ids))
+        self.starts, self.sizes = self.room(self.starts, self.n + len(sizes)), self.room(self.sizes, self.n + len(sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.index.update(zip(runs, range(self.n, self.n + len(sizes)), strict=True))
+        self.used, self.n = self.used + len(ids), self.n + len(sizes)
 
     @staticmethod
     def room(array: np.ndarray, n: int) -> np.ndarray:
@@ -139,13 +186,13 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        missing = {w for words in split for w in words}
-        missing.difference_update(self.index)
+        seen = set().union(*split)
+        missing = list(seen.difference(self.index))
         if missing:
             if self.n > self.most:
                 self.clear()
-                missing = {w for words in split for w in words}
-            self.learn(list(missing))
+                missing = list(seen)
+            self.learn(missing)
         out = []
         for words in split:
             at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -156,9 +203,15 @@ class WordIds:
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for the life of a worker: its cache serves all its tasks."""
+    return WordIds(path)
+
+
 def cut(batches, vocabulary: str, size: int, end: int, with_ids: bool):
-    words = WordIds(vocabulary)
-    for batch in row_pieces(batches, most=1 << 20):
+    words = word_ids(vocabulary)
+    for batch in row_pieces(batches):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         rows = []
         for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts), strict=True):

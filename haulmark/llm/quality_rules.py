@@ -21,14 +21,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def n_words(text: Column) -> Column:
-    """Words by their gaps: no array of words is built for the result."""
-    inner = F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
-    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, SPACE))).cast("long")
-
-
-def word_chars(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, SPACE, "")).cast("long")
+def word_chars(word: Column) -> Column:
+    return F.char_length(F.array_join(word, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
@@ -71,22 +65,27 @@ def n_covered(starts: Column) -> Column:
     return F.coalesce(F.aggregate(F.transform(starts, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(starts, k + 1) - i, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words. Null text counts as empty.
+def bound(value: Column, then) -> Column:
+    """then(value) with value worked out once. The optimiser may move an expression to where it is used, even into a lambda that runs for
+    each word; a lambda's own variable stays a value."""
+    return F.get(F.transform(F.array(value), then), 0)
 
-    Columns named _t, _w, _l, _o, _a, _s and _c are used on the way.
-    """
+
+def repeat_words(word: Column) -> Column:
+    return bound(repeat_positions(word), lambda o: bound(twice(o), lambda at: bound(spelled(word, at), lambda s: bound(covered(s), n_covered))))
+
+
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words. Null text counts as empty. _f is used on the way."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return (
-        docs.withColumn("_t", t)
-        .withColumns({"_w": words(F.col("_t")), "_l": lines(F.col("_t")), "word_chars": word_chars(F.col("_t")), "n_symbols": n_symbols(F.col("_t"))})
-        .withColumns({"n_words": F.size("_w").cast("long"), "n_lines": F.size("_l").cast("long"), "n_dup_lines": n_dup_lines(F.col("_l")), "_o": repeat_positions(F.col("_w"))})
-        .withColumn("_a", twice(F.col("_o")))
-        .withColumn("_s", spelled(F.col("_w"), F.col("_a")))
-        .withColumn("_c", covered(F.col("_s")))
-        .withColumn("n_repeat_words", n_covered(F.col("_c")))
-        .drop("_t", "_w", "_l", "_o", "_a", "_s", "_c")
-    )
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+    def features(w: Column) -> Column:
+        of_lines = lambda found: F.struct(F.size(found).cast("long").alias("n"), n_dup_lines(found).alias("dup"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"), n_symbols(t).alias("n_symbols"), bound(lines(t), of_lines).alias("lines"), repeat_words(w).alias("n_repeat_words"))
+
+    found = docs.withColumn("_f", bound(words(t), features))
+    return found.withColumns({n: F.col({"n_lines": "_f.lines.n", "n_dup_lines": "_f.lines.dup"}.get(n, f"_f.{n}")) for n in names}).drop("_f")
 
 
 @dataclass(frozen=True)
@@ -106,20 +105,17 @@ RULES = (
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
 )
 BASE = ("too_few_words", "repeated_words")
-NEEDS = {"too_few_words": ("n_words",), "repeated_words": ("n_repeat_words", "n_words"), "symbols": ("n_symbols", "n_words"), "repeated_lines": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
 
 
-def on_demand(text: Column) -> dict[str, Column]:
-    """Each feature as one expression of the text: evaluated only where the cascade reaches a rule that needs it."""
-    # one-element arrays with transform() bind a value once, where a plain expression would repeat its work at each use
-    bound = lambda value, then: F.get(F.transform(F.array(value), then), 0)
+def on_demand(text: Column, word: Column) -> dict[str, Column]:
+    """Each feature as one expression of the text or its words: evaluated only where the cascade reaches a rule that needs it."""
     return {
-        "n_words": n_words(text),
-        "word_chars": word_chars(text),
+        "n_words": F.size(word).cast("long"),
+        "word_chars": word_chars(word),
         "n_symbols": n_symbols(text),
         "n_lines": F.size(lines(text)).cast("long"),
         "n_dup_lines": bound(lines(text), n_dup_lines),
-        "n_repeat_words": bound(words(text), lambda w: bound(repeat_positions(w), lambda o: bound(spelled(w, twice(o)), lambda s: bound(covered(s), n_covered)))),
+        "n_repeat_words": repeat_words(word),
     }
 
 
@@ -142,8 +138,8 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     """
     from haulmark.llm.common import checkpoint
 
-    sample = checkpoint(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).limit(sample_rows))
-    features = on_demand(F.col("text"))
+    sample = checkpoint(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).limit(sample_rows).withColumn("w", words(F.col("t"))))
+    features = on_demand(F.col("t"), F.col("w"))
     n = max(1, sample.count())
     found = []
     for rule in rules:
@@ -158,11 +154,16 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 def cascade(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Adds rejected_by: the first rule of the cascade that rejects the text, null if none does. Null text counts as empty."""
     rules = rules if rules is not None else [rule for rule, _, _ in plan_cascade(docs)]
-    features = on_demand(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = F
-    for rule in rules:
-        out = out.when(condition(rule, features), F.lit(rule.name))
-    return docs.withColumn("rejected_by", out if rules else F.lit(None).cast("string"))
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+    def verdict(w: Column) -> Column:
+        features, out = on_demand(t, w), F
+        for rule in rules:
+            out = out.when(condition(rule, features), F.lit(rule.name))
+        return out
+
+    # all rules but one need the words, so they are split once
+    return docs.withColumn("rejected_by", bound(words(t), verdict) if rules else F.lit(None).cast("string"))
 
 
 def quality_filter(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 
 from haulmark.llm.common import BYTE_SYMBOLS, U64, mix64, prefix_sums, ragged, span_hashes
@@ -206,10 +207,11 @@ def snippets(part_no: int, part: Part, first, count, anchor, doc, hot, *, bucket
     where = bucket_of(np.where(lone, hashed, anchor), buckets).astype(np.int64)
     stay = stay[np.argsort(where[stay], kind="stable")]
     rel = first - part.starts[doc]
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     out = []
     for sel in np.split(stay, np.flatnonzero(np.diff(where[stay])) + 1):
         body = part.buf[ragged(first[sel], stop[sel] - first[sel])]
-        out.append((int(where[sel[0]]), part_no, 0, len(sel), doc[sel].astype(np.int32).tobytes(), part.ids[doc[sel]].tobytes(), rel[sel].tobytes(), (rel[sel] + count[sel]).tobytes(), body.tobytes()))
+        out.append((int(where[sel[0]]), part_no, 0, len(sel), doc[sel].astype(np.int32).tobytes(), part.ids[doc[sel]].tobytes(), rel[sel].tobytes(), (rel[sel] + count[sel]).tobytes(), squeeze(body.tobytes())))
     if len(go):
         out.append((part_no % buckets, part_no, 1, 0, doc[go].astype(np.int32).tobytes(), b"", rel[go].tobytes(), (rel[go] + count[go]).tobytes(), b""))
     return out
@@ -223,7 +225,8 @@ def settle(table: pa.Table, window: int) -> pa.Table:
     rows, docs, starts, stops = (np.concatenate(list(each(work, c, k))) for c, k in (("rows", np.int32), ("docs", np.int64), ("starts", np.int64), ("stops", np.int64)))
     part = np.repeat(work["part"].to_numpy(), work["n"].to_numpy())
     lengths = stops - starts + window - 1
-    body = np.concatenate(list(each(work, "body", np.uint8)))
+    plain = zstandard.ZstdDecompressor().decompress
+    body = np.frombuffer(b"".join(map(plain, work["body"].to_pylist())), np.uint8)
     at = np.cumsum(lengths) - lengths
     # equal entries of several parts: only the least document's go into the array
     keys = [bytes(memoryview(body)[a : a + n]) for a, n in zip(at.tolist(), lengths.tolist(), strict=True)]
