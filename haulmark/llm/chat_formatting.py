@@ -24,7 +24,7 @@ DEFAULT = (
     "{% else %}[ROLE {{ m.role | escape }}] {{ m.text | escape }} [/ROLE]{% endif %}"
     "{% endfor %}</s>"
 )
-_ANY = r"((?:[^\\<\[]|\\.)*)"
+_ANY = r"((?:[^\\<\[\]]|\\.)*)"
 TURN = re.compile(rf"\[INST\] {_ANY} \[/INST\]|\[ANS\] {_ANY} \[/ANS\]|\[ROLE {_ANY}\] {_ANY} \[/ROLE\]", re.S)
 
 FORMATTED = "conv_id long, position long, formatted string, loss_spans array<struct<start: int, stop: int>>"

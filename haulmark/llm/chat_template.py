@@ -18,8 +18,8 @@ CONTROL = "\\<["
 
 
 def escape(text: str) -> str:
-    """Puts a backslash before each character that can begin a control string."""
-    return re.sub(r"[\\<\[]", r"\\\g<0>", text)
+    """Puts a backslash before each character that can begin or end a control string."""
+    return re.sub(r"[\\<\[\]]", r"\\\g<0>", text)
 
 
 def unescape(text: str) -> str:
