@@ -39,7 +39,7 @@ def replay_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("device_slice", "SELECT device_id FROM (SELECT device_id, row_number() OVER (ORDER BY device_id) AS n FROM (SELECT DISTINCT device_id FROM alarms)) WHERE n BETWEEN 11 AND 30")
 def device_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices eleven to thirty by name."""
-    return d.alarms(spark, sf_dir).select("device_id").distinct().orderBy("device_id").limit(30).orderBy(F.desc("device_id")).limit(20)
+    return d.alarms(spark, sf_dir).select("device_id").distinct().orderBy("device_id").offset(10).limit(20)
 
 
 @query("tenant_recover", "SELECT company_slug, array_to_string(list(device_id ORDER BY device_id), ',') AS devices FROM (SELECT *, row_number() OVER (PARTITION BY company_slug ORDER BY t DESC, device_id) AS n FROM (SELECT company_slug, device_id, max(occurred_at) AS t FROM alarms GROUP BY ALL)) WHERE n <= 25 GROUP BY company_slug")
