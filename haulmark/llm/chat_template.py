@@ -14,8 +14,6 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-CONTROL = "\\<["
-
 
 def escape(text: str) -> str:
     """Puts a backslash before each character that can begin or end a control string."""
