@@ -165,6 +165,11 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.insert_if_absent(old, new, ["guid", "stage", "reason"], "guid")
 
 
+def three_tiers(spark: SparkSession, sf_dir: str, arriving: DataFrame) -> DataFrame:
+    right = keyed(d.alarms(spark, sf_dir).filter("event_id % 5 <> 0")).withColumn("provider_key", F.when(F.col("event_id") % 4 != 0, F.col("provider_key"))).withColumn("right_guid", F.col("guid"))
+    return upserts.prioritised_match(keyed(arriving), right, "guid", "right_guid", [["provider_key"], ["guid"], ["device_id", "category", "tp", "occurred_at"]], null_safe=(2,))
+
+
 @query(
     "match_three_tiers",
     f""", {RESENT_SQL}, l AS (SELECT *, {KEY_SQL} AS k FROM resent WHERE event_id % 7 = 0), r AS (SELECT *, CASE WHEN event_id % 4 <> 0 THEN {KEY_SQL} END AS k FROM alarms WHERE event_id % 5 <> 0)
@@ -172,10 +177,14 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN (SELECT device_id, category, tp, occurred_at, min(guid) AS g FROM r GROUP BY ALL) t3 ON l.device_id = t3.device_id AND l.category = t3.category AND l.tp IS NOT DISTINCT FROM t3.tp AND l.occurred_at = t3.occurred_at""",
 )
 def match_three_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By provider key, else by guid, else by device, category, subtype and time."""
-    left = keyed(resent(spark, sf_dir).filter("event_id % 7 = 0"))
-    right = keyed(d.alarms(spark, sf_dir).filter("event_id % 5 <> 0")).withColumn("provider_key", F.when(F.col("event_id") % 4 != 0, F.col("provider_key"))).withColumn("right_guid", F.col("guid"))
-    return upserts.prioritised_match(left, right, "guid", "right_guid", [["provider_key"], ["guid"], ["device_id", "category", "tp", "occurred_at"]], null_safe=(2,))
+    """By provider key, else by guid, else by device, category, subtype and time. Its SQL takes every seventh arriving row; match_three_tiers_all takes all."""
+    return three_tiers(spark, sf_dir, resent(spark, sf_dir).filter("event_id % 7 = 0"))
+
+
+@query("match_three_tiers_all")
+def match_three_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_three_tiers for every row that arrives; tests hold it against a plain loop."""
+    return three_tiers(spark, sf_dir, resent(spark, sf_dir))
 
 
 @query(
