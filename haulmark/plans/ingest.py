@@ -124,8 +124,9 @@ def dedupe_provider_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dedupe_three_key")
 def dedupe_three_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate if any of three keys was seen on a kept row; sequential, so SQL has no form for it."""
-    rows = keyed(resent(spark, sf_dir)).withColumns({"fuzzy": F.concat_ws("|", "category", "tp", F.date_trunc("minute", F.col("occurred_at")).cast("string"))})
+    """Duplicate if any of three keys was seen on a kept row; SQL has no form for it. The third key is category, subtype and exact time; a null is a value of its own."""
+    fuzzy = F.to_json(F.struct("category", "tp", F.unix_micros("occurred_at").alias("at")), {"ignoreNullFields": "false"})
+    rows = keyed(resent(spark, sf_dir)).withColumn("fuzzy", fuzzy)
     return upserts.first_by_any_key(rows.select("device_id", "event_id", "guid", "provider_key", "fuzzy"), "device_id", "event_id", ["guid", "provider_key", "fuzzy"]).select("guid", "is_duplicate")
 
 

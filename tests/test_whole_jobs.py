@@ -1,5 +1,9 @@
 """Queries that do the whole job, against plain loops over their own rows."""
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from haulmark.functions.values import CATEGORIES
 from haulmark.plans.catalog import QUERIES
 from haulmark.plans.ingest import keyed, resent
@@ -31,3 +35,24 @@ def test_categories_of_all_hours(spark):
     for r in d.month(spark, SF).collect():
         own.setdefault(r.company_slug, set()).add(r.category)
     assert {r.company_slug: r.shown for r in run(spark, "category_order_all")} == {k: ",".join(c for c, _, _ in CATEGORIES if c in v) for k, v in own.items()}
+
+
+def test_duplicates_by_exact_time(spark, tmp_path):
+    at = lambda seconds: dt.datetime(2024, 1, 5, 8) + dt.timedelta(seconds=seconds)
+    times = [0, 20, 20.5, 59, 61, 61, 20, 300, 300.25]
+    props = ['{"k": "1"}', '{"k": "1"}', '{"k": "1"}', None, '{"k": ""}', None, '{"k": "2"}', '{"k": "1"}', '{"k": "1"}']
+    base = spark.read.parquet(f"{SF}/events.parquet")
+    rows = [(i + 1, 7, "click", at(t), p) for i, (t, p) in enumerate(zip(times, props, strict=True))]
+    new = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, props string")
+    some = base.limit(50).select([c for c in base.columns])
+    cast = new.select(*[F.col(c).cast(t).alias(c) for c, t in base.dtypes if c in new.columns])
+    some.withColumn("event_id", (F.col("event_id") + 1000).cast(dict(base.dtypes)["event_id"])).unionByName(cast, allowMissingColumns=True).write.parquet(f"{tmp_path}/events.parquet")
+    arriving = sorted(keyed(resent(spark, str(tmp_path))).collect(), key=lambda r: r.event_id)
+    seen, want = set(), {}
+    for r in arriving:
+        own = {("guid", r.guid), ("key", r.provider_key), ("fuzzy", r.device_id, r.category, r.tp, r.occurred_at)}
+        want[r.guid] = bool(own & seen)
+        seen |= set() if want[r.guid] else own
+    got = QUERIES["dedupe_three_key"][0](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.guid: r.is_duplicate for r in got} == want
+    assert not any(want[f"g{i}"] for i in (1, 2, 4, 5, 7, 8)) and want["g3"] and want["g6"] and want["g9"]  # g3, g6 and g9 by the provider key: one second, null as empty
