@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import BYTE_SYMBOLS, U64, gram_hashes, hash_words, row_pieces, text_buffer, text_bytes, word_spans
+from haulmark.llm.common import BYTE_SYMBOLS, U64, gram_hashes, hash_words, row_pieces, text_buffer, text_bytes, word_spans, written
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+ROW = "_row_number"
 SCHEMA = "doc_id long, n_tokens long, item_id long, covered long, item_tokens long, n_tiles int"
 
 
@@ -168,17 +169,27 @@ def search(batches, items: Items, s: Tiling):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_tokens", "item_id", "covered", "item_tokens", "n_tiles"])
 
 
-def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, setting: Tiling | None = None, row: str = "doc_id") -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    """A written table of docs, so that the number of a row stays the same each time it is read."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, setting: Tiling | None = None, row: str | None = None) -> DataFrame:
     """Per row of docs, its best covered item of the benchmark: doc_id, n_tokens, item_id, covered, item_tokens, n_tiles, contaminated.
 
     item_id is null and counts are 0 where nothing is shared; ties of coverage go to the least item_id. Null and empty texts share
     nothing; items without an id or shorter than a tile match nothing. Other columns don't matter; an empty benchmark leaves all
-    documents clean, an empty table gives an empty result. row: a column that tells rows apart; it comes back as doc_id.
+    documents clean, an empty table gives an empty result. row: a column that tells rows apart; it comes back as doc_id. Without one,
+    a benchmark of several blocks has the rows numbered in a written table first, as doc_id may be null or repeated.
     """
     s = setting or Tiling()
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-text_bytes(bench) // s.block_bytes))
-    rows = docs.select(F.col(row).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if blocks > 1 and row is None:
+        rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+        found = benchmark_overlap(rows, bench, s, ROW)
+        return rows.select(ROW, "doc_id").join(found.withColumnRenamed("doc_id", ROW), ROW).select("doc_id", *found.columns[1:])
+    rows = docs.select(F.col(row or "doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
     for k in range(blocks):
         part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -196,8 +207,7 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, setting: Tiling | N
 def clean_documents(docs: DataFrame, benchmark: DataFrame, setting: Tiling | None = None) -> DataFrame:
     """The documents that no benchmark item covers, with the columns they had.
 
-    A benchmark of one block filters rows where they are read. Larger ones need a join by doc_id: rows of one doc_id then go or stay
-    together, and rows without one stay.
+    Each row is judged by itself. A benchmark of one block filters rows where they are read; larger ones need a join by row number.
     """
     s = setting or Tiling()
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -215,5 +225,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, setting: Tiling | Non
                     yield piece.select(own.names).filter(pa.array(clean))
 
         return plain.mapInArrow(keep, own).withColumnsRenamed({f"x{i}": c for i, c in enumerate(names)})
-    bad = benchmark_overlap(docs, benchmark, s).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    rows = numbered(docs)
+    bad = benchmark_overlap(rows, benchmark, s, ROW).filter("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in names])

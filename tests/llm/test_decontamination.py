@@ -98,3 +98,20 @@ def test_empty(spark):
     d, b = spark.createDataFrame([(*x, 1, 2) for x in docs], DOCS), spark.createDataFrame([(*x, 9) for x in items], BENCH)
     assert benchmark_overlap(d.limit(0), b).collect() == []
     assert not any(r.contaminated for r in benchmark_overlap(d, b.limit(0)).collect())
+
+
+@pytest.mark.parametrize("block", [32 << 20, 700])
+def test_repeated_and_null_ids(spark, block):
+    docs, items = corpus()
+    docs += [(None, "clean text without an id"), (None, items[1][1]), (None, items[0][1]), (3, "clean under a used id"), (4, items[2][1])]
+    d, b = spark.createDataFrame([(*x, 1, 2) for x in docs], DOCS), spark.createDataFrame([(*x, 9) for x in items], BENCH)
+    want = []
+    for i, text in docs:
+        t = words(text)
+        want.append((i, text, len(t), any(plain(p, t, 5)[0] >= 0.6 * len(p) for k, x in items if k is not None and len(p := words(x)) >= 5)))
+    key = lambda r: tuple(map(str, r))
+    got = benchmark_overlap(d, b, Tiling(block_bytes=block))
+    assert got.columns == ["doc_id", "n_tokens", "item_id", "covered", "item_tokens", "n_tiles", "contaminated"]
+    assert sorted([(r.doc_id, r.n_tokens, r.contaminated) for r in got.collect()], key=key) == sorted([(i, n, bad) for i, _, n, bad in want], key=key)
+    left = clean_documents(d, b, Tiling(block_bytes=block)).collect()
+    assert sorted([(r.doc_id, r.text) for r in left], key=key) == sorted([(i, text) for i, text, _, bad in want if not bad], key=key)
