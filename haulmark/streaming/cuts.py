@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +31,18 @@ STATUS = "device_id string, accepted long, regressions long, last_total double"
 
 
 def odometer_state(keys: tuple, batches, state: GroupState):
-    """Counts readings of a device that fall below the last accepted total; such readings leave it as it is. In order of arrival."""
+    """Counts readings of a device that fall below the last accepted total; such readings leave it as it is.
+
+    Micro-batches count in order of arrival, the readings of one in order of time. A group comes in chunks, in no order, so they are
+    put in order together: 24 bytes a reading, for the readings that a device has in one micro-batch.
+    """
     accepted, regressions, last = state.get if state.exists else (0, 0, None)
-    for rows in batches:
-        for total in rows.sort_values(["observed_at", "event_id"])["total_km"].astype(float):
+    chunks = [(rows["observed_at"].to_numpy("datetime64[us]").astype(np.int64), rows["event_id"].to_numpy(np.int64), rows["total_km"].to_numpy(np.float64)) for rows in batches]
+    if chunks:
+        at, number, totals = (np.concatenate(c) for c in zip(*chunks, strict=True))
+        chunks.clear()
+        for i in np.lexsort((number, at)):
+            total = float(totals[i])
             if last is not None and total + 0.1 < last:
                 regressions += 1
             else:

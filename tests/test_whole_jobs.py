@@ -1,6 +1,7 @@
 """Queries that do the whole job, against plain loops over their own rows."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from haulmark.functions.values import CATEGORIES
 from haulmark.plans.catalog import QUERIES
 from haulmark.plans.ingest import keyed, resent
 from haulmark.sources import domain as d
+from haulmark.streaming import cuts
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +58,27 @@ def test_duplicates_by_exact_time(spark, tmp_path):
     got = QUERIES["dedupe_three_key"][0](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.guid: r.is_duplicate for r in got} == want
     assert not any(want[f"g{i}"] for i in (1, 2, 4, 5, 7, 8)) and want["g3"] and want["g6"] and want["g9"]  # g3, g6 and g9 by the provider key: one second, null as empty
+
+
+def test_status_state_over_chunks(spark, tmp_path):
+    schema = "device_id string, observed_at timestamp, event_id long, total_km double"
+    rows = [("hot", dt.datetime(2024, 1, 5) + dt.timedelta(minutes=i // 2), i, 10.0 * i - (15 if i % 7 == 3 else 0)) for i in range(200)]
+    accepted = regressions = 0
+    last = None
+    for *_, total in rows:
+        if last is not None and total + 0.1 < last:
+            regressions += 1
+        else:
+            accepted, last = accepted + 1, total
+    random.Random(4).shuffle(rows)
+    for k in range(5):
+        spark.createDataFrame(rows[k::5], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/r")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    seen = []
+    try:
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/r")
+        cuts.status_stream(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [tuple(r) for r in seen] == [("hot", accepted, regressions, last)] and regressions
