@@ -3,13 +3,15 @@
 Markup is stripped to lines, one for each block element. A line inside a menu, header, footer, sidebar, advert, form, script, comment
 section and the like counts no characters, nor does one outside the article where the page marks one, nor a line of links. Sums of
 lengths over a sliding window of lines then rise from nothing at surge points and fall to nothing at dive points; the text between
-them is kept, joined over short gaps, and ranges that are small beside the largest one are left out on pages that mark no article.
+them is kept, joined over short gaps. On pages that mark no article, the first range that isn't small beside the largest begins the text,
+and all lines after it are kept that aren't links alone. An element that holds the article isn't set apart, whatever its name.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -34,46 +36,87 @@ NAMES = frozenset(
     "share sharing social related recommended recommendations trending popular comment comments commentlist respond disqus replies reply reader-comments toolbar skip search searchbox complementary contentinfo".split()
 )
 HEADERS = frozenset("header site-header page-header top-header global-header".split())
+#: First parts of names that say something about a page (has-sidebar), and last parts that name a page's layout (sidebar-layout).
+STATES = frozenset("has have with without no is not js show hide".split())
+LAYOUTS = frozenset("layout page template grid".split())
+#: Names and tags of elements whose entries are often marked up as articles themselves.
+LISTS = frozenset("comment comments commentlist respond replies reply reader-comments disqus related recommended recommendations trending popular".split())
+LISTING = frozenset("aside nav header footer menu".split())
+ARTICLES = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>article|main)(?=[\s/>])", re.I | re.S)
 
 
-def named_apart(attrs: str) -> bool:
+def names_apart(name: str) -> bool:
+    """A whole name, or one that begins or ends with one (cookie-notice, left-sidebar), but not a state or a layout of the page."""
+    if name in NAMES:
+        return True
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    return len(parts) > 0 and parts[0] not in STATES and parts[-1] not in LAYOUTS and (parts[0] in NAMES or parts[-1] in NAMES)
+
+
+def unseen(attrs: str) -> bool:
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-            continue
-        for name in value.split():
-            if name in HEADERS or (key == "role" and name in ("banner", "navigation", "search", "form", "alert")) or NAMES.intersection(re.split(r"[^a-z0-9]+", name)):
+    return False
+
+
+def named_apart(attrs: str) -> bool:
+    if unseen(attrs):
+        return True
+    for m in ATTR.finditer(attrs):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        for name in value.split() if key not in ("style", "hidden", "aria-hidden") else ():
+            if name in HEADERS or (key == "role" and name in ("banner", "navigation", "search", "form", "alert")) or names_apart(name):
                 return True
     return False
 
 
-def page_lines(page: str) -> tuple[list[str], list[bool], list[int], bool]:
-    """Lines of a page: text, whether it stands in an article, how many of its characters are links; and whether the page marks one.
+def holds_article(page: str, at: int, tag: str, attrs: str, marks: list[tuple[int, bool]]) -> bool:
+    """Whether the element that opens before at holds a main or an article of the page: not one that is hidden or in a list of comments or the like."""
+    first = bisect_left(marks, (at, False))
+    if first == len(marks) or unseen(attrs):
+        return False
+    depth, end = 1, len(page)
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            end = m.start()
+            break
+    inside = marks[first : bisect_left(marks, (end, False))]
+    if not inside or any(main for _, main in inside):
+        return bool(inside)
+    names = [x for m in ATTR.finditer(attrs) for x in (m[2] or m[3] or m[4] or "").lower().split() if names_apart(x)]
+    return tag not in LISTING and not any(x in LISTS or LISTS.intersection(re.split(r"[^a-z0-9]+", x)) for x in names)
+
+
+def page_lines(page: str) -> tuple[list[str], list[bool], list[int], list[bool], bool]:
+    """Lines of a page: text, whether it stands in an article, how many of its characters are links, whether it has words that are
+    none; and whether the page marks one.
 
     Only lines with text that may belong to an article; an empty one stands for each stretch set apart.
     """
-    lines, inside, linked = [""], [False], [0]
+    lines, inside, linked, worded = [""], [False], [0], [False]
     words: list[str] = []
-    links = 0
+    links, own = 0, False
+    marks = [(m.start(), m["tag"].lower() == "main") for m in ARTICLES.finditer(page) if m["tag"]]
     apart, depth, article, anchor, marked = "", 0, 0, 0, False
 
     def flush(force_gap: bool = False) -> None:
-        nonlocal links
+        nonlocal links, own
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
         if text:
             lines.append(text)
             inside.append(article > 0)
             linked.append(links)
+            worded.append(own)
         elif force_gap and lines[-1]:
             lines.append("")
             inside.append(False)
             linked.append(0)
-        links = 0
+            worded.append(False)
+        links, own = 0, False
 
     at = 0
     while True:
@@ -83,6 +126,8 @@ def page_lines(page: str) -> tuple[list[str], list[bool], list[int], bool]:
             words.append(text)
             if anchor:
                 links += len(text.strip())
+            else:
+                own = own or any(map(str.isalnum, html.unescape(text)))
         if not m:
             break
         at = m.end()
@@ -102,7 +147,7 @@ def page_lines(page: str) -> tuple[list[str], list[bool], list[int], bool]:
             continue
         if not closing and tag not in VOID and tag not in OPEN_ONLY and (tag in APART or named_apart(m["attrs"] or "")):
             # an element that is never closed sets nothing apart but itself
-            if re.compile(rf"</{tag}\s*>", re.I).search(page, at):
+            if re.compile(rf"</{tag}\s*>", re.I).search(page, at) and not holds_article(page, at, tag, m["attrs"] or "", marks):
                 flush(True)
                 flush(True)
                 apart, depth = tag, 1
@@ -117,31 +162,29 @@ def page_lines(page: str) -> tuple[list[str], list[bool], list[int], bool]:
         elif tag == "a":
             anchor = max(0, anchor - 1) if closing else 1
     flush()
-    return lines, inside, linked, marked
+    return lines, inside, linked, worded, marked
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 80, share: float = 0.2) -> str:
-    """The article of a page. surge: characters in a window that begin a range where no article is marked; share: of the largest range."""
+    """The article of a page. Where no article is marked, surge: characters in a window, and share: of the largest range, that begin it."""
     if not page:
         return ""
-    lines, inside, linked, marked = page_lines(page)
+    lines, inside, linked, worded, marked = page_lines(page)
     size = np.array([len(x) for x in lines], np.int64)
     if marked:
         size[~np.array(inside)] = 0
-    else:
-        size[np.array(linked) * 2 > size] = 0
+        return "\n".join(x for x, n in zip(lines, size.tolist(), strict=True) if n)
+    kept = np.array(worded) & (size > 0)
+    size[np.array(linked) * 2 > size] = 0
     sums = np.convolve(size, np.ones(window, np.int64))[window // 2 : window // 2 + len(size)]
     full = np.r_[0, (sums > 0).astype(np.int8), 0]
     surges, dives = np.flatnonzero(np.diff(full) == 1), np.flatnonzero(np.diff(full) == -1)
     if not len(surges):
         return ""
     totals = [int(size[a:b].sum()) for a, b in zip(surges, dives, strict=True)]
-    least = 1 if marked else share * max(totals)
-    out = []
-    for a, b, total in zip(surges, dives, totals, strict=True):
-        if total >= least and (marked or sums[a:b].max() >= surge or total == max(totals)):
-            out += [lines[i] for i in range(a, b) if size[i]]
-    return "\n".join(out)
+    least = share * max(totals)
+    begin = next(a for a, b, total in zip(surges, dives, totals, strict=True) if total >= least and (sums[a:b].max() >= surge or total == max(totals)))
+    return "\n".join(lines[i] for i in range(begin, len(lines)) if kept[i] or size[i])
 
 
 def extract_rows(batches):

@@ -39,3 +39,28 @@ def test_rows(spark):
     got = html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "u", WANT, len(WANT))] * 2 + [(2, None, "", 0), (None, "u", "", 0)], key=str)
     assert html_extraction(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_short_ranges_after_the_body():
+    body, last = "A long body line. " * 120, "The last paragraph has its own words. " * 8
+    links = "".join(f"<div><a href=/{i}>Link number {i}</a></div>" for i in range(5))
+    source = "<p>See <a href=/s>the long title of a study that the article rests on</a> too.</p>"
+    got = main_text(f"<body>{links}<div>{body}</div>{links}<div>{last}</div>{links}<p>Short end.</p>{source}</body>").split("\n")
+    assert got == [body.strip(), last.strip(), "Short end.", "See the long title of a study that the article rests on too."]
+
+
+@pytest.mark.parametrize("wrap", ["div class='layout has-sidebar'", "div id='content-sidebar-wrap'", "div class=widget", "div id=sidebar-wrap", "form id=aspnet", "div class='elementor-widget x'"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrapped_article(wrap, tag):
+    page = f"<body><{wrap}><{tag}>{ARTICLE}</{tag}></{wrap.split()[0]}><section id=comments><article><p>nice</p></article></section><aside><article>teaser</article></aside></body>"
+    assert main_text(page) == WANT
+    assert main_text(page.replace("<section", "<script>'<main>'</script><section")) == WANT
+
+
+def test_comments_are_no_article():
+    page = f"<body><div>{'long text ' * 20}</div><section class='comments-area'><article>nice</article></section><aside><article>teaser</article></aside><div hidden><article>draft</article></div></body>"
+    assert main_text(page) == ("long text " * 20).strip()
+
+
+def test_layout_names_without_an_article():
+    assert main_text(f"<div class='layout no-sidebar'><p>{'long text ' * 20}</p><div class='cookie-notice'>ok?</div></div>") == ("long text " * 20).strip()
