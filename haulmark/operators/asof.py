@@ -26,8 +26,11 @@ def latest_unconsumed(sessions: DataFrame, keys: list[str], gap_minutes: int) ->
     """Backward as-of with consumption: each taking session takes the latest earlier giving one of its key that no other has taken.
 
     sessions: keys, session_id, kind ('give' or 'take'), start_at, end_at. A given session must end before the taking one starts, by gap_minutes
-    at most. Sequential within a key, which is a vehicle: its sessions fit in memory.
+    at most. Sequential only within a stretch: a key is cut wherever no giving session has ended within gap_minutes before, so that none
+    reaches across. Stretches without both kinds are left out; those with the rest are folded each by itself.
     """
+    gap = pd.Timedelta(minutes=gap_minutes)
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start_at", "session_id"])
         given: list[tuple] = []
@@ -36,9 +39,10 @@ def latest_unconsumed(sessions: DataFrame, keys: list[str], gap_minutes: int) ->
             if row.kind == "give":
                 given.append((row.end_at, row.session_id))
                 continue
+            given = [x for x in given if row.start_at - x[0] <= gap]  # later sessions start later still
             for i in range(len(given) - 1, -1, -1):
                 end_at, session_id = given[i]
-                if end_at < row.start_at and row.start_at - end_at <= pd.Timedelta(minutes=gap_minutes):
+                if end_at < row.start_at:
                     out.append((*[getattr(row, k) for k in keys], row.session_id, session_id))
                     del given[i]
                     break
@@ -46,4 +50,14 @@ def latest_unconsumed(sessions: DataFrame, keys: list[str], gap_minutes: int) ->
 
     types = dict(sessions.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"taker {types['session_id']}", f"given {types['session_id']}"])
-    return sessions.groupBy(*keys).applyInPandas(fold, schema)
+    give = F.col("kind") == "give"
+    w = Window.partitionBy(*keys).orderBy("_point", "session_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sessions.withColumn("_point", F.when(give, F.col("end_at")).otherwise(F.col("start_at")))
+    near = F.unix_micros("_point") - F.unix_micros(F.max(F.when(give, F.col("end_at"))).over(w)) <= gap_minutes * 60_000_000
+    rows = rows.withColumn("_near", F.coalesce(near, F.lit(False))).filter(give | F.col("_near"))
+    # a giving session that no other reaches begins a stretch, and so names it
+    begin = F.max(F.when(~F.col("_near"), F.struct("_point", "session_id"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_begin", begin)
+    both = rows.groupBy(*keys, "_begin").agg(F.count_if(give).alias("_g"), F.count("*").alias("_n")).filter("_g < _n")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_begin"]]
+    return rows.alias("a").join(both.alias("b"), [*same], "left_semi").drop("_point", "_near").groupBy(*keys, "_begin").applyInPandas(fold, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulmark.sources.shared import shared_dir
+
 
 def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Rows of both, one for each key: a change wins over the old row, the last in order wins among changes."""
@@ -32,23 +35,39 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], nullable:
 
 
 def first_by_any_key(df: DataFrame, group: str, order: str, keys: list[str]) -> DataFrame:
-    """Adds is_duplicate: one of the keys was seen on a kept row before. Duplicates add no keys, so this is sequential within group.
+    """Adds is_duplicate: one of the keys was seen on a kept row of the group before. Duplicates add no keys. Null keys never match.
 
-    group is a device: its rows of one batch fit in memory. Null keys never match.
+    In rounds over joins, with no group in one task's memory: a row that comes first under each of its keys is kept, other rows under such
+    keys are duplicates, and what is left goes into the next round. The first row left is always decided; rounds are as many as kept rows
+    and duplicates take turns in the longest chain of shared keys. Rows without a shared key never enter.
     """
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        seen: set[tuple] = set()
-        flags = []
-        for values in rows[keys].itertuples(index=False):
-            own = {(k, v) for k, v in zip(keys, values, strict=True) if not pd.isna(v)}
-            flags.append(bool(own & seen))
-            if not flags[-1]:
-                seen |= own
-        return rows.assign(is_duplicate=flags)
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", is_duplicate boolean"
-    return df.groupBy(group).applyInPandas(fold, schema)
+    base = f"{shared_dir(df.sparkSession).rstrip('/')}/first-{uuid.uuid4().hex}"
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{base}/{name}")
+        return df.sparkSession.read.schema(rows.schema).parquet(f"{base}/{name}")
+
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.col(f"`{k}`").cast("string").alias("v")) for i, k in enumerate(keys)]))
+    links = rows.select(F.struct(F.col(order).alias("o"), "_row").alias("_at"), F.col(group).alias("g"), each.alias("k")).filter("k.v is not null")
+    links = links.select("_at", F.to_json(F.struct("g", "k.n", "k.v"), {"ignoreNullFields": "false"}).alias("_key"))
+    shared = links.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")
+    left = written(links.join(shared, "_key", "left_semi"), "links-0")
+    duplicates = None
+    number = 0
+    while not left.isEmpty():
+        number += 1
+        first = left.groupBy("_key").agg(F.min("_at").alias("_first"))
+        marked = left.join(first, "_key").select("_at", "_key", (F.col("_at") == F.col("_first")).alias("mine"))
+        kept = written(marked.groupBy("_at").agg(F.min("mine").alias("all")).filter("all").select("_at"), f"kept-{number}")
+        taken = left.join(kept, "_at", "left_semi").select("_key").distinct()
+        gone = written(left.join(taken, "_key", "left_semi").select("_at").distinct().join(kept, "_at", "left_anti"), f"gone-{number}")
+        duplicates = gone if duplicates is None else duplicates.unionByName(gone)
+        left = written(left.join(kept.unionByName(gone), "_at", "left_anti"), f"links-{number}")
+    if duplicates is None:
+        return rows.drop("_row").withColumn("is_duplicate", F.lit(False))
+    found = duplicates.select(F.col("_at._row").alias("_row"), F.lit(True).alias("is_duplicate"))
+    return rows.join(found, "_row", "left").drop("_row").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
 
 
 def prioritised_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[list[str]], null_safe: tuple[int, ...] = ()) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from haulmark.functions.values import CATEGORIES
+from haulmark.operators import upserts
+from haulmark.operators.asof import latest_unconsumed
 from haulmark.plans.catalog import QUERIES
 from haulmark.plans.ingest import keyed, resent
 from haulmark.sources import domain as d
@@ -82,3 +84,26 @@ def test_status_state_over_chunks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [tuple(r) for r in seen] == [("hot", accepted, regressions, last)] and regressions
+
+
+def test_a_hot_key_is_not_one_fold(spark):
+    """One vehicle with all sessions: many small folds, with the result of one plain loop; duplicates without any fold."""
+    at = lambda minutes: dt.datetime(2024, 1, 5) + dt.timedelta(minutes=minutes)
+    r, t, rows = random.Random(5), 0, []
+    for i in range(400):
+        t += r.choice([1, 10, 30, 60, 61, 200])
+        rows.append(("a", f"s{i:03d}", r.choice(["give", "give", "take"]), at(t), at(t + r.choice([0, 5, 90]))))
+    used, want = set(), []
+    for i, (plate, sid, kind, start, _) in enumerate(rows):
+        fit = [y for y in rows[:i] if y[2] == "give" and y[1] not in used and y[4] < start and start - y[4] <= dt.timedelta(minutes=60)] if kind == "take" else []
+        if fit:
+            used.add(fit[-1][1])
+            want.append((plate, sid, fit[-1][1]))
+    got = latest_unconsumed(spark.createDataFrame(rows, "plate string, session_id string, kind string, start_at timestamp, end_at timestamp"), ["plate"], 60)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 20
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "_begin" in plan(got).split("FlatMapGroupsInPandas")[1].split("\n")[0]
+    links = [("a", i, f"k{i // 2}", f"v{(i + 1) // 2}") for i in range(12)] + [(None, 12, "k0", None), (None, 13, "k0", "v")]
+    flags = upserts.first_by_any_key(spark.createDataFrame(links, "dev string, id int, k1 string, k2 string"), "dev", "id", ["k1", "k2"])
+    assert {x.id: x.is_duplicate for x in flags.collect()} == {i: i % 2 == 1 for i in range(14)}
+    assert "Pandas" not in plan(flags)
