@@ -1,17 +1,20 @@
 """Main text of web pages by line-block distribution (operator 3).
 
-Markup is stripped to lines, one for each block element. A line inside a menu, header, footer, sidebar, advert, form, script, comment
-section and the like counts no characters, nor does one outside the article where the page marks one, nor a line of links. Sums of
-lengths over a sliding window of lines then rise from nothing at surge points and fall to nothing at dive points; the text between
-them is kept, joined over short gaps. On pages that mark no article, the first range that isn't small beside the largest begins the text,
-and all lines after it are kept that aren't links alone. An element that holds the article isn't set apart, whatever its name.
+Markup is stripped to lines, one for each block element. What the page itself sets apart (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments, hidden elements) leaves a stretch of empty lines, and so does the edge of an article.
+Sums of text lengths over a sliding window of lines rise from nothing at surge points and fall to nothing at dive points. On every page
+the text between such points is what can be kept: the ranges inside marked articles, unless a single range outside outweighs them all
+by far (then the marks are teasers); without marks, the first range that isn't small beside the largest, and all ranges after it.
+
+Elements are closed as HTML closes them: an open p, li, dt, dd, td, tr, option or heading ends where the next block implies its end.
+Every step is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -20,171 +23,320 @@ from pyspark.sql import functions as F
 
 from haulmark.llm.common import row_pieces
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|<(?P<odd>/)?(?P<oddtag>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>", re.S)
-ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: Elements whose content is never a page's text, and those that hold no article text.
-RAW = frozenset("script style noscript template textarea title xmp iframe noembed".split())
-APART = RAW | frozenset("head nav header footer aside form button select option svg math object canvas audio video menu dialog label fieldset".split())
-BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
-CELLS = frozenset(("td", "th"))
+#: A tag as HTML reads it (a quote matters after "=" only), and one that ends at the first ">". Possessive: neither ever backtracks.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+#: Elements whose content is text of another kind up to their end tag.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+APART = RAW | frozenset("head nav header footer aside form button select option datalist noscript template svg object canvas audio video menu dialog label fieldset".split())
+BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPEN_ONLY = frozenset("html body article main".split())
-#: Words of class, id or role that name what is not the article.
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation topnav subnav breadcrumb breadcrumbs pager pagination "
-    "footer masthead sidebar aside rail widget widgets cookie cookies consent gdpr notice notices popup modal overlay paywall newsletter subscribe subscription signup login signin "
-    "share sharing social related recommended recommendations trending popular comment comments commentlist respond disqus replies reply reader-comments toolbar skip search searchbox complementary contentinfo".split()
-)
-HEADERS = frozenset("header site-header page-header top-header global-header".split())
-#: First parts of names that say something about a page (has-sidebar), and last parts that name a page's layout (sidebar-layout).
+PARAGRAPHS = HEADINGS | {"p", "blockquote", "pre"}
+#: What ends an open paragraph; what keeps the search for an open element from going further out.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+SCOPES = frozenset("html table td th caption object template marquee".split())
+SPECIAL = (BLOCKS | SCOPES | {"button", "select"}) - {"br", "hr"}
+LOOSE = frozenset("address div p li dd dt".split())
+TABLE_PARTS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "caption"), "tbody": ("tbody", "thead", "tfoot", "caption"), "thead": ("tbody", "thead", "tfoot", "caption"), "tfoot": ("tbody", "thead", "tfoot", "caption")}
+#: Words of class, id or role that name what isn't the article.
+NAMES = frozenset("ad ads advert adverts advertisement advertising promo promotion sponsor sponsored banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar notice notices cookie cookies popup modal comment comments commentlist complementary contentinfo search".split())
+#: Last parts of names that begin with such a word and still name it (ad-slot, comments-area, sidebar-left).
+PLACES = frozenset("area bar block box container content inner item items left links list outer region right section slot top bottom unit wrap wrapper".split())
 STATES = frozenset("has have with without no is not js show hide".split())
-LAYOUTS = frozenset("layout page template grid".split())
-#: Names and tags of elements whose entries are often marked up as articles themselves.
-LISTS = frozenset("comment comments commentlist respond replies reply reader-comments disqus related recommended recommendations trending popular".split())
+ROLES = frozenset("banner navigation search form alert complementary contentinfo dialog menu".split())
 LISTING = frozenset("aside nav header footer menu".split())
-ARTICLES = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>article|main)(?=[\s/>])", re.I | re.S)
+COMMENTS = frozenset("comment comments commentlist".split())
+
+
+def tokens(page: str):
+    """(text, "", False, "") or ("", tag, whether it closes, attributes), in page order. Comments and declarations give nothing."""
+    at, n, tag = 0, len(page), TAG
+    last_end = page.rfind(">")
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], "", False, ""
+            return
+        if lt > at:
+            yield page[at:lt], "", False, ""
+        after = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            at = n if end < 0 else end + 3
+        elif after in ("!", "?") or (after == "/" and not page[lt + 2 : lt + 3].isalpha()):
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
+        elif after == "/" or (after.isascii() and after.isalpha()):
+            if lt > last_end:  # the page breaks off within a tag
+                return
+            m = tag.match(page, lt)
+            if m is None:  # a quote swallows all that follows, so quotes aren't trusted any more
+                tag = PLAIN_TAG
+                m = tag.match(page, lt)
+            if m is None:
+                yield "<", "", False, ""
+                at = lt + 1
+                continue
+            at = m.end()
+            name = m[2].lower()
+            yield "", name, bool(m[1]), m[3]
+            if name in RAW and not m[1]:
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                if end is None:
+                    return
+                at = end.start()
+        else:
+            yield "<", "", False, ""
+            at = lt + 1
+
+
+def attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attrs)} if attrs.strip(" /") else {}
+
+
+def unseen(given: dict[str, str]) -> bool:
+    return "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")) is not None
 
 
 def names_apart(name: str) -> bool:
-    """A whole name, or one that begins or ends with one (cookie-notice, left-sidebar), but not a state or a layout of the page."""
+    """A whole name, or one that ends with one (cookie-notice), or begins with one and ends with a place (ad-slot), not a state (has-sidebar)."""
     if name in NAMES:
         return True
     parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
-    return len(parts) > 0 and parts[0] not in STATES and parts[-1] not in LAYOUTS and (parts[0] in NAMES or parts[-1] in NAMES)
+    if len(parts) < 2 or parts[0] in STATES:
+        return len(parts) == 1 and parts[0] in NAMES
+    return parts[-1] in NAMES or (parts[0] in NAMES and parts[-1] in PLACES)
 
 
-def unseen(attrs: str) -> bool:
-    for m in ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+def named_apart(given: dict[str, str]) -> bool:
+    return any(names_apart(x) for key in ("class", "id") for x in given.get(key, "").split()) or bool(ROLES.intersection(given.get("role", "").split()))
 
 
-def named_apart(attrs: str) -> bool:
-    if unseen(attrs):
-        return True
-    for m in ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        for name in value.split() if key not in ("style", "hidden", "aria-hidden") else ():
-            if name in HEADERS or (key == "role" and name in ("banner", "navigation", "search", "form", "alert")) or names_apart(name):
-                return True
-    return False
-
-
-def holds_article(page: str, at: int, tag: str, attrs: str, marks: list[tuple[int, bool]]) -> bool:
-    """Whether the element that opens before at holds a main or an article of the page: not one that is hidden or in a list of comments or the like."""
-    first = bisect_left(marks, (at, False))
-    if first == len(marks) or unseen(attrs):
-        return False
-    depth, end = 1, len(page)
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            end = m.start()
-            break
-    inside = marks[first : bisect_left(marks, (end, False))]
-    if not inside or any(main for _, main in inside):
-        return bool(inside)
-    names = [x for m in ATTR.finditer(attrs) for x in (m[2] or m[3] or m[4] or "").lower().split() if names_apart(x)]
-    return tag not in LISTING and not any(x in LISTS or LISTS.intersection(re.split(r"[^a-z0-9]+", x)) for x in names)
-
-
-def page_lines(page: str) -> tuple[list[str], list[bool], list[int], list[bool], bool]:
-    """Lines of a page: text, whether it stands in an article, how many of its characters are links, whether it has words that are
-    none; and whether the page marks one.
-
-    Only lines with text that may belong to an article; an empty one stands for each stretch set apart.
+class Elements:
+    """The open elements of a page, ended as HTML implies. Every search looks at the top of a stack of places, so steps are constant."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int]] = []
+        self.of: dict[str, list[int]] = defaultdict(list)
+        self.scopes, self.buttons, self.items, self.specials, self.tables = [], [], [], [], []
+        self.ends: dict[int, int] = {}
+
+    def lists(self, tag: str):
+        if tag in SCOPES:
+            yield self.scopes
+        if tag in SCOPES or tag == "button":
+            yield self.buttons
+        if tag in SPECIAL:
+            yield self.specials
+            if tag not in LOOSE:
+                yield self.items
+        if tag in ("table", "template"):
+            yield self.tables
+
+    def cut(self, depth: int, now: int) -> None:
+        while len(self.open) > depth:
+            tag, began = self.open.pop()
+            self.of[tag].pop()
+            for x in self.lists(tag):
+                x.pop()
+            self.ends[began] = now
+
+    def close(self, tags: tuple[str, ...], within: list[int], now: int) -> None:
+        """Ends the innermost open element of tags, if none of within lies inside of it."""
+        depth = max((self.of[t][-1] for t in tags if self.of[t]), default=-1)
+        # an element may be in within itself
+        limit = within[-1] if within and within[-1] != depth else within[-2] if len(within) > 1 and within[-1] == depth else -1
+        if depth > limit:
+            self.cut(depth, now)
+
+    def start(self, tag: str, now: int) -> None:
+        if self.of["head"] and tag not in IN_HEAD and tag != "head":
+            self.cut(self.of["head"][-1], now)
+        if tag in ENDS_P and self.of["p"]:
+            self.close(("p",), self.buttons, now)
+        if tag == "li":
+            self.close(("li",), self.items, now)
+        elif tag in ("dt", "dd"):
+            self.close(("dt", "dd"), self.items, now)
+        elif tag in TABLE_PARTS:
+            self.close(TABLE_PARTS[tag], self.tables, now)
+        elif tag in ("option", "optgroup"):
+            self.close(("option",), self.specials[:-1] if self.specials and self.open[self.specials[-1]][0] == "option" else self.specials, now)
+        elif tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
+            self.cut(len(self.open) - 1, now)
+        elif tag == "a":
+            self.close(("a",), self.specials, now)
+        elif tag == "button":
+            self.close(("button",), self.scopes, now)
+        if tag in VOID:
+            return
+        for x in self.lists(tag):
+            x.append(len(self.open))
+        self.of[tag].append(len(self.open))
+        self.open.append((tag, now))
+
+    def end(self, tag: str, now: int) -> None:
+        if tag in HEADINGS:
+            self.close(tuple(HEADINGS), self.scopes, now)
+        elif tag == "p":
+            self.close(("p",), self.buttons, now)
+        elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "caption"):
+            self.close((tag,), self.tables, now)
+        elif tag in SPECIAL:
+            self.close((tag,), self.scopes, now)
+        elif self.of[tag]:
+            self.close((tag,), self.specials, now)
+
+
+def set_apart(found: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int], dict[int, int]]:
+    """Tokens that open an element set apart, with the token that ends it; and the same of articles. One never ended counts as its tag alone."""
+    elements, opens = Elements(), []
+    mains = np.zeros(len(found) + 1, np.int64)
+    articles = np.zeros(len(found) + 1, np.int64)
+    heads = np.zeros(len(found) + 1, np.int64)
+    shut: list[tuple[int, int]] = []  # raw or unseen elements: what they hold marks no article
+    for now, (_, tag, closing, attrs) in enumerate(found):
+        if not tag:
+            continue
+        if closing:
+            elements.end(tag, now)
+            continue
+        elements.start(tag, now)
+        if tag in VOID:
+            continue
+        given = attributes(attrs)
+        opens.append((now, tag, given))
+        mains[now + 1] = tag == "main"
+        articles[now + 1] = tag == "article"
+        heads[now + 1] = tag in HEADINGS
+    n, ends = len(found), elements.ends
+    mains, articles, heads = np.cumsum(mains), np.cumsum(articles), np.cumsum(heads)
+    apart, marked = {}, {}
+    until = 0
+    inside: list[int] = []
+    for now, tag, given in opens:
+        if now < until:
+            continue
+        end = ends.get(now)
+        while inside and inside[-1] <= now:
+            inside.pop()
+        named = tag in APART or (tag not in ("html", "body", "article", "main") and named_apart(given))
+        hidden = tag not in ("html", "body") and unseen(given)
+        if (named or hidden) and end is not None:
+            holds_main = mains[end] > mains[now + 1]
+            holds = holds_main or articles[end] > articles[now + 1]
+            commented = any(COMMENTS.intersection(re.split(r"[^a-z0-9]+", x)) for key in ("class", "id") for x in given.get(key, "").split())
+            stays = not hidden and tag not in RAW and (holds_main or (holds and tag not in LISTING and tag not in ("noscript", "template") and not commented))
+            # an article's own header stays if it holds a headline
+            stays = stays or (not hidden and tag == "header" and bool(inside) and heads[end] > heads[now + 1])
+            if not stays:
+                apart[now] = until = end
+                continue
+        if tag in ("article", "main"):
+            marked[now] = n if end is None else end
+            inside.append(marked[now])
+    return apart, marked
+
+
+def page_lines(page: str, window: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Lines of a page: text, weight (its length; 0 for lines of links outside paragraphs), and whether it stands in an article.
+
+    Stretches set apart and edges of articles are as many empty lines as a window has.
     """
-    lines, inside, linked, worded = [""], [False], [0], [False]
+    found = list(tokens(page))
+    apart, marked = set_apart(found)
+    lines, weight, inside = [], [], []
     words: list[str] = []
-    links, own = 0, False
-    marks = [(m.start(), m["tag"].lower() == "main") for m in ARTICLES.finditer(page) if m["tag"]]
-    apart, depth, article, anchor, marked = "", 0, 0, 0, False
+    links, paragraph, anchor, own, until, article = 0, False, False, False, 0, 0
 
-    def flush(force_gap: bool = False) -> None:
-        nonlocal links, own
-        text = " ".join(html.unescape("".join(words)).split())
+    def flush(gap: bool = False) -> None:
+        nonlocal links, paragraph, own
+        text = " ".join("".join(words).split())
         words.clear()
         if text:
             lines.append(text)
+            weight.append(len(text) if article or (own and (paragraph or 2 * links <= len(text))) else 0)
             inside.append(article > 0)
-            linked.append(links)
-            worded.append(own)
-        elif force_gap and lines[-1]:
-            lines.append("")
-            inside.append(False)
-            linked.append(0)
-            worded.append(False)
-        links, own = 0, False
-
-    at = 0
-    while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text and not apart:
+        if gap:
+            lines.extend([""] * window)
+            weight.extend([0] * window)
+            inside.extend([False] * window)
+        links, paragraph, own = 0, False, False
+
+    ends: list[int] = []
+    for now, (text, tag, closing, _) in enumerate(found):
+        while ends and ends[-1] <= now:
+            ends.pop()
+            flush(True)
+            article = len(ends)
+        if now < until:
+            continue
+        if text:
+            text = html.unescape(text) if "&" in text else text
             words.append(text)
             if anchor:
                 links += len(text.strip())
-            else:
-                own = own or any(map(str.isalnum, html.unescape(text)))
-        if not m:
-            break
-        at = m.end()
-        tag = (m["tag"] or m["oddtag"] or "").lower()
-        if not tag:
+            if not own:
+                own = any(map(str.isalnum, text))
             continue
-        closing = bool(m["close"] or m["odd"])
-        if apart:
-            if tag == apart:
-                depth += -1 if closing else 1
-                if not depth:
-                    apart = ""
+        if not closing and now in apart:
+            flush(True)
+            until = apart[now]
             continue
-        if not closing and tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if not closing and tag not in VOID and tag not in OPEN_ONLY and (tag in APART or named_apart(m["attrs"] or "")):
-            # an element that is never closed sets nothing apart but itself
-            if re.compile(rf"</{tag}\s*>", re.I).search(page, at) and not holds_article(page, at, tag, m["attrs"] or "", marks):
-                flush(True)
-                flush(True)
-                apart, depth = tag, 1
-                continue
         if tag in BLOCKS:
             flush()
-        elif tag in CELLS:
+            paragraph = not closing and tag in PARAGRAPHS
+        elif tag in ("td", "th"):
             words.append(" ")
-        if tag in ("article", "main"):
-            article = max(0, article - 1) if closing else article + 1
-            marked = marked or not closing
-        elif tag == "a":
-            anchor = max(0, anchor - 1) if closing else 1
+        if tag == "a":
+            anchor = not closing
+        if not closing and now in marked:
+            flush(True)
+            # an article that ends after the one around it ends with it
+            ends.append(min(marked[now], ends[-1]) if ends else marked[now])
+            article = len(ends)
     flush()
-    return lines, inside, linked, worded, marked
-
-
-def main_text(page: str | None, window: int = 3, surge: int = 80, share: float = 0.2) -> str:
-    """The article of a page. Where no article is marked, surge: characters in a window, and share: of the largest range, that begin it."""
-    if not page:
-        return ""
-    lines, inside, linked, worded, marked = page_lines(page)
-    size = np.array([len(x) for x in lines], np.int64)
-    if marked:
-        size[~np.array(inside)] = 0
-        return "\n".join(x for x, n in zip(lines, size.tolist(), strict=True) if n)
-    kept = np.array(worded) & (size > 0)
-    size[np.array(linked) * 2 > size] = 0
-    sums = np.convolve(size, np.ones(window, np.int64))[window // 2 : window // 2 + len(size)]
-    full = np.r_[0, (sums > 0).astype(np.int8), 0]
-    surges, dives = np.flatnonzero(np.diff(full) == 1), np.flatnonzero(np.diff(full) == -1)
-    if not len(surges):
-        return ""
-    totals = [int(size[a:b].sum()) for a, b in zip(surges, dives, strict=True)]
-    least = share * max(totals)
-    begin = next(a for a, b, total in zip(surges, dives, totals, strict=True) if total >= least and (sums[a:b].max() >= surge or total == max(totals)))
-    return "\n".join(lines[i] for i in range(begin, len(lines)) if kept[i] or size[i])
+    return lines, np.array(weight, np.int64), np.array(inside, bool)
+
+
+def ranges(weight: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """From surge to dive: the stretches of lines in whose windows there is text, without the weightless lines at their ends."""
+    if not len(weight):
+        return []
+    sums = np.convolve(weight, np.ones(window, np.int64))[window // 2 : window // 2 + len(weight)]
+    edges = np.diff(np.r_[0, (sums > 0).astype(np.int8), 0])
+    out = []
+    for surge, dive in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+        real = np.flatnonzero(weight[surge:dive])
+        out.append((surge + int(real[0]), surge + int(real[-1]) + 1))
+    return out
+
+
+def chosen(lines: list[str], weight: np.ndarray, inside: np.ndarray, window: int = 3, share: float = 0.2, outweigh: int = 8) -> list[str]:
+    """The lines of the ranges that are the article. share: of the largest range, that begins the text where no article is marked.
+    outweigh: times the text of all marked ranges that a range outside needs for the marks not to count."""
+    found = ranges(weight, window)
+    if not found:
+        return []
+    totals = [int(weight[a:b].sum()) for a, b in found]
+    marked = [bool(inside[a]) for a, _ in found]
+    within = sum(t for t, m in zip(totals, marked, strict=True) if m)
+    outside = max((t for t, m in zip(totals, marked, strict=True) if not m), default=0)
+    if any(marked) and outside <= outweigh * max(within, 250):
+        keep = [r for r, m in zip(found, marked, strict=True) if m]
+    else:
+        rest = [(r, t) for r, t, m in zip(found, totals, marked, strict=True) if not m]
+        first = next(k for k, (_, t) in enumerate(rest) if t >= share * outside)
+        keep = [r for r, _ in rest[first:]]
+    return [lines[i] for a, b in keep for i in range(a, b) if lines[i]]
+
+
+def main_text(page: str | None, window: int = 3) -> str:
+    """The article of a page: its blocks, one a line."""
+    return "\n".join(chosen(*page_lines(page, window), window)) if page else ""
 
 
 def extract_rows(batches):
@@ -197,7 +349,7 @@ def html_extraction(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text (its blocks in page order, one a line) and n_chars (code points).
 
     Null and empty pages, and pages without an article, have empty text. Repeated rows come back each. Other columns don't matter;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Time and memory of a page are linear in its length, whatever its markup.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(extract_rows, "page_id long, url string, text string, n_chars long")

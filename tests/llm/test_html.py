@@ -1,10 +1,12 @@
 """Pages with known articles."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
-from haulmark.llm.html_extraction import html_extraction, main_text
+from haulmark.llm.html_extraction import chosen, html_extraction, main_text, page_lines
 
 ARTICLE = "<h1>A &amp; B&nbsp;title</h1><p>First\n  para <b>bold</b><a href=x>link</a>.</p><p>It&#39;s &lt;b&gt; x<br>Second <i>line</i></p><ul><li>one<li>two</ul><table><tr><td>c1</td><td>c2</td></tr></table><p>Of."
 WANT = "A & B title\nFirst para boldlink.\nIt's <b> x\nSecond line\none\ntwo\nc1 c2\nOf."
@@ -64,3 +66,76 @@ def test_comments_are_no_article():
 
 def test_layout_names_without_an_article():
     assert main_text(f"<div class='layout no-sidebar'><p>{'long text ' * 20}</p><div class='cookie-notice'>ok?</div></div>") == ("long text " * 20).strip()
+
+
+def test_implied_ends():
+    assert main_text('<article><p>First para.<p class="notice">Notice one.<p>Second para real.<p>Third</article>') == "First para.\nSecond para real.\nThird"
+    assert main_text("<article><ul><li class=promo>ad<li>real item one<li>two</ul><p>after list</article>") == "real item one\ntwo\nafter list"
+    assert main_text("<article><table><tr><td class=ad>x<td>cell<tr><td>y</table><p>rest</article>") == "cell\ny\nrest"
+    assert main_text("<article><dl><dt class=ad>x<dd>one<dt>two</dl>rest</article>") == "one\ntwo\nrest"
+    assert main_text("<head><title>t</title><body><article>x</article>") == "x"
+
+
+def test_names_that_are_no_boilerplate():
+    page = "<article><header><h1>Head</h1></header><p class=social>a<p class='ad-free content'>b<p class='related-work'>c<p id=adapter>d</article>"
+    assert main_text(page) == "Head\na\nb\nc\nd"
+
+
+def test_paragraph_of_one_link():
+    long = "long text " * 30
+    assert main_text(f"<div><p>{long}<p><a href=x>one link</a><p>{long}</div>") == f"{long.strip()}\none link\n{long.strip()}"
+
+
+def test_text_outside_teasers():
+    body = "".join(f"<p>{'many words in the text ' * 30}{i}" for i in range(5))
+    page = f"<div class=cards><article>teaser one</article><article>teaser two</article></div><div>{body}</div>"
+    assert main_text(page).startswith("many words") and main_text(page).endswith(" 4")
+
+
+@pytest.mark.parametrize("unit", ["<a x ", '<a x=">"', '<a x="', "<p class=ad>", "<div>", "<p><object><div>", "<li><ul>", "</b>", "<table><tr><td>", "<", "<!--", "<title>", "<x y z="])
+def test_linear_in_odd_pages(unit):
+    def took(n):
+        began = time.process_time()
+        main_text(unit * (n // len(unit)) + "> the end</article>")
+        return time.process_time() - began
+
+    assert took(400_000) < 8 * took(100_000) + 0.5
+
+
+def plain_windows(lines, weight, inside, window, share=0.2, outweigh=8):
+    """The same decision by looking at each window by itself."""
+    n = len(lines)
+    total = [sum(weight[max(0, i - window // 2) : i + window // 2 + 1]) for i in range(n)]
+    found, i = [], 0
+    while i < n:
+        if total[i]:
+            j = i
+            while j < n and total[j]:
+                j += 1
+            real = [k for k in range(i, j) if weight[k]]
+            found.append(range(real[0], real[-1] + 1))
+            i = j
+        else:
+            i += 1
+    size = lambda r: sum(weight[k] for k in r)
+    marked, rest = [r for r in found if inside[r[0]]], [r for r in found if not inside[r[0]]]
+    most = max(map(size, rest), default=0)
+    if not marked or most > outweigh * max(250, sum(map(size, marked))):
+        marked, begun = [], False
+        for r in rest:
+            begun = begun or size(r) >= share * most
+            marked += [r] if begun else []
+    return [lines[k] for r in marked for k in r if lines[k]]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_windows_like_brute_force(seed):
+    r = random.Random(seed)
+    parts = ["<p>a short line", "<div><a href=/x>link</a></div>", "<p>" + "some more words here " * 15, "<div class=ad>buy</div>", "<nav><li>x</nav>", "<article>", "</article>", "<div>bare text</div>", "<p>" + "very long text " * 200, "<main>", "</main>", "<li>item", "<footer>f</footer>"]
+    page = "".join(r.choices(parts, k=r.randint(0, 40)))
+    for window in (3, 5):
+        lines, weight, inside = page_lines(page, window)
+        assert chosen(lines, weight, inside, window) == plain_windows(lines, weight.tolist(), inside.tolist(), window)
+    r.shuffle(lines)
+    weight, inside = np.array([len(x) * r.randint(0, 1) for x in lines], np.int64), np.array([r.random() < 0.3 for _ in lines], bool)
+    assert chosen(lines, weight, inside) == plain_windows(lines, weight.tolist(), inside.tolist(), 3)
