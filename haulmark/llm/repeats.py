@@ -16,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import BYTE_SYMBOLS, U64, gram_hashes, hash_words, mix64, text_buffer, text_bytes, word_spans
+from haulmark.llm.common import BYTE_SYMBOLS, U64, gram_hashes, hash_words, mix64, prefix_sums, ragged, span_hashes, text_buffer, text_bytes, word_spans
 
 #: A missing doc_id counts as larger than any other.
 NO_ID = np.iinfo(np.int64).max
@@ -34,7 +36,7 @@ class Setting:
     window: int = 50
     gram: int = 25
     part_bytes: int = 4 << 20
-    hot_parts: int = 4096
+    hot_parts: int = 64
 
 
 @dataclass
@@ -140,20 +142,25 @@ REPEATED = "part int, bucket int, repeated binary, hot binary"
 
 
 def repeated_anchors(table: pa.Table, s: Setting) -> pa.Table:
-    """For one bucket: to each part those of its anchors that occur in another document too."""
-    parts = table["part"].to_numpy()
+    """For one bucket: to each part those of its anchors that occur in another document too. One sort of all that the bucket got."""
     bucket = table["bucket"][0].as_py()
-    sent = [(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(table["single"].to_pylist(), table["several"].to_pylist(), strict=True)]
-    values, counts = np.unique(np.concatenate([x for pair in sent for x in pair]), return_counts=True)
-    twice, hot = values[counts > 1], values[counts >= s.hot_parts]
-    rows = []
-    for part, (single, several) in zip(parts, sent, strict=True):
-        got = np.concatenate([single[np.isin(single, twice)], several])
-        if len(got):
-            is_hot = np.isin(got, hot)
-            rows.append((part, bucket, got[~is_hot].tobytes(), got[is_hot].tobytes()))
-    cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.table({"part": pa.array(cols[0], pa.int32()), "bucket": pa.array(cols[1], pa.int32()), "repeated": pa.array(cols[2], pa.binary()), "hot": pa.array(cols[3], pa.binary())})
+    sent = [np.frombuffer(x, np.uint32) for pair in zip(table["single"].to_pylist(), table["several"].to_pylist(), strict=True) for x in pair]
+    values = np.concatenate(sent)
+    row = np.repeat(np.arange(len(sent), dtype=np.int32), [len(x) for x in sent])
+    order = np.argsort(values, kind="stable")
+    at = np.flatnonzero(np.r_[True, values[order[1:]] != values[order[:-1]]]) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(order)))
+    count = np.empty(len(order), np.int64)
+    count[order] = np.repeat(size, size)
+    keep, hot = (count > 1) | (row % 2 == 1), count >= s.hot_parts
+    out = []
+    for kind in (keep & ~hot, keep & hot):
+        at = np.flatnonzero(kind)
+        cuts = np.searchsorted(row[at] // 2, np.arange(table.num_rows + 1))
+        out.append([values[at[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+    full = np.array([bool(x or y) for x, y in zip(*out, strict=True)], bool)
+    found = pa.table({"part": table["part"].cast(pa.int32()), "bucket": pa.array(np.full(table.num_rows, bucket), pa.int32()), "repeated": pa.array(out[0], pa.binary()), "hot": pa.array(out[1], pa.binary())})
+    return found.filter(pa.array(full))
 
 
 def candidates(part: Part, found: pa.Table, s: Setting, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,8 +221,8 @@ def in_parts(docs: DataFrame, s: Setting, carry: tuple[str, ...] = ()) -> tuple[
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more, F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")), parts
 
 
-def repeats(docs: DataFrame, s: Setting, expand: Callable, settle: Callable[[pa.Table], pa.Table], result: Callable[[Part, np.ndarray], dict], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """expand: a part's candidates -> WORK. settle: a group's WORK -> GONE. result: a part and its covered symbols -> columns.
+def repeats(docs: DataFrame, s: Setting, find: Callable, result: Callable[[Part, np.ndarray], dict], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """find: as in settle(). result: a part and its covered symbols -> columns.
 
     carry: columns of docs that come back beside the result.
     """
@@ -229,7 +236,7 @@ def repeats(docs: DataFrame, s: Setting, expand: Callable, settle: Callable[[pa.
         if not left.num_rows or not right.num_rows:
             return work_table([])
         part = load(left, s)
-        return work_table(expand(left["part"][0].as_py(), part, *candidates(part, right, s, buckets)))
+        return work_table(snippets(left["part"][0].as_py(), part, *candidates(part, right, s, buckets), buckets=buckets, s=s))
 
     def last_pass(left: pa.Table, right: pa.Table) -> pa.Table:
         part = load(left, s)
@@ -238,21 +245,142 @@ def repeats(docs: DataFrame, s: Setting, expand: Callable, settle: Callable[[pa.
 
     found = d.groupBy("part").applyInArrow(first_pass, ANCHORS).groupBy("bucket").applyInArrow(lambda t: repeated_anchors(t, s), REPEATED)
     work = d.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(second_pass, WORK)
-    gone = work.groupBy("grp").applyInArrow(settle, GONE)
+    gone = work.groupBy("grp").applyInArrow(lambda t: settle(t, find), GONE)
     types = dict(docs.dtypes)
     out = d.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(last_pass, schema + "".join(f", x{i} {types[c]}" for i, c in enumerate(carry)))
     return out.withColumnsRenamed({f"x{i}": c for i, c in enumerate(carry)})
 
 
-def local_repeats(hashes: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries with equal hashes: (those of the least document, which go on; those of larger ones, which are known to go)."""
-    order = np.lexsort((ids, *hashes))
+def spans_of(part: Part, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of runs of symbols, one after the other as they stand in the texts, and the number of each run's bytes."""
+    if part.words is None:
+        return part.buf[ragged(starts, lengths)], lengths
+    first, last = part.words[0][starts], part.words[1][starts + lengths - 1]
+    return part.buf[ragged(first, last - first)], last - first
+
+
+def same_symbols(part: Part, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Whether the runs of symbols at a and b are the same, by their bytes."""
+    out = np.ones(len(a), bool)
+    cuts = np.searchsorted(np.cumsum(lengths), np.arange(0, int(lengths.sum()) + block, block))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if i == j:
+            continue
+        x, y = ragged(a[i:j], lengths[i:j]), ragged(b[i:j], lengths[i:j])
+        at = np.cumsum(lengths[i:j]) - lengths[i:j]
+        if part.words is None:
+            differ = part.buf[x] != part.buf[y]
+        else:
+            size = part.words[1][x] - part.words[0][x]
+            differ = size != part.words[1][y] - part.words[0][y]
+            alike = np.flatnonzero(~differ)
+            unlike = part.buf[ragged(part.words[0][x[alike]], size[alike])] != part.buf[ragged(part.words[0][y[alike]], size[alike])]
+            differ[alike] = np.add.reduceat(unlike, np.cumsum(size[alike]) - size[alike], dtype=np.int64) > 0 if len(alike) else False
+        out[i:j] = np.add.reduceat(differ, at, dtype=np.int64) == 0
+    return out
+
+
+def local_repeats(part: Part, first: np.ndarray, lengths: np.ndarray, hashed: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal runs of a part: (those of the least document, which go on; those of larger ones, which are known to go)."""
+    order = np.lexsort((ids, hashed, lengths))
     new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([h[order][1:] != h[order][:-1] for h in hashes])
-    group = np.cumsum(new) - 1
-    least = ids[order][np.flatnonzero(new)][group] if len(order) else ids[order]
-    stays = ids[order] == least
-    return order[stays], order[~stays]
+    new[1:] = (hashed[order][1:] != hashed[order][:-1]) | (lengths[order][1:] != lengths[order][:-1])
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+    goes = ids[order] != ids[head]
+    at = np.flatnonzero(goes)
+    goes[at] = same_symbols(part, first[order[at]], first[head[at]], lengths[order[at]])
+    return order[~goes], order[goes]
+
+
+def snippets(part_no: int, part: Part, first, count, anchor, doc, hot, *, buckets: int, s: Setting) -> list[tuple]:
+    """The text of each run of windows, once for the part, dealt by its anchor: the gram that all windows of the run hold.
+
+    Equal windows have equal anchors, so they meet in one group. Where an anchor is in so many parts that its group would outgrow
+    memory, the windows go one by one instead, dealt by all their symbols.
+    """
+    if hot.any():
+        h = np.flatnonzero(hot)
+        single = ragged(first[h], count[h])
+        first = np.concatenate([first[~hot], single])
+        doc = np.concatenate([doc[~hot], np.repeat(doc[h], count[h])])
+        anchor = np.concatenate([anchor[~hot], np.repeat(anchor[h], count[h])])
+        count = np.concatenate([count[~hot], np.ones(len(single), np.int64)])
+        lone = np.arange(len(first)) >= len(first) - len(single)
+    else:
+        lone = np.zeros(len(first), bool)
+    if not len(first):
+        return []
+    length = count + s.window - 1
+    stop = first + length
+    hashed = np.empty(len(first), U64)
+    by_first = np.argsort(first, kind="stable")
+    cuts = np.searchsorted(first[by_first], np.arange(0, part.n + (1 << 18), 1 << 18))
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):  # in blocks, as sums of a whole part would take eight times its text
+        at, a = by_first[i:j], k << 18
+        if len(at):
+            hashed[at] = span_hashes(prefix_sums(part.symbols(a, int(stop[at].max()))), first[at] - a, stop[at] - a)
+    stay, go = local_repeats(part, first, length, hashed, part.ids[doc])
+    where = bucket_of(np.where(lone, hashed, anchor), buckets).astype(np.int64)
+    stay = stay[np.argsort(where[stay], kind="stable")]
+    rel = first - part.starts[doc]
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    out = []
+    for sel in np.split(stay, np.flatnonzero(np.diff(where[stay])) + 1):
+        body, size = spans_of(part, first[sel], length[sel])
+        out.append((int(where[sel[0]]), part_no, 0, len(sel), doc[sel].astype(np.int32).tobytes(), part.ids[doc[sel]].tobytes(), rel[sel].tobytes(), (rel[sel] + count[sel]).tobytes(), squeeze(size.astype(np.int32).tobytes() + body.tobytes())))
+    if len(go):
+        out.append((part_no % buckets, part_no, 1, 0, doc[go].astype(np.int32).tobytes(), b"", rel[go].tobytes(), (rel[go] + count[go]).tobytes(), b""))
+    return out
+
+
+def settle(table: pa.Table, find: Callable) -> pa.Table:
+    """A group's windows that go. find: (bytes, bytes of each entry, windows of each entry, documents) -> entry, first window and stop of those
+    that a smaller document has too."""
+    out = [(p, r, a, b) for p, k, r, a, b in zip(*(table[c].to_pylist() for c in ("part", "kind", "rows", "starts", "stops")), strict=True) if k]
+    work = table.filter(pc.equal(table["kind"], 0))
+    if not work.num_rows:
+        return gone_table(out)
+    rows, docs, starts, stops = (np.concatenate(list(each(work, c, k))) for c, k in (("rows", np.int32), ("docs", np.int64), ("starts", np.int64), ("stops", np.int64)))
+    part = np.repeat(work["part"].to_numpy(), work["n"].to_numpy())
+    plain = zstandard.ZstdDecompressor().decompress
+    bodies = [plain(x) for x in work["body"].to_pylist()]
+    sizes = work["n"].to_pylist()
+    size = np.concatenate([np.frombuffer(x, np.int32, n) for x, n in zip(bodies, sizes, strict=True)]).astype(np.int64)
+    whole = b"".join(memoryview(x)[4 * n :] for x, n in zip(bodies, sizes, strict=True))
+    del bodies
+    body = np.frombuffer(whole, np.uint8)
+    at = np.cumsum(size) - size
+    # equal entries of several parts: only the least document's go on
+    keys = [whole[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+    least: dict[bytes, int] = {}
+    head = np.fromiter((least.setdefault(key, i) for i, key in enumerate(keys)), np.int64, len(keys))
+    del keys, least
+    by = np.lexsort((docs, head))
+    best = by[np.flatnonzero(np.r_[True, head[by][1:] != head[by][:-1]])]
+    to_best = np.empty(len(head), np.int64)
+    to_best[head[best]] = best
+    head = to_best[head]
+    chosen = np.sort(best)
+    smaller = docs > docs[head]
+    entry, start, stop = find(body[ragged(at[chosen], size[chosen])], size[chosen], (stops - starts)[chosen], docs[chosen])
+    # what goes of a chosen entry goes of all its copies in the same document too
+    gone_rows, gone_starts, gone_stops, gone_part = [rows[smaller]], [starts[smaller]], [stops[smaller]], [part[smaller]]
+    if len(entry):
+        by = np.argsort(entry, kind="stable")
+        r, a, b = entry[by], start[by], stop[by]
+        same = np.flatnonzero(~smaller)
+        slot = np.searchsorted(chosen, head[same])
+        lo, hi = np.searchsorted(r, slot, side="left"), np.searchsorted(r, slot, side="right")
+        pick, src = ragged(lo, hi - lo), np.repeat(same, hi - lo)
+        gone_rows.append(rows[src])
+        gone_starts.append(starts[src] + a[pick])
+        gone_stops.append(starts[src] + b[pick])
+        gone_part.append(part[src])
+    rows, starts, stops, part = (np.concatenate(x) for x in (gone_rows, gone_starts, gone_stops, gone_part))
+    order = np.argsort(part, kind="stable")
+    for sel in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+        out.append((int(part[sel[0]]), rows[sel].tobytes(), starts[sel].tobytes(), stops[sel].tobytes()))
+    return gone_table(out)
 
 
 def each(table: pa.Table, column: str, kind: type) -> Iterator[np.ndarray]:

@@ -1,148 +1,116 @@
 """Substring dedup by prefix-partitioned suffix trees (operator 7).
 
-Every candidate suffix (word position) is coded by a byte for each of its first eight words and by two 64-bit hashes, of words 0-24
-and 25-49. A suffix belongs to the group that the leading bits of its code name; as many bits as make groups memory-sized. Groups
-that are still too large are split by longer prefixes, as deep as needed, up to the whole 50 words. In a group, the sorted
-suffixes with their common-prefix lengths are its subtree: each node with a depth of 50 words or more is a repeat, and all its
-leaves of other than the least document go. A part sends each distinct suffix once, so that a node has as many leaves as parts.
+A candidate window of 50 words holds an anchor: the 25 words in it whose hash is least. Suffixes are dealt by a prefix from the anchor
+on: its 25 words, or all 50 of the window where the 25 are so common that a group would outgrow memory. What goes to a group is the
+text of each run of windows, once per part. In a group, suffixes are split again by prefixes, one word and as many more as it takes,
+into subtrees of bounded size. A subtree is its suffixes in the order of their words with the common prefixes of neighbours; its
+internal nodes are the intervals of common prefixes. Nodes of 50 words and more are repeats; one that no node a word to the left
+continues is maximal, and the leaves under it that belong to other than the least document lose the words that it spells.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from haulmark.llm.common import U64, gram_hashes, hash_words, mix64, text_bytes, text_pieces, word_spans
-from haulmark.llm.repeats import Part, Setting, each, gone_table, joined, local_repeats, repeats
+from haulmark.llm.common import hash_words, ragged, word_spans
+from haulmark.llm.repeats import Part, Setting, repeats
 
-SUFFIX = np.dtype([("code", "<u8"), ("head", "<u8"), ("tail", "<u8")])
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def prefix_codes(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A byte for each of the first eight words of a suffix, the first word's on top."""
-    small = mix64(symbols) >> U64(56)
-    code = np.zeros(len(at), U64)
-    for k in range(8):
-        code = (code << U64(8)) | small[at + k]
-    return code
-
-
-@dataclass(frozen=True)
-class Prefixes:
-    """Which prefix names a suffix's group: the first of bits, or more where that prefix is in crowded (sorted), and so on."""
-
-    bits: tuple[int, ...]
-    crowded: tuple[np.ndarray, ...]
-
-    def groups(self, suffix: np.ndarray) -> np.ndarray:
-        out = np.full(len(suffix), -1, np.int64)
-        at = np.arange(len(suffix))
-        for bits, crowded in zip(self.bits, self.crowded, strict=True):
-            prefix = suffix["code"][at] >> U64(64 - bits)
-            out[at] = named(prefix, bits)
-            at = at[np.isin(prefix, crowded)]
-        if len(at):  # longer than eight words: the path down to 50 words
-            out[at] = named(suffix["code"][at] ^ mix64(suffix["head"][at] ^ mix64(suffix["tail"][at])), 100)
-        return out
-
-
-def named(prefix: np.ndarray, bits: int) -> np.ndarray:
-    return ((mix64(prefix) >> U64(8)).astype(np.int64) << 7) | bits
-
-
-def choose_prefixes(docs: DataFrame, s: Setting, limit: int) -> Prefixes:
-    """As many leading bits as make groups memory-sized, and longer prefixes where counting shows over limit suffixes.
-
-    All suffixes are counted, so a group of candidates can't be larger. Only crowded prefixes come to the driver, each of over
-    limit suffixes: at most total / limit of them.
-    """
-    bits = min(40, max(4, math.ceil(math.log2(max(1, text_bytes(docs) // 6 * 8 / limit)))))
-    levels, crowded = [], []
-    while True:
-        levels.append(bits)
-        above = Prefixes(tuple(levels[:-1]), tuple(crowded))
-        counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda batches, bits=bits, above=above: count_prefixes(batches, bits, above, s), "prefix long, n long")
-        over = counts.groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).select("prefix").collect()
-        crowded.append(np.sort(np.array([r[0] for r in over], np.int64)).astype(U64))
-        if not over or bits == 64:
-            return Prefixes(tuple(levels), tuple(crowded))
-        bits = min(64, bits + 16)
-
-
-def count_prefixes(batches, bits: int, above: Prefixes, s: Setting):
-    for buf, offsets in text_pieces(batches):
-        first, last = word_spans(buf, offsets)
-        bounds = np.searchsorted(first, offsets)
-        marks = np.zeros(len(first) + 1, np.int32)
-        full = bounds[1:] - bounds[:-1] >= s.window
-        np.add.at(marks, bounds[:-1][full], 1)
-        np.add.at(marks, bounds[1:][full] - s.window + 1, -1)
-        at = np.flatnonzero(np.cumsum(marks[:-1], dtype=np.int32) > 0)
-        code = prefix_codes(hash_words(buf, first, last), at)
-        for level, crowded in zip(above.bits, above.crowded, strict=True):
-            code = code[np.isin(code >> U64(64 - level), crowded)]
-        prefix, n = np.unique(code >> U64(64 - bits), return_counts=True)
-        yield pa.RecordBatch.from_pydict({"prefix": pa.array(prefix.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-
-def packed(part_no: int, prefixes: Prefixes, rows: np.ndarray, docs: np.ndarray, starts: np.ndarray, suffix: np.ndarray) -> list[tuple]:
-    group = prefixes.groups(suffix)
-    order = np.argsort(group, kind="stable")
-    group, rows, docs, starts, suffix = (x[order] for x in (group, rows, docs, starts, suffix))
-    at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
-    ends = np.append(at[1:], len(group)).astype(int) if len(group) else []
-    return [(int(group[a]), part_no, 0, b - a, rows[a:b].tobytes(), docs[a:b].tobytes(), starts[a:b].tobytes(), b"", suffix[a:b].tobytes()) for a, b in zip(at, ends, strict=True)]
-
-
-def suffixes(part_no: int, part: Part, first, count, anchor, doc, hot, *, prefixes: Prefixes, s: Setting) -> list[tuple]:
-    pos = np.repeat(first, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    doc = np.repeat(doc, count)
-    symbols = part.symbols(0, part.n)
-    half = s.window // 2
-    grams = gram_hashes(symbols, half)
-    suffix = np.empty(len(pos), SUFFIX)
-    suffix["head"], suffix["tail"] = grams[pos], grams[pos + half]
-    suffix["code"] = prefix_codes(symbols, pos)
-    stay, go = local_repeats((suffix["tail"], suffix["head"]), part.ids[doc])
-    starts = pos - part.starts[doc]
-    out = packed(part_no, prefixes, doc[stay].astype(np.int32), part.ids[doc[stay]], starts[stay].astype(np.int32), suffix[stay])
-    if len(go):
-        rows, a, b = joined(doc[go], starts[go])
-        out.append((-1 - part_no, part_no, 1, 0, rows.tobytes(), b"", a.tobytes(), b.tobytes(), b""))
+def word_ids(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A number from 1 for each distinct word. Words that hash alike are compared by their bytes."""
+    hashed = hash_words(buf, first, last)
+    _, at, ids = np.unique(hashed, return_index=True, return_inverse=True)
+    size = last - first
+    head = at[ids]
+    same = size[head] == size
+    block = 1 << 18
+    for a in range(0, len(ids), block):
+        pick = a + np.flatnonzero(same[a : a + block])
+        unlike = buf[ragged(first[pick], size[pick])] != buf[ragged(first[head[pick]], size[pick])]
+        same[pick] = np.add.reduceat(unlike, np.cumsum(size[pick]) - size[pick], dtype=np.int64) == 0 if len(pick) else True
+    if same.all():
+        return ids + 1
+    known: dict[bytes, int] = {}
+    return np.fromiter((known.setdefault(buf[x:y].tobytes(), len(known) + 1) for x, y in zip(first, last, strict=True)), np.int64, len(first))
+
+
+def prefix_groups(ids: np.ndarray, at: np.ndarray, limit: int, window: int) -> list[np.ndarray]:
+    """Suffixes split by the words that they begin with: by one word, then by one more where over limit of them begin alike, up to
+    window words. Small neighbours share a group."""
+    out, todo = [], [(at, 0)]
+    while todo:
+        at, depth = todo.pop()
+        if len(at) <= limit or depth == window:
+            out.append(at)
+            continue
+        by = np.argsort(ids[at + depth], kind="stable")
+        at = at[by]
+        begins = np.flatnonzero(np.r_[True, np.diff(ids[at + depth]) != 0])
+        size = np.diff(np.append(begins, len(at)))
+        large = size > limit
+        todo += [(at[x : x + n], depth + 1) for x, n in zip(begins[large].tolist(), size[large].tolist(), strict=True)]
+        filled = np.cumsum(size[~large])
+        cuts = np.searchsorted(filled, np.arange(limit, int(filled[-1]) + limit, limit), side="right") if len(filled) else []
+        rest = at[np.repeat(~large, size)]
+        out += [x for x in np.split(rest, filled[np.unique(cuts[:-1]) - 1] if len(cuts) > 1 and cuts[0] else []) if len(x)]
     return out
 
 
-def deep_nodes(suffix: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The leaves that go, of the group's subtree: those under a node 50 words deep that have a smaller document beside them."""
-    order = np.lexsort((docs, suffix["tail"], suffix["head"], suffix["code"]))
-    x = suffix[order]
-    # the common prefix of neighbours, as far as it decides: 50 words, or less
-    depth = np.where(x["head"][1:] != x["head"][:-1], 0, np.where(x["tail"][1:] != x["tail"][:-1], 25, 50))
-    node = np.cumsum(np.r_[0, depth < 50]) if len(x) else np.zeros(0, np.int64)
-    least = docs[order][np.flatnonzero(np.r_[True, depth < 50])] if len(x) else docs
-    return order[docs[order] > least[node]] if len(x) else order
-
-
-def settle(table: pa.Table) -> pa.Table:
-    out = [(p, r, a, b) for p, k, r, a, b in zip(*(table[c].to_pylist() for c in ("part", "kind", "rows", "starts", "stops")), strict=True) if k]
-    work = table.filter(pc.equal(table["kind"], 0))
-    if work.num_rows:
-        rows, docs, starts, suffix = (np.concatenate(list(each(work, c, k))) for c, k in (("rows", np.int32), ("docs", np.int64), ("starts", np.int32), ("body", SUFFIX)))
-        part = np.repeat(work["part"].to_numpy(), work["n"].to_numpy())
-        go = deep_nodes(suffix, docs)
-        go = go[np.argsort(part[go], kind="stable")]
-        for sel in np.split(go, np.flatnonzero(np.diff(part[go])) + 1) if len(go) else []:
-            r, a, b = joined(rows[sel], starts[sel].astype(np.int64))
-            out.append((int(part[sel[0]]), r.tobytes(), a.tobytes(), b.tobytes()))
-    return gone_table(out)
+def subtree(ids: np.ndarray, at: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first width words, and the words that each shares with the one before it."""
+    length = np.minimum(ends - at, width)
+    words = np.zeros((len(at), width), ">u2" if int(ids.max()) < 1 << 16 else ">u4")
+    for k in range(width):
+        reach = np.flatnonzero(length > k)
+        words[reach, k] = ids[at[reach] + k]
+    order = np.argsort(words.view(f"S{words.dtype.itemsize * width}").ravel(), kind="stable")
+    length = length[order]
+    common = np.zeros(len(at), np.int64)
+    block = 1 << 14
+    for a in range(1, len(order), block):
+        x, y = words[order[a : a + block]], words[order[a - 1 : a - 1 + block]][: len(order[a : a + block])]
+        differs = x != y
+        k = differs.argmax(axis=1)
+        k[~differs[np.arange(len(k)), k]] = width
+        common[a : a + block] = np.minimum(k, np.minimum(length[a : a + block], length[a - 1 : a - 1 + block][: len(k)]))
+    return order, common
+
+
+def covered_leaves(common: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
+    """For each leaf, the depth of its deepest internal node that a smaller document shares; 0 if none of window words or more is.
+
+    The internal nodes of a depth are the stretches of leaves whose common prefixes don't fall below it.
+    """
+    reach = np.zeros(len(docs), np.int64)
+    for depth in np.unique(common[common >= window]).tolist():
+        opens = common < depth
+        least = np.minimum.reduceat(docs, np.flatnonzero(opens))
+        reach[docs > least[np.cumsum(opens) - 1]] = depth
+    return reach
+
+
+def tree_repeats(texts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, docs: np.ndarray, window: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (entry, start and stop in entry) that also start in an entry of a smaller document, as maximal repeats."""
+    offsets = np.r_[0, np.cumsum(sizes)]
+    ids = word_ids(texts, *word_spans(texts, offsets))
+    ends = np.cumsum(counts + window - 1)
+    starts = ends - (counts + window - 1)
+    leaves = ragged(starts, counts)
+    reach = np.zeros(len(ids) + 1, np.int64)
+    for at in prefix_groups(ids, leaves, limit, window):
+        entry = np.searchsorted(ends, at, side="right")
+        order, common = subtree(ids, at, ends[entry], window + window // 2)
+        reach[at[order]] = covered_leaves(common, docs[entry[order]], window)
+    at = np.flatnonzero(reach[:-1])
+    at = at[(at == 0) | (reach[at - 1] <= reach[at])]  # others continue the repeat that begins a word before
+    entry = np.searchsorted(ends, at, side="right")
+    return entry, at - starts[entry], at - starts[entry] + reach[at] - window + 1
 
 
 def kept(part: Part, covered: np.ndarray, texts_too: bool) -> dict:
@@ -165,16 +133,14 @@ def kept(part: Part, covered: np.ndarray, texts_too: bool) -> dict:
     return {"n_words": pa.array(part.ends - part.starts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(texts, pa.string())}
 
 
-def substring_dedup(docs: DataFrame, setting: Setting | None = None, group_suffixes: int = 1 << 21, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, setting: Setting | None = None, group_suffixes: int = 1 << 16, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a 50-word window that also starts in a document with a smaller doc_id.
 
     Returns per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and kept_text (null
     where nothing was removed). Null and empty texts have no words. Rows with equal doc_id don't remove each other's words; a null
     doc_id counts as larger than all others. Other columns of docs don't matter. An empty table gives an empty result.
-    group_suffixes: suffixes that a group may hold before its prefix gets longer.
+    group_suffixes: suffixes that a subtree may hold before its prefix gets longer.
     texts: give kept_text of every row, the text itself where nothing was removed. carry: columns of docs to give back too.
     """
     s = setting or Setting("words")
-
-    prefixes = choose_prefixes(docs, s, group_suffixes)
-    return repeats(docs, s, lambda *a: suffixes(*a, prefixes=prefixes, s=s), settle, lambda part, covered: kept(part, covered, texts), SCHEMA, carry)
+    return repeats(docs, s, lambda *a: tree_repeats(*a, s.window, group_suffixes), lambda part, covered: kept(part, covered, texts), SCHEMA, carry)

@@ -1,8 +1,8 @@
 """Suffix-array dedup by induced sorting (operator 4).
 
 A shard is a bucket of anchors. It holds the text around each candidate run of windows once per part, joined with separators, so that
-windows that can be equal meet in one shard. Its suffix array comes from induced sorting; permuted common prefixes of neighbours then
-tell which windows are equal.
+windows that can be equal meet in one shard. Its suffix array comes from induced sorting, recursive at every size; permuted common
+prefixes of neighbours, carried along the text, then tell which windows are equal.
 """
 
 from __future__ import annotations
@@ -11,15 +11,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 
-from haulmark.llm.common import BYTE_SYMBOLS, U64, mix64, prefix_sums, ragged, span_hashes
-from haulmark.llm.repeats import Part, Setting, bucket_of, each, gone_table, joined, local_repeats, repeats
+from haulmark.llm.common import U64, ragged
+from haulmark.llm.repeats import Part, Setting, joined, repeats
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
-PAD = 64
 
 
 def stable_order(keys: np.ndarray, limit: int) -> np.ndarray:
@@ -94,169 +91,160 @@ def induce(text: np.ndarray, small: np.ndarray, order: np.ndarray, symbols: int)
     return out
 
 
-def rank_names(names: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the suffixes of a string of names by their first length names: halves first, then pairs of ranks."""
-    if length <= 1:
-        return names
-    half = (length + 1) // 2
-    rank = rank_names(names, half)
-    after = np.zeros(len(rank), np.int64)
-    after[: len(rank) - half] = rank[half:] + 1
-    key = rank.astype(np.int64) * (int(rank.max()) + 2) + after
-    return np.unique(key, return_inverse=True)[1]
+def induce_each(text: np.ndarray, small: np.ndarray, order: np.ndarray, symbols: int) -> np.ndarray:
+    """induce() for strings of names, whose buckets hold few suffixes: one suffix at a time."""
+    n = len(text)
+    counts = np.bincount(text, minlength=symbols)
+    ends = np.cumsum(counts)
+    head, ends, t, is_small = (ends - counts).tolist(), ends.tolist(), text.tolist(), small.tolist()
+    out = [0] * n  # 0 has nothing before it, so empty places do nothing
+    tail = ends.copy()
+    for j in order[::-1].tolist():
+        c = t[j]
+        tail[c] -= 1
+        out[tail[c]] = j
+    for i in range(n):
+        j = out[i] - 1
+        if j >= 0 and not is_small[j]:
+            c = t[j]
+            out[head[c]] = j
+            head[c] += 1
+    tail = ends
+    for i in range(n - 1, -1, -1):
+        j = out[i] - 1
+        if j >= 0 and is_small[j]:
+            c = t[j]
+            tail[c] -= 1
+            out[tail[c]] = j
+    return np.array(out, np.int64)
+
+
+def name_substrings(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """In text order, the rank of each leftmost-smaller substring (from one such position through the next) among the distinct ones.
+
+    Substrings are compared by symbols with their types, as many at a time as a long holds; only ties go on to the next ones. With
+    types, none is the beginning of another, so tied ones have one length or go on together.
+    """
+    n = len(text)
+    coded = text.astype(np.int64) * 2 + small + 1
+    bits = int(coded.max()).bit_length()
+    step = 62 // bits
+    length = np.append(np.diff(lms) + 1, 1)
+    order = np.arange(len(lms))
+    new = np.zeros(len(lms), bool)
+    new[0] = True
+    group = np.zeros(len(lms), np.int64)
+    active, reach = np.arange(len(lms)), 0
+    while len(active):
+        which = order[active]
+        key = np.zeros(len(active), np.int64)
+        for k in range(reach, reach + step):
+            key = (key << bits) | np.where(k < length[which], coded[np.minimum(lms[which] + k, n - 1)], 0)
+        by = np.argsort(key, kind="stable") if reach == 0 else np.lexsort((key, group[active]))
+        order[active] = which[by]
+        key = key[by]
+        new[active[1:]] |= (key[1:] != key[:-1]) | new[active[1:]]
+        reach += step
+        begins = np.flatnonzero(new)
+        group = np.repeat(begins, np.diff(np.append(begins, len(new))))
+        size = np.repeat(np.diff(np.append(begins, len(new))), np.diff(np.append(begins, len(new))))[active]
+        active = active[(size > 1) & (length[order[active]] > reach)]
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return names
+
+
+def order_names(names: np.ndarray) -> np.ndarray:
+    """The suffixes of a string of names in order; the last name is 0 and the only one that small.
+
+    Two suffixes differ at the latest where one has a name that occurs once, so what follows the first such name isn't needed: the
+    string that the recursion sorts has the repeated names and the first single one after each stretch of them.
+    """
+    count = np.bincount(names)
+    single = count[names] == 1
+    start = np.cumsum(count) - count
+    out = np.empty(len(names), np.int64)
+    out[start[names[single]]] = np.flatnonzero(single)
+    if single.all():
+        return out
+    keep = ~single
+    keep[1:] |= ~single[:-1]
+    keep[-1] = True
+    at = np.flatnonzero(keep)
+    used = np.zeros(len(count), np.int64)
+    used[names[at]] = 1
+    dense = (np.cumsum(used) - 1)[names[at]]
+    inner = at[suffix_array(dense, int(used.sum()))]
+    out[np.flatnonzero(np.repeat(count > 1, count))] = inner[~single[inner]]
+    return out
 
 
-def suffix_array(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first depth symbols, by induced sorting. The last symbol is 0 and the only one that small."""
-    n = len(text)
+def suffix_array(text: np.ndarray, symbols: int, depth: int | None = None) -> np.ndarray:
+    """All suffixes in order, by induced sorting. The last symbol is 0 and the only one that small. depth: how much of the order the caller
+    needs; the whole order always fulfils it.
+
+    Leftmost-smaller substrings are sorted and named; where names repeat, the string of names is sorted by this same function. It has
+    at most half as many symbols, so all levels together are linear. From the order of those suffixes all others are induced.
+    """
+    put = induce if symbols <= 1024 else induce_each
     small = classify(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(lms) < 2:
-        return induce(text, small, lms, symbols)
-    first = induce(text, small, lms, symbols)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    by = first[is_lms[first]]
-    # names of leftmost-smaller substrings: from one such position through the next
-    stop = np.empty(n, np.int64)
-    stop[lms] = np.append(lms[1:] + 1, n)
-    sums = prefix_sums(mix64(text.astype(U64) + U64(1)))
-    hashed = span_hashes(sums, by, stop[by])
-    differs = (hashed[1:] != hashed[:-1]) | (stop[by[1:]] - by[1:] != stop[by[:-1]] - by[:-1])
-    name = np.empty(n, np.int64)
-    name[by] = np.r_[0, np.cumsum(differs)]
-    names = name[lms]
-    rank = names
-    if len(differs) and not differs.all():  # each name spans two symbols at least
-        few = int(names.max()) + 1
-        if few < 512:
-            inner = suffix_array(np.append(names + 1, 0), few + 1, depth // 2 + 1)[1:]
-            return induce(text, small, lms[inner], symbols)
-        rank = rank_names(names, depth // 2 + 1)
-    return induce(text, small, lms[np.argsort(rank, kind="stable")], symbols)
-
-
-def permuted_common_prefixes(raw: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """In text order of order's suffixes: the common prefix of each with the one before it in order, up to depth bytes; raw is padded."""
-    word = np.ndarray(len(raw) - 7, "<u8", raw.tobytes(), strides=(1,))
-    phi = np.zeros(len(raw), np.int64)
+    return put(text, small, lms[order_names(name_substrings(text, small, lms))] if len(lms) > 1 else lms, symbols)
+
+
+def permuted_common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place in the text, the common prefix of its suffix with the one before it in order.
+
+    Where the symbols before the two suffixes are equal, it is the previous place's less one. So only the others are compared,
+    four symbols at a time; all the rest is carried on in text order.
+    """
+    n = len(text)
+    phi = np.zeros(n, np.int64)
     phi[order[1:]] = order[:-1]
-    at = np.sort(order[1:])
-    before = phi[at]
-    common = np.zeros(len(raw), np.int16)
-    for k in range(0, depth, 8):
-        x = word[at + k] ^ word[before + k]
-        low = x & (~x + U64(1))  # the least set bit tells the first byte that differs
-        same = np.where(x == 0, 8, np.searchsorted(_BYTE_BITS, low, side="right") - 1)
-        common[at] = np.minimum(k + same, depth)
-        go = x == 0
-        at, before = at[go], before[go]
-        if not len(at):
-            break
-    return common
-
-
-_BYTE_BITS = U64(1) << (np.arange(8, dtype=U64) * U64(8))
-
-
-def shard_repeats(texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (entry, start in entry) that also start in an entry of a smaller document."""
-    n_text = len(texts) + len(lengths)
-    starts = np.cumsum(lengths + 1) - (lengths + 1)
-    raw = np.zeros(n_text + 1 + PAD, np.uint8)
-    raw[ragged(starts, lengths)] = texts
-    text = np.ones(n_text + 1, np.int64)  # separators are 1, bytes from 2
-    text[ragged(starts, lengths)] = texts.astype(np.int64) + 2
+    before = text[np.maximum(phi - 1, 0)]
+    fresh = np.ones(n, bool)
+    fresh[1:] = (text[:-1] != before[1:]) | (phi[1:] == 0)
+    fresh[order[0]] = True
+    wide = np.zeros(n + 4, np.uint16)
+    wide[:n] = text
+    word = np.ndarray(n + 1, "<u8", wide.tobytes(), strides=(2,))
+    common = np.zeros(n, np.int64)
+    at = np.flatnonzero(fresh)
+    at = at[at != order[0]]
+    k = 0
+    while len(at):
+        other = phi[at]
+        x = word[np.minimum(at + k, n)] ^ word[np.minimum(other + k, n)]
+        low = x & (~x + U64(1))  # the least set bit tells the first symbol that differs
+        same = np.where(x == 0, 4, np.searchsorted(_SYMBOL_BITS, low, side="right") - 1)
+        common[at] = k + same
+        at = at[x == 0]
+        k += 4
+    last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    return np.maximum(common[last] - (np.arange(n) - last), 0)
+
+
+_SYMBOL_BITS = U64(1) << (np.arange(4, dtype=U64) * U64(16))
+
+
+def shard_repeats(texts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (entry, start and stop in entry) that also start in an entry of a smaller document."""
+    n_text = len(texts) + len(sizes)
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    text = np.ones(n_text + 1, np.int32)  # separators are 1, bytes from 2
+    text[ragged(starts, sizes)] = texts.astype(np.int32) + 2
     text[-1] = 0
-    order = suffix_array(text, 258, window)
+    order = suffix_array(text, 258)
+    apart = np.cumsum(permuted_common_prefixes(text, order)[order] < window)
     opens = np.zeros(n_text + 1, bool)
-    opens[ragged(starts, lengths - window + 1)] = True
-    order = order[opens[order]]
+    opens[ragged(starts, counts)] = True
+    of = opens[order]
+    order, apart = order[of], apart[of]
     entry = np.searchsorted(starts, order, side="right") - 1
-    common = permuted_common_prefixes(raw, order, window)
-    new = np.r_[True, common[order[1:]] < window]
+    new = np.r_[True, apart[1:] != apart[:-1]]
     least = np.minimum.reduceat(docs[entry], np.flatnonzero(new))
     go = docs[entry] > least[np.cumsum(new) - 1]
-    return entry[go], order[go] - starts[entry[go]]
-
-
-def snippets(part_no: int, part: Part, first, count, anchor, doc, hot, *, buckets: int, s: Setting) -> list[tuple]:
-    """The text of each run of windows, once for the part; hot anchors' windows one by one, dealt by their own content."""
-    if hot.any():
-        h = np.flatnonzero(hot)
-        single = ragged(first[h], count[h])
-        first = np.concatenate([first[~hot], single])
-        doc = np.concatenate([doc[~hot], np.repeat(doc[h], count[h])])
-        anchor = np.concatenate([anchor[~hot], np.repeat(anchor[h], count[h])])
-        count = np.concatenate([count[~hot], np.ones(len(single), np.int64)])
-        lone = np.arange(len(first)) >= len(first) - len(single)
-    else:
-        lone = np.zeros(len(first), bool)
-    if not len(first):
-        return []
-    stop = first + count + s.window - 1
-    hashed = np.empty(len(first), U64)
-    by_first = np.argsort(first, kind="stable")
-    cuts = np.searchsorted(first[by_first], np.arange(0, part.n + (1 << 18), 1 << 18))
-    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):  # in blocks, as sums of a whole part would take eight times its text
-        at, a = by_first[i:j], k << 18
-        if len(at):
-            b = int(stop[at].max())
-            hashed[at] = span_hashes(prefix_sums(BYTE_SYMBOLS[part.buf[a:b]]), first[at] - a, stop[at] - a)
-    stay, go = local_repeats((stop - first, hashed), part.ids[doc])
-    where = bucket_of(np.where(lone, hashed, anchor), buckets).astype(np.int64)
-    stay = stay[np.argsort(where[stay], kind="stable")]
-    rel = first - part.starts[doc]
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    out = []
-    for sel in np.split(stay, np.flatnonzero(np.diff(where[stay])) + 1):
-        body = part.buf[ragged(first[sel], stop[sel] - first[sel])]
-        out.append((int(where[sel[0]]), part_no, 0, len(sel), doc[sel].astype(np.int32).tobytes(), part.ids[doc[sel]].tobytes(), rel[sel].tobytes(), (rel[sel] + count[sel]).tobytes(), squeeze(body.tobytes())))
-    if len(go):
-        out.append((part_no % buckets, part_no, 1, 0, doc[go].astype(np.int32).tobytes(), b"", rel[go].tobytes(), (rel[go] + count[go]).tobytes(), b""))
-    return out
-
-
-def settle(table: pa.Table, window: int) -> pa.Table:
-    out = [(p, r, a, b) for p, k, r, a, b in zip(*(table[c].to_pylist() for c in ("part", "kind", "rows", "starts", "stops")), strict=True) if k]
-    work = table.filter(pc.equal(table["kind"], 0))
-    if not work.num_rows:
-        return gone_table(out)
-    rows, docs, starts, stops = (np.concatenate(list(each(work, c, k))) for c, k in (("rows", np.int32), ("docs", np.int64), ("starts", np.int64), ("stops", np.int64)))
-    part = np.repeat(work["part"].to_numpy(), work["n"].to_numpy())
-    lengths = stops - starts + window - 1
-    plain = zstandard.ZstdDecompressor().decompress
-    body = np.frombuffer(b"".join(map(plain, work["body"].to_pylist())), np.uint8)
-    at = np.cumsum(lengths) - lengths
-    # equal entries of several parts: only the least document's go into the array
-    keys = [bytes(memoryview(body)[a : a + n]) for a, n in zip(at.tolist(), lengths.tolist(), strict=True)]
-    least: dict[bytes, int] = {}
-    for i, key in enumerate(keys):
-        if key not in least or docs[i] < docs[least[key]]:
-            least[key] = i
-    chosen = np.fromiter(least.values(), np.int64, len(least))
-    head = np.fromiter((least[k] for k in keys), np.int64, len(keys))
-    whole = docs > docs[head]
-    entry, start = shard_repeats(body[ragged(at[chosen], lengths[chosen])], lengths[chosen], docs[chosen], window)
-    # what goes of a chosen entry goes of all its copies in the same document too
-    gone_rows, gone_starts, gone_stops, gone_part = [rows[whole]], [starts[whole]], [stops[whole]], [part[whole]]
-    if len(entry):
-        r, a, b = joined(entry, start)
-        same = np.flatnonzero(~whole)
-        slot = np.empty(len(keys), np.int64)
-        slot[chosen] = np.arange(len(chosen))
-        slot = slot[head[same]]
-        lo, hi = np.searchsorted(r, slot, side="left"), np.searchsorted(r, slot, side="right")
-        pick, src = ragged(lo, hi - lo), np.repeat(same, hi - lo)
-        gone_rows.append(rows[src])
-        gone_starts.append(starts[src] + a[pick])
-        gone_stops.append(starts[src] + b[pick])
-        gone_part.append(part[src])
-    rows, starts, stops, part = (np.concatenate(x) for x in (gone_rows, gone_starts, gone_stops, gone_part))
-    order = np.argsort(part, kind="stable")
-    for sel in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-        out.append((int(part[sel[0]]), rows[sel].tobytes(), starts[sel].tobytes(), stops[sel].tobytes()))
-    return gone_table(out)
+    return joined(entry[go], order[go] - starts[entry[go]])
 
 
 def kept(part: Part, covered: np.ndarray) -> dict:
@@ -280,7 +268,4 @@ def suffix_array_dedup(docs: DataFrame, setting: Setting | None = None) -> DataF
     bytes; a null doc_id counts as larger than all others. Other columns of docs don't matter; an empty table gives an empty result.
     """
     s = setting or Setting("bytes")
-    from haulmark.llm.repeats import in_parts
-
-    buckets = in_parts(docs, s)[1]
-    return repeats(docs, s, lambda *a: snippets(*a, buckets=buckets, s=s), lambda t: settle(t, s.window), kept, SCHEMA)
+    return repeats(docs, s, lambda *a: shard_repeats(*a, s.window), kept, SCHEMA)
