@@ -10,7 +10,6 @@ The benchmark is the query set: it goes to the executors in blocks of at most bl
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import BYTE_SYMBOLS, U64, gram_hashes, hash_words, row_pieces, text_buffer, text_bytes, word_spans, written
+from haulmark.llm.common import BYTE_SYMBOLS, U64, gram_hashes, hash_words, ragged, row_pieces, text_buffer, text_bytes, word_spans, written
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -56,46 +55,53 @@ def free_grams(symbols: np.ndarray, free: np.ndarray, k: int) -> tuple[np.ndarra
     return gram_hashes(symbols, k)[at], at
 
 
+def common_grams(p: np.ndarray, p_free: np.ndarray, t: np.ndarray, t_free: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Places in p, in order, of unmarked k-grams that t has unmarked too, the range of each in t's sorted hashes, and t's places by hash."""
+    hashes, at = free_grams(t, t_free, k)
+    order = np.argsort(hashes, kind="stable")
+    hashes, at = hashes[order], at[order]
+    mine, where = free_grams(p, p_free, k)
+    lo, hi = np.searchsorted(hashes, mine, side="left"), np.searchsorted(hashes, mine, side="right")
+    got = hi > lo
+    return where[got], lo[got], hi[got], at
+
+
 def tiles(p: np.ndarray, t: np.ndarray, t_free: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in p, start in t, length) of greedy tiles, longest first; t_free is consumed."""
+    """(start in p, start in t, length) of greedy tiles, longest first; t_free is consumed.
+
+    Karp-Rabin runs with the longest length for which an unmarked gram is shared (found by halving: a shared gram holds shared shorter
+    ones). All matches of that length that don't overlap are marked, in order of place; then the next longest length. A gram's places in t
+    are passed once a length, as marked ones stay marked, so a length takes time linear in both texts, however often they repeat.
+    """
     p_free = np.ones(len(p), bool)
     found = []
-    s = max(least, len(p) // 2)
+    most = min(len(p), len(t))
     while True:
-        hashes, at = free_grams(t, t_free, s)
-        order = np.argsort(hashes, kind="stable")
-        hashes, at = hashes[order], at[order]
-        mine, where = free_grams(p, p_free, s)
-        lo, hi = np.searchsorted(hashes, mine, side="left"), np.searchsorted(hashes, mine, side="right")
-        queue, longest = [], 0
+        low, high = least - 1, most
+        while low < high:
+            k = (low + high + 1) // 2
+            if len(common_grams(p, p_free, t, t_free, k)[0]):
+                low = k
+            else:
+                high = k - 1
+        if low < least:
+            return found
+        n = low
+        where, lo, hi, at = common_grams(p, p_free, t, t_free, n)
+        at, mine, theirs = at.tolist(), p_free, t_free
+        begin: dict[int, int] = {}
         for i, a, b in zip(where.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            for j in at[a:b].tolist():
-                n = 0
-                while i + n < len(p) and j + n < len(t) and p[i + n] == t[j + n] and p_free[i + n] and t_free[j + n]:
-                    n += 1
-                longest = max(longest, n)
-                if n >= s:
-                    queue.append((-n, i, j))
-        if longest > 2 * s:
-            s = longest
-            continue
-        heapq.heapify(queue)
-        while queue:
-            n, i, j = heapq.heappop(queue)
-            clear = np.flatnonzero(~(p_free[i : i - n] & t_free[j : j - n]))
-            if not len(clear):
-                p_free[i : i - n] = False
-                t_free[j : j - n] = False
-                found.append((i, j, -n))
+            if not (mine[i] and mine[i + n - 1]):  # marks of this round have this length, so one that overlaps covers an end
                 continue
-            # what is left of it on each side of the marks
-            edges = np.r_[-1, clear, -n]
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if y - x - 1 >= s:
-                    heapq.heappush(queue, (-(y - x - 1), i + x + 1, j + x + 1))
-        if s == least:
-            return found
-        s = max(least, s // 2)
+            k = begin.get(a, a)
+            while k < b and not (theirs[at[k]] and theirs[at[k] + n - 1]):
+                k += 1
+            begin[a] = k
+            if k < b and np.array_equal(p[i : i + n], t[at[k] : at[k] + n]):
+                mine[i : i + n] = False
+                theirs[at[k] : at[k] + n] = False
+                found.append((i, at[k], n))
+        most = n - 1
 
 
 def near_seeds(at: np.ndarray, reach: int, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +115,13 @@ def near_seeds(at: np.ndarray, reach: int, k: int, n: int) -> tuple[np.ndarray,
 
 @dataclass
 class Items:
+    """A block of the benchmark. grams: the hashes of all items' grams, sorted; owner and place: the item of each, and where it starts."""
+
     ids: list[int]
     tokens: list[np.ndarray]
     grams: np.ndarray
     owner: np.ndarray
+    place: np.ndarray
 
 
 def prepare(rows: list[tuple[int, str]], least: int) -> Items:
@@ -120,14 +129,55 @@ def prepare(rows: list[tuple[int, str]], least: int) -> Items:
     for i, text in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         got = tokens(raw, np.array([0, len(raw)]))[0]
-        if len(got) and i is not None:
+        if len(got) >= least and i is not None:
             ids.append(i)
             found.append(got)
-    grams = [np.unique(gram_hashes(x, min(least, len(x)))) if len(x) >= least else np.zeros(0, U64) for x in found]
-    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-    flat = np.concatenate(grams) if grams else np.zeros(0, U64)
+    grams = [gram_hashes(x, least) for x in found]
+    flat = np.concatenate([*grams, np.zeros(0, U64)])
+    owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+    place = np.concatenate([*[np.arange(len(g), dtype=np.int32) for g in grams], np.zeros(0, np.int32)])
     order = np.argsort(flat, kind="stable")
-    return Items(ids, found, flat[order], owner[order])
+    return Items(ids, found, flat[order], owner[order], place[order])
+
+
+def bounds_of(items: Items, grams: np.ndarray, least: int) -> dict[int, int]:
+    """For each item with one of these distinct grams, how many of its tokens lie in shared grams: tiles can't cover more."""
+    lo, hi = np.searchsorted(items.grams, grams, side="left"), np.searchsorted(items.grams, grams, side="right")
+    at = ragged(lo, hi - lo)
+    owner, place = items.owner[at], items.place[at]
+    by = np.lexsort((place, owner))
+    owner, place = owner[by], place[by]
+    new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    step = np.minimum(np.diff(place, append=0), least)
+    step[np.append(new[1:] - 1, len(place) - 1)] = least
+    return dict(zip(owner[new].tolist(), np.add.reduceat(step, new).tolist(), strict=True))
+
+
+def best_tiling(text: np.ndarray, places: np.ndarray, grams: np.ndarray, items: Items, s: Tiling) -> tuple | None:
+    """(item_id, covered, item_tokens, n_tiles) of the item that the text covers best; ties go to the least id.
+
+    Items go by what they could be covered at most, and none is tiled that can't be better than the best one so far.
+    """
+    best, key = None, (0.0, 0)
+    most = bounds_of(items, np.unique(grams), s.least)
+    rank = sorted(most, key=lambda x: (-most[x] / len(items.tokens[x]), items.ids[x]))
+    for x in rank:
+        p = items.tokens[x]
+        if (most[x] / len(p), -items.ids[x]) <= key:
+            if most[x] / len(p) < key[0]:
+                break
+            continue
+        own = places[np.isin(grams, gram_hashes(p, s.least))]
+        index, gap = near_seeds(own, len(p), s.least, len(text))
+        # a marked token between passages keeps matches from running across the gap
+        spot = np.arange(len(index)) + np.cumsum(gap)
+        t, free = np.zeros(len(index) + int(gap.sum()), U64), np.zeros(len(index) + int(gap.sum()), bool)
+        t[spot], free[spot] = text[index], True
+        got = tiles(p, t, free, s.least)
+        covered = sum(n for _, _, n in got)
+        if covered and (best is None or (covered / len(p), -items.ids[x]) > key):
+            best, key = (items.ids[x], covered, len(p), len(got)), (covered / len(p), -items.ids[x])
+    return best
 
 
 def search(batches, items: Items, s: Tiling):
@@ -142,28 +192,11 @@ def search(batches, items: Items, s: Tiling):
         doc = np.searchsorted(bounds, at, side="right") - 1
         inside = at + s.least <= bounds[doc + 1]
         at, doc = at[inside], doc[inside]
-        best: dict[int, tuple] = {}
-        for d in np.unique(doc).tolist():
-            own = at[doc == d] - bounds[d]
-            text = symbols[bounds[d] : bounds[d + 1]]
-            lo, hi = np.searchsorted(items.grams, grams[own + bounds[d]], side="left"), np.searchsorted(items.grams, grams[own + bounds[d]], side="right")
-            seeds: dict[int, list[int]] = {}
-            for j, a, b in zip(own.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for x in items.owner[a:b].tolist():
-                    seeds.setdefault(x, []).append(j)
-            for x, places in seeds.items():
-                p = items.tokens[x]
-                index, gap = near_seeds(np.array(places), len(p), s.least, len(text))
-                # a marked token between passages keeps matches from running across the gap
-                spot = np.arange(len(index)) + np.cumsum(gap)
-                t, free = np.zeros(len(index) + int(gap.sum()), U64), np.zeros(len(index) + int(gap.sum()), bool)
-                t[spot], free[spot] = text[index], True
-                got = tiles(p, t, free, s.least)
-                covered = sum(n for _, _, n in got)
-                key = (covered / len(p), -items.ids[x])
-                if covered and (d not in best or key > best[d][0]):
-                    best[d] = (key, items.ids[x], covered, len(p), len(got))
-        rows = [best.get(d, (None, None, 0, 0, 0))[1:] for d in range(batch.num_rows)]
+        cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        rows = []
+        for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            found = best_tiling(symbols[bounds[d] : bounds[d + 1]], at[a:b] - bounds[d], grams[at[a:b]], items, s) if b > a else None
+            rows.append(found or (None, 0, 0, 0))
         cols = list(zip(*rows, strict=True))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_tokens", "item_id", "covered", "item_tokens", "n_tiles"])
@@ -193,8 +226,8 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, setting: Tiling | N
     found = []
     for k in range(blocks):
         part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = prepare([(r[0], r[1]) for r in part.collect()], s.least)
-        found.append(rows.mapInArrow(lambda batches, items=items: search(batches, items, s), SCHEMA))
+        items = docs.sparkSession.sparkContext.broadcast(prepare([(r[0], r[1]) for r in part.collect()], s.least))  # of block_bytes of text
+        found.append(rows.mapInArrow(lambda batches, items=items: search(batches, items.value, s), SCHEMA))
     out = found[0]
     if blocks > 1:
         for x in found[1:]:
@@ -207,19 +240,20 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, setting: Tiling | N
 def clean_documents(docs: DataFrame, benchmark: DataFrame, setting: Tiling | None = None) -> DataFrame:
     """The documents that no benchmark item covers, with the columns they had.
 
-    Each row is judged by itself. A benchmark of one block filters rows where they are read; larger ones need a join by row number.
+    Each row is judged by itself; rows without text or id stay, as do all of them where the benchmark is empty. An empty table gives
+    an empty result; columns may have any names. A benchmark of one block filters rows where they are read; larger ones need a join by row number.
     """
     s = setting or Tiling()
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     names = docs.columns
     if text_bytes(bench) <= s.block_bytes:
-        items = prepare([(r[0], r[1]) for r in bench.collect()], s.least)
+        items = docs.sparkSession.sparkContext.broadcast(prepare([(r[0], r[1]) for r in bench.collect()], s.least))
         plain = docs.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         own = docs.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(names)]).schema
 
         def keep(batches):
             for batch in batches:
-                for piece, found in zip(row_pieces([batch]), search([batch], items, s), strict=True):
+                for piece, found in zip(row_pieces([batch]), search([batch], items.value, s), strict=True):
                     covered, size = found.column("covered").to_numpy(), found.column("item_tokens").to_numpy()
                     clean = (100 * covered < s.coverage * size) | (covered == 0)
                     yield piece.select(own.names).filter(pa.array(clean))

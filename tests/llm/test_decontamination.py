@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -115,3 +116,32 @@ def test_repeated_and_null_ids(spark, block):
     assert sorted([(r.doc_id, r.n_tokens, r.contaminated) for r in got.collect()], key=key) == sorted([(i, n, bad) for i, _, n, bad in want], key=key)
     left = clean_documents(d, b, Tiling(block_bytes=block)).collect()
     assert sorted([(r.doc_id, r.text) for r in left], key=key) == sorted([(i, text) for i, text, _, bad in want if not bad], key=key)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_tiles_are_greedy(seed):
+    r = random.Random(seed)
+    p = np.array([r.randrange(2 + seed // 6) for _ in range(r.randint(1, 40))], np.uint64)
+    t = np.concatenate([np.array([r.randrange(2 + seed // 6) for _ in range(25)], np.uint64), p[len(p) // 2 :], p[: len(p) // 2], p[::2]])
+    got = tiles(p, t, np.ones(len(t), bool), 3)
+    assert (sum(n for _, _, n in got), len(got)) == plain(p.tolist(), t.tolist(), 3)
+
+
+@pytest.mark.parametrize("make", [lambda n: [7] * n, lambda n: [k % 2 for k in range(n)], lambda n: [k % 7 + (k % 50 == 0) * 9 for k in range(n)]])
+def test_repetitive_texts_in_little_time(make):
+    p, t = np.array(make(1000), np.uint64), np.array([99, *make(20_000)], np.uint64)
+    began = time.process_time()
+    got = tiles(p, t, np.ones(len(t), bool), 5)
+    assert sum(n for _, _, n in got) == 1000 and time.process_time() - began < 1
+    t = np.array(make(400) + [99] + make(20) + [98] + make(90), np.uint64)
+    assert sum(n for _, _, n in tiles(p[:200], t, np.ones(len(t), bool), 5)) == plain(p[:200].tolist(), t.tolist(), 5)[0]
+
+
+def test_gram_shared_by_many_items(spark):
+    shared = "one two three four five"
+    items = [(k, f"{shared} " + " ".join(f"w{k}x{j}" for j in range(20))) for k in range(3000)]
+    docs = [(1, f"a b {shared} c d " * 300, 1, 2), (2, items[77][1] + " tail " + shared, 1, 2), (3, "word " * 200_000, 1, 2)]
+    got = {r.doc_id: r for r in benchmark_overlap(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(*x, 9) for x in items], BENCH)).collect()}
+    assert (got[1].item_id, got[1].covered, got[1].contaminated) == (0, 5, False)
+    assert (got[2].item_id, got[2].covered, got[2].contaminated) == (77, 25, True)
+    assert (got[3].item_id, got[3].n_tokens, got[3].contaminated) == (None, 200_000, False)
