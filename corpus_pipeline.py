@@ -20,33 +20,49 @@ from haulmark.llm.substring_dedup import substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go, and so do null and empty texts. Repeated rows stay or go together."""
     return quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least doc_id. Rows without a doc_id stay."""
-    gone = minhash_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near-duplicates stays: the one with the least doc_id. Of rows with equal doc_id (or none) and equal
+    text one stays. Rows without a doc_id are otherwise linked with nothing, so they stay, and so do empty texts."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names that clash with none of ours
+    key, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    gone = minhash_dedup(docs.select("doc_id", "text")).filter("not kept").select(F.col("doc_id").alias("g")).distinct()
+    again = plain.groupBy(key.alias("r")).count().filter("count > 1").select("r")
+    same = key.eqNullSafe(F.col("r"))
+    left = plain.join(gone, key == F.col("g"), "left_anti")
+    # few rows have a doc_id that others have: only these are grouped
+    one = left.join(again, same, "left_semi").groupBy(key.alias("k"), F.sha2(text.cast("binary"), 256).alias("s")).agg(F.any_value(F.struct(*plain.columns)).alias("row")).select("row.*")
+    return left.join(again, same, "left_anti").unionByName(one).toDF(*names)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that a document with a smaller doc_id has go; so do documents of which nothing is left."""
+    """Passages of 50 words and more that a document with a smaller doc_id has go; so do documents of which nothing is left.
+
+    n_chars is counted anew. Texts that nothing goes from stay as they are; null and empty ones stay. A missing doc_id counts as larger
+    than all others.
+    """
     names = docs.columns
-    others = tuple(c for c in names if c not in ("doc_id", "text", "n_chars"))
-    found = substring_dedup(docs, texts=True, carry=others).filter("n_removed = 0 or n_removed < n_words")
-    found = found.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.char_length("text").cast("long"))
-    return found.select(*names)
+    others = [c for c in names if c not in ("doc_id", "text", "n_chars")]
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    found = substring_dedup(plain, texts=True, carry=tuple(f"c{i}" for i in range(len(others)))).filter("n_removed = 0 or n_removed < n_words")
+    chars = [F.char_length("kept_text").cast("long").alias("n_chars")] if "n_chars" in names else []
+    out = found.select("doc_id", F.col("kept_text").alias("text"), *chars, *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)])
+    return out.select(*[F.col(f"`{c}`") for c in names])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row by itself; rows without text or id are judged like any other."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in a training sequence."""
-    return best_fit_packing(docs)
+    """Token pieces with their ids and their place in a training sequence: a sequence is its pieces' ids by offset. Null and empty texts
+    are the end token alone; repeated rows are packed each."""
+    return best_fit_packing(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -62,6 +78,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each one's rows written and read again. An empty table gives an empty result; columns of documents may
+    have any names, and repeated rows and missing ids are treated as each stage says."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:

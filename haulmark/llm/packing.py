@@ -92,12 +92,12 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[int, in
 
 
 def pack(items: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Adds sequence_id and offset to items, whose length lies in 1..size. order: columns that make ranks among equals repeatable."""
+    """Adds sequence_id and offset to items, whose length lies in 1..size. order: columns that tell items apart, for ranks among equals."""
     names = items.columns
     counts = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # size rows at most
     plan = items.sparkSession.createDataFrame(best_fit_decreasing(counts, size), PLAN)
     groups = max(1, sum(counts.values()) // 50_000)
-    ranked = items.withColumn("_g", F.pmod(F.xxhash64(order[0]), F.lit(groups)))
+    ranked = items.withColumn("_g", F.pmod(F.xxhash64(*order), F.lit(groups)))
     before = ranked.groupBy("_g", "length").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "length").orderBy(*order)) - 1)
     ranked = ranked.join(before.drop("count"), ["_g", "length"]).withColumn("_r", F.col("_k") + F.col("_before")).alias("x")
@@ -112,11 +112,11 @@ def pack(items: DataFrame, size: int, order: list[str]) -> DataFrame:
 class WordIds:
     """Token ids of texts. White space never lies inside a token, so ids are worked out once for each distinct run of non-space bytes.
 
-    A run is normalised and split as the vocabulary file says; its words merge by rank in numpy. Runs that hold a special string go
-    through the library itself.
+    A run is normalised and split as the vocabulary file says; its words merge by rank in numpy. Runs that hold a special string or a
+    character that isn't assigned go through the library itself. The cache starts anew beyond most runs or most_bytes of them.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, most_bytes: int = 32 << 20):
         import regex
         from tokenizers import Tokenizer
 
@@ -130,13 +130,15 @@ class WordIds:
         if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split":
             raise ValueError(f"{path} isn't a word vocabulary of the known kind")
         self.find = regex.compile("\n|" + split["pattern"]["Regex"]).findall
+        self.assigned: dict[str, bool] = {}
         #: What every special string begins with, so runs without it hold none.
         self.marker = os.path.commonprefix(self.rules.special).encode() if self.rules.special else b"\n"
-        self.most = most
+        self.most, self.most_bytes = most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.starts, self.sizes, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
 
     def words(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
@@ -152,12 +154,20 @@ class WordIds:
         breaks = np.flatnonzero(np.fromiter((w == "\n" for w in found), bool, len(found)))
         return [w for w in found if w != "\n"], np.diff(np.r_[-1, breaks, len(found)]) - 1
 
+    def known(self, run: str) -> bool:
+        """Whether all characters are assigned, and marks that combine have long been: of others, the library's tables and Python's may
+        say different things."""
+        for c in set(run).difference(self.assigned):
+            self.assigned[c] = (unicodedata.ucd_3_2_0 if unicodedata.combining(c) else unicodedata).category(c) != "Cn"
+        return all(map(self.assigned.__getitem__, run))
+
     def learn(self, runs: list[bytes]) -> None:
-        odd = [w for w in runs if self.marker in w]
+        odd = {w for w in runs if self.marker in w or (not w.isascii() and not self.known(w.decode()))}
         if odd:
+            runs = [w for w in runs if w not in odd]
+            odd = list(odd)
             found = [e.ids for e in self.library.encode_batch([w.decode() for w in odd], add_special_tokens=False)]
             self.add(odd, np.array([x for y in found for x in y], np.uint32), np.array([len(y) for y in found], np.int64))
-            runs = [w for w in runs if self.marker not in w]
         if not runs:
             return
         words, n_words = self.words(b"\n".join(runs).decode().split("\n"))
@@ -177,6 +187,7 @@ class WordIds:
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.held += sum(map(len, runs))
         self.index.update(zip(runs, range(self.n, self.n + len(sizes)), strict=True))
         self.used, self.n = self.used + len(ids), self.n + len(sizes)
 
@@ -189,7 +200,7 @@ class WordIds:
         seen = set().union(*split)
         missing = list(seen.difference(self.index))
         if missing:
-            if self.n > self.most:
+            if self.n > self.most or self.held > self.most_bytes:
                 self.clear()
                 missing = list(seen)
             self.learn(missing)
@@ -237,5 +248,7 @@ def best_fit_packing(docs: DataFrame, vocabulary: str | None = None, size: int =
 
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(lambda batches: cut(batches, vocabulary, size, end, with_ids), PIECES + (", ids array<int>" if with_ids else "")), "pieces")
-    return pack(pieces, size, ["doc_id", "piece", "ids_crc32"]).withColumn("length", F.col("length").cast("long"))
+    pieces = rows.mapInArrow(lambda batches: cut(batches, vocabulary, size, end, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
+    # numbered once and for all in a written table: doc_id may be missing or repeated
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return pack(pieces, size, ["_row"]).drop("_row").withColumn("length", F.col("length").cast("long"))

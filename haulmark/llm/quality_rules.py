@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade (operator 2), in DataFrame functions alone.
 
-Each rule is an SQL condition on the text that rejects it. On a bounded sample every rule's cost (time of a job that evaluates it)
+Each rule is a condition on features of the text that rejects it. On a bounded sample every rule's cost (what it adds to a job's time)
 and selectivity (share of rows that it rejects) are measured; the cascade is one CASE that asks the rules in order of rejections
 per cost, so most rejected rows meet the rule that settles them first and skip the rest. The order changes the work, not the verdict.
 """
@@ -8,6 +8,7 @@ per cost, so most rejected rows meet the rule that settles them first and skip t
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -90,19 +91,19 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: SQL over the features; a text goes if it holds."""
+    """rejects: the condition on named features (columns or expressions) for which a text goes."""
 
     name: str
-    rejects: str
+    rejects: Callable[[dict[str, Column]], Column]
 
 
 #: The first two are the base rules. Bounds are ratios of counts, multiplied out so that they are exact.
 RULES = (
-    Rule("too_few_words", "n_words < 50"),
-    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    Rule("symbols", "100 * n_symbols > 25 * n_words"),
-    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
+    Rule("too_few_words", lambda f: f["n_words"] < 50),
+    Rule("repeated_words", lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"]),
+    Rule("symbols", lambda f: 100 * f["n_symbols"] > 25 * f["n_words"]),
+    Rule("repeated_lines", lambda f: 2 * f["n_dup_lines"] > f["n_lines"]),
+    Rule("word_length", lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 14 * f["n_words"])),
 )
 BASE = ("too_few_words", "repeated_words")
 
@@ -119,75 +120,90 @@ def on_demand(text: Column, word: Column) -> dict[str, Column]:
     }
 
 
-def condition(rule: Rule, features: dict[str, Column]) -> Column:
-    """The rule's condition with its features filled in."""
-    t = features
-    return {
-        "too_few_words": lambda: t["n_words"] < 50,
-        "repeated_words": lambda: 100 * t["n_repeat_words"] > 50 * t["n_words"],
-        "symbols": lambda: 100 * t["n_symbols"] > 25 * t["n_words"],
-        "repeated_lines": lambda: 2 * t["n_dup_lines"] > t["n_lines"],
-        "word_length": lambda: (t["word_chars"] < 2 * t["n_words"]) | (t["word_chars"] > 14 * t["n_words"]),
-    }[rule.name]()
+def first_rejection(rules: Sequence[Rule], features: dict[str, Column]) -> Column:
+    """The cascade: one CASE that asks the rules in order; null where none rejects."""
+    out = F
+    for rule in rules:
+        out = out.when(rule.rejects(features), F.lit(rule.name))
+    return out if rules else F.lit(None).cast("string")
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[tuple[Rule, float, float]]:
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[tuple[Rule, float, float]]:
     """Rules in order of rejection per cost, each with its cost in seconds and its selectivity, from at most sample_rows rows.
 
-    The sample only orders the rules: any order gives the same verdicts.
+    The rows are the first ones that a take finds: it reads a partition, and more only if that has too few. A rule's cost is the
+    time of a one-task job that evaluates it over the sample, less that of the same job with no rule. The sample only orders the
+    rules: any order gives the same verdicts. An empty table or sample leaves them in order of name.
     """
-    from haulmark.llm.common import checkpoint
-
-    sample = checkpoint(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).limit(sample_rows).withColumn("w", words(F.col("t"))))
+    spark = docs.sparkSession
+    taken = docs.select(F.coalesce(F.col("text").cast("string"), F.lit(""))).take(sample_rows)
+    sample = spark.createDataFrame([(r[0],) for r in taken], "t string").coalesce(1).withColumn("w", words(F.col("t"))).filter(F.size("w") >= 0)
     features = on_demand(F.col("t"), F.col("w"))
-    n = max(1, sample.count())
+
+    def measured(hit: Column) -> tuple[float, int]:
+        job = sample.agg(F.sum(F.size("w")), F.sum(hit.cast("int")))
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            rejected = job.first()[1] or 0
+            times.append(time.perf_counter() - began)
+        return min(times), rejected
+
+    nothing = measured(F.lit(False))[0]
     found = []
     for rule in rules:
-        job = sample.agg(F.sum(condition(rule, features).cast("int")))
-        job.first()
-        began = time.perf_counter()
-        rejected = job.first()[0] or 0
-        found.append((rule, time.perf_counter() - began, rejected / n))
+        took, rejected = measured(rule.rejects(features))
+        found.append((rule, max(took - nothing, 1e-4), rejected / max(1, len(taken))))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
-def cascade(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Adds rejected_by: the first rule of the cascade that rejects the text, null if none does. Null text counts as empty."""
-    rules = rules if rules is not None else [rule for rule, _, _ in plan_cascade(docs)]
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def unused(names: Sequence[str], wish: str) -> str:
+    """A column name that none of names has."""
+    taken = {x.lower() for x in names}
+    while wish.lower() in taken:
+        wish = f"{wish}_"
+    return wish
+
 
-    def verdict(w: Column) -> Column:
-        features, out = on_demand(t, w), F
-        for rule in rules:
-            out = out.when(condition(rule, features), F.lit(rule.name))
-        return out
+def cascade(docs: DataFrame, rules: list[Rule] | None = None, column: str = "rejected_by") -> DataFrame:
+    """Adds a column, rejected_by: the first rule of the cascade that rejects the text, null if none does.
 
+    Null and empty texts have no words, so a base rule rejects them. A column of docs with that name is replaced: name another one to
+    keep it. Repeated rows are judged each; an empty table gives an empty result.
+    """
+    rules = rules if rules is not None else [rule for rule, _, _ in plan_cascade(docs)]
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # all rules but one need the words, so they are split once
-    return docs.withColumn("rejected_by", bound(words(t), verdict) if rules else F.lit(None).cast("string"))
+    return docs.withColumn(column, bound(words(t), lambda w: first_rejection(rules, on_demand(t, w))) if rules else F.lit(None).cast("string"))
 
 
 def quality_filter(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """The rows that no rule rejects, with the columns they had."""
+    """The rows that no rule rejects, with the columns they had, whatever their names.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table gives an empty result.
+    """
     names = docs.columns
-    return cascade(docs, rules).filter("rejected_by is null").select(*[F.col(f"`{c}`") for c in names])
+    verdict = unused(names, "rejected_by")
+    return cascade(docs, rules, verdict).filter(F.col(verdict).isNull()).select(*[F.col(f"`{c}`") for c in names])
 
 
 def quality_rules(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
 
-    The features are asked for of every row, so the cascade runs over their columns here; quality_filter() evaluates them on demand.
-    Null and empty texts have no words, so the base rules reject them. An empty table gives an empty result.
+    Every row's features are asked for here, so the cascade runs over their columns; quality_filter() evaluates them on demand and
+    skips what a settled row doesn't need. Null and empty texts have no words, so the base rules reject them. Repeated rows come back
+    each; other columns don't matter; an empty table gives an empty result.
     """
     order = rules if rules is not None else [rule for rule, _, _ in plan_cascade(docs)]
-    out = F
-    for rule in order:
-        out = out.when(F.expr(rule.rejects), F.lit(rule.name))
+    found = with_features(docs.select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    features = {n: F.col(n) for n in names}
     base = F.lit(False)
     for rule in RULES:
         if rule.name in BASE:
-            base = base | F.expr(rule.rejects)
-    found = with_features(docs.select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (out.isNull() if order else F.lit(True)).alias("kept"), (out if order else F.lit(None).cast("string")).alias("rejected_by"))
+            base = base | rule.rejects(features)
+    verdict = first_rejection(order, features)
+    return found.select("doc_id", *names, base.alias("base_failed"), verdict.isNull().alias("kept"), verdict.alias("rejected_by"))
 
 
 ORACLE = r"""

@@ -3,12 +3,14 @@
 Texts fall into chunks at single spaces, where pre-tokens never continue; chunks that this worker hasn't counted yet are split into
 pre-tokens. New pre-tokens are held together as one ragged array of symbols. In each step, every sequence applies its own
 lowest-rank pair, all of that pair's places at once, until none has a pair left; what survives is counted. Only pairs beside a merge
-are looked up again. A text's count is the sum over its chunks and special strings.
+are looked up again. A text's count is the sum over its chunks and special strings. Texts with characters that aren't assigned go
+through the library.
 """
 
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +36,7 @@ class Merges:
     """A byte-level BPE vocabulary as arrays: pair keys in a hash table, with the rank and the merged id of each."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         ids = spec["model"]["vocab"]
@@ -143,12 +146,14 @@ def merges(path: str) -> Merges:
 
 
 class ChunkCounts:
-    """Counts of chunks, kept up to a bound; a chunk begins with its space, but for a text's first one."""
+    """Counts of chunks, kept up to bounds of number and size; a chunk begins with its space, but for a text's first one."""
 
-    def __init__(self, rules: Merges, most: int = 500_000):
+    def __init__(self, rules: Merges, most: int = 500_000, most_bytes: int = 32 << 20):
         import regex
 
-        self.rules, self.most = rules, most
+        self.rules, self.most, self.most_bytes, self.held = rules, most, most_bytes, 0
+        self.assigned: dict[str, bool] = {}
+        self.tokenizer = None
         self.known: dict[str, int] = {}
         self.tokens: dict[str, int] = {}
         self.find = regex.compile(PATTERN).findall
@@ -166,7 +171,7 @@ class ChunkCounts:
         split = list(map(self.find, chunks))
         fresh = {t for found in split for t in found}.difference(self.tokens)
         if fresh:
-            if len(self.tokens) > self.most:
+            if len(self.tokens) > self.most or self.held > self.most_bytes:
                 self.tokens.clear()
                 fresh = {t for found in split for t in found}
             fresh = list(fresh)
@@ -174,17 +179,40 @@ class ChunkCounts:
         get = self.tokens.__getitem__
         self.known.update(zip(chunks, (get(f[0]) if len(f) == 1 else sum(map(get, f)) for f in split), strict=True))
 
+    def whole(self, text: str) -> bool:
+        """Whether a text has a character that isn't assigned: the library's tables and ours may class it differently."""
+        found = set(text)
+        for c in found.difference(self.assigned):
+            self.assigned[c] = unicodedata.category(c) != "Cn"
+        return not all(map(self.assigned.__getitem__, found))
+
+    def library(self, text: str) -> int:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.rules.path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def count(self, texts: list[str]) -> list[int]:
         extra, chunks = [], []
         for text in texts:
+            if not text.isascii() and self.whole(text):
+                extra.append(self.library(text))
+                chunks.append([])
+                continue
             parts = self.special.split(text) if self.special is not None and any(x in text for x in self.rules.special) else [text]
             extra.append(len(parts) - 1)
             chunks.append(self.chunks(text) if len(parts) == 1 else [c for part in parts for c in self.chunks(part)])
         missing = {c for found in chunks for c in found}.difference(self.known)
         if missing:
-            if len(self.known) > self.most:
+            if len(self.known) > self.most or self.held > self.most_bytes:
                 self.known.clear()
+                self.tokens.clear()
+                self.held = 0
                 missing = {c for found in chunks for c in found}
+            self.held += 2 * sum(map(len, missing))
             self.learn(list(missing))
         get = self.known.__getitem__
         return [n + sum(map(get, found)) for n, found in zip(extra, chunks, strict=True)]

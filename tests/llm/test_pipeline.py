@@ -67,3 +67,41 @@ def test_run(spark, tmp_path):
     want = {(i, k // 2048): min(2048, n - k) for i, t in left for n in [len(library.encode(t).ids) + 1] for k in range(0, n, 2048)}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {(x.doc_id, x.piece): x.length for x in got} == want
+    import zlib
+
+    assert all(x.ids_crc32 == zlib.crc32(b"".join(t.to_bytes(4, "little") for t in x.ids)) and len(x.ids) == x.length for x in got)
+
+
+def stages(spark, tmp_path, docs, schema):
+    """Each stage's rows, from documents of any columns."""
+    pq.write_table(pa.table({"item_id": pa.array([1], pa.int64()), "text": ["an item of the benchmark that no document has at all"]}), f"{tmp_path}/benchmark.parquet")
+    now, out = spark.createDataFrame(docs, schema), []
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        if name != "best_fit_packing":
+            assert now.columns == spark.createDataFrame([], schema).columns and [f.dataType for f in now.schema][:2] == [f.dataType for f in spark.createDataFrame([], schema).schema][:2]
+        rows = now.collect()
+        out.append(rows)
+        now = spark.createDataFrame(rows, now.schema)
+    return out
+
+
+def test_clashing_names_repeated_rows_and_missing_ids(spark, tmp_path):
+    r = random.Random(2)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghijklm", k=6)) for _ in range(n))
+    a, b, c, long = prose(90), prose(80), prose(70), prose(30_000)
+    schema = "doc_id long, text string, rejected_by string, n_removed int, n_words int, kept_text string, kept_sha256 string, _gone long, g long, k string, c0 string, x0 int, item_id long, covered int, _f int, part int, label long"
+    row = lambda i, t: (i, t, "mine", 1, 2, "kept", "sha", 3, 4, "k", "c", 5, 6, 7, 8, 9, 10)
+    docs = [row(1, a), row(1, a), row(1, b), row(2, c), row(3, c + " end"), row(None, prose(60)), row(None, None), row(4, ""), row(5, long)]
+    docs += [docs[5], docs[5]]
+    quality, near, passages, clean, packed = stages(spark, tmp_path, docs, schema)
+    assert len(quality) == 9 and {tuple(x)[2:] for x in quality} == {row(0, "")[2:]}
+    ids = lambda rows: sorted(((x.doc_id, x.text) for x in rows), key=str)
+    want = sorted([(1, a), (1, b), (2, c), (None, docs[5][1]), (5, long)], key=str)
+    assert ids(near) == ids(passages) == ids(clean) == want
+    assert {tuple(x)[2:] for x in clean} == {row(0, "")[2:]}
+    assert {x.doc_id for x in packed} == {1, 2, None, 5} and sum(x.length for x in packed if x.doc_id == 5) > 2048
+
+
+def test_empty_table(spark, tmp_path):
+    assert stages(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long") == [[]] * 5

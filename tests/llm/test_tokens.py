@@ -87,3 +87,18 @@ def test_packing(spark):
 @pytest.mark.parametrize("f", [token_counts, best_fit_packing])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_any_code_points():
+    """Characters that no version of Unicode known here has assigned are the library's to class."""
+    from haulmark.llm.token_counts import chunk_counts
+
+    r = random.Random(9)
+    path, other = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    counts, library = chunk_counts(path), Tokenizer.from_file(path)
+    words, beside = WordIds(other), Tokenizer.from_file(other)
+    for _ in range(3000):
+        pool = [chr(c) for c in (r.randrange(0x110000) if r.random() < 0.3 else r.randrange(0x3000) for _ in range(6)) if not 0xD800 <= c < 0xE000] + [" ", "a", "\n"]
+        t = "".join(r.choices(pool, k=r.randint(1, 12)))
+        assert counts.count([t])[0] == len(library.encode(t, add_special_tokens=False).ids), ascii(t)
+        assert words.encode([t.encode()])[0].tolist() == beside.encode(t, add_special_tokens=False).ids, ascii(t)
