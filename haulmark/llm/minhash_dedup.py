@@ -3,10 +3,11 @@
 One pass over the texts takes each document's distinct 5-word shingles, its 128 minima, a band key for each four of them, the low
 four bits of all minima packed into eight longs, and the text in zstd. Documents with the same shingle set form a class, and only its
 least doc_id goes on. Classes that share a band key are candidates. A pair whose bit counts, corrected for chance collisions, leave
-room for the similarity is confirmed on the full shingle sets. Pairs come first from pivots: a bucket's members against one of them, as
-many rounds as given, each with other pivots and only between what isn't connected yet. Buckets that still hold several components
-are then compared in full, in blocks that give only the links which connect components, so no link is lost, while a large group of
-near copies makes rows by its members, not by its pairs.
+room for the similarity is confirmed on the full shingle sets. Pairs come first from pivots: a bucket's members against one of them, in
+rounds with other pivots while these still connect something, and only between what isn't connected yet, so a large group of near copies
+makes rows by its members, not by its pairs. Buckets that still hold several components are then compared in full, in pairs of blocks: by
+signatures alone, whose rows are small; only pairs that these leave open fetch their texts. Where a pair of blocks leaves too many
+open, its texts come together instead and give the links that connect components, a forest. No link is lost on either way.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.llm.common import BYTE_SYMBOLS, U64, checkpoint, gram_hashes, hash_words, mix64, row_pieces, text_buffer, word_spans, written
+from haulmark.llm.common import BYTE_SYMBOLS, U64, checkpoint, gram_hashes, hash_words, mix64, ragged, row_pieces, text_buffer, word_spans, written
 from haulmark.llm.components import connected_components
 
 _LOWER = BYTE_SYMBOLS.copy()
@@ -28,7 +29,8 @@ SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>, "
 
 @dataclass(frozen=True)
 class MinHash:
-    """similarity: in hundredths. slack: how far an estimate may lie under it; six standard errors of 128 four-bit minima."""
+    """rounds: of pivots, at most. block: documents in a block. open_pairs: for each document of a pair of blocks, beyond which texts meet.
+    similarity: in hundredths. slack: how far an estimate may lie under it; six standard errors of 128 four-bit minima."""
 
     words: int = 5
     similarity: int = 75
@@ -36,8 +38,9 @@ class MinHash:
     band: int = 4
     bits: int = 4
     slack: float = 0.24
-    rounds: int = 2
+    rounds: int = 4
     block: int = 2048
+    open_pairs: int = 16
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -163,11 +166,45 @@ def confirmed(pairs: DataFrame, signed: DataFrame, m: MinHash) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(lambda batches: confirm(batches, m), "a long, b long")
 
 
+def may_link(sig: np.ndarray, size: np.ndarray, i: int, right: np.ndarray, m: MinHash) -> np.ndarray:
+    """Which of right may be similar enough to i, by their bit counts corrected for chance, and by the sizes of their sets."""
+    chance = 1 / (1 << m.bits)
+    most = int((1 - chance) * (1 - (m.similarity / 100 - m.slack)) * m.hashes)
+    lows = U64(sum(1 << k for k in range(0, 64, m.bits)))
+    x = sig[right] ^ sig[i]
+    y = x.copy()
+    for k in range(1, m.bits):
+        y |= x >> U64(k)
+    near = np.bitwise_count(y & lows).sum(axis=1) <= most
+    return near & (100 * np.minimum(size[right], size[i]) >= m.similarity * np.maximum(size[right], size[i]))
+
+
+def block_pairs(table: pa.Table, m: MinHash) -> pa.Table:
+    """Pairs of one block of a bucket with another (or itself) that signatures leave open; one row without a pair if they are too many."""
+    ids, label, side, size = (table[c].to_numpy() for c in ("id", "label", "block", "n_shingles"))
+    sig = np.stack([table[f"s{i}"].to_numpy().view(U64) for i in range(8)], axis=1)
+    key, lo, hi = (table[c][0].as_py() for c in ("key", "lo", "hi"))
+    left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    out_a, out_b, n = [], [], 0
+    for i in left.tolist():
+        other = right[(label[right] != label[i]) & ((ids[right] > ids[i]) | (lo != hi))]
+        hit = other[may_link(sig, size, i, other, m)] if len(other) else other
+        n += len(hit)
+        if n > m.open_pairs * table.num_rows:
+            out_a, out_b = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+            break
+        out_a.append(np.full(len(hit), ids[i]))
+        out_b.append(ids[hit])
+    dense = n > m.open_pairs * table.num_rows
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (out_a, out_b))
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "dense": pa.array(np.full(len(a), dense)), "key": pa.array(np.full(len(a), key, np.int64)), "lo": pa.array(np.full(len(a), lo, np.int32)), "hi": pa.array(np.full(len(a), hi, np.int32))})
+
+
 def block_links(table: pa.Table, m: MinHash) -> pa.Table:
     """Confirmed links of one block of a bucket with another (or itself) that connect its components: a forest, not all pairs.
 
     For each document of the first block, those of the second whose component differs and whose signature may be similar enough are
-    compared on full shingle sets, numbered within the block: one pass over the second block's sets counts all its intersections.
+    compared on full shingle sets, numbered within the block: one pass over these sets counts all intersections.
     """
     import zstandard
 
@@ -188,9 +225,6 @@ def block_links(table: pa.Table, m: MinHash) -> pa.Table:
         flat = np.concatenate([number[starts[j] : starts[j] + size[j]] for j in right])
         at = np.cumsum(size[right]) - size[right]
         mark = np.zeros(int(number.max()) + 1, bool)
-        lows = U64(sum(1 << i for i in range(0, 64, m.bits)))
-        chance = 1 / (1 << m.bits)
-        most = int((1 - chance) * (1 - (m.similarity / 100 - m.slack)) * m.hashes)
         now = label.copy()
         for i in left.tolist():
             other = now[right] != now[i]
@@ -198,19 +232,16 @@ def block_links(table: pa.Table, m: MinHash) -> pa.Table:
                 other &= ids[right] > ids[i]
             if not other.any():
                 continue
-            x = sig[right] ^ sig[i]
-            y = x.copy()
-            for k in range(1, m.bits):
-                y |= x >> U64(k)
-            other &= np.bitwise_count(y & lows).sum(axis=1) <= most
+            other &= may_link(sig, size, i, right, m)
             if not other.any():
                 continue
             own = number[starts[i] : starts[i] + size[i]]
             mark[own] = True
-            both = np.add.reduceat(mark[flat], at, dtype=np.int64)
+            hit = np.flatnonzero(other)
+            theirs = size[right[hit]]
+            both = np.add.reduceat(mark[flat[ragged(at[hit], theirs)]], np.cumsum(theirs) - theirs, dtype=np.int64)
             mark[own] = False
-            other &= 100 * both >= m.similarity * (size[right] + size[i] - both)
-            for j in right[other].tolist():
+            for j in right[hit[100 * both >= m.similarity * (theirs + size[i] - both)]].tolist():
                 if now[j] != now[i]:
                     out_a.append(ids[i])
                     out_b.append(ids[j])
@@ -253,13 +284,26 @@ def minhash_dedup(docs: DataFrame, setting: MinHash | None = None) -> DataFrame:
     for k in range(m.rounds):
         chosen = F.col("id") if k == 0 else F.xxhash64("id", "key", F.lit(k))
         pairs = active(chosen).filter("label <> pivot.label").select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).distinct()
-        labels = merge(confirmed(pairs, cands, m))
-    rest = active(F.col("id")).select("key", "id", "label", "size")
-    blocks = F.ceil(F.col("size") / m.block).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "id", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rest = rest.join(cands.select("id", "body", *[f"s{i}" for i in range(8)]), "id")
-    labels = merge(rest.groupBy("key", "lo", "hi").applyInArrow(lambda t: block_links(t, m), "a long, b long"))
+        links = checkpoint(confirmed(pairs, cands, m))
+        if links.isEmpty():
+            break
+        labels = merge(links)
+
+    def in_blocks() -> DataFrame:
+        rest = active(F.col("id")).select("key", "id", "label", "size")
+        blocks = F.ceil(F.col("size") / m.block).cast("int")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        return rest.select("key", "id", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    sigs = [f"s{i}" for i in range(8)]
+    near = written(in_blocks().join(cands.select("id", "n_shingles", *sigs), "id").groupBy("key", "lo", "hi").applyInArrow(lambda t: block_pairs(t, m), "a long, b long, dense boolean, key long, lo int, hi int"), "near")
+    links = checkpoint(confirmed(near.filter("not dense").select("a", "b").distinct(), cands, m))
+    if not links.isEmpty():
+        labels = merge(links)
+    dense = near.filter("dense").select("key", "lo", "hi")
+    if not dense.isEmpty():
+        rest = in_blocks().join(dense, ["key", "lo", "hi"], "left_semi").join(cands.select("id", "body", *sigs), "id")
+        labels = merge(rest.groupBy("key", "lo", "hi").applyInArrow(lambda t: block_links(t, m), "a long, b long"))
 
     found = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component"))
     out = whole.join(found, ["set_a", "set_b", "n_shingles"], "left").groupBy("id").agg(F.min("component").alias("component"))
