@@ -96,26 +96,29 @@ def induce_each(text: np.ndarray, small: np.ndarray, order: np.ndarray, symbols:
     n = len(text)
     counts = np.bincount(text, minlength=symbols)
     ends = np.cumsum(counts)
-    head, ends, t, is_small = (ends - counts).tolist(), ends.tolist(), text.tolist(), small.tolist()
     out = [0] * n  # 0 has nothing before it, so empty places do nothing
-    tail = ends.copy()
-    for j in order[::-1].tolist():
-        c = t[j]
-        tail[c] -= 1
-        out[tail[c]] = j
-    for i in range(n):
-        j = out[i] - 1
-        if j >= 0 and not is_small[j]:
-            c = t[j]
-            out[head[c]] = j
-            head[c] += 1
-    tail = ends
-    for i in range(n - 1, -1, -1):
-        j = out[i] - 1
-        if j >= 0 and is_small[j]:
-            c = t[j]
-            tail[c] -= 1
-            out[tail[c]] = j
+    # the symbol before each suffix, if that is of the larger type; and the same for the smaller type; else none
+    before = np.r_[-1, text[:-1]]
+    kind = np.r_[False, small[:-1]]
+    larger, smaller = np.where(kind, -1, before).tolist(), np.where(kind, before, -1).tolist()
+    by = order[stable_order(text[order], symbols)]
+    of = text[by]
+    rank = np.arange(len(by)) - np.searchsorted(of, of)
+    for place, x in zip((ends[of] - np.bincount(of, minlength=symbols)[of] + rank).tolist(), by.tolist(), strict=True):
+        out[place] = x
+    head, tail = (ends - counts).tolist(), ends.tolist()
+    for x in out:  # places that are filled on the way come up later
+        c = larger[x]
+        if c >= 0:
+            at = head[c]
+            out[at] = x - 1
+            head[c] = at + 1
+    for x in reversed(out):
+        c = smaller[x]
+        if c >= 0:
+            at = tail[c] - 1
+            out[at] = x - 1
+            tail[c] = at
     return np.array(out, np.int64)
 
 
