@@ -3,18 +3,24 @@
 Arrivals are written as small immutable shards. When enough runs of similar size have come together, a merge reads their shards in
 target-sized splits and writes each split as one file: rows pass from scan to file without a shuffle, so no key can be hot. A version
 is a manifest, written as a table of its own and made current by one rename that fails if the version exists; readers see the old
-version or the new one. Nothing that a version names is ever changed.
+version or the new one. Nothing that a version names is ever changed. A manifest has a row a run, not a shard: a run's folder is complete
+before a version names it, so its files need no list of their own, and compaction keeps runs to a few for each tier. Commits, merges
+and reads therefore handle as many rows as there are runs, however many shards these have.
+
+The rename replaces nothing and is atomic on local and HDFS file systems. Object stores that copy on rename need a single writer.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "run string, tier int, path string, bytes long"
+RUNS = "run string, tier int, bytes long, files long"
 
 
 class Conflict(RuntimeError):
@@ -48,17 +54,24 @@ class ShardStore:
             return 0
         return max((int(s.getPath().getName()) for s in self.files.util().listStatus(folder) if s.getPath().getName().isdigit()), default=0)
 
-    def manifest(self, version: int | None = None) -> DataFrame:
-        """run, tier, path and bytes of every shard of a version."""
+    def stored(self, version: int | None = None) -> DataFrame:
+        """run, tier, bytes and files of every run of a version: what its manifest says."""
         version = self.version() if version is None else version
         if not version:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/versions/{version:08d}")
+            return self.spark.createDataFrame([], RUNS)
+        return self.spark.read.schema(RUNS).parquet(f"{self.root}/versions/{version:08d}")
+
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """run, tier, path and bytes of every shard of a version, from a listing of its runs."""
+        found = [self.shards_of(r.run, r.tier, f"{self.root}/runs/{r.run}") for r in self.stored(version).collect()]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], MANIFEST)
 
     def commit(self, shards: DataFrame, version: int) -> int:
-        """Makes shards the given version, at once and only if nobody else has: a rename that doesn't replace."""
+        """Makes shards (or runs, as stored() gives them) the given version, at once and only if nobody else has: a rename that doesn't replace."""
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        shards.select("run", F.col("tier").cast("int").alias("tier"), "path", F.col("bytes").cast("long").alias("bytes")).coalesce(1).write.parquet(staged)
+        files = F.sum("files") if "files" in shards.columns else F.count("*")
+        runs = shards.groupBy("run").agg(F.max("tier").cast("int").alias("tier"), F.sum("bytes").cast("long").alias("bytes"), files.cast("long").alias("files"))
+        runs.coalesce(1).write.parquet(staged)
         rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.NONE
@@ -79,6 +92,9 @@ class ShardStore:
         found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
         return found.select(F.lit(run).alias("run"), F.lit(tier).alias("tier"), "path", F.col("length").alias("bytes"))
 
+    def run_of(self, run: str, tier: int, folder: str) -> DataFrame:
+        return self.shards_of(run, tier, folder).groupBy("run", "tier").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+
     def stage(self, df: DataFrame, arrival: Column | None = None) -> list[tuple[str, str]]:
         """Writes one run, or one for each value of arrival, in one pass; returns (run, folder). They count only once committed."""
         name = uuid.uuid4().hex
@@ -99,11 +115,11 @@ class ShardStore:
 
     def add(self, run: str, folder: str, version: int | None = None) -> int:
         version = self.version() if version is None else version
-        return self.commit(self.manifest(version).unionByName(self.shards_of(run, 0, folder)), version + 1)
+        return self.commit(self.stored(version).unionByName(self.run_of(run, 0, folder)), version + 1)
 
     def runs(self) -> list[tuple[str, int, int]]:
         """(run, tier, bytes) of the current version; compaction keeps their number to a few for each tier."""
-        return [tuple(r) for r in self.manifest().groupBy("run").agg(F.max("tier"), F.sum("bytes")).collect()]
+        return [tuple(r) for r in self.stored().select("run", "tier", "bytes").collect()]
 
     def similar(self) -> list[tuple[str, int, int]]:
         """The smallest fan_in runs or more whose sizes lie within spread of their mean; empty if there are none."""
@@ -120,17 +136,16 @@ class ShardStore:
     def merge(self, group: list[tuple[str, int, int]]) -> int:
         """Rewrites runs as one of target-sized files and commits a version with it in their place."""
         version = self.version()
-        now = self.manifest(version)
+        now = self.stored(version)
         gone = [r[0] for r in group]
-        files = [r[0] for r in now.filter(F.col("run").isin(gone)).select("path").collect()]
         scan = self.spark.newSession()
         scan.conf.set("spark.sql.files.maxPartitionBytes", str(self.tiers.target_bytes))
         scan.conf.set("spark.sql.files.openCostInBytes", "0")
         scan.conf.set("spark.sql.files.minPartitionNum", "1")
         name = uuid.uuid4().hex
         folder = f"{self.root}/runs/{name}"
-        scan.read.parquet(*files).write.option("compression", "zstd").parquet(folder)
-        merged = self.shards_of(name, max(r[1] for r in group) + 1, folder)
+        scan.read.parquet(*[f"{self.root}/runs/{run}" for run in gone]).write.option("compression", "zstd").parquet(folder)
+        merged = self.run_of(name, max(r[1] for r in group) + 1, folder)
         return self.commit(now.filter(~F.col("run").isin(gone)).unionByName(merged), version + 1)
 
     def compact(self) -> int:
@@ -140,15 +155,16 @@ class ShardStore:
         return self.version()
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with shard (file name), run and tier."""
-        shards = self.manifest(version)
-        files = [r[0] for r in shards.select("path").collect()]
-        if not files:
+        """The rows of a version, with shard (file name), its bytes, run and tier: said by each file's own path, so nothing is joined."""
+        runs = {r.run: r.tier for r in self.stored(version).collect()}
+        if not runs:
             raise ValueError("the store has no shards")
+        rows = self.spark.read.parquet(*[f"{self.root}/runs/{run}" for run in runs])
         name = F.regexp_extract(F.col("_metadata.file_path"), r"/runs/(.*)$", 1)
-        rows = self.spark.read.parquet(*files)
-        rows = rows.select(*rows.columns, name.alias("shard"))
-        return rows.join(shards.select(F.regexp_extract("path", r"/runs/(.*)$", 1).alias("shard"), "run", "tier", F.col("bytes").alias("shard_bytes")), "shard")
+        tiers = F.create_map(*[F.lit(x) for pair in runs.items() for x in pair])
+        run = F.regexp_extract("shard", r"^(.*)/[^/]*$", 1)
+        rows = rows.select(*rows.columns, name.alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
+        return rows.withColumn("run", run).withColumn("tier", F.element_at(tiers, F.col("run")))
 
     def vacuum(self) -> int:
         """Deletes runs that the current version doesn't name; returns how many. Only for when no reader uses an older version."""
