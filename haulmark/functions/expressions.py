@@ -135,3 +135,67 @@ def feed_status(minutes: Column, late: int = RULES["late_minutes"], stopped: int
 def add_reason(reasons: Column, reason: Column) -> Column:
     """A comma list without repetitions."""
     return F.array_join(F.array_distinct(F.filter(F.split(F.concat_ws(",", reasons, reason), ","), lambda x: x != "")), ",")
+
+
+def persisted_km(km: Column) -> Column:
+    """A stored total in kilometres: ten thousand and more are metres; never negative; null stays null."""
+    return F.when(km.isNotNull(), F.round(F.greatest(F.when(km >= 10_000, km / 1000).otherwise(km), F.lit(0.0)), 1))
+
+
+def resolve_time(occurred: Column, received: Column, current_text: Column, candidates: list[tuple[str, Column]], zone: str = "UTC", minutes: int = RULES["future_minutes"]) -> Column:
+    """struct(at, reason): the event's time; where that is too far ahead of its receipt, the first candidate that is another text, can be
+    read and isn't; the event's time again where none is."""
+    out = F.when(~in_future(occurred, received, minutes), F.struct(occurred.alias("at"), F.lit(None).cast("string").alias("reason")))
+    for reason, text in candidates:
+        at = parse_time(text, zone)
+        fits = (F.trim(text) != "") & (F.trim(text) != F.trim(current_text)) & at.isNotNull() & ~in_future(at, received, minutes)
+        out = out.when(F.coalesce(fits, F.lit(False)), F.struct(at.alias("at"), F.lit(reason).alias("reason")))
+    return out.otherwise(F.struct(occurred.alias("at"), F.lit(None).cast("string").alias("reason")))
+
+
+def normal_aliases(aliases: Column) -> Column:
+    """A map of aliases with keys and values in the plates' normal form."""
+    return F.transform_values(F.transform_keys(aliases, lambda k, v: plate_label(k)), lambda k, v: plate_label(v))
+
+
+def plate_alias(plate: Column, aliases: Column) -> Column:
+    """The plate that an alias stands for; others are only normalised."""
+    label = plate_label(plate)
+    return F.coalesce(F.element_at(normal_aliases(aliases), label), label)
+
+
+def alias_applied(plate: Column, aliases: Column) -> Column:
+    return F.coalesce(plate_alias(plate, aliases) != plate_label(plate), F.lit(False))
+
+
+def plate_in_name(name: Column) -> Column:
+    """Three letters and three digits that stand alone in a name, upper case; null without them."""
+    return F.nullif(F.upper(F.regexp_extract(name, r"(?i)(?<![a-z0-9])([a-z]{3}[ -]?[0-9]{3})(?![a-z0-9])", 1)), F.lit(""))
+
+
+def labelled(reason: Column, phrases: list[tuple[str, str]]) -> Column:
+    """A reason as people read it: underscores become spaces, then the first place of each phrase its label, in order."""
+    out = F.replace(reason, F.lit("_"), F.lit(" "))
+    for phrase, label in phrases:
+        out = F.regexp_replace(out, f"^(.*?){phrase}", f"$1{label}")
+    return out
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Percent with one decimal, 100 at most; 0 where there is nothing to do."""
+    return F.when(total > 0, F.least(F.lit(100.0), F.round(done / total * 100, 1))).otherwise(0.0)
+
+
+def ceil_share(done: Column, whole: Column, of: Column) -> Column:
+    """done of whole, in parts of of, rounded up; at least one part and at most all."""
+    return F.when(whole <= 0, of).otherwise(F.least(of, F.greatest(F.lit(1), F.ceil(done * of / whole)))).cast("long")
+
+
+def window_bounds(kind: str, start: Column, end: Column, zone: str) -> tuple[Column, Column]:
+    """A report's range: the day that ends at end, the local calendar month of start, or what is given."""
+    if kind == "rolling_24h":
+        return end - F.expr("INTERVAL 24 HOURS"), end
+    if kind == "calendar_month_local":
+        first = F.date_trunc("month", F.from_utc_timestamp(start, zone))
+        return F.to_utc_timestamp(first, zone), F.to_utc_timestamp(first + F.expr("INTERVAL 1 MONTH") - F.expr("INTERVAL 0.000001 SECOND"), zone)
+    return start, end

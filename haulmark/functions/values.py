@@ -48,6 +48,44 @@ DMS_STEMS = ["eye", "yawn", "phone", "smok", "distract", "fatigue", "collision",
 # The rules' defaults.
 RULES = {
     "streak_minutes": 15, "collision_minutes": 30, "yawn_minutes": 60, "eyes_closed_critical": 3, "fatigue_merge_minutes": 60,
-    "daily_cap": 20, "distraction_deviation": 3.0, "night_start": 22, "night_end": 5, "late_minutes": 20, "stopped_minutes": 45, "spike": 1.5,
+    "daily_cap": 20, "distraction_deviation": 3.0, "night_start": 22, "night_end": 5, "late_minutes": 20, "stopped_minutes": 45, "spike": 1.5, "collision_pattern": 3, "yawn_fatigue": 5, "fatigue_profile": 40, "night_profile": 15,
     "future_minutes": 5, "cut_minutes": 15, "overlap_minutes": 30, "match_seconds": 120,
 }
+
+# Sources whose events count, and results of ingesting that leave nothing to look at.
+ACTIVE_SOURCES = ("harvest", "live", "backfill", "catchup", "admin_backfill")
+DONE_RESULTS = ("inserted_alarm_event", "updated_alarm_event")
+
+# The client's confidence in each category.
+CONFIDENCE = {
+    "Uso de celular": "1.0",
+    "Fatiga en progresion": "0.9",
+    "Ojos cerrados": "0.5",
+    "Riesgo de colision": "0.8",
+    "Bostezo": "0.8",
+    "Camara cubierta": "0.9",
+    "Fumando": "0.7",
+    "Distraccion": "0.4",
+}
+
+# Phrases of reasons and their labels, in order of replacing.
+REASON_LABELS = [
+    ("classified non dms", "clasificada como no DMS"),
+    ("non dms text", "clasificada como no DMS por texto"),
+    ("dms like unmapped", "parece DMS pero quedo sin mapa"),
+    ("missing local", "no existe en local"),
+    ("stored local unmapped", "guardada local sin mapa"),
+    ("stored local classified non dms", "guardada local como no DMS"),
+    ("suppressed by rule", "suprimida por regla"),
+    ("rejected temporal", "rechazada por temporalidad"),
+    ("fused in episode", "fusionada en episodio"),
+    ("visible episode", "abre episodio"),
+    ("single eye closed", "ojo cerrado aislado"),
+    ("distraction below 3x", "distraccion bajo umbral 3x"),
+    ("merged yawn into fatigue", "bostezo fusionado a fatiga"),
+    ("missing dashboard mapping", "oculta por mapeo local"),
+    ("normalization failed", "fallo de normalizacion"),
+    ("missing day km", "sin kilometraje diario confiable"),
+    ("day gt total", "km del dia mayor que el total"),
+    ("total regression", "regresion de odometro"),
+]

@@ -95,3 +95,23 @@ def rejected(messages: DataFrame, zone: str, time_paths: Iterable[str], column:
     b = F.col("body")
     reason = F.when(F.col("problem").isNotNull(), F.col("problem")).when(device_id(b).isNull(), "missing_device").when(x.parse_time(at(b, *time_paths), zone).isNull(), "bad_time")
     return decoded(messages, column).withColumn("reason", reason).filter("reason is not null").drop("body", "problem")
+
+
+def pick_deep(body: Column, *keys: str) -> Column:
+    """The first non-empty of keys at the top, else in each nested object, one level down and then two, in their fixed order."""
+    two = [f"{a}.{b}.{k}" for a in NESTED for b in NESTED if a != b for k in keys]
+    return x.first_non_empty(pick(body, *keys), at(body, *two))
+
+
+#: What the provider's action codes mean.
+ACTIONS = {"80000": "login", "80001": "subscribe", "80003": "status", "80004": "alarm", "80009": "heartbeat"}
+
+
+def by_action(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Adds kind: what a live message is by its action code. Status and alarm messages whose payload is no object are wrong_shape, other codes
+    unknown, and what is no JSON object keeps its problem."""
+    rows = decoded(messages, column)
+    action = F.get_json_object("body", "$.action")
+    kind = F.coalesce(x.mapped(ACTIONS, action), F.lit("unknown"))
+    payload = F.coalesce(F.get_json_object("body", "$.payload").startswith("{"), F.lit(False))
+    return rows.withColumn("kind", F.when(F.col("problem").isNotNull(), F.col("problem")).when(kind.isin("status", "alarm") & ~payload, "wrong_shape").otherwise(kind)).drop("body", "problem")
