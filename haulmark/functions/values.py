@@ -83,7 +83,6 @@ REASON_LABELS = [
     ("single eye closed", "ojo cerrado aislado"),
     ("distraction below 3x", "distraccion bajo umbral 3x"),
     ("merged yawn into fatigue", "bostezo fusionado a fatiga"),
-    ("missing dashboard mapping", "oculta por mapeo local"),
     ("normalization failed", "fallo de normalizacion"),
     ("missing day km", "sin kilometraje diario confiable"),
     ("day gt total", "km del dia mayor que el total"),

@@ -6,7 +6,7 @@ import importlib
 
 from haulmark.plans.register import QUERIES
 
-for _name in ("dashboard", "mileage", "episodes", "ingest", "reconcile", "operations", "streams", "history", "raw_layer", "fleet", "client"):
+for _name in ("overview", "mileage", "episodes", "ingest", "reconcile", "operations", "streams", "history", "raw_layer", "fleet", "client", "landed"):
     importlib.import_module(f"haulmark.plans.{_name}")
 
 __all__ = ["QUERIES"]

@@ -111,7 +111,7 @@ def vehicle_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("category_composition", "SELECT c.category, count(m.guid) AS n, CASE WHEN (SELECT count(*) FROM month) = 0 THEN 0.0 ELSE round(count(m.guid)::DOUBLE / (SELECT count(*) FROM month) * 100, 1) END AS share FROM categories c LEFT JOIN month m USING (category) GROUP BY c.category")
 def category_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the series of each category add up to, and its share."""
-    from haulmark.plans.dashboard import serie_cat
+    from haulmark.plans.overview import serie_cat
 
     sums = serie_cat(spark, sf_dir).groupBy("category").agg(F.sum("n").alias("n"))
     total = sums.agg(F.sum("n").alias("total"))  # one row

@@ -46,9 +46,15 @@ def fatigue_pairs(found: DataFrame) -> DataFrame:
     return latest_unconsumed(found.filter(F.col("category").isin("Bostezo", "Ojos cerrados")).select("plate", "session_id", kind, "start_at", "end_at"), ["plate"], RULES["fatigue_merge_minutes"])
 
 
-@query("fatigue_merge")
+#: Yawn sessions of a vehicle lie more than an hour apart, so an eyes-closed one has one candidate at most, and the first taker gets it.
+PAIRS_SQL = """
+pairs AS (SELECT plate, taker, given FROM (SELECT e.plate, e.session_id AS taker, y.session_id AS given, row_number() OVER (PARTITION BY y.session_id ORDER BY e.start_at, e.session_id) AS k FROM sessions e JOIN sessions y ON y.plate = e.plate AND e.category = 'Ojos cerrados' AND y.category = 'Bostezo'
+  AND y.end_at < e.start_at AND e.start_at - y.end_at <= INTERVAL 60 MINUTE) WHERE k = 1)"""
+
+
+@query("fatigue_merge", f", {SESSION_SQL.strip()}, {PAIRS_SQL.strip()} SELECT plate, taker, given FROM pairs")
 def fatigue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With consumption: SQL can't express the fold; tests hold it against a plain loop."""
+    """With consumption: a fold in general; tests hold it against a plain loop too, with sessions that compete."""
     return fatigue_pairs(sessions(spark, sf_dir))
 
 
@@ -103,7 +109,12 @@ def episode_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_deviation(spark, sf_dir, sessions(spark, sf_dir)).select("session_id", "category", "n", status.alias("status"), reason.alias("reason"))
 
 
-@query("episodes")
+@query(
+    "episodes",
+    f"""{BASE_SQL}, {SESSION_SQL.strip()}, {DEVIATION_SQL.strip()}, {PAIRS_SQL.strip()}, e AS (SELECT j.*, p.given, y.n AS yawns, p.given IS NOT NULL AS merged, j.category = 'Ojos cerrados' AND j.n = 1 AND p.given IS NULL AS single, j.category = 'Distraccion' AND j.deviation < 3 AS weak FROM judged j LEFT JOIN pairs p ON p.taker = j.session_id LEFT JOIN sessions y ON y.session_id = p.given)
+    SELECT coalesce(given, session_id) AS episode_id, session_id, plate, CASE WHEN merged THEN 'Fatiga en progresion' ELSE category END AS category, CASE WHEN same_day > 20 THEN category || ' fuera de patron' WHEN merged THEN 'Fatiga en progresion' ELSE category END AS title, n + coalesce(yawns, 0) AS events,
+    CASE WHEN (single OR weak) AND NOT approved THEN 'suppressed_by_rule' ELSE 'visible_episode' END AS status, CASE WHEN single AND NOT approved THEN 'single_eye_closed' WHEN weak AND NOT approved THEN 'distraction_below_3x' WHEN same_day > 20 THEN 'anti_noise_daily_cap' WHEN merged THEN 'merged_yawn_into_fatigue' WHEN (single OR category = 'Distraccion') AND approved THEN 'manual_approved' ELSE 'visible' END AS reason, start_at, end_at FROM e""",
+)
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes with fatigue merging: an eyes-closed session and the yawn session that it takes are one; yawn sessions stay visible themselves."""
     s = with_deviation(spark, sf_dir, sessions(spark, sf_dir))

@@ -90,9 +90,15 @@ def json_object_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(rows, "doc").select("event_id", F.get_json_object("body", "$.k").alias("k"))
 
 
-@query("snapshot_full")
+@query(
+    "snapshot_full",
+    """, cells AS (SELECT company_slug, plate, day, hour, category, count(*) AS n FROM month GROUP BY ALL), t AS (SELECT company_slug, CAST(sum(n) AS BIGINT) AS alarms, count(DISTINCT plate) AS vehicles, CAST(sum(CASE WHEN hour >= 22 OR hour < 5 THEN n ELSE 0 END) AS BIGINT) AS night FROM cells GROUP BY 1),
+    sr AS (SELECT company_slug, list(struct_pack(category := category, day := day, n := n) ORDER BY category, day) AS series FROM (SELECT company_slug, category, day, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) GROUP BY 1), hr AS (SELECT company_slug, list(struct_pack(hour := hour, n := n) ORDER BY hour) AS hours FROM (SELECT company_slug, hour, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) GROUP BY 1),
+    tp AS (SELECT company_slug, list(struct_pack(place := place, plate := plate, n := n) ORDER BY place) AS top FROM (SELECT *, row_number() OVER (PARTITION BY company_slug ORDER BY n DESC, plate) AS place FROM (SELECT company_slug, plate, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL)) WHERE place <= 8 GROUP BY 1)
+    SELECT company_slug, CAST(to_json(struct_pack(alarms := alarms, vehicles := vehicles, night := night, series := series, hours := hours, top := top)) AS VARCHAR) AS snapshot_json FROM t JOIN sr USING (company_slug) JOIN hr USING (company_slug) JOIN tp USING (company_slug)""",
+)
 def snapshot_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each company's dashboard as one JSON text: totals, a series for each category, hours, severities and the most alarmed vehicles.
+    """Each company's month as one JSON text: totals, a series for each category, hours, severities and the most alarmed vehicles.
 
     One aggregate over (company, vehicle, day, hour, category) feeds all of it; the nested parts have a bounded number of entries.
     """

@@ -122,9 +122,13 @@ def dedupe_provider_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(resent(spark, sf_dir)).groupBy("provider_key").agg(F.min_by("guid", "event_id").alias("guid"), F.count("*").alias("copies"))
 
 
-@query("dedupe_three_key")
+@query(
+    "dedupe_three_key",
+    f""", {RESENT_SQL}, k AS (SELECT device_id, guid, ['g' || guid, 'p' || {KEY_SQL}, 'f' || category || '|' || coalesce(tp, '~') || '|' || epoch_us(occurred_at)] AS keys, row_number() OVER (PARTITION BY device_id ORDER BY event_id) AS n FROM resent)
+    SELECT guid, dup AS is_duplicate FROM (WITH RECURSIVE st AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS seen, '' AS guid, false AS dup FROM k UNION ALL SELECT k.device_id, k.n, CASE WHEN list_has_any(st.seen, k.keys) THEN st.seen ELSE list_concat(st.seen, k.keys) END, k.guid, list_has_any(st.seen, k.keys) FROM st JOIN k ON k.device_id = st.device_id AND k.n = st.n + 1) SELECT * FROM st WHERE n > 0)""",
+)
 def dedupe_three_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate if any of three keys was seen on a kept row; SQL has no form for it. The third key is category, subtype and exact time; a null is a value of its own."""
+    """Duplicate if any of three keys was seen on a kept row. The third key is category, subtype and exact time; a null is a value of its own."""
     fuzzy = F.to_json(F.struct("category", "tp", F.unix_micros("occurred_at").alias("at")), {"ignoreNullFields": "false"})
     rows = keyed(resent(spark, sf_dir)).withColumn("fuzzy", fuzzy)
     return upserts.first_by_any_key(rows.select("device_id", "event_id", "guid", "provider_key", "fuzzy"), "device_id", "event_id", ["guid", "provider_key", "fuzzy"]).select("guid", "is_duplicate")

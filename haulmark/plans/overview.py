@@ -1,4 +1,4 @@
-"""Counts by day, hour, category and vehicle: the dashboard."""
+"""Counts by day, hour, category and vehicle: a month at a glance."""
 
 from __future__ import annotations
 

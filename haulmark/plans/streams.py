@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from haulmark.plans.episodes import SESSION_SQL
 from haulmark.plans.register import query
@@ -25,17 +26,25 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there; its last result as a table."""
+def finished(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is there; its result as a table: the last batch in complete mode; of all batches, the last row of each key in
+    update mode; all rows in append mode. A batch that is done again overwrites itself."""
     base = folder(spark)
-    last: list[str] = []
+    done: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
-        last.append(f"{base}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{base}/batches/batch={number}")
+        done.append(number)
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{base}/batches")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
+    if mode == "update":
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys and c != "batch"]), "batch").alias("_r")).select(*keys, "_r.*")
+    return rows.drop("batch")
 
 
 @query("stream_session", f", {SESSION_SQL.strip()} SELECT plate, category, start_at, n FROM sessions")
@@ -47,7 +56,7 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_cuts", "SELECT time_bucket(INTERVAL 15 MINUTE, occurred_at) + to_minutes(15 * k.k) - INTERVAL 30 MINUTE AS start_at, count(*) AS n FROM alarms, (SELECT unnest(range(3)) AS k) k GROUP BY 1")
 def stream_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(spark, cuts.cut_stream(stream_of(spark, sf_dir)), "complete")
+    return finished(spark, cuts.cut_stream(stream_of(spark, sf_dir)), "update", ["start_at"])
 
 
 @query("stream_status_state", "SELECT device_id, count(*) AS accepted, CAST(0 AS BIGINT) AS regressions, round(CAST(sum(value) AS DOUBLE), 2) AS last_total FROM alarms GROUP BY device_id")
@@ -57,4 +66,19 @@ def stream_status_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     d.readings(spark, sf_dir).write.parquet(f"{base}/readings")
     schema = spark.read.parquet(f"{base}/readings").schema
     readings = spark.readStream.schema(schema).parquet(f"{base}/readings")
-    return finished(spark, cuts.status_stream(readings.select("device_id", "observed_at", "event_id", "total_km")), "update").withColumn("last_total", F.round("last_total", 2))
+    return finished(spark, cuts.status_stream(readings.select("device_id", "observed_at", "event_id", "total_km")), "update", ["device_id"]).withColumn("last_total", F.round("last_total", 2))
+
+
+@query(
+    "stream_status_regressions",
+    """SELECT device_id, count_if(NOT bad)::BIGINT AS accepted, count_if(bad)::BIGINT AS regressions FROM (SELECT device_id, coalesce(total_km + 0.1 < max(total_km) OVER (PARTITION BY device_id ORDER BY observed_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS bad
+    FROM (SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN greatest(total_km - 300, 0) ELSE total_km END AS total_km) FROM readings)) GROUP BY device_id""",
+)
+def stream_status_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that fall back, counted over several micro-batches: files of a few days each, one a batch, in order of time."""
+    base = folder(spark)
+    r = d.readings(spark, sf_dir).select("device_id", "observed_at", "event_id", F.when(F.col("event_id") % 13 == 0, F.greatest(F.col("total_km") - 300, F.lit(0))).otherwise(F.col("total_km")).cast("double").alias("total_km"))
+    for k, (lo, hi) in enumerate((("2000-01-01", "2024-01-08"), ("2024-01-08", "2024-01-20"), ("2024-01-20", "2100-01-01"))):
+        r.filter(f"observed_at >= TIMESTAMP '{lo} 00:00:00' and observed_at < TIMESTAMP '{hi} 00:00:00'").coalesce(1).write.parquet(f"{base}/readings/part={k}")
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{base}/readings")
+    return finished(spark, cuts.status_stream(stream), "update", ["device_id"]).drop("last_total")

@@ -22,9 +22,10 @@ def company_config(spark: SparkSession, file: str, rows: DataFrame | None = None
 
 
 def write_events(df: DataFrame, path: str, day: str = "day") -> None:
-    """The layout of event tables: a folder a company and day, rows of a device together, so tenant and time filters prune. Rewrites touched days only."""
+    """The layout of event tables: a folder a company and day, rows of a device together, so tenant and time filters prune. Rewrites touched days
+    only. Rebalancing splits a day of a large tenant over tasks, each with a file of its own, and puts small ones together."""
     (
-        df.repartition("company_slug", day)
+        df.hint("rebalance", F.col("company_slug"), F.col(day))
         .sortWithinPartitions("company_slug", day, "device_id", "occurred_at")
         .write.partitionBy("company_slug", day).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     )
@@ -59,3 +60,13 @@ def closed_months(df: DataFrame, year: int, month: int) -> DataFrame:
 def publish(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "15 minutes"):
     """Pushes each micro-batch to subscribers through send; returns the running query."""
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
+def assign_company(config: DataFrame, changes: DataFrame) -> DataFrame:
+    """The configuration with changes of (slug, action, device_ids, fleet_ids): 'assign' replaces a company's lists, 'add' unites them, 'delete'
+    removes it, and an unknown slug is added. Lists come out sorted and distinct. One change a slug."""
+    none = F.array().cast("array<string>")
+    tidy = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
+    both = config.alias("c").join(changes.alias("x"), "slug", "full")
+    now = lambda c: F.when(F.col("x.action").isNull(), F.col(f"c.{c}")).when(F.col("x.action") == "add", F.array_union(F.coalesce(F.col(f"c.{c}"), none), F.col(f"x.{c}"))).otherwise(F.col(f"x.{c}"))
+    return both.filter(F.coalesce(F.col("x.action") != "delete", F.lit(True))).select("slug", tidy(now("device_ids")).alias("device_ids"), tidy(now("fleet_ids")).alias("fleet_ids"))

@@ -107,3 +107,47 @@ def test_a_hot_key_is_not_one_fold(spark):
     flags = upserts.first_by_any_key(spark.createDataFrame(links, "dev string, id int, k1 string, k2 string"), "dev", "id", ["k1", "k2"])
     assert {x.id: x.is_duplicate for x in flags.collect()} == {i: i % 2 == 1 for i in range(14)}
     assert "Pandas" not in plan(flags)
+
+
+def test_history_source_opens_only_what_is_asked_for(spark, tmp_path):
+    import datetime
+
+    from haulmark.sources.provider import EqualTo, GreaterThanOrEqual, HistoryReader, In, history
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [(f"g{k}", f"D{k % 4}", "Bostezo", "66", day(1 + k % 20), float(k)) for k in range(200)]
+    spark.createDataFrame(rows, "guid string, device_id string, category string, tp string, occurred_at timestamp, value double").write.partitionBy("device_id").parquet(f"{tmp_path}/h")
+    reader = HistoryReader(f"file://{tmp_path}/h")
+    left = list(reader.pushFilters([In(("device_id",), ("D1", "D2", "D9")), GreaterThanOrEqual(("occurred_at",), day(15)), EqualTo(("category",), "Bostezo")]))
+    assert left == [EqualTo(("category",), "Bostezo")] and [p.device for p in reader.partitions()] == ["D1", "D2"]
+    df = history(spark, f"file://{tmp_path}/h")
+    assert df.count() == 200
+    got = {r.guid for r in df.filter("device_id = 'D1' and occurred_at >= TIMESTAMP '2024-01-15 00:00:00'").collect()}
+    assert got == {g for g, dev, _, _, t, _ in rows if dev == "D1" and t >= day(15)}
+    assert history(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_members_like_the_rule(spark):
+    from haulmark.operators.tenants import members
+
+    companies = [("a", ["D1", "D1", "D2"], [], 0), ("b", [], ["F1"], 1), ("c", ["D3"], ["F2"], 2), ("d", [], [], 3), ("e", None, None, 4)]
+    rows = [(i, dev, fleet) for i, (dev, fleet) in enumerate([("D1", "F1"), ("D1", "F1"), ("D3", "F2"), ("D9", "F2"), (None, "F2"), ("", "F1"), ("D2", None), (None, None)])]
+
+    def belongs(dev, fleet, devs, fleets):
+        devs, fleets = devs or [], fleets or []
+        if devs and dev:
+            return dev in devs
+        if fleets and fleet:
+            return fleet in fleets
+        return not devs and not fleets
+
+    got = members(spark.createDataFrame(rows, "i int, device_id string, fleet_id string"), spark.createDataFrame(companies, "slug string, device_ids array<string>, fleet_ids array<string>, position int")).collect()
+    assert sorted((r.i, r.slug) for r in got) == sorted((i, s) for i, dev, fleet in rows for s, devs, fleets, _ in companies if belongs(dev, fleet, devs, fleets))
+
+
+def test_update_mode_keeps_keys_of_all_batches(spark):
+    from haulmark.plans.catalog import QUERIES
+
+    got = QUERIES["stream_status_regressions"][0](spark, "/root/testdata/sf0.001").collect()
+    devices = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
+    assert len(got) == devices and sum(r.regressions for r in got) > 0
