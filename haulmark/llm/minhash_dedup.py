@@ -5,9 +5,9 @@ four bits of all minima packed into eight longs, and the text in zstd. Documents
 least doc_id goes on. Classes that share a band key are candidates. A pair whose bit counts, corrected for chance collisions, leave
 room for the similarity is confirmed on the full shingle sets. Pairs come first from pivots: a bucket's members against one of them, in
 rounds with other pivots while these still connect something, and only between what isn't connected yet, so a large group of near copies
-makes rows by its members, not by its pairs. Buckets that still hold several components are then compared in full, in pairs of blocks: by
-signatures alone, whose rows are small; only pairs that these leave open fetch their texts. Where a pair of blocks leaves too many
-open, its texts come together instead and give the links that connect components, a forest. No link is lost on either way.
+makes rows by its members, not by its pairs. Buckets that still hold several components are then compared in full, in pairs of blocks. Where a bucket has several blocks, rows without texts come together first, and
+only documents in a pair that signatures leave open take their text to that pair of blocks. Texts give the links that connect components,
+a forest. No link is lost on the way.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>, "
 
 @dataclass(frozen=True)
 class MinHash:
-    """rounds: of pivots, at most. block: documents in a block. open_pairs: for each document of a pair of blocks, beyond which texts meet.
+    """rounds: of pivots, at most. block: documents in a block.
     similarity: in hundredths. slack: how far an estimate may lie under it; six standard errors of 128 four-bit minima."""
 
     words: int = 5
@@ -40,7 +40,6 @@ class MinHash:
     slack: float = 0.24
     rounds: int = 4
     block: int = 2048
-    open_pairs: int = 16
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -179,25 +178,20 @@ def may_link(sig: np.ndarray, size: np.ndarray, i: int, right: np.ndarray, m: Mi
     return near & (100 * np.minimum(size[right], size[i]) >= m.similarity * np.maximum(size[right], size[i]))
 
 
-def block_pairs(table: pa.Table, m: MinHash) -> pa.Table:
-    """Pairs of one block of a bucket with another (or itself) that signatures leave open; one row without a pair if they are too many."""
+def block_open(table: pa.Table, m: MinHash) -> pa.Table:
+    """Documents of one block of a bucket with another (or itself) that are in a pair which signatures leave open."""
     ids, label, side, size = (table[c].to_numpy() for c in ("id", "label", "block", "n_shingles"))
     sig = np.stack([table[f"s{i}"].to_numpy().view(U64) for i in range(8)], axis=1)
     key, lo, hi = (table[c][0].as_py() for c in ("key", "lo", "hi"))
     left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-    out_a, out_b, n = [], [], 0
+    is_open = np.zeros(len(ids), bool)
     for i in left.tolist():
         other = right[(label[right] != label[i]) & ((ids[right] > ids[i]) | (lo != hi))]
         hit = other[may_link(sig, size, i, other, m)] if len(other) else other
-        n += len(hit)
-        if n > m.open_pairs * table.num_rows:
-            out_a, out_b = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-            break
-        out_a.append(np.full(len(hit), ids[i]))
-        out_b.append(ids[hit])
-    dense = n > m.open_pairs * table.num_rows
-    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (out_a, out_b))
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "dense": pa.array(np.full(len(a), dense)), "key": pa.array(np.full(len(a), key, np.int64)), "lo": pa.array(np.full(len(a), lo, np.int32)), "hi": pa.array(np.full(len(a), hi, np.int32))})
+        if len(hit):
+            is_open[i] = is_open[hit] = True
+    found = ids[is_open]
+    return pa.table({"id": pa.array(found), "key": pa.array(np.full(len(found), key, np.int64)), "lo": pa.array(np.full(len(found), lo, np.int32)), "hi": pa.array(np.full(len(found), hi, np.int32))})
 
 
 def block_links(table: pa.Table, m: MinHash) -> pa.Table:
@@ -281,29 +275,28 @@ def minhash_dedup(docs: DataFrame, setting: MinHash | None = None) -> DataFrame:
         new = connected_components(edges).select(F.col("id").alias("label"), F.col("label").alias("least"))
         return checkpoint(old.join(new, "label", "left").select("id", F.coalesce("least", "label").alias("label")))
 
+    most = 0
     for k in range(m.rounds):
         chosen = F.col("id") if k == 0 else F.xxhash64("id", "key", F.lit(k))
         pairs = active(chosen).filter("label <> pivot.label").select(F.col("id").alias("a"), F.col("pivot.id").alias("b")).distinct()
         links = checkpoint(confirmed(pairs, cands, m))
-        if links.isEmpty():
+        n = links.count()
+        if n:
+            labels = merge(links)
+        if 100 * n <= most:  # the rest is for the blocks
             break
-        labels = merge(links)
-
-    def in_blocks() -> DataFrame:
-        rest = active(F.col("id")).select("key", "id", "label", "size")
-        blocks = F.ceil(F.col("size") / m.block).cast("int")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        return rest.select("key", "id", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        most = max(most, n)
 
+    rest = active(F.col("id")).select("key", "id", "label", "size")
+    blocks = F.ceil(F.col("size") / m.block).cast("int")
+    rest = rest.withColumn("several", blocks > 1).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = written(rest.select("key", "id", "label", "several", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "blocks")
     sigs = [f"s{i}" for i in range(8)]
-    near = written(in_blocks().join(cands.select("id", "n_shingles", *sigs), "id").groupBy("key", "lo", "hi").applyInArrow(lambda t: block_pairs(t, m), "a long, b long, dense boolean, key long, lo int, hi int"), "near")
-    links = checkpoint(confirmed(near.filter("not dense").select("a", "b").distinct(), cands, m))
-    if not links.isEmpty():
-        labels = merge(links)
-    dense = near.filter("dense").select("key", "lo", "hi")
-    if not dense.isEmpty():
-        rest = in_blocks().join(dense, ["key", "lo", "hi"], "left_semi").join(cands.select("id", "body", *sigs), "id")
-        labels = merge(rest.groupBy("key", "lo", "hi").applyInArrow(lambda t: block_links(t, m), "a long, b long"))
+    # a bucket of one block has each text once; in larger ones only documents that signatures leave open take theirs to each pair of blocks
+    many = rest.filter("several").join(cands.select("id", "n_shingles", *sigs), "id")
+    some = written(many.groupBy("key", "lo", "hi").applyInArrow(lambda t: block_open(t, m), "id long, key long, lo int, hi int"), "open")
+    rest = rest.filter("not several").unionByName(rest.filter("several").join(some, ["key", "lo", "hi", "id"], "left_semi")).join(cands.select("id", "body", *sigs), "id")
+    labels = merge(rest.groupBy("key", "lo", "hi").applyInArrow(lambda t: block_links(t, m), "a long, b long"))
 
     found = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component"))
     out = whole.join(found, ["set_a", "set_b", "n_shingles"], "left").groupBy("id").agg(F.min("component").alias("component"))
