@@ -199,3 +199,8 @@ def window_bounds(kind: str, start: Column, end: Column, zone: str) -> tuple[Col
         first = F.date_trunc("month", F.from_utc_timestamp(start, zone))
         return F.to_utc_timestamp(first, zone), F.to_utc_timestamp(first + F.expr("INTERVAL 1 MONTH") - F.expr("INTERVAL 0.000001 SECOND"), zone)
     return start, end
+
+
+def backoff(base_seconds: int, tries: Column, most_seconds: int) -> Column:
+    """Seconds to wait after so many failures: doubled each time, up to a bound."""
+    return F.least(F.lit(base_seconds) * F.pow(F.lit(2), F.least(tries, F.lit(30))), F.lit(most_seconds)).cast("long")

@@ -68,20 +68,26 @@ def normalize_alarm(messages: DataFrame, zone: str, column: str = "value") -> Da
     text = x.clean_string(both("alarmTypeValue", "alarmType", "alarmtypeValue", "alarmName", "typeName", "name"))
     text = F.coalesce(text, F.nullif(F.regexp_extract(F.coalesce(both("alarmDetail"), F.lit("")), r"(?i)type\s*:\s*([^;]+)", 1), F.lit("")))
     tp = F.coalesce(x.clean_string(both("det.tp", "tp")), F.nullif(F.regexp_extract(F.coalesce(both("alarmvalue", "alarmDetail"), F.lit("")), r"tp:(\d+)", 1), F.lit("")))
-    code = x.clean_string(both("ec", "alarmtype", "alarmType"))
-    time = F.when(live, at(b, "payload.dtu", "payload.st", "location.dtu", "dtu", "st")).otherwise(both("endTime", "startTime", "reportTime"))
-    gps = F.split(F.coalesce(both("alarmGps"), F.lit("")), ",", 2)
     number = lambda c: x.clean_string(c).try_cast("double")
-    stamp = lambda live_at, other: x.parse_time(F.when(live, live_at).otherwise(other), zone)
-    c = x.classify(text, tp, code, both("category"), at(b, "payload.detail.category", "detail.category"))
-    rows = decoded(messages, column).filter("body is not null").select(
+    # each field is picked once, as a column of its own: what is worked out from it refers to the column
+    fields = {
+        "_live": live, "_text": text, "_tp": tp, "_code": x.clean_string(both("ec", "alarmtype", "alarmType")), "_category": both("category"), "_detail": at(b, "payload.detail.category", "detail.category"),
+        "_live_time": at(b, "payload.dtu", "payload.st", "location.dtu", "dtu", "st"), "_told_time": both("endTime", "startTime", "reportTime"), "_st": both("st"), "_et": both("et"), "_start": both("startTime", "endTime"), "_end": both("endTime", "reportTime"), "_gps": both("alarmGps"),
+        "_lat": at(b, "location.latitude"), "_lon": at(b, "location.longitude"), "given_guid": at(b, "alarmID", "guid", "payload.uuid", "uuid"), "device_id": device_id(b), "plate_no": both("plateNo", "plateno"), "fleet_id": pick(b, "fleetID", "fleetId", "fleetid"),
+        "driver_name": both("drname", "driverName", "drivername"), "_km": both("totalMileage", "mileage.total"),
+    }
+    picked = decoded(messages, column).filter("body is not null").select(*[F.col(k) for k in messages.columns if k != column], b.alias("raw_payload"), *[v.alias(k) for k, v in fields.items()])
+    live, text, tp, code = (F.col(c) for c in ("_live", "_text", "_tp", "_code"))
+    time = F.when(live, F.col("_live_time")).otherwise(F.col("_told_time"))
+    gps = F.split(F.coalesce("_gps", F.lit("")), ",", 2)
+    stamp = lambda live_at, other: x.parse_time(F.when(live, F.col(live_at)).otherwise(F.col(other)), zone)
+    rows = picked.select(
         *[F.col(k) for k in messages.columns if k != column],
-        at(b, "alarmID", "guid", "payload.uuid", "uuid").alias("given_guid"), device_id(b).alias("device_id"), x.parse_time(time, zone).alias("occurred_at"),
-        stamp(both("st"), both("startTime", "endTime")).alias("start_at"), stamp(both("et"), both("endTime", "reportTime")).alias("end_at"), c.alias("_c"),
+        "given_guid", "device_id", x.parse_time(time, zone).alias("occurred_at"), stamp("_st", "_start").alias("start_at"), stamp("_et", "_end").alias("end_at"), x.classify(text, tp, code, F.col("_category"), F.col("_detail")).alias("_c"),
         F.when(live, F.coalesce(tp, text)).otherwise(F.coalesce(text, tp)).alias("subtype"), text.alias("raw_alarm_type"), tp.alias("raw_tp"), code.alias("raw_event_code"),
-        x.plate_label(both("plateNo", "plateno")).alias("plate_no"), pick(b, "fleetID", "fleetId", "fleetid").alias("fleet_id"), both("drname", "driverName", "drivername").alias("driver_name"),
-        F.when(live, number(at(b, "location.latitude"))).otherwise(number(F.get(gps, 1))).alias("latitude"), F.when(live, number(at(b, "location.longitude"))).otherwise(number(F.get(gps, 0))).alias("longitude"),
-        x.distance_km(x.clean_string(both("totalMileage", "mileage.total"))).alias("total_mileage_km"), time.alias("raw_event_time"), b.alias("raw_payload"),
+        x.plate_label(F.col("plate_no")).alias("plate_no"), "fleet_id", "driver_name",
+        F.when(live, number(F.col("_lat"))).otherwise(number(F.get(gps, 1))).alias("latitude"), F.when(live, number(F.col("_lon"))).otherwise(number(F.get(gps, 0))).alias("longitude"),
+        x.distance_km(x.clean_string(F.col("_km"))).alias("total_mileage_km"), time.alias("raw_event_time"), "raw_payload",
     ).filter("device_id is not null and occurred_at is not null")
     none = F.lit(None).cast("string")
     key = x.event_key(none, F.col("device_id"), F.col("_c.category"), F.col("raw_alarm_type"), F.col("raw_tp"), F.col("raw_event_code"), F.col("occurred_at"), F.col("start_at"), F.col("end_at"))

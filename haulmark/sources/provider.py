@@ -54,6 +54,8 @@ class HistoryReader(DataSourceReader):
         import pyarrow.dataset as pads
         import pyarrow.fs as pafs
 
+        if partition is None:  # Spark reads one empty partition where there are none
+            return
         system, _ = pafs.FileSystem.from_uri(self.path)
         files = pads.dataset(partition.files, filesystem=system, format="parquet")
         keep = None
