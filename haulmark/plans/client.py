@@ -334,3 +334,36 @@ def snapshot_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = d.alarms(spark, sf_dir).groupBy("company_slug").agg(feed.alias("feed"), late.alias("anomalies_24h"))
     body = F.from_json("snapshot", "feed string, anomalies_24h long, alarms long")
     return stored.join(live, "company_slug").select("company_slug", F.to_json(body.withField("feed", F.col("feed")).withField("anomalies_24h", F.col("anomalies_24h"))).alias("snapshot"))
+
+
+SECTION_SQL = """, cells AS (SELECT company_slug, plate, day, hour, category, coalesce(nullif(tp, ''), category) AS subtype, count(*) AS n FROM month GROUP BY ALL),
+sections AS (SELECT company_slug, 'series' AS section, category AS k1, CAST(day AS VARCHAR) AS k2, sum(n) AS n FROM cells GROUP BY ALL UNION ALL SELECT company_slug, 'heat', category, CAST(hour AS VARCHAR), sum(n) FROM cells GROUP BY ALL
+  UNION ALL SELECT company_slug, 'today_category', category, '', sum(n) FROM cells WHERE day = DATE '2024-01-30' GROUP BY ALL UNION ALL SELECT company_slug, 'today_vehicle', plate, '', sum(n) FROM cells WHERE day = DATE '2024-01-30' GROUP BY ALL
+  UNION ALL SELECT company_slug, 'vehicle_category', plate, category, sum(n) FROM cells GROUP BY ALL UNION ALL SELECT company_slug, 'vehicle_night', plate, '', sum(n) FROM cells WHERE hour >= 22 OR hour < 5 GROUP BY ALL
+  UNION ALL SELECT company_slug, 'week_vehicle_day', plate, CAST(day AS VARCHAR), sum(n) FROM cells WHERE day > DATE '2024-01-23' GROUP BY ALL UNION ALL SELECT company_slug, 'week_category_vehicle', category, plate, sum(n) FROM cells WHERE day > DATE '2024-01-23' GROUP BY ALL
+  UNION ALL SELECT company_slug, 'severity', coalesce(severity, 'medio'), '', sum(n) FROM cells LEFT JOIN categories USING (category) GROUP BY ALL UNION ALL SELECT company_slug, 'subtype', subtype, category, sum(n) FROM cells GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY company_slug, section ORDER BY n DESC, k1, k2) AS place FROM sections)"""
+
+
+@query("snapshot_sections", f"{SECTION_SQL} SELECT company_slug, section, k1, k2, CAST(n AS BIGINT) AS n FROM ranked WHERE place <= CASE section WHEN 'today_vehicle' THEN 8 WHEN 'subtype' THEN 20 ELSE 1000000000 END")
+def snapshot_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counted parts of a company's snapshot, a row an entry: series, heat, today, vehicles, the week's matrices, severities and subtypes.
+
+    One aggregate over the month gives cells; each cell goes into the sections that hold it and is added up there. Ranked sections keep
+    their first entries.
+    """
+    from pyspark.sql import Window
+
+    subtype = F.coalesce(F.nullif("tp", F.lit("")), F.col("category"))
+    cells = d.month(spark, sf_dir).groupBy("company_slug", "plate", "day", "hour", "category", subtype.alias("subtype")).agg(F.count("*").alias("n"))
+    severity = F.coalesce(F.element_at(F.create_map(*[v for c, _, s in CATEGORIES for v in (F.lit(c), F.lit(s))]), F.col("category")), F.lit("medio"))
+    today, week = F.col("day") == F.expr(d.LAST_DAY), F.col("day") > F.expr(f"date_sub({d.LAST_DAY}, 7)")
+    entry = lambda name, k1, k2=None: F.struct(F.lit(name).alias("section"), (k1 if isinstance(k1, Column) else F.col(k1)).alias("k1"), (F.lit("") if k2 is None else F.col(k2).cast("string")).alias("k2"))
+    parts = [
+        entry("series", "category", "day"), entry("heat", "category", "hour"), F.when(today, entry("today_category", "category")), F.when(today, entry("today_vehicle", "plate")), entry("vehicle_category", "plate", "category"),
+        F.when(x.is_night(F.col("hour")), entry("vehicle_night", "plate")), F.when(week, entry("week_vehicle_day", "plate", "day")), F.when(week, entry("week_category_vehicle", "category", "plate")), entry("severity", severity), entry("subtype", "subtype", "category"),
+    ]
+    sums = cells.select("company_slug", F.explode(F.array_compact(F.array(*parts))).alias("e"), "n").groupBy("company_slug", "e.section", "e.k1", "e.k2").agg(F.sum("n").alias("n"))
+    most = F.when(F.col("section") == "today_vehicle", 8).when(F.col("section") == "subtype", 20)
+    some = sums.filter(most.isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("company_slug", "section").orderBy(F.desc("n"), "k1", "k2"))).filter(F.col("place") <= most).drop("place")
+    return sums.filter(most.isNull()).unionByName(some)

@@ -308,3 +308,11 @@ def quarantine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = upserts.insert_if_absent(nothing, late, ["guid"])
     again = upserts.insert_if_absent(once, late, ["guid"]).groupBy("device_id").agg(F.count("*").alias("twice"))
     return once.groupBy("device_id").agg(F.count("*").alias("replayed")).join(again, "device_id", "left").select("device_id", "replayed", F.coalesce("twice", F.lit(0)).alias("twice"))
+
+
+@query("anomaly_list", "SELECT device_id, plate, 'alarm' AS source_type, 'future_timestamp' AS reason, received_at, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS raw_event_time, CAST(floor(epoch(TIMESTAMP '2024-01-31 00:00:00' - received_at) / 60) AS BIGINT) AS age_minutes FROM alarms WHERE occurred_at > received_at + INTERVAL 5 MINUTE ORDER BY received_at DESC, event_id DESC LIMIT 200")
+def anomaly_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest 200 anomalies, as the operators' list shows them."""
+    rows = d.alarms(spark, sf_dir).filter(x.in_future(F.col("occurred_at"), F.col("received_at"))).orderBy(F.desc("received_at"), F.desc("event_id")).limit(200)
+    age = F.floor((F.unix_micros(F.lit(d.AS_OF).cast("timestamp")) - F.unix_micros("received_at")) / 60_000_000)
+    return rows.select("device_id", "plate", F.lit("alarm").alias("source_type"), F.lit("future_timestamp").alias("reason"), "received_at", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("raw_event_time"), age.alias("age_minutes"))
