@@ -34,58 +34,70 @@ def classify(text: np.ndarray) -> np.ndarray:
     return up[np.minimum.accumulate(known[::-1])[::-1]] > 0
 
 
+def continued(block: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What a bucket induces in itself: each member's suffix one place to the left while the symbol there is the same (before: how often it
+    is), all members' first ones first, then all second ones, and so on."""
+    n = before[block]
+    who = np.repeat(block, n)
+    step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + 1
+    return (who - step)[np.argsort(step, kind="stable")]
+
+
 def induce(text: np.ndarray, small: np.ndarray, order: np.ndarray, symbols: int) -> np.ndarray:
     """All suffixes in order, from the leftmost-smaller ones in order: larger types from the left, then smaller ones from the right.
 
-    A bucket's members are placed a block at a time, so the work is linear with few numpy calls for each symbol.
+    A bucket first continues its own runs of one symbol, then gives to other buckets, each in one step: few numpy calls for each symbol,
+    however long its runs.
     """
     n = len(text)
     counts = np.bincount(text, minlength=symbols)
     ends = np.cumsum(counts)
     starts = ends - counts
+    place = np.arange(n)
+    before = place - np.maximum.accumulate(np.where(np.r_[True, text[1:] != text[:-1]], place, 0))
     out = np.full(n, -1, np.int64)
     of = text[order]
     lms = np.bincount(of, minlength=symbols)
-    sorted_order = order[stable_order(of, symbols)]
-    out[ragged(ends - lms, lms)] = sorted_order
+    out[ragged(ends - lms, lms)] = order[stable_order(of, symbols)]
     head = starts.copy()
 
-    def place(block: np.ndarray, larger: bool) -> None:
-        before = block[block > 0] - 1
-        before = before[small[before] != larger]
-        if not len(before):
+    def give(block: np.ndarray, larger: bool) -> None:
+        """To other buckets: the suffix before each member, where it has the type looked for."""
+        block = block[(block > 0) & (before[block] == 0)] - 1
+        block = block[small[block] != larger]
+        if not len(block):
             return
-        keys = text[before]
+        keys = text[block]
         by = stable_order(keys, symbols)
-        before, keys = before[by], keys[by]
+        block, keys = block[by], keys[by]
         got = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.append(got, len(keys)))
         rank = np.arange(len(keys)) - np.repeat(got, size)
         if larger:
-            out[head[keys] + rank] = before
+            out[head[keys] + rank] = block
             head[keys[got]] += size
         else:
-            out[tail[keys] - 1 - rank] = before
+            out[tail[keys] - 1 - rank] = block
             tail[keys[got]] -= size
 
     used = np.flatnonzero(counts)
     for c in used:
-        lo = starts[c]
-        while lo < head[c]:
-            hi = head[c]
-            place(out[lo:hi], True)
-            lo = hi
+        if head[c] > starts[c]:
+            own = continued(out[starts[c] : head[c]], before)
+            out[head[c] : head[c] + len(own)] = own
+            head[c] += len(own)
+            give(out[starts[c] : head[c]], True)
         if lms[c]:
-            place(out[ends[c] - lms[c] : ends[c]], True)
+            give(out[ends[c] - lms[c] : ends[c]], True)
     large_end = head.copy()
     tail = ends.copy()
     for c in used[::-1]:
-        hi = ends[c]
-        while hi > tail[c]:
-            lo = tail[c]
-            place(out[lo:hi][::-1], False)
-            hi = lo
-        place(out[starts[c] : large_end[c]][::-1], False)
+        if tail[c] < ends[c]:
+            own = continued(out[tail[c] : ends[c]][::-1], before)
+            out[tail[c] - len(own) : tail[c]] = own[::-1]
+            tail[c] -= len(own)
+            give(out[tail[c] : ends[c]][::-1], False)
+        give(out[starts[c] : large_end[c]][::-1], False)
     if small[n - 1]:
         out[starts[text[n - 1]]] = n - 1
     return out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -168,3 +169,19 @@ def test_very_long_and_repetitive_texts(spark):
     assert got == {1: 0, 2: len(long[:200_000].split()) - (long[200_000] != " "), 3: 0, 4: 20_000, 5: 0}
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_array_dedup(df).collect()}
     assert got == {1: (0, 0), 2: (200_000, 1), 3: (0, 0), 4: (60_000, 1), 5: (0, 0)}
+
+
+def test_long_runs_of_one_symbol():
+    """Linear in runs of any length, also where several are beside each other."""
+    text = np.r_[np.full(400_000, 98), 1, np.full(300_000, 98), 97, np.full(200_000, 98), 99, np.full(5, 97), 0]
+    began = time.process_time()
+    order = suffix_array(text, 258)
+    assert time.process_time() - began < 20
+    assert sorted(order.tolist()) == list(range(len(text)))
+    rank = np.empty(len(text), np.int64)
+    rank[order] = np.arange(len(text))
+    # suffixes are in order if the first symbols are, and among equal ones the suffixes after them
+    first = text[order]
+    assert (np.diff(first) >= 0).all()
+    same = np.flatnonzero(np.diff(first) == 0)
+    assert (rank[order[same] + 1] < rank[order[same + 1] + 1]).all()
