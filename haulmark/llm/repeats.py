@@ -30,7 +30,8 @@ _BLOCK = 1 << 16
 
 @dataclass(frozen=True)
 class Setting:
-    """window: length of a repeat. gram: length of an anchor. part_bytes: text in a part. hot_parts: an anchor in so many parts is hot."""
+    """window: length of a repeat. gram: length of an anchor. part_bytes: text in a part. hot_parts: an anchor in so many parts
+    is dealt by more symbols."""
 
     unit: str = "words"
     window: int = 50
@@ -292,22 +293,51 @@ def local_repeats(part: Part, first: np.ndarray, lengths: np.ndarray, hashed: np
     return order[~goes], order[goes]
 
 
+def wider_runs(part: Part, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, doc: np.ndarray, s: Setting) -> tuple[np.ndarray, ...]:
+    """Runs of hot anchors split in two and dealt by half as many symbols more: first window, number of windows, key, document.
+
+    A window has its anchor (the leftmost, where it repeats) and as many symbols again around it, so half of these lie on one side: on the
+    right where they fit there, else on the left. The key is the anchor with them, which depends on the window alone.
+    """
+    extra = (s.window - s.gram + 1) // 2
+    out: list[tuple] = []
+    block = 1 << 16
+    for i, j in zip(*bounded(count, block), strict=True):
+        at = ragged(first[i:j], count[i:j])
+        of = np.repeat(np.arange(i, j), count[i:j])
+        lo, hi = int(at.min()), int(at.max()) + s.window
+        symbols = part.symbols(lo, hi)
+        grams = mix64(gram_hashes(symbols, s.gram) ^ U64(0xA5A5A5A5A5A5A5A5))
+        wide = gram_hashes(symbols, s.gram + extra)
+        offset = np.zeros(len(at), np.int64)
+        for k in range(s.window - s.gram, -1, -1):
+            offset[grams[at - lo + k] == anchor[of]] = k
+        right = offset <= s.window - s.gram - extra
+        key = mix64(wide[at - lo + offset - np.where(right, 0, extra)] + right.astype(U64))
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+        out.append((at[new], np.diff(np.append(new, len(at))), key[new], doc[of[new]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def bounded(sizes: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Stretches of entries with about most in total, or one entry: where each begins and ends."""
+    total = np.cumsum(sizes)
+    cuts = [0]
+    while cuts[-1] < len(sizes):
+        done = int(total[cuts[-1] - 1]) if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, done + most, side="right"))))
+    return cuts[:-1], cuts[1:]
+
+
 def snippets(part_no: int, part: Part, first, count, anchor, doc, hot, *, buckets: int, s: Setting) -> list[tuple]:
     """The text of each run of windows, once for the part, dealt by its anchor: the gram that all windows of the run hold.
 
-    Equal windows have equal anchors, so they meet in one group. Where an anchor is in so many parts that its group would outgrow
-    memory, the windows go one by one instead, dealt by all their symbols.
+    Equal windows have equal anchors, so they meet in one group. Anchors in very many parts are dealt by more symbols (wider_runs).
     """
+    key = anchor
     if hot.any():
-        h = np.flatnonzero(hot)
-        single = ragged(first[h], count[h])
-        first = np.concatenate([first[~hot], single])
-        doc = np.concatenate([doc[~hot], np.repeat(doc[h], count[h])])
-        anchor = np.concatenate([anchor[~hot], np.repeat(anchor[h], count[h])])
-        count = np.concatenate([count[~hot], np.ones(len(single), np.int64)])
-        lone = np.arange(len(first)) >= len(first) - len(single)
-    else:
-        lone = np.zeros(len(first), bool)
+        more = wider_runs(part, first[hot], count[hot], anchor[hot], doc[hot], s)
+        first, count, key, doc = (np.concatenate([x[~hot], y]) for x, y in zip((first, count, anchor, doc), more, strict=True))
     if not len(first):
         return []
     length = count + s.window - 1
@@ -320,7 +350,7 @@ def snippets(part_no: int, part: Part, first, count, anchor, doc, hot, *, bucket
         if len(at):
             hashed[at] = span_hashes(prefix_sums(part.symbols(a, int(stop[at].max()))), first[at] - a, stop[at] - a)
     stay, go = local_repeats(part, first, length, hashed, part.ids[doc])
-    where = bucket_of(np.where(lone, hashed, anchor), buckets).astype(np.int64)
+    where = bucket_of(key, buckets).astype(np.int64)
     stay = stay[np.argsort(where[stay], kind="stable")]
     rel = first - part.starts[doc]
     squeeze = zstandard.ZstdCompressor(level=3).compress
