@@ -128,16 +128,18 @@ def first_rejection(rules: Sequence[Rule], features: dict[str, Column]) -> Colum
     return out if rules else F.lit(None).cast("string")
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> list[tuple[Rule, float, float]]:
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, sample_bytes: int = 1 << 16) -> list[tuple[Rule, float, float]]:
     """Rules in order of rejection per cost, each with its cost in seconds and its selectivity, from at most sample_rows rows.
 
-    The rows are the first ones that a take finds: it reads a partition, and more only if that has too few. A rule's cost is the
+    The rows are the first ones that a take finds: it reads a partition, and more only if that has too few. Texts of over sample_bytes stay out
+    of the sample, which therefore has a bounded size. A rule's cost is the
     time of a one-task job that evaluates it over the sample, less that of the same job with no rule. The sample only orders the
     rules: any order gives the same verdicts. An empty table or sample leaves them in order of name.
     """
     spark = docs.sparkSession
-    taken = docs.select(F.coalesce(F.col("text").cast("string"), F.lit(""))).take(sample_rows)
-    sample = spark.createDataFrame([(r[0],) for r in taken], "t string").coalesce(1).withColumn("w", words(F.col("t"))).filter(F.size("w") >= 0)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    taken = [(r[0],) for r in docs.select(F.when(F.octet_length(text) <= sample_bytes, text)).take(sample_rows) if r[0] is not None]
+    sample = spark.createDataFrame(taken, "t string").coalesce(1).withColumn("w", words(F.col("t"))).filter(F.size("w") >= 0)
     features = on_demand(F.col("t"), F.col("w"))
 
     def measured(hit: Column) -> tuple[float, int]:

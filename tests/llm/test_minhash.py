@@ -65,3 +65,13 @@ def test_small_blocks(spark, block):
     rows = corpus(7)
     got = minhash_dedup(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], SCHEMA), MinHash(rounds=0, block=block)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(1)
+    words = [str(r.randrange(100_000)) for _ in range(120_000)]
+    near = words[:]
+    near[500:500] = ["new"] * 40
+    rows = [(3, " ".join(words), 1, 2), (1, " ".join(near), 1, 2), (2, " ".join(words[:60_000]), 1, 2)]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[3][1:] == (1, False) and got[1][1:] == (1, True) and got[2][1:] == (2, True) and got[3][0] > 119_000

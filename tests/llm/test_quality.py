@@ -58,3 +58,11 @@ def test_any_order_gives_the_same_verdict(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert quality_rules(df).collect() == [] and quality_filter(df).collect() == []
+
+
+def test_sample_has_a_bound(spark):
+    long = [(i, "word " * 200_000, "clash", 7) for i in range(3)]
+    planned = plan_cascade(spark.createDataFrame(long, SCHEMA))
+    assert [r.name for r, _, _ in planned] == sorted(r.name for r in RULES) and all(s == 0 for _, _, s in planned)
+    df = spark.createDataFrame([(1, "x", "y", 1)], SCHEMA).withColumnRenamed("n_words", "rejected_by")
+    assert quality_filter(df).columns == df.columns
