@@ -62,7 +62,7 @@ def category_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(d.month(spark, sf_dir).filter("hour = 3"))
 
 
-@query("category_order_all")
+@query("category_order_all", "SELECT company_slug, array_to_string(list(category ORDER BY position), ',') AS shown FROM (SELECT DISTINCT company_slug, category FROM month) JOIN categories USING (category) GROUP BY company_slug")
 def category_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The categories that a company has in the month, in canonical order; tests hold it against a plain loop."""
     return in_order(d.month(spark, sf_dir))
