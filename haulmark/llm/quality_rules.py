@@ -128,7 +128,7 @@ def first_rejection(rules: Sequence[Rule], features: dict[str, Column]) -> Colum
     return out if rules else F.lit(None).cast("string")
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, sample_bytes: int = 1 << 16) -> list[tuple[Rule, float, float]]:
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, sample_bytes: int = 1 << 13) -> list[tuple[Rule, float, float]]:
     """Rules in order of rejection per cost, each with its cost in seconds and its selectivity, from at most sample_rows rows.
 
     The rows are the first ones that a take finds: it reads a partition, and more only if that has too few. Texts of over sample_bytes stay out
@@ -138,8 +138,13 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    taken = [(r[0],) for r in docs.select(F.when(F.octet_length(text) <= sample_bytes, text)).take(sample_rows) if r[0] is not None]
-    sample = spark.createDataFrame(taken, "t string").coalesce(1).withColumn("w", words(F.col("t"))).filter(F.size("w") >= 0)
+    taken = [r[0] for r in docs.select(F.when(F.octet_length(text) <= sample_bytes, text)).take(sample_rows) if r[0] is not None]
+    mark = "\x1e"
+    while any(mark in t for t in taken):
+        mark += "\x1e"
+    # the sample goes back as one literal: no Python worker starts for it
+    texts = F.split(F.lit(mark.join(taken)), mark) if taken else F.array().cast("array<string>")
+    sample = spark.range(0, 1, 1, 1).select(F.explode(texts).alias("t")).withColumn("w", words(F.col("t"))).filter(F.size("w") >= 0)
     features = on_demand(F.col("t"), F.col("w"))
 
     def measured(hit: Column) -> tuple[float, int]:
