@@ -16,6 +16,7 @@ from haulmark.llm.packing import best_fit_packing
 from haulmark.llm.quality_rules import ORACLE as QUALITY_SQL
 from haulmark.llm.quality_rules import quality_rules
 from haulmark.llm.sharding import sharding
+from haulmark.llm.spelling_variants import spelling_variants
 from haulmark.llm.substring_dedup import substring_dedup
 from haulmark.llm.suffix_array_dedup import suffix_array_dedup
 from haulmark.llm.token_counts import token_counts
@@ -63,6 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding(table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
