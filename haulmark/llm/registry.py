@@ -13,6 +13,7 @@ from haulmark.llm.decontamination import benchmark_overlap
 from haulmark.llm.html_extraction import html_extraction
 from haulmark.llm.minhash_dedup import minhash_dedup
 from haulmark.llm.packing import best_fit_packing
+from haulmark.llm.pii import personal_data
 from haulmark.llm.quality_rules import ORACLE as QUALITY_SQL
 from haulmark.llm.quality_rules import quality_rules
 from haulmark.llm.sharding import sharding
@@ -20,6 +21,7 @@ from haulmark.llm.spelling_variants import spelling_variants
 from haulmark.llm.substring_dedup import substring_dedup
 from haulmark.llm.suffix_array_dedup import suffix_array_dedup
 from haulmark.llm.token_counts import token_counts
+from haulmark.llm.whitening import embedding_whitening
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +70,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -80,6 +90,8 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_personal_data": op12_personal_data,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
