@@ -52,10 +52,9 @@ def test_base_rules(text):
 
 def test_long_texts_are_linear():
     for unit in ("1", "1 ", "a@", "@", "1.", "+1", "(", "a.", " at ", "1-1.", "+1(", "@a."):
-        text = unit * (300_000 // len(unit))
-        if unit not in ("1", "1.", "1-1.", "a@", "@a."):
-            assert joined(base_spans(text)) == joined(plain(text)) or unit == "a."
-        candidates(text)
+        candidates(unit * (300_000 // len(unit)))
+        short = unit * (3_000 // len(unit))
+        assert joined(base_spans(short)) == joined(plain(short))
 
 
 def found(df):
