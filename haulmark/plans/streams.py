@@ -71,8 +71,9 @@ def stream_status_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_status_regressions",
-    """SELECT device_id, count_if(NOT bad)::BIGINT AS accepted, count_if(bad)::BIGINT AS regressions FROM (SELECT device_id, coalesce(total_km + 0.1 < max(total_km) OVER (PARTITION BY device_id ORDER BY observed_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS bad
-    FROM (SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN greatest(total_km - 300, 0) ELSE total_km END AS total_km) FROM readings)) GROUP BY device_id""",
+    """, rr AS (SELECT device_id, CAST(CASE WHEN event_id % 13 = 0 THEN greatest(total_km - 300, 0) ELSE total_km END AS DOUBLE) AS total, row_number() OVER (PARTITION BY device_id ORDER BY observed_at, event_id) AS n FROM readings)
+    SELECT device_id, count_if(NOT bad)::BIGINT AS accepted, count_if(bad)::BIGINT AS regressions FROM (WITH RECURSIVE w AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS last, false AS bad FROM rr
+    UNION ALL SELECT r.device_id, r.n, CASE WHEN r.total + 0.1 < w.last THEN w.last ELSE r.total END, coalesce(r.total + 0.1 < w.last, false) FROM w JOIN rr r ON r.device_id = w.device_id AND r.n = w.n + 1) SELECT * FROM w WHERE n > 0) GROUP BY device_id""",
 )
 def stream_status_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that fall back, counted over several micro-batches: files of a few days each, one a batch, in order of time."""
