@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from haulmark.functions import expressions as x
 from haulmark.operators.tenants import first_match
 from haulmark.operators.upserts import first_by_any_key, insert_if_absent
 from haulmark.sources.shared import shared_dir
-from haulmark.sources.versions import TableStore
+from haulmark.sources.versions import TableStore, Transaction
 
 #: What a batch brings; seq is the order of arrival. The last three are the message's other times, as texts.
 ARRIVING = """seq long, guid string, device_id string, fleet_id string, plate_no string, driver_name string, category string, mapping_source string, classification_status string,
@@ -95,18 +96,19 @@ def stored_match(rows: DataFrame, stored: DataFrame, name: str) -> DataFrame:
     return mine.join(theirs, "k").groupBy("seq").agg(F.min(F.struct("k.tier", "_guid")).alias("_m")).select("seq", F.col("_m._guid").alias(name))
 
 
-def upserted(t, name: str, rows: DataFrame, fields: list[str]) -> None:
+def upserted(t: Transaction, name: str, rows: DataFrame, fields: list[str]) -> None:
     """Rows of a batch take the place of stored ones of the same guid; of several for one guid the last to arrive stays."""
     new = rows.groupBy("guid").agg(F.max_by(F.struct(*[c for c in fields if c != "guid"]), "seq").alias("_r")).select("guid", "_r.*")
     t.delete(name, t.read(name, places=True).join(new.select("guid"), "guid", "left_semi"))
     t.append(name, new)
 
 
-def apply_batch(store: TableStore, batch: str, arriving: DataFrame, companies: DataFrame, source: str) -> bool:
+def apply_batch(store: TableStore, batch: str, arriving: DataFrame, companies: DataFrame, source: str, also: Callable[[Transaction, DataFrame], None] | None = None) -> bool:
     """Takes a batch in: all tables change in one version, or none does. False if the ledger has the batch already, and then nothing changes.
 
     Rows that are stored under any of their keys are updated and keep their guid, others are inserted. Classified alarms with an accepted time
-    are events too. Audit and anomaly rows come once.
+    are events too. Audit and anomaly rows come once. also(transaction, rows) stages more tables of the same version; rows have _raw and _event,
+    the stored guids that they were found under, and event, whether they are events.
     """
     t = store.begin()
     if not t.read("ledger").filter(F.col("batch") == batch).isEmpty():
@@ -157,6 +159,8 @@ def apply_batch(store: TableStore, batch: str, arriving: DataFrame, companies: D
     all_rows = told.agg(F.count("*").alias("provider_rows"), n(~F.col("is_duplicate")).alias("prepared_rows"), n("is_duplicate").alias("duplicates"), n(valid & (F.col("classification_status") == "classified_non_dms")).alias("non_dms"), n(valid & (F.col("classification_status") == "unmapped")).alias("unmapped"))
     row = counts.first().asDict() | all_rows.first().asDict() | {"batch": batch, "source": source}
     t.append("ledger", store.spark.createDataFrame([tuple(row[c] for c in t_columns("ledger"))], TABLES["ledger"]))
+    if also:
+        also(t, found)
     t.commit(batch=batch)
     return True
 

@@ -94,14 +94,14 @@ def batch_sql(name: str, rows: str, source: str, raw: str, events: str) -> str:
 {name}_anomalies AS (SELECT device_id, '{source}_alarm' AS source_type, now_text AS raw_event_time, arg_min(received_at, seq) AS received_at FROM {name}_m WHERE temporal <> 'accepted' GROUP BY ALL)"""
 
 
-TAKEN_SQL = f""", {CLASS_SQL.strip()}, {FALLBACK_SQL.strip()}, {COMPANY_SQL.strip()}, {SLUG_SQL},
+TIMED_SQL = f""", {CLASS_SQL.strip()}, {FALLBACK_SQL.strip()}, {COMPANY_SQL.strip()}, {SLUG_SQL},
 fb AS (SELECT guid, now_text, occurred_at > received_at + INTERVAL 5 MINUTE AS future, CASE WHEN report_text <> '' AND report_text <> now_text AND TRY_CAST(report_text AS TIMESTAMP) <= received_at + INTERVAL 5 MINUTE THEN TRY_CAST(report_text AS TIMESTAMP) END AS c1,
   CASE WHEN end_text <> now_text AND TRY_CAST(end_text AS TIMESTAMP) <= received_at + INTERVAL 5 MINUTE THEN TRY_CAST(end_text AS TIMESTAMP) END AS c2, CASE WHEN TRY_CAST(start_text AS TIMESTAMP) <= received_at + INTERVAL 5 MINUTE THEN TRY_CAST(start_text AS TIMESTAMP) END AS c3 FROM t),
 arr AS (SELECT c.event_id AS seq, c.guid, c.device_id, c.fleet_id AS fleet, c.plate, CASE WHEN c.event_id % 7 = 0 THEN 'driver ' || (c.event_id % 5) END AS driver, c.mapped, c.mapping_source, c.status, c.alarm_type, c.raw_tp, c.raw_code, c.occurred_at, c.occurred_at AS start_at, c.occurred_at + INTERVAL 4 SECOND AS end_at, c.received_at, fb.now_text, tenant.slug,
   CASE WHEN future THEN coalesce(c1, c2, c3, c.occurred_at) ELSE c.occurred_at END AS moment, CASE WHEN future THEN CASE WHEN c1 IS NOT NULL THEN 'fallback_reportTime' WHEN c2 IS NOT NULL THEN 'fallback_endTime' WHEN c3 IS NOT NULL THEN 'fallback_startTime' END END AS resolution FROM classes c JOIN fb USING (guid) JOIN tenant USING (device_id)),
 timed AS (SELECT *, CASE WHEN moment > received_at + INTERVAL 5 MINUTE THEN 'future_rejected' ELSE 'accepted' END AS temporal FROM arr),
-none AS (SELECT guid, CAST(NULL AS VARCHAR) AS k, slug, device_id, fleet, plate, '' AS source, moment, received_at, alarm_type, raw_tp, raw_code, now_text, status, mapped, mapping_source, temporal, '' AS result, driver, start_at, end_at FROM timed WHERE false)
-{batch_sql("b1", f"SELECT * FROM timed WHERE {BACKFILL}", "backfill", "none", "none")},
+none AS (SELECT guid, CAST(NULL AS VARCHAR) AS k, slug, device_id, fleet, plate, '' AS source, moment, received_at, alarm_type, raw_tp, raw_code, now_text, status, mapped, mapping_source, temporal, '' AS result, driver, start_at, end_at FROM timed WHERE false)"""
+TAKEN_SQL = f"""{TIMED_SQL}{batch_sql("b1", f"SELECT * FROM timed WHERE {BACKFILL}", "backfill", "none", "none")},
 drivers AS (SELECT device_id, arg_max(driver, seq) FILTER (driver IS NOT NULL) AS last_driver FROM b1_m GROUP BY 1),
 later AS (SELECT timed.* REPLACE (coalesce(driver, last_driver) AS driver, CASE WHEN seq % 4 >= 2 THEN end_at + INTERVAL 5 SECOND ELSE end_at END AS end_at) FROM timed LEFT JOIN drivers USING (device_id) WHERE {HARVEST})
 {batch_sql("b2", "SELECT * REPLACE (CASE seq % 4 WHEN 1 THEN 'x' || guid WHEN 3 THEN 'y' || guid ELSE guid END AS guid) FROM later UNION ALL SELECT * REPLACE ('r' || guid AS guid, seq + 1000000000 AS seq) FROM later WHERE seq % 10 = 0", "harvest", "b1_raw", "b1_events")}"""
