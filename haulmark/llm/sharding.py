@@ -12,21 +12,34 @@ The rename replaces nothing and is atomic on local and HDFS file systems. Object
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MANIFEST = "run string, tier int, path string, bytes long"
-RUNS = "run string, tier int, bytes long, files long"
+RUNS = "run string, tier int, bytes long, files long, columns string"
 
 
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+def all_columns(schemas: list[StructType]) -> StructType:
+    """The columns of several schemas, each once and in order of first coming; one name with two types is refused."""
+    out, kinds = StructType([]), {}
+    for f in (f for schema in schemas for f in schema.fields):
+        if f.name not in kinds:
+            out, kinds[f.name] = out.add(f.name, f.dataType, True), f.dataType.simpleString()
+        elif kinds[f.name] != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is {kinds[f.name]} in the store, not {f.dataType.simpleString()}")
+    return out
+
+
 @dataclass(frozen=True)
 class Tiers:
     """fan_in: runs of similar size that make a merge. spread: how far sizes may lie from their mean to be similar. target_bytes: of a merged shard."""
@@ -70,7 +83,8 @@ class ShardStore:
         """Makes shards (or runs, as stored() gives them) the given version, at once and only if nobody else has: a rename that doesn't replace."""
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
         files = F.sum("files") if "files" in shards.columns else F.count("*")
-        runs = shards.groupBy("run").agg(F.max("tier").cast("int").alias("tier"), F.sum("bytes").cast("long").alias("bytes"), files.cast("long").alias("files"))
+        columns = F.max("columns") if "columns" in shards.columns else F.lit(None).cast("string")
+        runs = shards.groupBy("run").agg(F.max("tier").cast("int").alias("tier"), F.sum("bytes").cast("long").alias("bytes"), files.cast("long").alias("files"), columns.alias("columns"))
         runs.coalesce(1).write.parquet(staged)
         rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
@@ -92,30 +106,36 @@ class ShardStore:
         found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
         return found.select(F.lit(run).alias("run"), F.lit(tier).alias("tier"), "path", F.col("length").alias("bytes"))
 
-    def run_of(self, run: str, tier: int, folder: str) -> DataFrame:
-        return self.shards_of(run, tier, folder).groupBy("run", "tier").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+    def run_of(self, run: str, tier: int, folder: str, schema: StructType | None = None) -> DataFrame:
+        columns = F.lit((schema or self.spark.read.parquet(folder).schema).json())
+        return self.shards_of(run, tier, folder).groupBy("run", "tier").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files")).withColumn("columns", columns)
+
+    def schema_of(self, runs: list) -> StructType:
+        """All columns of runs, as their manifest says; of runs without that, as their files say."""
+        return all_columns([StructType.fromJson(json.loads(r.columns)) if r.columns else self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/runs/{r.run}").schema for r in runs])
 
     def stage(self, df: DataFrame, arrival: Column | None = None) -> list[tuple[str, str]]:
         """Writes one run, or one for each value of arrival, in one pass; returns (run, folder). They count only once committed."""
+        all_columns([self.schema_of(self.stored().orderBy("run").collect()), df.schema])
         name = uuid.uuid4().hex
-        folder = f"{self.root}/runs/{name}"
-        writer = (df if arrival is None else df.withColumn("_arrival", arrival)).write.option("compression", "zstd")
+        folder, part = f"{self.root}/runs/{name}", f"_arrival_{name}"
+        writer = (df if arrival is None else df.withColumn(part, arrival)).write.option("compression", "zstd")
         if arrival is None:
             writer.parquet(folder)
             return [(name, folder)]
-        writer.partitionBy("_arrival").parquet(folder)
-        parts = sorted(s.getPath().getName() for s in self.files.util().listStatus(self.path(folder)) if s.getPath().getName().startswith("_arrival="))
+        writer.partitionBy(part).parquet(folder)
+        parts = sorted(s.getPath().getName() for s in self.files.util().listStatus(self.path(folder)) if s.getPath().getName().startswith(f"{part}="))
         return [(f"{name}/{p}", f"{folder}/{p}") for p in parts]
 
     def append(self, df: DataFrame) -> int:
         """One arrival: its shards are written, then committed beside those of the current version."""
         version = self.version()
         (run, folder), = self.stage(df)
-        return self.add(run, folder, version)
+        return self.add(run, folder, version, df.schema)
 
-    def add(self, run: str, folder: str, version: int | None = None) -> int:
+    def add(self, run: str, folder: str, version: int | None = None, schema: StructType | None = None) -> int:
         version = self.version() if version is None else version
-        return self.commit(self.stored(version).unionByName(self.run_of(run, 0, folder)), version + 1)
+        return self.commit(self.stored(version).unionByName(self.run_of(run, 0, folder, schema)), version + 1)
 
     def runs(self) -> list[tuple[str, int, int]]:
         """(run, tier, bytes) of the current version; compaction keeps their number to a few for each tier."""
@@ -144,8 +164,9 @@ class ShardStore:
         scan.conf.set("spark.sql.files.minPartitionNum", "1")
         name = uuid.uuid4().hex
         folder = f"{self.root}/runs/{name}"
-        scan.read.parquet(*[f"{self.root}/runs/{run}" for run in gone]).write.option("compression", "zstd").parquet(folder)
-        merged = self.run_of(name, max(r[1] for r in group) + 1, folder)
+        schema = self.schema_of(now.filter(F.col("run").isin(gone)).orderBy("run").collect())
+        scan.read.schema(schema).parquet(*[f"{self.root}/runs/{run}" for run in gone]).write.option("compression", "zstd").parquet(folder)
+        merged = self.run_of(name, max(r[1] for r in group) + 1, folder, schema)
         return self.commit(now.filter(~F.col("run").isin(gone)).unionByName(merged), version + 1)
 
     def compact(self) -> int:
@@ -156,10 +177,11 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with shard (file name), its bytes, run and tier: said by each file's own path, so nothing is joined."""
-        runs = {r.run: r.tier for r in self.stored(version).collect()}
+        found = self.stored(version).orderBy("run").collect()
+        runs = {r.run: r.tier for r in found}
         if not runs:
             raise ValueError("the store has no shards")
-        rows = self.spark.read.parquet(*[f"{self.root}/runs/{run}" for run in runs])
+        rows = self.spark.read.schema(self.schema_of(found)).parquet(*[f"{self.root}/runs/{run}" for run in runs])
         name = F.regexp_extract(F.col("_metadata.file_path"), r"/runs/(.*)$", 1)
         tiers = F.create_map(*[F.lit(x) for pair in runs.items() for x in pair])
         run = F.regexp_extract("shard", r"^(.*)/[^/]*$", 1)
@@ -181,8 +203,9 @@ class ShardStore:
 def compacted(docs: DataFrame, root: str, arrivals: int = 8, tiers: Tiers | None = None) -> tuple[ShardStore, DataFrame]:
     """Takes docs in as arrivals (by hash of doc_id), a version each, compacting whenever runs of similar size have come together."""
     store = ShardStore(docs.sparkSession, root, tiers)
+    schema = docs.schema
     for run, folder in store.stage(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int")):
-        store.add(run, folder)
+        store.add(run, folder, schema=schema)
         store.compact()
     return store, store.read() if store.version() else docs.limit(0)
 
@@ -191,9 +214,9 @@ def sharding(docs: DataFrame, root: str, arrivals: int = 8, tiers: Tiers | None
     """Per row of docs, read back from the compacted store: doc_id, n_bytes and text_sha256 of its text, shard, shard_bytes, run, tier, version.
 
     All columns of docs are stored; null texts stay null. Rows with a null doc_id arrive like any other; repeated rows are kept. Columns
-    of docs named like the store's own (shard, run, tier, shard_bytes, _arrival) are set aside under a prefix. Empty tables give empty results.
+    of docs named like the store's own (shard, run, tier, shard_bytes) are set aside under a prefix. Empty tables give empty results.
     """
-    own = {"shard", "run", "tier", "shard_bytes", "_arrival"}
+    own = {"shard", "run", "tier", "shard_bytes"}
     safe = docs.select(*[F.col(f"`{c}`").alias(f"given_{c}" if c in own else c) for c in docs.columns])
     store, rows = compacted(safe, root, arrivals, tiers)
     version = store.version()

@@ -38,3 +38,27 @@ def test_versions(spark, tmp_path):
         big.append(df(a))
     big.compact()
     assert big.manifest().count() > 1 and big.read().count() == 2000
+
+
+def test_runs_of_different_columns(spark, tmp_path):
+    """A column that comes later is there for all rows, also after a merge and after the older runs are gone."""
+    store = ShardStore(spark, f"file://{tmp_path}/c", Tiers(fan_in=2, spread=9))
+    store.append(spark.createDataFrame([(1,)], "doc_id long"))
+    store.append(spark.createDataFrame([(2, "en", "a")], "doc_id long, lang string, _arrival string"))
+    want = [(1, None, None), (2, "en", "a")]
+    rows = lambda: sorted((r.doc_id, r.lang, r._arrival) for r in store.read().collect())
+    assert rows() == want
+    store.compact()
+    assert len(store.runs()) == 1 and rows() == want
+    assert store.vacuum() == 2 and rows() == want
+    store.append(spark.createDataFrame([("x", 3)], "more string, doc_id long"))
+    assert rows() == [*want, (3, None, None)]
+    with pytest.raises(ValueError, match="lang"):
+        store.append(spark.createDataFrame([(4, 5)], "doc_id long, lang int"))
+    assert rows() == [*want, (3, None, None)]
+
+
+def test_very_long_text(spark, tmp_path):
+    rows = [(1, "é" * 2_000_000), (2, "short")]
+    got = {r.doc_id: (r.n_bytes, r.text_sha256) for r in sharding(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/l").collect()}
+    assert got == {i: (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
