@@ -22,6 +22,8 @@ from haulmark.llm.common import BYTE_SYMBOLS, U64, gram_hashes, hash_words, ragg
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 ROW = "_row_number"
+#: Tokens that an item must have at least to be looked for.
+SHORTEST = 2
 SCHEMA = "doc_id long, n_tokens long, item_id long, covered long, item_tokens long, n_tiles int"
 
 
@@ -115,29 +117,60 @@ def near_seeds(at: np.ndarray, reach: int, k: int, n: int) -> tuple[np.ndarray,
 
 @dataclass
 class Items:
-    """A block of the benchmark. grams: the hashes of all items' grams, sorted; owner and place: the item of each, and where it starts."""
+    """A block of the benchmark. grams: the hashes of all items' grams, sorted; owner and place: the item of each, and where it starts.
+
+    short: for each length below a tile, the items of so many tokens: hashes in order, ids, and tokens. Those match as a whole.
+    """
 
     ids: list[int]
     tokens: list[np.ndarray]
     grams: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def prepare(rows: list[tuple[int, str]], least: int) -> Items:
-    ids, found = [], []
+    ids, found, whole = [], [], {}
     for i, text in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         got = tokens(raw, np.array([0, len(raw)]))[0]
         if len(got) >= least and i is not None:
             ids.append(i)
             found.append(got)
+        elif len(got) >= SHORTEST and i is not None:
+            same = whole.setdefault(len(got), {})
+            key = tuple(got.tolist())
+            same[key] = min(i, same.get(key, i))
+    short = {}
+    for n, items in whole.items():
+        words = np.array(list(items), U64).reshape(-1, n)
+        hashes = np.concatenate([gram_hashes(w, n) for w in words])
+        by = np.argsort(hashes, kind="stable")
+        short[n] = (hashes[by], np.array(list(items.values()), np.int64)[by], words[by])
     grams = [gram_hashes(x, least) for x in found]
     flat = np.concatenate([*grams, np.zeros(0, U64)])
     owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
     place = np.concatenate([*[np.arange(len(g), dtype=np.int32) for g in grams], np.zeros(0, np.int32)])
     order = np.argsort(flat, kind="stable")
-    return Items(ids, found, flat[order], owner[order], place[order])
+    return Items(ids, found, flat[order], owner[order], place[order], short)
+
+
+def whole_items(symbols: np.ndarray, bounds: np.ndarray, items: Items) -> dict[int, tuple[int, int]]:
+    """For each document that holds a short item as a whole: the least id of those, and how many tokens it has."""
+    out: dict[int, tuple[int, int]] = {}
+    for n, (hashes, ids, words) in items.short.items():
+        grams = gram_hashes(symbols, n)
+        at = np.flatnonzero(np.isin(grams, hashes))
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        inside = at + n <= bounds[doc + 1]
+        at, doc = at[inside], doc[inside]
+        lo, hi = np.searchsorted(hashes, grams[at], side="left"), np.searchsorted(hashes, grams[at], side="right")
+        row, item = np.repeat(np.arange(len(at)), hi - lo), ragged(lo, hi - lo)
+        same = (symbols[at[row][:, None] + np.arange(n)] == words[item]).all(axis=1)
+        for d, i in zip(doc[row[same]].tolist(), ids[item[same]].tolist(), strict=True):
+            out[d] = min(out.get(d, (i, n)), (i, n))
+    return out
 
 
 def bounds_of(items: Items, grams: np.ndarray, least: int) -> dict[int, int]:
@@ -193,9 +226,11 @@ def search(batches, items: Items, s: Tiling):
         inside = at + s.least <= bounds[doc + 1]
         at, doc = at[inside], doc[inside]
         cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        rows = []
+        rows, short = [], whole_items(symbols, bounds, items)
         for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             found = best_tiling(symbols[bounds[d] : bounds[d + 1]], at[a:b] - bounds[d], grams[at[a:b]], items, s) if b > a else None
+            if d in short and (not found or (1.0, -short[d][0]) > (found[1] / found[2], -found[0])):
+                found = (short[d][0], short[d][1], short[d][1], 1)
             rows.append(found or (None, 0, 0, 0))
         cols = list(zip(*rows, strict=True))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
@@ -211,7 +246,8 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, setting: Tiling | N
     """Per row of docs, its best covered item of the benchmark: doc_id, n_tokens, item_id, covered, item_tokens, n_tiles, contaminated.
 
     item_id is null and counts are 0 where nothing is shared; ties of coverage go to the least item_id. Null and empty texts share
-    nothing; items without an id or shorter than a tile match nothing. Other columns don't matter; an empty benchmark leaves all
+    nothing; items without an id match nothing. An item shorter than a tile matches where all its tokens stand together; one of fewer than SHORTEST tokens
+    says nothing of a document and matches nothing. Other columns don't matter; an empty benchmark leaves all
     documents clean, an empty table gives an empty result. row: a column that tells rows apart; it comes back as doc_id. Without one,
     a benchmark of several blocks has the rows numbered in a written table first, as doc_id may be null or repeated.
     """

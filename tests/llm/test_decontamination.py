@@ -145,3 +145,18 @@ def test_gram_shared_by_many_items(spark):
     assert (got[1].item_id, got[1].covered, got[1].contaminated) == (0, 5, False)
     assert (got[2].item_id, got[2].covered, got[2].contaminated) == (77, 25, True)
     assert (got[3].item_id, got[3].n_tokens, got[3].contaminated) == (None, 200_000, False)
+
+
+def test_short_items_match_as_a_whole(spark):
+    """Items below a tile's length are found where their tokens stand together, and only there."""
+    benchmark = spark.createDataFrame([(1, "What is 2+2?"), (2, "Capital of France? Paris"), (3, "Paris"), (4, "what IS 2 2"), (5, "two words"), (6, "the quick brown fox jumps over the lazy dog tonight")], "item_id long, text string")
+    cases = {
+        1: ("Asked: what is 2 + 2, said nobody", 1), 2: ("capital of france, Paris it is", 2), 3: ("Paris is large", None), 4: ("what is 2", None), 5: ("two", None), 6: ("words two", None), 7: ("here are two words", 5),
+        8: ("two words and the quick brown fox jumps over the lazy dog tonight", 5), 9: ("capital of france paris", 2), 10: ("", None), 11: (None, None), 12: ("what is 2", None),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.item_id if r.contaminated else None) for r in benchmark_overlap(docs, benchmark).collect()}
+    assert got == {i: want for i, (_, want) in cases.items()}
+    assert {r.doc_id for r in clean_documents(docs, benchmark).collect()} == {i for i, (_, want) in cases.items() if want is None}
+    small = Tiling(block_bytes=40)
+    assert {r.doc_id: (r.item_id if r.contaminated else None) for r in benchmark_overlap(docs, benchmark, small).collect()} == got
