@@ -66,3 +66,18 @@ def test_sample_has_a_bound(spark):
     assert [r.name for r, _, _ in planned] == sorted(r.name for r in RULES) and all(s == 0 for _, _, s in planned)
     df = spark.createDataFrame([(1, "x", "y", 1)], SCHEMA).withColumnRenamed("n_words", "rejected_by")
     assert quality_filter(df).columns == df.columns
+
+
+def test_order_is_the_same_each_time(spark):
+    """Five plans over one table agree; rules that reject much for little come first."""
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    plans = [[(r.name, c, s) for r, c, s in plan_cascade(df)] for _ in range(5)]
+    assert all(p == plans[0] for p in plans)
+    score = [s / c for _, c, s in plans[0]]
+    assert score == sorted(score, reverse=True) and plans[0][0][0] == "too_few_words"
+
+
+def test_very_long_texts_have_verdicts(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(400_000)), "", 0), (2, "same old words " * 100_000, "", 0), (3, "x" * 3_000_000, "", 0)]
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.kept) for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (400_000, 0, True), 2: (300_000, 300_000, False), 3: (1, 0, False)}
