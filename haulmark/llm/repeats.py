@@ -219,7 +219,7 @@ def gone_table(rows: list[tuple]) -> pa.Table:
 def in_parts(docs: DataFrame, s: Setting, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     parts = max(12, -(-text_bytes(docs) // s.part_bytes))
     more = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carry)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more, F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")), parts
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more, F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")), parts
 
 
 def repeats(docs: DataFrame, s: Setting, find: Callable, result: Callable[[Part, np.ndarray], dict], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
