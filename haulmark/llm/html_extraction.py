@@ -49,6 +49,10 @@ STATES = frozenset("has have with without no is not js show hide".split())
 ROLES = frozenset("banner navigation search form alert complementary contentinfo dialog menu".split())
 LISTING = frozenset("aside nav header footer menu".split())
 COMMENTS = frozenset("comment comments commentlist".split())
+#: Names that also stand in articles: they set nothing apart that is a paragraph or a heading, or that holds the page's headline.
+SOFT = frozenset("banner header masthead modal promotion search".split())
+#: Who writes what isn't the article, and what they write (user-reviews).
+WRITERS, WRITINGS = frozenset("customer guest reader user visitor".split()), frozenset("comment comments feedback opinions replies responses review reviews".split())
 
 
 def tokens(page: str):
@@ -108,7 +112,13 @@ def names_apart(name: str) -> bool:
     parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
     if len(parts) < 2 or parts[0] in STATES:
         return len(parts) == 1 and parts[0] in NAMES
-    return parts[-1] in NAMES or (parts[0] in NAMES and parts[-1] in PLACES)
+    return parts[-1] in NAMES or (parts[0] in NAMES and parts[-1] in PLACES) or (parts[0] in WRITERS and parts[-1] in WRITINGS)
+
+
+def soft(given: dict[str, str]) -> bool:
+    """Whether all that names an element apart are words that also stand in articles."""
+    names = [x for key in ("class", "id") for x in given.get(key, "").split() if names_apart(x)]
+    return bool(names) and all((set(re.split(r"[^a-z0-9]+", x)) & NAMES) <= SOFT for x in names) and not ROLES.intersection(given.get("role", "").split())
 
 
 def named_apart(given: dict[str, str]) -> bool:
@@ -197,6 +207,7 @@ def set_apart(found: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int],
     mains = np.zeros(len(found) + 1, np.int64)
     articles = np.zeros(len(found) + 1, np.int64)
     heads = np.zeros(len(found) + 1, np.int64)
+    titles = np.zeros(len(found) + 1, np.int64)
     shut: list[tuple[int, int]] = []  # raw or unseen elements: what they hold marks no article
     for now, (_, tag, closing, attrs) in enumerate(found):
         if not tag:
@@ -212,8 +223,9 @@ def set_apart(found: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int],
         mains[now + 1] = tag == "main"
         articles[now + 1] = tag == "article"
         heads[now + 1] = tag in HEADINGS
+        titles[now + 1] = tag == "h1"
     n, ends = len(found), elements.ends
-    mains, articles, heads = np.cumsum(mains), np.cumsum(articles), np.cumsum(heads)
+    mains, articles, heads, titles = np.cumsum(mains), np.cumsum(articles), np.cumsum(heads), np.cumsum(titles)
     apart, marked = {}, {}
     until = 0
     inside: list[int] = []
@@ -228,10 +240,12 @@ def set_apart(found: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int],
         if (named or hidden) and end is not None:
             holds_main = mains[end] > mains[now + 1]
             holds = holds_main or articles[end] > articles[now + 1]
-            commented = any(COMMENTS.intersection(re.split(r"[^a-z0-9]+", x)) for key in ("class", "id") for x in given.get(key, "").split())
+            parts = [re.split(r"[^a-z0-9]+", x) for key in ("class", "id") for x in given.get(key, "").split()]
+            commented = any(COMMENTS.intersection(x) or (x[0] in WRITERS and x[-1] in WRITINGS) for x in parts)
             stays = not hidden and tag not in RAW and (holds_main or (holds and tag not in LISTING and tag not in ("noscript", "template") and not commented))
             # an article's own header stays if it holds a headline
             stays = stays or (not hidden and tag == "header" and bool(inside) and heads[end] > heads[now + 1])
+            stays = stays or (not hidden and tag not in APART and soft(given) and (tag in PARAGRAPHS or (bool(inside) and titles[end] > titles[now + 1])))
             if not stays:
                 apart[now] = until = end
                 continue
@@ -242,15 +256,20 @@ def set_apart(found: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int],
 
 
 def page_lines(page: str, window: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Lines of a page: text, weight (its length; 0 for lines of links outside paragraphs), and whether it stands in an article.
+    """Lines of a page, their weights, and whether they stand in an article (see page_parts)."""
+    return page_parts(page, window)[:3]
+
+
+def page_parts(page: str, window: int = 3) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of a page: text, weight (its length; 0 for lines of links outside paragraphs), whether it stands in an article, and whether it is an h1.
 
     Stretches set apart and edges of articles are as many empty lines as a window has.
     """
     found = list(tokens(page))
     apart, marked = set_apart(found)
-    lines, weight, inside = [], [], []
+    lines, weight, inside, title = [], [], [], []
     words: list[str] = []
-    links, paragraph, anchor, own, until, article = 0, False, False, False, 0, 0
+    links, paragraph, anchor, own, until, article, h1 = 0, False, False, False, 0, 0, False
 
     def flush(gap: bool = False) -> None:
         nonlocal links, paragraph, own
@@ -260,10 +279,12 @@ def page_lines(page: str, window: int = 3) -> tuple[list[str], np.ndarray, np.nd
             lines.append(text)
             weight.append(len(text) if article or (own and (paragraph or 2 * links <= len(text))) else 0)
             inside.append(article > 0)
+            title.append(h1 and weight[-1] > 0 and 2 * links <= len(text))
         if gap:
             lines.extend([""] * window)
             weight.extend([0] * window)
             inside.extend([False] * window)
+            title.extend([False] * window)
         links, paragraph, own = 0, False, False
 
     ends: list[int] = []
@@ -288,7 +309,7 @@ def page_lines(page: str, window: int = 3) -> tuple[list[str], np.ndarray, np.nd
             continue
         if tag in BLOCKS:
             flush()
-            paragraph = not closing and tag in PARAGRAPHS
+            paragraph, h1 = not closing and tag in PARAGRAPHS, not closing and tag == "h1"
         elif tag in ("td", "th"):
             words.append(" ")
         if tag == "a":
@@ -299,7 +320,7 @@ def page_lines(page: str, window: int = 3) -> tuple[list[str], np.ndarray, np.nd
             ends.append(min(marked[now], ends[-1]) if ends else marked[now])
             article = len(ends)
     flush()
-    return lines, np.array(weight, np.int64), np.array(inside, bool)
+    return lines, np.array(weight, np.int64), np.array(inside, bool), np.array(title, bool)
 
 
 def ranges(weight: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -315,8 +336,9 @@ def ranges(weight: np.ndarray, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def chosen(lines: list[str], weight: np.ndarray, inside: np.ndarray, window: int = 3, share: float = 0.2, outweigh: int = 8) -> list[str]:
-    """The lines of the ranges that are the article. share: of the largest range, that begins the text where no article is marked.
+def chosen(lines: list[str], weight: np.ndarray, inside: np.ndarray, window: int = 3, share: float = 0.2, outweigh: int = 8, title: np.ndarray | None = None) -> list[str]:
+    """The lines of the ranges that are the article. share: of the largest range, that begins the text where no article is marked, unless a
+    range with the page's headline stands before it.
     outweigh: times the text of all marked ranges that a range outside needs for the marks not to count."""
     found = ranges(weight, window)
     if not found:
@@ -329,14 +351,18 @@ def chosen(lines: list[str], weight: np.ndarray, inside: np.ndarray, window: int
         keep = [r for r, m in zip(found, marked, strict=True) if m]
     else:
         rest = [(r, t) for r, t, m in zip(found, totals, marked, strict=True) if not m]
-        first = next(k for k, (_, t) in enumerate(rest) if t >= share * outside)
+        heads = [bool(title[a:b].any()) if title is not None else False for (a, b), _ in rest]
+        first = next(k for k, (_, t) in enumerate(rest) if heads[k] or t >= share * outside)
         keep = [r for r, _ in rest[first:]]
     return [lines[i] for a, b in keep for i in range(a, b) if lines[i]]
 
 
 def main_text(page: str | None, window: int = 3) -> str:
     """The article of a page: its blocks, one a line."""
-    return "\n".join(chosen(*page_lines(page, window), window)) if page else ""
+    if not page:
+        return ""
+    lines, weight, inside, title = page_parts(page, window)
+    return "\n".join(chosen(lines, weight, inside, window, title=title))
 
 
 def extract_rows(batches):

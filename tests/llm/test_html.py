@@ -139,3 +139,39 @@ def test_windows_like_brute_force(seed):
     r.shuffle(lines)
     weight, inside = np.array([len(x) * r.randint(0, 1) for x in lines], np.int64), np.array([r.random() < 0.3 for _ in lines], bool)
     assert chosen(lines, weight, inside) == plain_windows(lines, weight.tolist(), inside.tolist(), 3)
+
+
+BODY = "<p>" + "The mayor said on Monday that the new bridge would open in spring. " * 12 + "</p>"
+TEXT = BODY[3:-4].strip()
+AD = "<div class=ad>Buy now</div>"
+MENU = "<nav><ul><li><a href=/>Home</a></li><li><a href=/x>News</a></li></ul></nav>"
+FOOT = "<footer>Imprint and contact</footer>"
+WRITTEN = {
+    # without marks
+    f"{MENU}<h1>Bridge opens</h1><p>A short lede.</p>{AD}<div>{BODY}</div>{FOOT}": f"Bridge opens\nA short lede.\n{TEXT}",
+    f"{MENU}<div class=story><h1>Bridge opens</h1>{AD}{BODY}</div>{FOOT}": f"Bridge opens\n{TEXT}",
+    f"<p>Subscribe now</p>{AD}{BODY}": TEXT,
+    f"{BODY}{AD}<p>Last words.</p>": f"{TEXT}\nLast words.",
+    f"<div class=site-header><h1>Daily News</h1></div>{BODY}": TEXT,
+    f"{BODY}<section class=user-reviews><p>I was there too.</p></section>": TEXT,
+    f"{BODY}<p class=promotion>The promotion of the team.</p>": f"{TEXT}\nThe promotion of the team.",
+    f"<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>{BODY}": TEXT,
+    f"<h1><a href=/>The Paper</a></h1>{AD}{BODY}": TEXT,
+    "<div class=ad>Buy</div>": "",
+    # with marks
+    f"{MENU}<article><h1>Bridge opens</h1>{BODY}</article>{FOOT}": f"Bridge opens\n{TEXT}",
+    f"<article><div class=article-banner><h1>Bridge opens</h1></div>{BODY}</article>": f"Bridge opens\n{TEXT}",
+    f"<article><div class=banner>Download our app</div>{BODY}</article>": TEXT,
+    f"<article><header><h1>Bridge opens</h1></header>{BODY}</article>": f"Bridge opens\n{TEXT}",
+    f"<article>{BODY}<p class=promotion>The promotion of the team.</p></article>": f"{TEXT}\nThe promotion of the team.",
+    f"<main>{BODY}</main><section class=user-reviews><article><p>I was there too.</p></article></section>": TEXT,
+    f"<article>{BODY}<div class=search-box><h2>Search</h2></div></article>": TEXT,
+    f"<article>{BODY}<div id=modal><p>Sign up</p></div></article>": TEXT,
+    f"<article>{BODY}{AD}<p>Last words.</p></article><aside>Most read</aside>": f"{TEXT}\nLast words.",
+    f"<body><main><h1>Bridge</h1><div class=meta>By A. Writer</div>{BODY}<form>Mail<input></form></main>{FOOT}": f"Bridge\nBy A. Writer\n{TEXT}",
+}
+
+
+@pytest.mark.parametrize("page", list(WRITTEN))
+def test_pages_with_written_expectations(page):
+    assert main_text(page) == WRITTEN[page]
