@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haulmark.functions import expressions as x
 from haulmark.plans.raw_layer import RAW_SQL, devices
+from haulmark.operators.tenants import members
 from haulmark.plans.register import query
 from haulmark.sources import domain as d
 
@@ -129,12 +130,19 @@ def job_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_jobs(spark, sf_dir).select("job_id", "company_slug").join(v, "company_slug", "left")
 
 
-@query("tenant_devices", f"{RAW_SQL} SELECT slug, device_id FROM (SELECT 'found' AS slug, device_id FROM devices WHERE fleet_id = 'F1' UNION SELECT 'found', 'D00003' UNION SELECT 'found', 'X9') UNION ALL SELECT 'none', unnest(['D00001', 'D00002'])")
+@query(
+    "tenant_devices",
+    f"""{RAW_SQL}, found AS (SELECT 'north' AS slug, device_id FROM devices WHERE device_id BETWEEN 'D00000' AND 'D00039' UNION ALL SELECT 'south', device_id FROM devices WHERE fleet_id IN ('F1', 'F3') UNION ALL SELECT 'mixed', device_id FROM devices WHERE device_id IN ('D00003', 'D00005') UNION ALL SELECT 'all', device_id FROM devices),
+    listed AS (SELECT 'ghost' AS slug, unnest(['X00001', 'X00002']) AS device_id UNION ALL SELECT 'mixed', unnest(['D00003', 'D00005']))
+    SELECT slug, device_id FROM found UNION ALL SELECT slug, device_id FROM listed WHERE slug NOT IN (SELECT slug FROM found)""",
+)
 def tenant_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenant's devices: those of its fleets and those that its configuration lists; the listed ones alone where no fleet has any."""
-    config = spark.createDataFrame([("found", ["F1"], ["D00003", "X9"]), ("none", ["F99"], ["D00001", "D00002"])], "slug string, fleets array<string>, listed array<string>")
-    by_fleet = config.select("slug", F.explode("fleets").alias("fleet_id")).join(devices(spark, sf_dir), "fleet_id").select("slug", "device_id")
-    return by_fleet.union(config.select("slug", F.explode("listed"))).distinct()
+    """A tenant's devices: the known ones that belong to it; those that it lists only where none is known."""
+    ghost = spark.createDataFrame([("ghost", ["X00001", "X00002", "X00001"], [], 4)], "slug string, device_ids array<string>, fleet_ids array<string>, position int")
+    config = d.companies(spark).unionByName(ghost)
+    found = members(devices(spark, sf_dir).select("device_id", "fleet_id"), config).select("slug", "device_id").distinct()
+    listed = config.select("slug", F.explode("device_ids").alias("device_id")).distinct()
+    return found.unionByName(listed.join(found.select("slug").distinct(), "slug", "left_anti"))
 
 
 PURGED = "company_slug = 'beta' OR device_id IN ('D00003', 'D00005') OR fleet_id = 'F2'"

@@ -88,3 +88,20 @@ def live_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each total that falls back and each day that exceeds its total."""
     return stored(spark, sf_dir).read("anomaly").select("device_id", "company_slug", "received_at", "reason")
+
+
+@query(
+    "live_flags",
+    f"""{STATUS_SQL}, latest AS (SELECT device_id, day, arg_max(coalesce(reason, ''), n) AS snap_reason, max(n) AS n FROM checked GROUP BY ALL), last_day AS (SELECT device_id, arg_max(snap_reason, day) AS snap_reason FROM latest GROUP BY 1),
+    dev AS (SELECT device_id, any_value(slug) AS company_slug, arg_max(coalesce(reason, ''), n) AS reason FROM checked GROUP BY 1)
+    SELECT company_slug, count(*) AS devices, CAST(count(*) FILTER (contains(reason, 'total_regression')) + count(*) FILTER (contains(snap_reason, 'total_regression')) AS BIGINT) AS regressions, array_to_string(list(device_id ORDER BY device_id) FILTER (contains(reason, 'total_regression') OR contains(snap_reason, 'total_regression')), ',') AS flagged
+    FROM dev JOIN last_day USING (device_id) GROUP BY company_slug""",
+)
+def live_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices whose last message, or whose latest daily snapshot, fell back: flags as the status stream has checked them."""
+    store = stored(spark, sf_dir)
+    last = store.read("snapshot").groupBy("device_id").agg(F.max_by(F.coalesce("km_validation_reason", F.lit("")), "snapshot_date").alias("snap"))
+    rows = store.read("device").select("device_id", "company_slug", F.coalesce("km_validation_reason", F.lit("")).alias("own")).join(last, "device_id")
+    own, snap = F.col("own").contains("total_regression"), F.col("snap").contains("total_regression")
+    flagged = F.array_join(F.array_sort(F.collect_list(F.when(own | snap, F.col("device_id")))), ",")
+    return rows.groupBy("company_slug").agg(F.count("*").alias("devices"), (F.count_if(own) + F.count_if(snap)).alias("regressions"), F.nullif(flagged, F.lit("")).alias("flagged"))

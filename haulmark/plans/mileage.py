@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from haulmark.functions.expressions import valid_distance
+from haulmark.operators.repair import repaired
 from haulmark.plans.register import query
 from haulmark.sources import domain as d
 
@@ -141,3 +144,31 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = d.readings(spark, sf_dir).groupBy("company_slug", "device_id").agg(F.max("observed_at").alias("seen"), F.max("day").alias("day"))
     out = one.groupBy("company_slug").agg(F.count("*").alias("devices"), F.count_if(F.col("seen") >= F.expr("TIMESTAMP '2024-01-30 00:00:00'")).alias("with_status_24h"), F.count_if(F.col("day") == F.expr(d.LAST_DAY)).alias("with_snapshot_today"))
     return out.withColumn("missing_today", F.col("devices") - F.col("with_snapshot_today"))
+
+
+REPAIR_SQL = """
+snap AS (SELECT device_id, day, observed_at, CASE WHEN event_id % 6 <> 0 THEN total_km END AS total_km, CASE WHEN event_id % 7 = 0 THEN -1 ELSE day_km END AS day_km FROM daily),
+told AS (SELECT device_id, day, min(total_km) AS lo, max(total_km) AS hi FROM readings WHERE event_id % 4 = 1 GROUP BY ALL),
+der AS (SELECT device_id, day, hi, round(CASE WHEN hi - lo <= 0 AND hi >= lag(hi) OVER w THEN hi - lag(hi) OVER w ELSE hi - lo END, 1) AS km FROM told WINDOW w AS (PARTITION BY device_id ORDER BY day)),
+own AS (SELECT device_id, arg_max(total_km, (observed_at, event_id)) AS last_total, arg_max(coalesce(day_km, -1), (observed_at, event_id)) AS last_day FROM readings GROUP BY 1),
+j AS (SELECT s.*, d.km AS told_km, CASE WHEN s.day = DATE '2024-01-30' THEN coalesce(l.latest, s.total_km) ELSE s.total_km END AS norm, o.last_total, o.last_day, s.day = DATE '2024-01-30' AND o.last_day >= 0 AND o.last_day <= 1000 AND o.last_day <= o.last_total + 0.1 AS own_day
+  FROM snap s LEFT JOIN der d USING (device_id, day) LEFT JOIN (SELECT device_id, arg_max(hi, day) AS latest FROM der GROUP BY 1) l USING (device_id) LEFT JOIN own o USING (device_id)),
+f AS (SELECT *, CASE WHEN own_day THEN last_total ELSE norm END AS final FROM j),
+p AS (SELECT *, last_value(final IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY day, observed_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, coalesce(told_km, day_km) AS cand FROM f),
+r AS (SELECT *, CASE WHEN own_day THEN round(last_day, 1) WHEN cand >= 0 AND cand <= 1000 AND (norm IS NULL OR cand <= norm + 0.1) THEN round(cand, 1) WHEN norm - prev >= 0 AND norm - prev <= 1000 AND norm - prev <= norm + 0.1 THEN round(norm - prev, 1) END AS km FROM p)"""
+
+
+@query(
+    "km_repair_whole",
+    f""", {REPAIR_SQL.strip()} SELECT device_id, day, observed_at, CAST(coalesce(final, total_km) AS DOUBLE) AS total_km, CAST(km AS DOUBLE) AS day_km, CASE WHEN km IS NULL THEN 'invalid' ELSE 'valid' END AS km_validation_status, CASE WHEN km IS NULL THEN 'day_gt_total' END AS km_validation_reason,
+    CASE WHEN (final IS NOT NULL AND final IS DISTINCT FROM total_km) OR km IS DISTINCT FROM day_km THEN 'normalized_from_raw_payload' END AS repair_reason FROM r""",
+)
+def km_repair_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily snapshots, some without a total or with a wrong distance, repaired from the device's alarms, its own record and the totals before."""
+    k = F.col("event_id")
+    snapshots = d.daily(spark, sf_dir).select("device_id", "day", "observed_at", F.when(k % 6 != 0, F.col("total_km")).alias("total_km"), F.when(k % 7 == 0, F.lit(-1)).otherwise(F.col("day_km")).cast("decimal(20,2)").alias("day_km"))
+    readings = d.readings(spark, sf_dir)
+    order = F.struct("observed_at", "event_id")
+    devices = readings.groupBy("device_id").agg(F.max_by("total_km", order).alias("last_total_km"), F.max_by(F.coalesce("day_km", F.lit(-1)), order).alias("last_day_km"))
+    out = repaired(snapshots, readings.filter("event_id % 4 = 1").select("device_id", "day", "total_km"), devices, date(2024, 1, 30), block_days=10)
+    return out.withColumns({c: F.col(c).cast("double") for c in ("total_km", "day_km")})
