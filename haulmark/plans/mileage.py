@@ -70,9 +70,13 @@ base AS (SELECT k.plate, CASE WHEN count(kd.day) = 0 THEN 0.0 ELSE round(CAST(su
 
 def baselines(alarms: DataFrame, km: DataFrame) -> DataFrame:
     """Mean alarms of a vehicle over the 30 days that end yesterday, of those with distance; 0 without any, no row without distances at all."""
+    return day_baselines(alarms.groupBy("plate", "day").agg(F.count("*").alias("n")), km)
+
+
+def day_baselines(n: DataFrame, km: DataFrame) -> DataFrame:
+    """baselines() from counts of alarms by vehicle and day."""
     window = F.col("day").between(F.expr(f"date_sub({d.LAST_DAY}, 30)"), F.expr(f"date_sub({d.LAST_DAY}, 1)"))
     days = km.groupBy("plate", "day").agg(F.max((F.col("km") > 0) & window).alias("counts"))
-    n = alarms.groupBy("plate", "day").agg(F.count("*").alias("n"))
     both = days.join(n, ["plate", "day"], "left").groupBy("plate").agg(F.count_if("counts").alias("days"), F.sum(F.when(F.col("counts"), F.coalesce("n", F.lit(0))).otherwise(0)).alias("n"))
     return both.select("plate", F.when(F.col("days") == 0, 0.0).otherwise(F.round(F.col("n").cast("double") / F.col("days"), 1)).alias("baseline"))
 
