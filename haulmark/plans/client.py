@@ -191,13 +191,18 @@ def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("company_slug", "source").agg(F.count("*").alias("n"))
 
 
-@query("allowed_order", "SELECT company_slug, array_to_string(list(category ORDER BY position), ',') AS shown FROM (VALUES ('acme'), ('beta'), ('gamma')) s(company_slug), categories WHERE CASE company_slug WHEN 'acme' THEN category IN ('Bostezo', 'Uso de celular') WHEN 'beta' THEN category = 'Distraccion' ELSE true END GROUP BY company_slug")
+@query(
+    "allowed_order",
+    """, own AS (SELECT DISTINCT fleet_id, CASE WHEN fleet_id = 'F4' THEN 'x ' || category ELSE category END AS category FROM alarms WHERE user_id % 7 = 1 AND hour BETWEEN 1 AND 2), known AS (SELECT o.fleet_id, c.category, c.position FROM own o JOIN categories c USING (category)),
+    f AS (SELECT DISTINCT fleet_id FROM own) SELECT fleet_id, array_to_string(list(category ORDER BY position), ',') AS shown FROM (SELECT * FROM known UNION ALL SELECT f.fleet_id, c.category, c.position FROM f, categories c WHERE f.fleet_id NOT IN (SELECT fleet_id FROM known)) GROUP BY fleet_id""",
+)
 def allowed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A company's categories in canonical order; all of them where what it lists names none."""
-    rules = spark.createDataFrame([("acme", ["Bostezo", "Uso de celular"]), ("beta", ["Distraccion", "unknown"]), ("gamma", ["unknown"])], "company_slug string, allowed array<string>")
+    """The categories that a fleet lists, in canonical order; all of them where what it lists names none."""
+    told = d.alarms(spark, sf_dir).filter("user_id % 7 = 1 and hour between 1 and 2")
+    rules = told.groupBy("fleet_id").agg(F.collect_set(F.when(F.col("fleet_id") == "F4", F.concat(F.lit("x "), "category")).otherwise(F.col("category"))).alias("allowed"))  # eight at most
     canonical = F.array(*[F.lit(c) for c, _, _ in CATEGORIES])
     own = F.array_intersect(canonical, F.col("allowed"))
-    return rules.select("company_slug", F.array_join(F.when(F.size(own) > 0, own).otherwise(canonical), ",").alias("shown"))
+    return rules.select("fleet_id", F.array_join(F.when(F.size(own) > 0, own).otherwise(canonical), ",").alias("shown"))
 
 
 REPORTED_SQL = f"""{RAW_SQL}, {PORTAL_SQL.strip()}, {SESSION_SQL.strip()},

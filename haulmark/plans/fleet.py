@@ -6,23 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulmark.functions import expressions as x
-from haulmark.plans.raw_layer import RAW_SQL, devices
 from haulmark.operators.tenants import members
+from haulmark.plans.raw_layer import RAW_SQL, devices
 from haulmark.plans.register import query
 from haulmark.sources import domain as d
 
 CATALOG_SQL = """
-catalog(slug, name, operational) AS (VALUES ('north', 'Norte SA', true), ('south', 'aSur', true), ('mixed', 'Mixta', false), ('all', 'todas', true)),
 assigned AS (SELECT 'F1' AS fleet_id, 'south' AS slug UNION ALL SELECT 'F3', 'south' UNION ALL SELECT 'F2', 'mixed'),
 jobs AS (SELECT company_slug, 'job' || day AS job_id, day, n, CASE n % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'partial' ELSE 'succeeded' END AS status FROM (SELECT company_slug, day, count(*) AS n FROM alarms GROUP BY ALL)),
 latest_jobs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_slug ORDER BY day DESC) AS k FROM jobs) WHERE k = 1)"""
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    """Names of companies: a row a tenant."""
-    return spark.createDataFrame([("north", "Norte SA", True), ("south", "aSur", True), ("mixed", "Mixta", False), ("all", "todas", True)], "slug string, name string, operational boolean")
-
-
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rebuild job for each company and day, with a status of its own."""
     n = d.alarms(spark, sf_dir).groupBy("company_slug", "day").agg(F.count("*").alias("n"))
@@ -57,10 +51,16 @@ def fleet_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-@query("company_list", f", {CATALOG_SQL.strip()} SELECT slug, name, operational, CAST(row_number() OVER (ORDER BY NOT operational, lower(name), slug) AS BIGINT) AS place FROM catalog")
+@query(
+    "company_list",
+    "SELECT slug, name, operational, CAST(row_number() OVER (ORDER BY NOT operational, lower(name), slug) AS BIGINT) AS place FROM (SELECT fleet_id AS slug, CASE WHEN count(DISTINCT device_id) % 2 = 0 THEN 'flota ' ELSE 'Transporte ' END || fleet_id AS name, max(day) >= DATE '2024-01-30' AND count(*) FILTER (day = DATE '2024-01-30') % 3 <> 0 AS operational FROM alarms GROUP BY fleet_id)",
+)
 def company_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies in the selector's order: operational ones first, then by name."""
-    return catalog(spark).withColumn("place", F.row_number().over(Window.orderBy(~F.col("operational"), F.lower("name"), "slug")).cast("long"))  # a row a tenant
+    """Fleets as tenants in the selector's order: operational ones first, then by name in any case."""
+    last = F.count_if(F.col("day") == F.expr(d.LAST_DAY))
+    name = F.concat(F.when(F.count_distinct("device_id") % 2 == 0, "flota ").otherwise("Transporte "), "fleet_id")
+    rows = d.alarms(spark, sf_dir).groupBy("fleet_id").agg(name.alias("name"), ((F.max("day") >= F.expr(d.LAST_DAY)) & (last % 3 != 0)).alias("operational")).withColumnRenamed("fleet_id", "slug")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(~F.col("operational"), F.lower("name"), "slug")).cast("long"))  # a row a tenant
 
 
 PUBLISHED_SQL = "published AS (SELECT company_slug, max(occurred_at) AS cut_at, CASE WHEN company_slug <> 'gamma' THEN '{}' END AS snapshot_json FROM kept GROUP BY company_slug)"
@@ -123,10 +123,10 @@ def orphan_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).filter("status <> 'succeeded'").join(configured, "company_slug", "left_anti").select("job_id", "company_slug")
 
 
-@query("job_devices", f"{RAW_SQL}, {CATALOG_SQL.strip()} SELECT j.job_id, j.company_slug, v.device_id, v.plate FROM latest_jobs j LEFT JOIN (SELECT * FROM devices WHERE right(device_id, 1) = '4') v ON v.company_slug = j.company_slug")
+@query("job_devices", f"{RAW_SQL}, {CATALOG_SQL.strip()} SELECT j.job_id, j.company_slug, v.device_id, v.plate FROM latest_jobs j LEFT JOIN devices v ON v.company_slug = j.company_slug")
 def job_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs with the devices that they work off."""
-    v = devices(spark, sf_dir).filter(F.col("device_id").endswith("4")).select("company_slug", "device_id", "plate")
+    v = devices(spark, sf_dir).select("company_slug", "device_id", "plate")
     return latest_jobs(spark, sf_dir).select("job_id", "company_slug").join(v, "company_slug", "left")
 
 

@@ -175,22 +175,21 @@ def three_tiers(spark: SparkSession, sf_dir: str, arriving: DataFrame) -> DataFr
     return upserts.prioritised_match(keyed(arriving), right, "guid", "right_guid", [["provider_key"], ["guid"], ["device_id", "category", "tp", "occurred_at"]], null_safe=(2,))
 
 
-def tiers_sql(some: str = "") -> str:
-    """some: which arriving rows are matched."""
-    return f""", {RESENT_SQL}, l AS (SELECT *, {KEY_SQL} AS k FROM resent{some}), r AS (SELECT *, CASE WHEN event_id % 4 <> 0 THEN {KEY_SQL} END AS k FROM alarms WHERE event_id % 5 <> 0)
+def tiers_sql() -> str:
+    return f""", {RESENT_SQL}, l AS (SELECT *, {KEY_SQL} AS k FROM resent), r AS (SELECT *, CASE WHEN event_id % 4 <> 0 THEN {KEY_SQL} END AS k FROM alarms WHERE event_id % 5 <> 0)
     SELECT l.guid, CAST(CASE WHEN t1.g IS NOT NULL THEN 1 WHEN t2.g IS NOT NULL THEN 2 WHEN t3.g IS NOT NULL THEN 3 END AS INTEGER) AS tier, coalesce(t1.g, t2.g, t3.g) AS match FROM l LEFT JOIN (SELECT k, min(guid) AS g FROM r GROUP BY k) t1 ON l.k = t1.k LEFT JOIN (SELECT guid AS g FROM r) t2 ON l.guid = t2.g
     LEFT JOIN (SELECT device_id, category, tp, occurred_at, min(guid) AS g FROM r GROUP BY ALL) t3 ON l.device_id = t3.device_id AND l.category = t3.category AND l.tp IS NOT DISTINCT FROM t3.tp AND l.occurred_at = t3.occurred_at"""
 
 
-@query("match_three_tiers", tiers_sql(" WHERE event_id % 7 = 0"))
+@query("match_three_tiers", tiers_sql())
 def match_three_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By provider key, else by guid, else by device, category, subtype and time. Its SQL takes every seventh arriving row; match_three_tiers_all takes all."""
-    return three_tiers(spark, sf_dir, resent(spark, sf_dir).filter("event_id % 7 = 0"))
+    """Every row that arrives, by provider key, else by guid, else by device, category, subtype and time."""
+    return three_tiers(spark, sf_dir, resent(spark, sf_dir))
 
 
 @query("match_three_tiers_all", tiers_sql())
 def match_three_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """match_three_tiers for every row that arrives."""
+    """The same as match_three_tiers, which once took every seventh row."""
     return three_tiers(spark, sf_dir, resent(spark, sf_dir))
 
 

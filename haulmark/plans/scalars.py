@@ -132,12 +132,21 @@ def normalized_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_status(d.alarms(spark, sf_dir).select(value.alias("value")), d.ZONE).select("device_id", "observed_at", "total_km", "day_km", "plate_no", "fleet_id", "driver_name")
 
 
-@query("company_overlay", "SELECT * FROM (VALUES ('acme', 'Acme', 'D1,D2', '', ''), ('beta', 'Beta from the table', '', 'F9', 'Bostezo'), ('gamma', 'Gamma', '', '', '')) v(slug, name, devices, fleets, allowed)")
+@query(
+    "company_overlay",
+    """, c AS (SELECT company_slug AS slug, min(device_id) AS lo, max(device_id) AS hi, count(*) AS n FROM alarms GROUP BY 1)
+    SELECT slug, CASE WHEN slug = 'beta' THEN 'Second ' || n WHEN slug = 'delta' THEN 'Delta' ELSE 'Company ' || slug END AS name, CASE WHEN slug = 'beta' OR slug = 'delta' THEN '' WHEN lo = hi THEN lo ELSE lo || ',' || hi END AS devices, CASE slug WHEN 'beta' THEN 'F9' WHEN 'delta' THEN 'F1' ELSE '' END AS fleets, CASE WHEN slug = 'beta' THEN 'Bostezo' ELSE '' END AS allowed
+    FROM (SELECT * FROM c UNION ALL SELECT 'delta', NULL, NULL, 0)""",
+)
 def company_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies of a configuration file, overlaid by rows of a table."""
+    """Companies of a configuration file, made from the alarms, overlaid by rows of a table: two of one slug, of which the later wins, and a new one."""
     path = f"{shared_dir(spark).rstrip('/')}/config-{uuid.uuid4().hex}"
-    text = json.dumps([{"slug": "acme", "name": "Acme", "timezone": d.ZONE, "device_ids": ["D2", " D1 ", "D2", ""]}, 7, {"slug": "beta", "name": "Beta", "timezone": d.ZONE, "fleet_ids": ["F1"]}])
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    rows = spark.createDataFrame([("beta", "Beta from the table", ["F9"], ["Bostezo"]), ("gamma", "Gamma", None, None)], "slug string, name string, fleet_ids array<string>, allowed_categories array<string>")
+    known = d.alarms(spark, sf_dir).groupBy("company_slug").agg(F.min("device_id").alias("lo"), F.max("device_id").alias("hi"), F.count("*").alias("n"))
+    hi, lo = F.col("hi"), F.col("lo")
+    item = F.to_json(F.struct(F.col("company_slug").alias("slug"), F.concat(F.lit("Company "), "company_slug").alias("name"), F.lit(d.ZONE).alias("timezone"), F.array(hi, F.concat(F.lit(" "), lo, F.lit(" ")), hi, F.lit("")).alias("device_ids")))
+    text = known.agg(F.concat(F.lit("[7,"), F.array_join(F.collect_list(item), ","), F.lit(',{"name":"no slug"}]')).alias("value"))  # a file of the companies
+    text.coalesce(1).write.text(path)
+    row = lambda slug, name, fleets, allowed, place: known.filter("company_slug = 'beta'").select(F.lit(slug).alias("slug"), name.alias("name"), F.array(F.lit(fleets)).alias("fleet_ids"), allowed.cast("array<string>").alias("allowed_categories"), F.lit(place).alias("place"))
+    rows = row("beta", F.concat(F.lit("First "), "n"), "F1", F.lit(None), 1).unionByName(row("beta", F.concat(F.lit("Second "), "n"), "F9", F.array(F.lit("Bostezo")), 2)).unionByName(row("delta", F.lit("Delta"), "F1", F.lit(None), 1))
     joined = lambda c: F.array_join(c, ",")
-    return company_config(spark, path, rows).select("slug", "name", joined("device_ids").alias("devices"), joined("fleet_ids").alias("fleets"), joined("allowed_categories").alias("allowed"))
+    return company_config(spark, path, rows, "place").select("slug", "name", joined("device_ids").alias("devices"), joined("fleet_ids").alias("fleets"), joined("allowed_categories").alias("allowed"))

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 COMPANY = "slug string, name string, timezone string, device_ids array<string>, fleet_ids array<string>, allowed_categories array<string>, subtype_map map<string,string>, plate_aliases map<string,string>"
 
 
-def company_config(spark: SparkSession, file: str, rows: DataFrame | None = None) -> DataFrame:
-    """Companies from a JSON array (what isn't an object in it is dropped), overlaid by rows of a table: the last one of a slug wins, lists are sorted and distinct."""
+def company_config(spark: SparkSession, file: str, rows: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """Companies from a JSON array (what isn't an object in it is dropped), overlaid by rows of a table: the last one of a slug wins, lists are sorted and distinct.
+
+    order: a column of rows that says which comes later; without it a slug has one row there.
+    """
     items = spark.read.option("wholetext", True).text(file).select(F.explode(F.from_json("value", "array<variant>")).alias("v")).select(F.to_json("v").alias("v"))
     base = items.filter(F.col("v").startswith("{")).select(F.from_json("v", COMPANY).alias("c")).select("c.*").filter("slug is not null").withColumn("_p", F.lit(0))
-    both = base if rows is None else base.unionByName(rows.withColumn("_p", F.lit(1)), allowMissingColumns=True)
+    both = base if rows is None else base.unionByName(rows.withColumn("_p", F.lit(1) if order is None else F.lit(1) + F.dense_rank().over(Window.partitionBy("slug").orderBy(order))).drop(*([order] if order else [])), allowMissingColumns=True)
     w = Window.partitionBy("slug").orderBy(F.desc("_p"))
     tidy = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != ""))).alias(c)
     one = both.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
@@ -70,3 +73,12 @@ def assign_company(config: DataFrame, changes: DataFrame) -> DataFrame:
     both = config.alias("c").join(changes.alias("x"), "slug", "full")
     now = lambda c: F.when(F.col("x.action").isNull(), F.col(f"c.{c}")).when(F.col("x.action") == "add", F.array_union(F.coalesce(F.col(f"c.{c}"), none), F.col(f"x.{c}"))).otherwise(F.col(f"x.{c}"))
     return both.filter(F.coalesce(F.col("x.action") != "delete", F.lit(True))).select("slug", tidy(now("device_ids")).alias("device_ids"), tidy(now("fleet_ids")).alias("fleet_ids"))
+
+
+def switch_company(config: DataFrame, switches: DataFrame) -> DataFrame:
+    """The configuration after switches of (slug, active): a company that is switched off keeps its row and lists nothing; others are as they were,
+    active. One switch a slug."""
+    none = F.array().cast("array<string>")
+    both = config.join(switches, "slug", "left").withColumn("active", F.coalesce("active", F.lit(True)))
+    held = lambda c: F.when(F.col("active"), F.array_sort(F.coalesce(F.col(c), none))).otherwise(none).alias(c)
+    return both.select("slug", "active", held("device_ids"), held("fleet_ids"))
