@@ -55,10 +55,16 @@ FUZZY = ("device_id", "category", "raw_alarm_type", "raw_tp", "raw_event_code")
 
 
 def prepared(arriving: DataFrame, devices: DataFrame, companies: DataFrame) -> DataFrame:
-    """The rows of a batch with tenant, plate, resolved time, key, status and is_duplicate.
+    """The rows of a batch as resolved() gives them, with is_duplicate: whether key, guid, or device, category, texts and exact time are those
+    of a row kept before."""
+    return first_by_any_key(resolved(arriving, devices, companies), "device_id", "seq", ["guid", "provider_event_key", "fuzzy"])
+
+
+def resolved(arriving: DataFrame, devices: DataFrame, companies: DataFrame) -> DataFrame:
+    """Rows with tenant, plate, time, keys and status.
 
     A device's context is its record, else its first row. An alarm too far ahead of its receipt takes another time of its message, else it is
-    rejected. A row is a duplicate if its key, its guid, or device, category, texts and exact time are those of a row kept before.
+    rejected.
     """
     known = devices.select("device_id", F.col("plate_no").alias("_plate"), F.col("company_slug").alias("_slug"), F.col("fleet_id").alias("_fleet"), F.col("driver_name").alias("_driver"))
     first = arriving.groupBy("device_id").agg(F.min_by(F.struct("fleet_id", "plate_no"), "seq").alias("_first"))
@@ -66,9 +72,9 @@ def prepared(arriving: DataFrame, devices: DataFrame, companies: DataFrame) -> D
     tenant = first_match(context.select("device_id", "fleet_id"), companies, "device_id")
     context = context.join(tenant, "device_id", "left").select("device_id", F.coalesce("slug", "_slug").alias("company_slug"), F.col("fleet_id").alias("_fleet"), "_driver", x.canonical_plate(F.col("device_id"), F.col("_plate"), F.col("_first.plate_no")).alias("_plate"))
     times = [("fallback_reportTime", F.col("report_text")), ("fallback_endTime", F.col("end_text")), ("fallback_startTime", F.col("start_text"))]
-    resolved = x.resolve_time(F.col("occurred_at"), F.col("received_at"), F.col("raw_event_time"), times)
+    time = x.resolve_time(F.col("occurred_at"), F.col("received_at"), F.col("raw_event_time"), times)
     # landed first: what follows reads the rows several times, and one plan of all these expressions would be too long to compile
-    rows = kept_rows(arriving.withColumn("_r", resolved), "arriving").join(context, "device_id", "left")
+    rows = kept_rows(arriving.withColumn("_r", time), "arriving").join(context, "device_id", "left")
     rows = rows.withColumns({
         "occurred_at": F.col("_r.at"), "temporal_resolution": F.col("_r.reason"), "fleet_id": x.first_non_empty(F.col("fleet_id"), F.col("_fleet")),
         "plate_no": F.coalesce(x.canonical_plate(F.col("device_id"), F.col("_plate"), F.col("plate_no")), "_plate"), "driver_name": x.first_non_empty(F.col("driver_name"), F.col("_driver")),
@@ -77,7 +83,7 @@ def prepared(arriving: DataFrame, devices: DataFrame, companies: DataFrame) -> D
     result = F.when(~valid, "future_rejected").when(F.col("classification_status") == "classified_dms", "pending_alarm_upsert").when(F.col("classification_status") == "classified_non_dms", "kept_raw_only_non_dms").when(F.col("classification_status") == "unmapped", "kept_raw_only_unmapped").otherwise("kept_raw_only")
     key = x.event_key(*[F.col(c) for c in ("company_slug", "device_id", "category", "raw_alarm_type", "raw_tp", "raw_event_code", "occurred_at", "start_at", "end_at")])
     rows = rows.withColumns({"temporal_status": F.when(valid, "accepted").otherwise("future_rejected"), "ingest_result": result, "provider_event_key": key, "fuzzy": fuzzy_key(*FUZZY), "day": F.to_date("occurred_at")})
-    return first_by_any_key(rows.drop("_r", "_fleet", "_plate", "_driver"), "device_id", "seq", ["guid", "provider_event_key", "fuzzy"])
+    return rows.drop("_r", "_fleet", "_plate", "_driver")
 
 
 def keys_of(fuzzy: F.Column) -> F.Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haulmark.functions import expressions as x
 from haulmark.operators.batches import apply_batch, create_tables
+from haulmark.operators.singles import ingest_singles
 from haulmark.plans.ingest import CLASS_SQL, classified
 from haulmark.plans.operations import COMPANY_SQL
 from haulmark.plans.raw_layer import FALLBACK_SQL
@@ -155,3 +156,38 @@ def ledger_sql(name: str, source: str) -> str:
 def batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of each batch; a replay has none."""
     return taken_in(spark, sf_dir).read("ledger")
+
+
+SINGLES: dict[tuple[str, str], str] = {}
+
+
+def one_by_one(spark: SparkSession, sf_dir: str) -> TableStore:
+    """A store after the same alarms came one by one: no row is a duplicate then, a repeated one updates what the first has left."""
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in SINGLES:
+        store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/singles-{uuid.uuid4().hex}")
+        create_tables(store, known_devices(spark, sf_dir))
+        rows, companies = arriving(spark, sf_dir).withColumn("total_mileage_km", F.col("seq").cast("double")), d.companies(spark)
+        ingest_singles(store, "s1", rows.filter(BACKFILL), companies, "backfill", d.ZONE)
+        ingest_singles(store, "s2", harvested(rows.filter(HARVEST)), companies, "harvest", d.ZONE)
+        SINGLES[made] = store.root
+    return TableStore(spark, SINGLES[made])
+
+
+AGAIN_SQL = "(SELECT guid, bool_or(seq % 10 = 0) AS again FROM b2_m GROUP BY 1) a"
+
+
+@query("singles_raw", f"{TAKEN_SQL} SELECT {LAYER_SQL}, temporal AS temporal_status, CASE WHEN again AND result = 'inserted_alarm_event' THEN 'updated_alarm_event' ELSE result END AS ingest_result FROM b2_raw LEFT JOIN {AGAIN_SQL} USING (guid)")
+def singles_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw layer after alarms one by one: every tenth of the harvest came twice, so its event is an updated one."""
+    return one_by_one(spark, sf_dir).read("alarm_raw").select(*LAYER, "temporal_status", "ingest_result")
+
+
+@query(
+    "singles_snapshots",
+    f"""{TAKEN_SQL}, fresh AS (SELECT device_id, moment, seq FROM b1_m WHERE event AND event_found IS NULL UNION ALL SELECT device_id, moment, seq FROM b2_m WHERE event AND event_found IS NULL)
+    SELECT device_id, CAST(moment - INTERVAL 5 HOUR AS DATE) AS snapshot_date, max(moment) AS observed_at, CAST(arg_max(seq, (moment, seq)) AS DOUBLE) AS total_km FROM fresh GROUP BY ALL""",
+)
+def singles_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily snapshots that alarms leave: only those that are new events write them."""
+    return one_by_one(spark, sf_dir).read("alarm_snapshots").select("device_id", "snapshot_date", "observed_at", "total_km")
