@@ -22,7 +22,7 @@ from haulmark.sources.tables import assign_company, switch_company
 def provider_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two devices' alarms of a fortnight: the source gets the devices and the times, Spark filters the category."""
     base = f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
-    d.alarms(spark, sf_dir).select("guid", "device_id", "category", "tp", "occurred_at", F.col("value").cast("double").alias("value")).repartition("device_id").write.partitionBy("device_id").parquet(base)
+    d.alarms(spark, sf_dir).select("guid", "device_id", "category", "tp", "occurred_at", F.col("value").cast("double").alias("value")).hint("rebalance", F.col("device_id")).write.partitionBy("device_id").parquet(base)
     rows = history(spark, base if "://" in base or base.startswith("file:") else f"file://{base}")
     return rows.filter(F.col("device_id").isin("D00003", "D00007") & (F.col("occurred_at") >= F.expr("TIMESTAMP '2024-01-10 00:00:00'")) & (F.col("occurred_at") < F.expr("TIMESTAMP '2024-01-25 00:00:00'")) & (F.col("category") != "Bostezo"))
 

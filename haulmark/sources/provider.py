@@ -1,4 +1,4 @@
-"""The provider's alarm history as a Python data source: device and time go to the source, a partition for each device.
+"""The provider's alarm history as a Python data source: device and time go to the source, a partition or more for each device.
 
 The transport is landed: a folder of Parquet files per device (device_id=<id>/...). A device that a filter excludes is never opened, and times
 are filtered where files are read, row group by row group. Whatever else a query asks for, Spark filters itself.
@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+#: Bytes of files that a task reads.
+PART_BYTES = 64 << 20
 SCHEMA = "guid string, device_id string, category string, tp string, occurred_at timestamp, value double"
 
 
@@ -39,15 +42,27 @@ class HistoryReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        """Files of the devices that are asked for: only their folders are listed. A device with many files is many partitions, of some size each."""
         import pyarrow.fs as pafs
 
         system, root = pafs.FileSystem.from_uri(self.path)
-        found: dict[str, list[str]] = {}
-        for item in system.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
-            folder = item.path.rsplit("/", 2)[-2]
-            if item.is_file and item.base_name.endswith(".parquet") and folder.startswith("device_id="):
-                found.setdefault(folder[10:], []).append(item.path)
-        return [DevicePartition(k, sorted(v)) for k, v in sorted(found.items()) if self.devices is None or k in self.devices]
+        folders = [root] if self.devices is None else [f"{root}/device_id={quote(str(d), safe=' ')}" for d in sorted(self.devices)]
+        found: dict[str, list] = {}
+        for folder in folders:
+            for item in system.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)):
+                name = item.path.rsplit("/", 2)[-2]
+                if item.is_file and item.base_name.endswith(".parquet") and name.startswith("device_id="):
+                    found.setdefault(unquote(name[10:]), []).append(item)
+        out = []
+        for device, items in sorted(found.items()):
+            part, size = [], 0
+            for item in sorted(items, key=lambda i: i.path):
+                if part and size + item.size > PART_BYTES:
+                    out.append(DevicePartition(device, part))
+                    part, size = [], 0
+                part, size = [*part, item.path], size + item.size
+            out.append(DevicePartition(device, part))
+        return out
 
     def read(self, partition: InputPartition):
         import pyarrow as pa
@@ -84,7 +99,11 @@ class ProviderHistory(DataSource):
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """Landed alarm history below path (a URI); an empty folder gives no rows."""
+    """Landed alarm history below path (a URI); an empty folder gives no rows.
+
+    Spark hands filters to Python sources only where spark.sql.python.filterPushdown.enabled is set when the query is planned, so this turns it on
+    for the session.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ProviderHistory)
     return spark.read.format("provider_history").option("path", path).load()
