@@ -13,7 +13,7 @@ import os
 import unicodedata
 import zlib
 from collections import deque
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,18 +113,17 @@ class WordIds:
     """Token ids of texts. White space never lies inside a token, so ids are worked out once for each distinct run of non-space bytes.
 
     A run is normalised and split as the vocabulary file says; its words merge by rank in numpy. Runs that hold a special string or a
-    character that isn't assigned go through the library itself. The cache starts anew beyond most runs or most_bytes of them.
+    character that isn't assigned go through the library itself, which is loaded when the first of them comes. The cache starts anew beyond
+    most runs or most_bytes of them.
     """
 
-    def __init__(self, path: str, most: int = 500_000, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most: int = 250_000, most_bytes: int = 16 << 20):
         import regex
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         self.rules = merges(path)
-        spec = json.loads(self.library.to_str())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split":
@@ -136,6 +135,15 @@ class WordIds:
         self.most, self.most_bytes = most, most_bytes
         self.clear()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.held = 0
@@ -222,7 +230,7 @@ def word_ids(path: str) -> WordIds:
 
 def cut(batches, vocabulary: str, size: int, end: int, with_ids: bool):
     words = word_ids(vocabulary)
-    for batch in row_pieces(batches):
+    for batch in row_pieces(batches, most=1 << 20):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         rows = []
         for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts), strict=True):
