@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,11 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives lost executors and cuts the lineage."""
+    """Reliable checkpoint in the shared folder: survives lost executors and cuts the lineage.
+
+    What led here isn't needed any more, but Spark removes its shuffle files only when the driver's garbage is collected, which on a large heap is
+    seldom: loops that checkpoint each round would fill the executors' disks. So garbage is collected here.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
