@@ -16,7 +16,7 @@ from haulmark.plans.raw_layer import FALLBACK_SQL
 from haulmark.plans.register import query
 from haulmark.sources import domain as d
 from haulmark.sources.shared import shared_dir
-from haulmark.sources.versions import TableStore
+from haulmark.sources.versions import TableStore, once
 
 
 def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,10 @@ STORES: dict[tuple[str, str], str] = {}
 
 def taken_in(spark: SparkSession, sf_dir: str) -> TableStore:
     """A store after a backfill, a harvest that overlaps it, and a replay of the harvest."""
-    made = (spark.sparkContext.applicationId, sf_dir)
-    if made in STORES:
-        return TableStore(spark, STORES[made])
+    return once(spark, STORES, sf_dir, lambda: take_in(spark, sf_dir))
+
+
+def take_in(spark: SparkSession, sf_dir: str) -> TableStore:
     store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
     create_tables(store, known_devices(spark, sf_dir))
     rows, companies = arriving(spark, sf_dir), d.companies(spark)
@@ -68,7 +69,6 @@ def taken_in(spark: SparkSession, sf_dir: str) -> TableStore:
     harvest = harvested(rows.filter(HARVEST))
     apply_batch(store, "b2", harvest, companies, "harvest")
     apply_batch(store, "b2", harvest, companies, "harvest")
-    STORES[made] = store.root
     return store
 
 
@@ -163,15 +163,16 @@ SINGLES: dict[tuple[str, str], str] = {}
 
 def one_by_one(spark: SparkSession, sf_dir: str) -> TableStore:
     """A store after the same alarms came one by one: no row is a duplicate then, a repeated one updates what the first has left."""
-    made = (spark.sparkContext.applicationId, sf_dir)
-    if made not in SINGLES:
-        store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/singles-{uuid.uuid4().hex}")
-        create_tables(store, known_devices(spark, sf_dir))
-        rows, companies = arriving(spark, sf_dir).withColumn("total_mileage_km", F.col("seq").cast("double")), d.companies(spark)
-        ingest_singles(store, "s1", rows.filter(BACKFILL), companies, "backfill", d.ZONE)
-        ingest_singles(store, "s2", harvested(rows.filter(HARVEST)), companies, "harvest", d.ZONE)
-        SINGLES[made] = store.root
-    return TableStore(spark, SINGLES[made])
+    return once(spark, SINGLES, sf_dir, lambda: take_singly(spark, sf_dir))
+
+
+def take_singly(spark: SparkSession, sf_dir: str) -> TableStore:
+    store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/singles-{uuid.uuid4().hex}")
+    create_tables(store, known_devices(spark, sf_dir))
+    rows, companies = arriving(spark, sf_dir).withColumn("total_mileage_km", F.col("seq").cast("double")), d.companies(spark)
+    ingest_singles(store, "s1", rows.filter(BACKFILL), companies, "backfill", d.ZONE)
+    ingest_singles(store, "s2", harvested(rows.filter(HARVEST)), companies, "harvest", d.ZONE)
+    return store
 
 
 AGAIN_SQL = "(SELECT guid, bool_or(seq % 10 = 0) AS again FROM b2_m GROUP BY 1) a"

@@ -15,7 +15,7 @@ from haulmark.plans.register import query
 from haulmark.plans.raw_layer import raw
 from haulmark.sources import domain as d
 from haulmark.sources.shared import shared_dir
-from haulmark.sources.versions import TableStore
+from haulmark.sources.versions import TableStore, once
 
 START, END = "2024-01-20 00:00:00", "2024-01-31 00:00:00"
 WINDOWS = {"requested": START, "recent_7d": "2024-01-24 00:00:00", "recent_24h": "2024-01-30 00:00:00"}
@@ -107,18 +107,19 @@ APPLIED_SQL = f"""{REPORTED_SQL}, chosen AS (SELECT * FROM recon WHERE {CANDIDAT
 
 def applied(spark: SparkSession, sf_dir: str) -> TableStore:
     """A store after the portal's candidates of all companies but one were approved, twice."""
-    made = (spark.sparkContext.applicationId, sf_dir)
-    if made not in APPLIED:
-        store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/reviews-{uuid.uuid4().hex}")
-        stored = raw(spark, sf_dir).filter("event_id % 11 <> 0").select("guid", "company_slug", "device_id", "source", "status")
-        key = F.sha2(F.concat_ws("|", "company_slug", "guid"), 256).alias("review_key")
-        none = F.lit(None)
-        reviews = manual_candidates(reconciliation(spark, sf_dir)).select(key, "guid", "company_slug", "device_id", (F.col("class") == "classified_dms").alias("dms"), F.lit("pending").alias("review_status"), none.cast("string").alias("decided_by"), none.cast("timestamp").alias("applied_at"))
-        create_reviews(store, stored.withColumn("ingest_result", F.lit("stored")).drop("status"), stored.filter("status = 'classified_dms'").drop("status"), reviews)
-        for _ in range(2):
-            approve(store, F.col("company_slug") != "gamma", "operator", F.lit(d.AS_OF).cast("timestamp"))
-        APPLIED[made] = store.root
-    return TableStore(spark, APPLIED[made])
+    return once(spark, APPLIED, sf_dir, lambda: run_approvals(spark, sf_dir))
+
+
+def run_approvals(spark: SparkSession, sf_dir: str) -> TableStore:
+    store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/reviews-{uuid.uuid4().hex}")
+    stored = raw(spark, sf_dir).filter("event_id % 11 <> 0").select("guid", "company_slug", "device_id", "source", "status")
+    key = F.sha2(F.concat_ws("|", "company_slug", "guid"), 256).alias("review_key")
+    none = F.lit(None)
+    reviews = manual_candidates(reconciliation(spark, sf_dir)).select(key, "guid", "company_slug", "device_id", (F.col("class") == "classified_dms").alias("dms"), F.lit("pending").alias("review_status"), none.cast("string").alias("decided_by"), none.cast("timestamp").alias("applied_at"))
+    create_reviews(store, stored.withColumn("ingest_result", F.lit("stored")).drop("status"), stored.filter("status = 'classified_dms'").drop("status"), reviews)
+    for _ in range(2):
+        approve(store, F.col("company_slug") != "gamma", "operator", F.lit(d.AS_OF).cast("timestamp"))
+    return store
 
 
 @query(

@@ -17,7 +17,7 @@ from haulmark.plans.register import query
 from haulmark.plans.scalars import local_text
 from haulmark.sources import domain as d
 from haulmark.sources.shared import shared_dir
-from haulmark.sources.versions import TableStore
+from haulmark.sources.versions import TableStore, once
 from haulmark.streaming.harvest import create_harvest, harvest
 from haulmark.streaming.rebuild import Deferred, rebuild
 
@@ -61,17 +61,17 @@ def land(spark: SparkSession, sf_dir: str, base: str) -> None:
 
 
 def harvested(spark: SparkSession, sf_dir: str) -> TableStore:
-    made = (spark.sparkContext.applicationId, sf_dir)
-    if made not in STORES:
-        base = f"{shared_dir(spark).rstrip('/')}/harvest-{uuid.uuid4().hex}"
-        land(spark, sf_dir, f"{base}/landed")
-        store = TableStore(spark, f"{base}/store")
-        none = F.lit(None)
-        known = d.alarms(spark, sf_dir).select("device_id", F.col("plate").alias("plate_no"), none.cast("string").alias("company_slug"), "fleet_id", none.cast("string").alias("driver_name"), none.cast("timestamp").alias("last_seen_at"), none.cast("timestamp").alias("last_received_at")).distinct()
-        create_harvest(store, known)
-        harvest(spark, f"{base}/landed", store, d.companies(spark), d.ZONE, f"{base}/checkpoint")
-        STORES[made] = store.root
-    return TableStore(spark, STORES[made])
+    return once(spark, STORES, sf_dir, lambda: run_harvest(spark, sf_dir))
+
+
+def run_harvest(spark: SparkSession, sf_dir: str) -> TableStore:
+    base = f"{shared_dir(spark).rstrip('/')}/harvest-{uuid.uuid4().hex}"
+    land(spark, sf_dir, f"{base}/landed")
+    store, none = TableStore(spark, f"{base}/store"), F.lit(None)
+    known = d.alarms(spark, sf_dir).select("device_id", F.col("plate").alias("plate_no"), none.cast("string").alias("company_slug"), "fleet_id", none.cast("string").alias("driver_name"), none.cast("timestamp").alias("last_seen_at"), none.cast("timestamp").alias("last_received_at")).distinct()
+    create_harvest(store, known)
+    harvest(spark, f"{base}/landed", store, d.companies(spark), d.ZONE, f"{base}/checkpoint")
+    return store
 
 
 @query("harvest_devices", f"{HARVEST_SQL} SELECT company_slug, cut_at, device_id, status, provider_rows, provider_dms_rows, inserted_raw, inserted_dms FROM devs")
@@ -102,24 +102,25 @@ FIRST, LAST = date(2024, 1, 1), date(2024, 1, 30)
 
 def rebuilt(spark: SparkSession, sf_dir: str) -> TableStore:
     """A month rebuilt in three chunks; the provider puts the second off once, and the job goes on when it is run again."""
-    made = (spark.sparkContext.applicationId, sf_dir)
-    if made not in REBUILT:
-        base = f"{shared_dir(spark).rstrip('/')}/rebuild-{uuid.uuid4().hex}"
-        arriving(spark, sf_dir).withColumn("d", F.to_date(F.from_utc_timestamp("occurred_at", d.ZONE))).write.partitionBy("d").parquet(f"{base}/history")
-        history, asked = spark.read.parquet(f"{base}/history"), []
-
-        def fetch(lo: date, hi: date) -> DataFrame:
-            asked.append(lo)
-            if len(asked) == 2:
-                raise Deferred(datetime(2024, 2, 1, 6))
-            return history.filter(F.col("d").between(lo, hi)).drop("d")  # other days' folders aren't opened
-
-        store = TableStore(spark, f"{base}/store")
-        create_tables(store, known_devices(spark, sf_dir))
-        for _ in range(2):
-            rebuild(store, "month", fetch, FIRST, LAST, d.companies(spark))
-        REBUILT[made] = store.root
-    return TableStore(spark, REBUILT[made])
+    return once(spark, REBUILT, sf_dir, lambda: run_rebuild(spark, sf_dir))
+
+
+def run_rebuild(spark: SparkSession, sf_dir: str) -> TableStore:
+    base = f"{shared_dir(spark).rstrip('/')}/rebuild-{uuid.uuid4().hex}"
+    arriving(spark, sf_dir).withColumn("d", F.to_date(F.from_utc_timestamp("occurred_at", d.ZONE))).write.partitionBy("d").parquet(f"{base}/history")
+    history, asked = spark.read.parquet(f"{base}/history"), []
+
+    def fetch(lo: date, hi: date) -> DataFrame:
+        asked.append(lo)
+        if len(asked) == 2:
+            raise Deferred(datetime(2024, 2, 1, 6))
+        return history.filter(F.col("d").between(lo, hi)).drop("d")  # other days' folders aren't opened
+
+    store = TableStore(spark, f"{base}/store")
+    create_tables(store, known_devices(spark, sf_dir))
+    for _ in range(2):
+        rebuild(store, "month", fetch, FIRST, LAST, d.companies(spark))
+    return store
 
 
 REBUILT_SQL = TIMED_SQL + batch_sql("b", f"SELECT * FROM timed WHERE CAST(occurred_at - INTERVAL 5 HOUR AS DATE) BETWEEN DATE '{FIRST}' AND DATE '{LAST}'", "harvest", "none", "none")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulmark.plans.operations import COMPANY_SQL
 from haulmark.plans.register import query
 from haulmark.sources import domain as d
 from haulmark.sources.shared import shared_dir
-from haulmark.sources.versions import TableStore
+from haulmark.sources.versions import TableStore, once
 from haulmark.streaming.status import STATUS, run_status
 
 STATUS_SQL = f""", {COMPANY_SQL.strip()}, tenant AS (SELECT device_id, arg_min(slug, company_position) AS slug FROM member GROUP BY device_id),
@@ -28,8 +28,6 @@ STORES: dict[tuple[str, str], str] = {}
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status messages in order of arrival: totals that are missing, fall back, or sink within the tolerance; days that exceed their total."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("device_id").orderBy("received_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     k, value = F.col("event_id"), F.col("value").cast("double")
     total = F.sum("value").over(w).cast("double")
@@ -50,12 +48,14 @@ def arrived(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> TableStore:
-    made = (spark.sparkContext.applicationId, sf_dir)
-    if made not in STORES:
-        base = f"{shared_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
-        run_status(arrived(spark, sf_dir, base), TableStore(spark, f"{base}/store"), d.companies(spark), f"{base}/checkpoint")
-        STORES[made] = f"{base}/store"
-    return TableStore(spark, STORES[made])
+    return once(spark, STORES, sf_dir, lambda: follow(spark, sf_dir))
+
+
+def follow(spark: SparkSession, sf_dir: str) -> TableStore:
+    base = f"{shared_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    store = TableStore(spark, f"{base}/store")
+    run_status(arrived(spark, sf_dir, base), store, d.companies(spark), f"{base}/checkpoint")
+    return store
 
 
 @query(
@@ -94,14 +94,15 @@ def live_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     "live_flags",
     f"""{STATUS_SQL}, latest AS (SELECT device_id, day, arg_max(coalesce(reason, ''), n) AS snap_reason, max(n) AS n FROM checked GROUP BY ALL), last_day AS (SELECT device_id, arg_max(snap_reason, day) AS snap_reason FROM latest GROUP BY 1),
     dev AS (SELECT device_id, any_value(slug) AS company_slug, arg_max(coalesce(reason, ''), n) AS reason FROM checked GROUP BY 1)
-    SELECT company_slug, count(*) AS devices, CAST(count(*) FILTER (contains(reason, 'total_regression')) + count(*) FILTER (contains(snap_reason, 'total_regression')) AS BIGINT) AS regressions, array_to_string(list(device_id ORDER BY device_id) FILTER (contains(reason, 'total_regression') OR contains(snap_reason, 'total_regression')), ',') AS flagged
+    SELECT company_slug, count(*) AS devices, CAST(count(*) FILTER (contains(reason, 'total_regression')) + count(*) FILTER (contains(snap_reason, 'total_regression')) AS BIGINT) AS regressions, array_to_string((list(device_id ORDER BY device_id) FILTER (contains(reason, 'total_regression') OR contains(snap_reason, 'total_regression')))[1:8], ',') AS flagged
     FROM dev JOIN last_day USING (device_id) GROUP BY company_slug""",
 )
 def live_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devices whose last message, or whose latest daily snapshot, fell back: flags as the status stream has checked them."""
+    """Devices whose last message, or whose latest daily snapshot, fell back, with the first eight of them: flags as the status stream has checked them."""
     store = stored(spark, sf_dir)
     last = store.read("snapshot").groupBy("device_id").agg(F.max_by(F.coalesce("km_validation_reason", F.lit("")), "snapshot_date").alias("snap"))
     rows = store.read("device").select("device_id", "company_slug", F.coalesce("km_validation_reason", F.lit("")).alias("own")).join(last, "device_id")
     own, snap = F.col("own").contains("total_regression"), F.col("snap").contains("total_regression")
-    flagged = F.array_join(F.array_sort(F.collect_list(F.when(own | snap, F.col("device_id")))), ",")
-    return rows.groupBy("company_slug").agg(F.count("*").alias("devices"), (F.count_if(own) + F.count_if(snap)).alias("regressions"), F.nullif(flagged, F.lit("")).alias("flagged"))
+    place = F.row_number().over(Window.partitionBy("company_slug").orderBy((own | snap).desc(), "device_id"))
+    flagged = F.array_join(F.array_sort(F.collect_list(F.when((own | snap) & (F.col("place") <= 8), F.col("device_id")))), ",")
+    return rows.withColumn("place", place).groupBy("company_slug").agg(F.count("*").alias("devices"), (F.count_if(own) + F.count_if(snap)).alias("regressions"), F.nullif(flagged, F.lit("")).alias("flagged"))
