@@ -309,11 +309,11 @@ def reconcile_type_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_pick_deep", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN device_id WHEN 1 THEN 'in-ext' WHEN 2 THEN 'deep' END AS found FROM alarms")
 def json_pick_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value by name at the top of a message, else in its nested objects, two levels down, in their fixed order; empty ones don't count."""
-    from haulmark.sources.messages import pick_deep
+    from haulmark.sources.messages import opened, pick_deep
 
     k = F.col("event_id") % 4
     doc = F.when(k == 0, F.concat(F.lit('{"ext":{"deviceno":"no"},"deviceno":"'), "device_id", F.lit('"}'))).when(k == 1, F.lit('{"deviceno":"","payload":{"x":1},"ext":{"deviceno":"in-ext"}}')).when(k == 2, F.lit('{"payload":{"det":{"deviceno":"deep"}},"module":{"deviceno":""}}')).otherwise(F.lit("{}"))
-    return d.alarms(spark, sf_dir).select("event_id", doc.alias("doc")).select("event_id", pick_deep(F.col("doc"), "deviceno").alias("found"))
+    return opened(d.alarms(spark, sf_dir).select("event_id", doc.alias("body")), ["event_id"]).select("event_id", pick_deep("deviceno").alias("found"))
 
 
 @query("demultiplex", "SELECT kind, count(*) AS n, max(CASE WHEN kind = 'alarm' THEN received_at END) AS last_alarm FROM (SELECT received_at, CASE event_id % 5 WHEN 0 THEN 'status' WHEN 1 THEN 'alarm' WHEN 2 THEN 'heartbeat' WHEN 3 THEN 'wrong_shape' ELSE 'raw_text' END AS kind FROM alarms) GROUP BY kind")

@@ -12,7 +12,7 @@ from haulmark.operators import upserts
 from haulmark.plans.raw_layer import RAW_SQL, devices
 from haulmark.plans.register import query
 from haulmark.sources import domain as d
-from haulmark.sources.messages import at, envelope_rows
+from haulmark.sources.messages import at, envelope_rows, opened
 from haulmark.sources.provider import history
 from haulmark.sources.shared import shared_dir
 from haulmark.sources.tables import assign_company, switch_company
@@ -35,8 +35,7 @@ def device_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = lambda device: F.to_json(F.struct(device.alias("deviceID"), F.concat(F.lit("N"), last).alias("fleetID"), F.lower("plate").alias("plateNo")))
     reply = F.concat(F.lit('{"status":0,"data":{"list":['), F.concat_ws(",", item(F.col("device_id")), F.when(last == "1", item(F.concat(F.lit("X"), "device_id"))), F.lit("7")), F.lit("]}}"))
     told = envelope_rows(v.filter(last.isin("1", "6")).select(reply.alias("value")))
-    b = F.col("value")
-    new = told.select(at(b, "deviceID").alias("device_id"), at(b, "fleetID").alias("fleet_id"), x.plate_label(at(b, "plateNo")).alias("plate"))
+    new = opened(told.select(F.col("value").alias("body")), [], ()).select(at("deviceID").alias("device_id"), at("fleetID").alias("fleet_id"), x.plate_label(at("plateNo")).alias("plate"))
     return upserts.merge_fields(v, new, ["device_id"])
 
 

@@ -15,22 +15,50 @@ NESTED = ("payload", "basic", "detail", "det", "ext", "location", "mileage", "mo
 LISTS = ("list", "rows", "result", "items", "dataList")
 
 
-def at(body: Column, *paths: str) -> Column:
-    """The first non-empty value of JSON paths."""
-    return x.first_non_empty(*[F.get_json_object(body, f"$.{p}") for p in paths])
+MAP = "map<string, string>"
+OBJECTS = (*NESTED, "driver")
 
 
-def pick(body: Column, *keys: str) -> Column:
+def opened(rows: DataFrame, keep: Iterable[str], deep: Iterable[str] = NESTED) -> DataFrame:
+    """Adds body's fields as maps, for at() and pick() to look in: those at the top, of the nested objects, and of objects inside the deep ones.
+    A text is parsed once for each level, however many fields are looked for."""
+    maps = ", ".join(f"{n}: {MAP}" for n in OBJECTS)
+    inner = ", ".join(f"{n}: struct<{maps}>" for n in deep)
+    b = F.col("body")
+    levels = {"_o1": MAP, "_o2": f"struct<{maps}>"} | ({"_o3": f"struct<{inner}>"} if inner else {})
+    return picked(rows, {"body": b} | {k: F.from_json(b, schema) for k, schema in levels.items()}, keep)
+
+
+def at(*paths: str) -> Column:
+    """The first non-empty value of paths in opened() rows; one that isn't in their maps is looked for in body itself."""
+
+    def one(path: str) -> Column:
+        *objects, name = path.split(".")
+        if len(objects) > 2 or not set(objects) <= set(OBJECTS):
+            return F.get_json_object("body", f"$.{path}")
+        return F.element_at(F.col(".".join([f"_o{len(objects) + 1}", *objects])), F.lit(name))
+
+    return x.first_non_empty(*[one(p) for p in paths])
+
+
+def pick(*keys: str) -> Column:
     """The first non-empty of keys at the top, else the same in each nested object, one level down."""
-    return at(body, *keys, *[f"{n}.{k}" for n in NESTED for k in keys])
+    return at(*keys, *[f"{n}.{k}" for n in NESTED for k in keys])
+
+
+def picked(rows: DataFrame, fields: dict[str, Column], keep: Iterable[str] = ()) -> DataFrame:
+    """The kept columns and the given fields. Filters and columns made from the fields refer to them: as an inlined struct of one, they are
+    never put in place of their names, so each expression stands in the plan, and is worked out for a row, once."""
+    plain = rows.select(*[F.col(k) for k in keep], *[v.alias(f"_p_{k}") for k, v in fields.items()])
+    return plain.select(*[F.col(k) for k in keep], F.inline(F.array(F.struct(*[F.col(f"_p_{k}").alias(k) for k in fields]))))
 
 
 def decoded(messages: DataFrame, column: str = "value") -> DataFrame:
     """Adds body (JSON objects only) and problem: raw_text for what isn't JSON, non_object for other JSON; nothing fails or is dropped."""
-    kind = F.expr(f"try_parse_json({column})")
-    is_object = F.trim(F.col(column)).startswith("{") & kind.isNotNull()
-    problem = F.when(F.col(column).isNull() | kind.isNull(), "raw_text").when(~is_object, "non_object")
-    return messages.withColumns({"problem": problem, "body": F.when(is_object, F.col(column))})
+    told = picked(messages, {"_told": F.col(column), "_json": F.expr(f"try_parse_json({column})").isNotNull()}, messages.columns)
+    is_object = F.trim("_told").startswith("{") & F.col("_json")
+    problem = F.when(~F.col("_json"), "raw_text").when(~is_object, "non_object")
+    return told.withColumns({"problem": problem, "body": F.when(is_object, F.col("_told"))}).drop("_told", "_json")
 
 
 def envelope_rows(replies: DataFrame, column: str = "value") -> DataFrame:
@@ -42,20 +70,22 @@ def envelope_rows(replies: DataFrame, column: str = "value") -> DataFrame:
     return out.filter(F.col("value").startswith("{"))
 
 
-def device_id(body: Column) -> Column:
-    return F.nullif(F.trim(at(body, "deviceID", "deviceno", "deviceid")), F.lit(""))
+def device_id() -> Column:
+    return F.nullif(F.trim(at("deviceID", "deviceno", "deviceid")), F.lit(""))
 
 
 def normalize_status(messages: DataFrame, zone: str, column: str = "value") -> DataFrame:
     """Status messages to device rows; those without device or readable time are left out (see rejected())."""
     b = F.col("body")
-    time = F.coalesce(pick(b, "dtu"), at(b, "location.dtu"), at(b, "ext.reportTime"))
-    rows = decoded(messages, column).filter("body is not null").select(
-        *[F.col(c) for c in messages.columns if c != column],
-        device_id(b).alias("device_id"), x.parse_time(time, zone).alias("observed_at"), x.distance_km(x.clean_string(at(b, "mileage.total"))).alias("total_km"),
-        x.distance_km(x.clean_string(at(b, "mileage.todayDay"))).alias("day_km"), x.plate_label(at(b, "plateNo", "plateno", "ext.deviceName", "ext.devicename")).alias("plate_no"),
-        pick(b, "fleetID", "fleetId", "fleetid").alias("fleet_id"), at(b, "driver.name", "driver.drivername").alias("driver_name"), time.alias("raw_event_time"),
-        x.clean_string(at(b, "mileage.total")).alias("raw_total_value"), x.clean_string(at(b, "mileage.todayDay")).alias("raw_day_value"), b.alias("raw_payload"),
+    fields = {
+        "device_id": device_id(), "raw_event_time": F.coalesce(pick("dtu"), at("location.dtu"), at("ext.reportTime")), "_total": at("mileage.total"), "_day": at("mileage.todayDay"),
+        "_plate": at("plateNo", "plateno", "ext.deviceName", "ext.devicename"), "fleet_id": pick("fleetID", "fleetId", "fleetid"), "driver_name": at("driver.name", "driver.drivername"), "raw_payload": b,
+    }
+    others = [c for c in messages.columns if c != column]
+    rows = picked(opened(decoded(messages, column).filter("body is not null"), others, ()), fields, others).select(
+        *[F.col(c) for c in others],
+        "device_id", x.parse_time(F.col("raw_event_time"), zone).alias("observed_at"), x.distance_km(x.clean_string(F.col("_total"))).alias("total_km"), x.distance_km(x.clean_string(F.col("_day"))).alias("day_km"), x.plate_label(F.col("_plate")).alias("plate_no"),
+        "fleet_id", "driver_name", "raw_event_time", x.clean_string(F.col("_total")).alias("raw_total_value"), x.clean_string(F.col("_day")).alias("raw_day_value"), "raw_payload",
     )
     return rows.filter("device_id is not null and observed_at is not null")
 
@@ -63,25 +93,27 @@ def normalize_status(messages: DataFrame, zone: str, column: str = "value") -> D
 def normalize_alarm(messages: DataFrame, zone: str, column: str = "value") -> DataFrame:
     """Alarm messages of both shapes: live ones nest their detail under payload.det, historical ones are flat. A missing id becomes the event key."""
     b = F.col("body")
-    both = lambda *keys: at(b, *[p for k in keys for p in (f"payload.{k}", k)])
+    both = lambda *keys: at(*[p for k in keys for p in (f"payload.{k}", k)])
     live = F.get_json_object(b, "$.payload.det").isNotNull() | F.get_json_object(b, "$.det").isNotNull()
-    text = x.clean_string(both("alarmTypeValue", "alarmType", "alarmtypeValue", "alarmName", "typeName", "name"))
-    text = F.coalesce(text, F.nullif(F.regexp_extract(F.coalesce(both("alarmDetail"), F.lit("")), r"(?i)type\s*:\s*([^;]+)", 1), F.lit("")))
-    tp = F.coalesce(x.clean_string(both("det.tp", "tp")), F.nullif(F.regexp_extract(F.coalesce(both("alarmvalue", "alarmDetail"), F.lit("")), r"tp:(\d+)", 1), F.lit("")))
     number = lambda c: x.clean_string(c).try_cast("double")
     # each field is picked once, as a column of its own: what is worked out from it refers to the column
     fields = {
-        "_live": live, "_text": text, "_tp": tp, "_code": x.clean_string(both("ec", "alarmtype", "alarmType")), "_category": both("category"), "_detail": at(b, "payload.detail.category", "detail.category"),
-        "_live_time": at(b, "payload.dtu", "payload.st", "location.dtu", "dtu", "st"), "_told_time": both("endTime", "startTime", "reportTime"), "_st": both("st"), "_et": both("et"), "_start": both("startTime", "endTime"), "_end": both("endTime", "reportTime"), "_gps": both("alarmGps"),
-        "_lat": at(b, "location.latitude"), "_lon": at(b, "location.longitude"), "given_guid": at(b, "alarmID", "guid", "payload.uuid", "uuid"), "device_id": device_id(b), "plate_no": both("plateNo", "plateno"), "fleet_id": pick(b, "fleetID", "fleetId", "fleetid"),
-        "driver_name": both("drname", "driverName", "drivername"), "_km": both("totalMileage", "mileage.total"),
+        "_live": live, "_said": both("alarmTypeValue", "alarmType", "alarmtypeValue", "alarmName", "typeName", "name"), "_said_in": both("alarmDetail"), "_sub": both("det.tp", "tp"), "_sub_in": both("alarmvalue", "alarmDetail"), "_ec": both("ec", "alarmtype", "alarmType"), "_category": both("category"), "_detail": at("payload.detail.category", "detail.category"),
+        "_live_time": at("payload.dtu", "payload.st", "location.dtu", "dtu", "st"), "_told_time": both("endTime", "startTime", "reportTime"), "_st": both("st"), "_et": both("et"), "_start": both("startTime", "endTime"), "_end": both("endTime", "reportTime"), "_gps": both("alarmGps"),
+        "_lat": at("location.latitude"), "_lon": at("location.longitude"), "given_guid": at("alarmID", "guid", "payload.uuid", "uuid"), "device_id": device_id(), "plate_no": both("plateNo", "plateno"), "fleet_id": pick("fleetID", "fleetId", "fleetid"),
+        "driver_name": both("drname", "driverName", "drivername"), "_km": both("totalMileage", "mileage.total"), "raw_payload": b,
     }
-    picked = decoded(messages, column).filter("body is not null").select(*[F.col(k) for k in messages.columns if k != column], b.alias("raw_payload"), *[v.alias(k) for k, v in fields.items()])
+    others = [k for k in messages.columns if k != column]
+    found = picked(opened(decoded(messages, column).filter("body is not null"), others, ("payload",)), fields, others)
+    inside = lambda c, pattern: F.nullif(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), pattern, 1), F.lit(""))
+    found = found.withColumns({
+        "_text": F.coalesce(x.clean_string(F.col("_said")), inside("_said_in", r"(?i)type\s*:\s*([^;]+)")), "_tp": F.coalesce(x.clean_string(F.col("_sub")), inside("_sub_in", r"tp:(\d+)")), "_code": x.clean_string(F.col("_ec")),
+    })
     live, text, tp, code = (F.col(c) for c in ("_live", "_text", "_tp", "_code"))
     time = F.when(live, F.col("_live_time")).otherwise(F.col("_told_time"))
     gps = F.split(F.coalesce("_gps", F.lit("")), ",", 2)
     stamp = lambda live_at, other: x.parse_time(F.when(live, F.col(live_at)).otherwise(F.col(other)), zone)
-    rows = picked.select(
+    rows = found.select(
         *[F.col(k) for k in messages.columns if k != column],
         "given_guid", "device_id", x.parse_time(time, zone).alias("occurred_at"), stamp("_st", "_start").alias("start_at"), stamp("_et", "_end").alias("end_at"), x.classify(text, tp, code, F.col("_category"), F.col("_detail")).alias("_c"),
         F.when(live, F.coalesce(tp, text)).otherwise(F.coalesce(text, tp)).alias("subtype"), text.alias("raw_alarm_type"), tp.alias("raw_tp"), code.alias("raw_event_code"),
@@ -98,15 +130,16 @@ def normalize_alarm(messages: DataFrame, zone: str, column: str = "value") -> Da
 
 def rejected(messages: DataFrame, zone: str, time_paths: Iterable[str], column: str = "value") -> DataFrame:
     """The quarantine: messages that can't become rows, each with its reason."""
-    b = F.col("body")
-    reason = F.when(F.col("problem").isNotNull(), F.col("problem")).when(device_id(b).isNull(), "missing_device").when(x.parse_time(at(b, *time_paths), zone).isNull(), "bad_time")
-    return decoded(messages, column).withColumn("reason", reason).filter("reason is not null").drop("body", "problem")
+    keep = [*messages.columns, "problem"]
+    rows = picked(opened(decoded(messages, column), keep), {"_device": device_id(), "_time": at(*time_paths)}, keep)
+    reason = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("_device").isNull(), "missing_device").when(x.parse_time(F.col("_time"), zone).isNull(), "bad_time")
+    return rows.withColumn("reason", reason).filter("reason is not null").drop("_device", "_time", "problem")
 
 
-def pick_deep(body: Column, *keys: str) -> Column:
-    """The first non-empty of keys at the top, else in each nested object, one level down and then two, in their fixed order."""
+def pick_deep(*keys: str) -> Column:
+    """The first non-empty of keys at the top of opened() rows, else in each nested object, one level down and then two, in their fixed order."""
     two = [f"{a}.{b}.{k}" for a in NESTED for b in NESTED if a != b for k in keys]
-    return x.first_non_empty(pick(body, *keys), at(body, *two))
+    return x.first_non_empty(pick(*keys), at(*two))
 
 
 #: What the provider's action codes mean.

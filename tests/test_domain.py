@@ -247,3 +247,21 @@ def test_snapshot_adds_up(spark):
         s = json.loads(r.snapshot_json)
         assert s["alarms"] == want[r.company_slug] == sum(x["n"] for x in s["series"]) == sum(x["n"] for x in s["hours"])
         assert [x["place"] for x in s["top"]] == list(range(1, min(8, s["vehicles"]) + 1))
+
+
+def test_normalising_works_each_field_out_once(spark):
+    """Filters on fields of messages must not put the fields' expressions, and the messages' own, in place of their names."""
+    from haulmark.plans.catalog import QUERIES
+
+    for name in ("normalized_statuses", "normalized_alarms", "rejected_messages"):
+        plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        made = [str(p) for p in plan.toString().splitlines() if "StructsToJsonEvaluator" in p]
+        assert len(made) == 1 and plan.treeString().count("StructsToJsonEvaluator") <= 8, name
+
+
+def test_fields_in_odd_messages(spark):
+    """An object told as a text holds no fields; numbers keep their form; of nulls, empty texts and other shapes the next place counts."""
+    texts = ['{"deviceID":"D1","payload":"{\\"dtu\\":\\"x\\"}","basic":[1],"location":{"dtu":"2024-01-05 03:00:00"},"mileage":{"total":123.0,"todayDay":4e1},"fleetID":null,"ext":{"fleetid":7,"deviceName":""},"driver":"n"}', '{"deviceID":"","deviceno":"D2","dtu":1704423600,"mileage":null}']
+    a, b = sorted(messages.normalize_status(spark.createDataFrame([(t,) for t in texts], "value string"), "America/Bogota").collect())
+    assert (a.device_id, a.observed_at, a.total_km, a.day_km, a.fleet_id, a.plate_no, a.driver_name) == ("D1", T0, 123.0, 40.0, "7", None, None)
+    assert (b.device_id, b.total_km) == ("D2", None)
