@@ -36,7 +36,11 @@ def is_plate(c: Column) -> Column:
 
 def canonical_plate(device: Column, *candidates: Column) -> Column:
     """The first candidate of plate shape; else the first that is neither the device id nor all digits; else the device id; else the first."""
-    labels = [plate_label(c) for c in candidates]
+    return canonical_label(device, *[plate_label(c) for c in candidates])
+
+
+def canonical_label(device: Column, *labels: Column) -> Column:
+    """canonical_plate() of candidates in normal form: each stands in the expression several times, so columns are cheaper than expressions."""
     shaped = [F.when(c.rlike(r"^\p{L}{3}\d{3}$"), c) for c in labels]
     named = [F.when((c != F.coalesce(device, F.lit(""))) & ~c.rlike(r"^\d+$"), c) for c in labels]
     return F.coalesce(*shaped, *named, F.nullif(device, F.lit("")), *labels)
@@ -142,12 +146,11 @@ def persisted_km(km: Column) -> Column:
     return F.when(km.isNotNull(), F.round(F.greatest(F.when(km >= 10_000, km / 1000).otherwise(km), F.lit(0.0)), 1))
 
 
-def resolve_time(occurred: Column, received: Column, current_text: Column, candidates: list[tuple[str, Column]], zone: str = "UTC", minutes: int = RULES["future_minutes"]) -> Column:
+def resolve_time(occurred: Column, received: Column, current_text: Column, candidates: list[tuple[str, Column]], zone: str = "UTC", minutes: int = RULES["future_minutes"], times: list[Column] | None = None) -> Column:
     """struct(at, reason): the event's time; where that is too far ahead of its receipt, the first candidate that is another text, can be
-    read and isn't; the event's time again where none is."""
+    read and isn't; the event's time again where none is. times: what the candidates are read as, where they are columns already."""
     out = F.when(~in_future(occurred, received, minutes), F.struct(occurred.alias("at"), F.lit(None).cast("string").alias("reason")))
-    for reason, text in candidates:
-        at = parse_time(text, zone)
+    for (reason, text), at in zip(candidates, times or [parse_time(text, zone) for _, text in candidates], strict=True):
         fits = (F.trim(text) != "") & (F.trim(text) != F.trim(current_text)) & at.isNotNull() & ~in_future(at, received, minutes)
         out = out.when(F.coalesce(fits, F.lit(False)), F.struct(at.alias("at"), F.lit(reason).alias("reason")))
     return out.otherwise(F.struct(occurred.alias("at"), F.lit(None).cast("string").alias("reason")))

@@ -56,7 +56,7 @@ def land(spark: SparkSession, sf_dir: str, base: str) -> None:
         inside = rows.filter((F.col("at") >= end - F.expr("INTERVAL 11 DAYS")) & (F.col("at") < end) & ~limited & ~failed & ~silent)
         pages = inside.groupBy("device_id", F.floor(k / 50).alias("page")).agg(F.to_json(F.struct(F.lit(0).alias("status"), F.struct(F.collect_list("alarm").alias("list")).alias("data"))).alias("value")).drop("page")
         others = devices.filter(~silent).select("device_id", F.when(limited, '{"status":429}').when(failed, '{"status":500}').otherwise('{"status":0,"data":{"list":[]}}').alias("value"))
-        pages.unionByName(others).repartition("device_id").write.partitionBy("device_id").text(f"{base}/cut={cut}")
+        pages.unionByName(others).select(F.concat_ws("\t", "device_id", "value").alias("value")).write.text(f"{base}/cut={cut}")
         spark.createDataFrame([(cut,)], "value string").coalesce(1).write.text(f"{base}/_cuts/{cut}")
 
 

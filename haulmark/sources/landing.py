@@ -1,11 +1,13 @@
-"""The provider's landed replies as a streaming source: cuts are offsets, devices are files.
+"""The provider's landed replies as a streaming source: cuts are offsets, replies are lines.
 
     <path>/_cuts/<cut>/...                     a cut that is complete
+    <path>/cut=<cut>/*                         the replies of any devices, one a line: the device's id, a tab, the reply
     <path>/cut=<cut>/device_id=<id>/*          the replies of a device, one a line
     <path>/_taken/<cut>                        written when a cut has been committed
 
 Offsets name the last complete cut, so a micro-batch that is done again reads the same files. Only the folders of the cuts of a micro-batch are
-listed. Large files are read in ranges of lines, small ones several a task: one device's replies may take many tasks.
+listed. Large files are read in ranges of lines, small ones several a task: one device's replies may take many tasks. Files of many devices are
+as many as the tasks that wrote them; folders of single devices are for few devices, as each costs files of its own.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ TASK_BYTES, LINES = 32 << 20, 4096
 
 
 class Ranges(InputPartition):
-    """Byte ranges (cut, device, file, start, end) that a task reads the lines of: those that start inside."""
+    """Byte ranges (cut, device or None for files of many, file, start, end) that a task reads the lines of: those that start inside."""
 
-    def __init__(self, ranges: list[tuple[str, str, str, int, int]]):
+    def __init__(self, ranges: list[tuple[str, str | None, str, int, int]]):
         super().__init__(None)
         self.ranges = ranges
 
@@ -54,19 +56,20 @@ class LandingReader(DataSourceStreamReader):
         import pyarrow.fs as pafs
 
         system, root = self.files()
-        out: list[list[tuple[str, str, str, int, int]]] = [[]]
+        out: list[list[tuple[str, str | None, str, int, int]]] = [[]]
         room = TASK_BYTES
         for cut in (c for c in self.cuts() if start["cut"] < c <= end["cut"]):
             for item in sorted(system.get_file_info(pafs.FileSelector(f"{root}/cut={cut}", recursive=True, allow_not_found=True)), key=lambda i: i.path):
                 folder = item.path.rsplit("/", 2)[-2]
-                if not item.is_file or not folder.startswith("device_id=") or item.base_name[0] in "_.":
+                many = folder == f"cut={cut}"
+                if not item.is_file or not (many or folder.startswith("device_id=")) or item.base_name[0] in "_.":
                     continue
                 for a in range(0, item.size, TASK_BYTES):
                     b = min(item.size, a + TASK_BYTES)
                     if out[-1] and b - a > room:
                         out.append([])
                         room = TASK_BYTES
-                    out[-1].append((cut, folder[10:], item.path, a, b))
+                    out[-1].append((cut, None if many else folder[10:], item.path, a, b))
                     room -= b - a
         return [Ranges(r) for r in out if r]
 
@@ -98,8 +101,12 @@ class LandingReader(DataSourceStreamReader):
             if some:
                 yield self.batch(pa, cut, device, some)
 
-    def batch(self, pa, cut: str, device: str, lines: list[str]):
-        return pa.RecordBatch.from_arrays([pa.array([cut] * len(lines)), pa.array([device] * len(lines)), pa.array(lines)], names=["cut", "device_id", "body"])
+    def batch(self, pa, cut: str, device: str | None, lines: list[str]):
+        devices = [device] * len(lines)
+        if device is None:
+            parts = [line.partition("\t") for line in lines]
+            devices, lines = [p[0] for p in parts], [p[2] for p in parts]
+        return pa.RecordBatch.from_arrays([pa.array([cut] * len(lines)), pa.array(devices), pa.array(lines)], names=["cut", "device_id", "body"])
 
     def commit(self, end: dict) -> None:
         if end["cut"]:

@@ -55,8 +55,11 @@ def cut_time(cut: str) -> F.Column:
 
 
 def normalised(replies: DataFrame, zone: str, received: str) -> DataFrame:
-    """The alarms in replies as a batch brings them, in order of device, time and guid; ranges of that order are the tasks, so a device may fill many."""
-    rows = normalize_alarm(envelope_rows(replies.select(F.col("body").alias("value"))), zone)
+    """The alarms in replies as a batch brings them, in order of device, time and guid; ranges of that order are the tasks, so a device may fill many.
+
+    Replies are dealt evenly before they are parsed, as a small file of them holds many alarms, and each is parsed once: the ranges are found on what is written."""
+    dealt = replies.select(F.col("body").alias("value")).repartition(int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = kept_rows(normalize_alarm(envelope_rows(dealt), zone), "parsed")
     text = lambda *keys: F.coalesce(*[F.get_json_object("raw_payload", f"$.{k}") for k in keys])
     rows = rows.withColumns({"received_at": cut_time(received), "payload_json": F.col("raw_payload"), "report_text": text("reportTime"), "end_text": text("endTime", "payload.et"), "start_text": text("startTime", "payload.st")})
     order = ["device_id", "occurred_at", "guid"]

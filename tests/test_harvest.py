@@ -7,8 +7,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from haulmark.operators.batches import ARRIVING, apply_batch, create_tables
+from haulmark.operators.batches import ARRIVING, apply_batch, create_tables, resolved
 from haulmark.plans.applied import arriving, known_devices
+from haulmark.plans.harvest import land as land_cuts
 from haulmark.sources import domain as d
 from haulmark.sources import landing
 from haulmark.sources.versions import TableStore
@@ -155,3 +156,29 @@ def test_batch_replay_and_fault(spark, tmp_path):
         apply_batch(store, "two", small(spark, [("z", "D8", "classified_dms", "x", 5)]), companies, "harvest", broken)
     assert store.version() == version and sizes() == before
     assert apply_batch(store, "two", small(spark, [("z", "D8", "classified_dms", "x", 5)]), companies, "harvest")
+
+
+def test_files_of_many_devices(spark, tmp_path, monkeypatch):
+    """A line names its device; such files and folders of single devices stand side by side, and landing makes no folder a device."""
+    land(tmp_path, "2024-01-01T0000", {"D1": ["one", "two"]})
+    lines = [f"D{k % 7}\treply {k} " + "x" * (k % 23) for k in range(120)]
+    Path(tmp_path, "cut=2024-01-01T0000", "part-0.txt").write_text("".join(f"{x}\n" for x in lines))
+    for size in (50, 1 << 20):
+        monkeypatch.setattr(landing, "TASK_BYTES", size)
+        reader = landing.LandingReader(f"file://{tmp_path}")
+        got = [(r["device_id"], r["body"]) for p in reader.partitions(reader.initialOffset(), reader.latestOffset()) for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted(got) == sorted([tuple(x.split("\t")) for x in lines] + [("D1", "one"), ("D1", "two")])
+    land_cuts(spark, SF, f"{tmp_path}/landed")
+    assert not list(Path(tmp_path, "landed").glob("cut=*/device_id=*")) and list(Path(tmp_path, "landed").glob("cut=*/part-*"))
+
+
+def test_rows_resolve_in_compiled_plans(spark, tmp_path):
+    """The generated code of no step is beyond what Spark compiles."""
+    store = TableStore(spark, str(tmp_path))
+    create_tables(store, known_devices(spark, SF))
+    rows = resolved(arriving(spark, SF), store.read("devices"), d.companies(spark))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
