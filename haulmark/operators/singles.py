@@ -1,13 +1,14 @@
 """Alarms taken in one by one: each sees what those before it have left, so what an alarm is found under depends on their order.
 
 Rows that share a key with each other or with a stored row, directly or through others, are a component; only within one can order matter.
-Components are found by joins, each is folded by itself, and rows that repeat the one before are left out of the fold, as they end where that one did.
+Components are found by joins, each is folded by itself, one after the other as a task's rows stream by; rows that are alone in theirs need no fold, and rows
+that repeat the one before are left out of it, as they end where that one did.
 The tables are then aggregates over the rows by the guid that each ended under: the last value, the last that is known, or the latest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,22 +23,38 @@ ENDED = "seq long, raw_guid string, raw_inserted boolean, event_guid string, eve
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (its least node) of links (node, key): nodes that share a key belong together. Labels fall by two joins a round, and a label's
-    own label is taken at once, so long chains take few rounds."""
-    links = kept_rows(links.distinct(), "links")
+    own label is taken at once, so long chains take few rounds. Keys of one node link nothing and stay out of the rounds."""
+    every = kept_rows(links.distinct(), "links")
+    links = kept_rows(every.join(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key", "left_semi"), "shared")
     labels = kept_rows(links.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    while True:
+    while not links.isEmpty():
         by_key = links.join(labels, "node").groupBy("key").agg(F.min("label").alias("label"))
         least = links.join(by_key, "key").groupBy("node").agg(F.min("label").alias("label"))
         jump = least.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         now = least.join(jump, F.col("label") == F.col("_n"), "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label"))
         now = kept_rows(now, "labels")
-        if now.join(labels.withColumnRenamed("label", "_old"), "node").filter("label <> _old").isEmpty():
-            return now.withColumnRenamed("label", "component")
+        settled = now.join(labels.withColumnRenamed("label", "_old"), "node").filter("label <> _old").isEmpty()
         labels = now
-
-
-def fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a component in order, stored ones first: under which guid each is found, and whether it was new. A row that is found takes its
+        if settled:
+            break
+    return every.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+
+
+def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by component, in batches that may end within one: each component's rows are folded as they come, its keys alone are held."""
+    of, take = None, None
+    for rows in batches:
+        out = []
+        for r in rows.itertuples(index=False):
+            if take is None or r.component != of:
+                of, take = r.component, fold()
+            if (told := take(r)) is not None:
+                out.append(told)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in ENDED.split(",")])
+
+
+def fold() -> Callable[[tuple], tuple | None]:
+    """Takes the rows of a component in order, stored ones first: under which guid each is found, and whether it was new. A row that is found takes its
     raw row's keys over, so a later one meets the keys that it has then."""
     tables = [({}, {}, {}), ({}, {}, {})]  # raw layer and events: guid by provider key, by guid, by device with texts and time
     keys = [{}, {}]  # of a guid, in each
@@ -55,18 +72,18 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
         by_p, by_g, by_f = tables[k]
         return by_p.get(p) or by_g.get(g) or by_f.get(f)
 
-    out = []
-    for r in rows.sort_values(["stored", "seq", "guid"], ascending=[False, True, True]).itertuples():
+    def take(r: tuple) -> tuple | None:
         if r.stored:
             put(r.layer, r.guid, r.provider_event_key, r.fuzzy)
-            continue
+            return None
         raw = get(0, r.provider_event_key, r.guid, r.fuzzy)
         put(0, raw or r.guid, r.provider_event_key, r.fuzzy)
         event = get(1, r.provider_event_key, r.guid, r.fuzzy) if r.event else None
         if r.event:
             put(1, event or r.guid, r.provider_event_key, r.fuzzy)
-        out.append((r.seq, raw or r.guid, raw is None, (event or r.guid) if r.event else None, bool(r.event and event is None)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ENDED.split(",")])
+        return r.seq, raw or r.guid, raw is None, (event or r.guid) if r.event else None, bool(r.event and event is None)
+
+    return take
 
 
 def ended(rows: DataFrame, raw: DataFrame, events: DataFrame) -> DataFrame:
@@ -85,13 +102,16 @@ def ended(rows: DataFrame, raw: DataFrame, events: DataFrame) -> DataFrame:
     order = Window.partitionBy("component").orderBy("stored", "seq")
     same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(order))
     repeats = ~F.col("stored") & F.coalesce(~F.lag("stored").over(order), F.lit(False)) & same("provider_event_key") & same("guid") & same("fuzzy") & same("event")
-    runs = every.withColumn("first", ~repeats)
+    alone = ~F.col("stored") & F.lag("seq").over(order).isNull() & F.lead("seq").over(order).isNull()
+    runs = every.withColumns({"first": ~repeats, "alone": alone})
     runs = kept_rows(runs.withColumn("run", F.sum(F.col("first").cast("int")).over(order)), "runs")
-    result = runs.filter("first").select("component", "seq", "guid", "provider_event_key", "fuzzy", "event", "stored", "layer").groupBy("component").applyInPandas(fold, ENDED)
+    told = runs.filter("first and not alone").select("component", "seq", "guid", "provider_event_key", "fuzzy", "event", "stored", "layer")
+    result = told.repartition("component").sortWithinPartitions("component", F.desc("stored"), "seq", "guid").mapInPandas(folded, ENDED)
     firsts = runs.filter("first and not stored").select("component", "run", "seq").join(result, "seq").withColumnRenamed("seq", "_first")
-    out = runs.filter("not stored").select("component", "run", "seq").join(firsts, ["component", "run"])
+    out = runs.filter("not stored and not alone").select("component", "run", "seq").join(firsts, ["component", "run"])
     new = lambda c: (F.col(c) & (F.col("seq") == F.col("_first"))).alias(c)
-    return out.select("seq", "raw_guid", new("raw_inserted"), "event_guid", new("event_inserted"))
+    fresh = runs.filter("alone").select("seq", F.col("guid").alias("raw_guid"), F.lit(True).alias("raw_inserted"), F.when(F.col("event"), F.col("guid")).alias("event_guid"), F.col("event").alias("event_inserted"))
+    return out.select("seq", "raw_guid", new("raw_inserted"), "event_guid", new("event_inserted")).unionByName(fresh)
 
 
 def last(c: str) -> Column:

@@ -4,10 +4,11 @@ import json
 import random
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from haulmark.operators.batches import ARRIVING, create_tables, resolved
-from haulmark.operators.singles import components, ingest_singles
+from haulmark.operators.singles import components, folded, ingest_singles
 from haulmark.sources import domain as d
 from haulmark.sources.versions import TableStore
 
@@ -105,3 +106,16 @@ def test_copies_of_one_alarm(spark, tmp_path):
     assert ingest_singles(store, "b", spark.createDataFrame(rows, SCHEMA), d.companies(spark), "live", d.ZONE)
     (r,) = store.read("ledger").collect()
     assert (r.raw_inserted, r.raw_updated) == (1, 399) and store.read("alarm_raw").count() == 1
+
+
+def test_components_stream_through_a_task(spark):
+    """A batch may end within a component and hold several: the same as each component by itself."""
+    columns = ["component", "seq", "guid", "provider_event_key", "fuzzy", "event", "stored", "layer"]
+    rows = [("a", -1, "s", "p0", "f0", False, True, 0), ("a", 1, "g1", "p0", "f1", True, False, 0), ("a", 2, "g2", "p2", "f1", True, False, 0), ("b", 3, "g3", "p0", "f1", True, False, 0), ("b", 4, "g4", None, "f1", False, False, 0)]
+    want = [(1, "s", False, "g1", True), (2, "s", False, "g1", False), (3, "g3", True, "g3", True), (4, "g3", False, None, False)]
+    for size in (1, 2, 5):
+        batches = (pd.DataFrame(rows[k : k + size], columns=columns) for k in range(0, len(rows), size))
+        assert [tuple(r) for b in folded(batches) for r in b.itertuples(index=False)] == want
+    links = spark.createDataFrame([("x", "alone"), ("y", "k"), ("z", "k")], "node string, key string")
+    assert {r.node: r.component for r in components(links).collect()} == {"x": "x", "y": "y", "z": "y"}
+    assert {r.node: r.component for r in components(links.filter("node = 'x'")).collect()} == {"x": "x"}
