@@ -27,7 +27,8 @@ def latest_unconsumed(sessions: DataFrame, keys: list[str], gap_minutes: int) ->
 
     sessions: keys, session_id, kind ('give' or 'take'), start_at, end_at. A given session must end before the taking one starts, by gap_minutes
     at most. Sequential only within a stretch: a key is cut wherever no giving session has ended within gap_minutes before, so that none
-    reaches across. Stretches without both kinds are left out; those with the rest are folded each by itself.
+    reaches across. Where a stretch has one giving session, the first taking one gets it, by an aggregate; only stretches in which several compete
+    are folded each by itself, and those are dealt over all shuffle partitions, since calls cost more than their bytes tell.
     """
     gap = pd.Timedelta(minutes=gap_minutes)
 
@@ -52,12 +53,17 @@ def latest_unconsumed(sessions: DataFrame, keys: list[str], gap_minutes: int) ->
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"taker {types['session_id']}", f"given {types['session_id']}"])
     give = F.col("kind") == "give"
     w = Window.partitionBy(*keys).orderBy("_point", "session_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sessions.withColumn("_point", F.when(give, F.col("end_at")).otherwise(F.col("start_at")))
+    rows = sessions.filter(F.col("start_at").isNotNull() & (~give | F.col("end_at").isNotNull())).withColumn("_point", F.when(give, F.col("end_at")).otherwise(F.col("start_at")))
     near = F.unix_micros("_point") - F.unix_micros(F.max(F.when(give, F.col("end_at"))).over(w)) <= gap_minutes * 60_000_000
     rows = rows.withColumn("_near", F.coalesce(near, F.lit(False))).filter(give | F.col("_near"))
     # a giving session that no other reaches begins a stretch, and so names it
     begin = F.max(F.when(~F.col("_near"), F.struct("_point", "session_id"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_begin", begin)
-    both = rows.groupBy(*keys, "_begin").agg(F.count_if(give).alias("_g"), F.count("*").alias("_n")).filter("_g < _n")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_begin"]]
-    return rows.alias("a").join(both.alias("b"), [*same], "left_semi").drop("_point", "_near").groupBy(*keys, "_begin").applyInPandas(fold, schema)
+    stretch = Window.partitionBy(*keys, "_begin")
+    rows = rows.withColumns({"_gives": F.count_if(give).over(stretch), "_takes": F.count_if(~give).over(stretch), "_from": F.max(F.when(give, F.struct("start_at", "session_id"))).over(stretch)})
+    rows = rows.filter("_takes > 0").drop("_point", "_near", "_takes")
+    own = F.struct("start_at", "session_id")
+    fit = rows.filter(~give & (F.col("_gives") == 1) & (F.col("start_at") > F.col("_begin._point")) & (own > F.col("_from")))
+    alone = fit.groupBy(*keys, "_begin").agg(F.min(own).alias("_t")).select(*keys, F.col("_t.session_id").alias("taker"), F.col("_begin.session_id").alias("given"))
+    compete = rows.filter("_gives > 1").drop("_gives", "_from").repartition(int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_begin")
+    return alone.unionByName(compete.groupBy(*keys, "_begin").applyInPandas(fold, schema))

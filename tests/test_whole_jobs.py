@@ -109,6 +109,18 @@ def test_a_hot_key_is_not_one_fold(spark):
     assert "Pandas" not in plan(flags)
 
 
+def test_a_stretch_with_one_giving_session_is_not_folded(spark):
+    """A call for each stretch took most of the time: none is made where nothing competes."""
+    at = lambda minutes: dt.datetime(2024, 1, 5) + dt.timedelta(minutes=minutes)
+    rows = [(plate, f"{plate}{k}{n}", kind, at(200 * k + lo), at(200 * k + hi)) for plate in ("a", "b", None) for k in range(30) for n, kind, lo, hi in ((0, "give", 0, 10), (1, "take", 10, 11), (3, "take", 70, 75), (2, "take", 70, 71), (4, "take", 71, 72))]
+    rows += [("c", "y", "give", None, at(5)), ("c", "z", "give", at(20), at(6)), ("c", "e", "take", at(7), None), ("c", "f", "take", at(30), None), ("c", "g", "take", None, at(31))]
+    got = latest_unconsumed(spark.createDataFrame(rows, "plate string, session_id string, kind string, start_at timestamp, end_at timestamp"), ["plate"], 60)
+    found = [tuple(r) for r in got.collect()]
+    want = {(plate, f"{plate}{k}2", f"{plate}{k}0") for plate in ("a", "b", None) for k in range(30)} | {("c", "f", "z")}
+    assert set(found) == want and len(found) == len(want)
+    assert "_gives" in got._jdf.queryExecution().toString().split("FlatMapGroupsInPandas")[1]
+
+
 def test_history_source_opens_only_what_is_asked_for(spark, tmp_path):
     import datetime
 
