@@ -13,17 +13,21 @@ from haulmark.plans.raw_layer import RAW_SQL, devices
 from haulmark.plans.register import query
 from haulmark.sources import domain as d
 from haulmark.sources.messages import at, envelope_rows, opened
-from haulmark.sources.provider import history
+from haulmark.sources.provider import history, land_history
 from haulmark.sources.shared import shared_dir
 from haulmark.sources.tables import assign_company, switch_company
 
+#: Folders that the provider's history is landed in.
+HISTORY_PARTS = 64
+
 
 @query("provider_history", "SELECT guid, device_id, category, tp, occurred_at, CAST(value AS DOUBLE) AS value FROM alarms WHERE device_id IN ('D00003', 'D00007') AND occurred_at >= TIMESTAMP '2024-01-10 00:00:00' AND occurred_at < TIMESTAMP '2024-01-25 00:00:00' AND category <> 'Bostezo'")
 def provider_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two devices' alarms of a fortnight: the source gets the devices and the times, Spark filters the category."""
     base = f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
-    d.alarms(spark, sf_dir).select("guid", "device_id", "category", "tp", "occurred_at", F.col("value").cast("double").alias("value")).hint("rebalance", F.col("device_id")).write.partitionBy("device_id").parquet(base)
-    rows = history(spark, base if "://" in base or base.startswith("file:") else f"file://{base}")
+    rows = d.alarms(spark, sf_dir).select("guid", "device_id", "category", "tp", "occurred_at", F.col("value").cast("double").alias("value"))
+    land_history(rows, base, HISTORY_PARTS)
+    rows = history(spark, base if "://" in base or base.startswith("file:") else f"file://{base}", HISTORY_PARTS)
     return rows.filter(F.col("device_id").isin("D00003", "D00007") & (F.col("occurred_at") >= F.expr("TIMESTAMP '2024-01-10 00:00:00'")) & (F.col("occurred_at") < F.expr("TIMESTAMP '2024-01-25 00:00:00'")) & (F.col("category") != "Bostezo"))
 
 

@@ -1,7 +1,8 @@
-"""The provider's alarm history as a Python data source: device and time go to the source, a partition or more for each device.
+"""The provider's alarm history as a Python data source: device and time go to the source.
 
-The transport is landed: a folder of Parquet files per device (device_id=<id>/...). A device that a filter excludes is never opened, and times
-are filtered where files are read, row group by row group. Whatever else a query asks for, Spark filters itself.
+The transport is landed: a folder of Parquet files per device (device_id=<id>/...), a partition or more each, or, where devices are many, folders
+of many devices (part=<crc32 of the device % parts>/..., the device a column). Folders that a filter excludes are never opened, and
+devices and times are filtered where files are read, row group by row group. Whatever else a query asks for, Spark filters itself.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 from urllib.parse import quote, unquote
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Bytes of files that a task reads.
@@ -19,14 +22,14 @@ SCHEMA = "guid string, device_id string, category string, tp string, occurred_at
 
 
 class DevicePartition(InputPartition):
-    def __init__(self, device: str, files: list[str]):
+    def __init__(self, device: str | None, files: list[str]):
         super().__init__(None)
-        self.device, self.files = device, files
+        self.device, self.files = device, files  # no device: a folder of many
 
 
 class HistoryReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.devices, self.times = path, None, []
+    def __init__(self, path: str, parts: int = 0):
+        self.path, self.parts, self.devices, self.times = path, parts, None, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes filters on the device and on the time; others go back to Spark."""
@@ -46,15 +49,22 @@ class HistoryReader(DataSourceReader):
         import pyarrow.fs as pafs
 
         system, root = pafs.FileSystem.from_uri(self.path)
-        folders = [root] if self.devices is None else [f"{root}/device_id={quote(str(d), safe=' ')}" for d in sorted(self.devices)]
+        if self.devices is None:
+            folders = [root]
+        elif self.parts:
+            folders = sorted({f"{root}/part={crc32(str(d).encode()) % self.parts}" for d in self.devices})
+        else:
+            folders = [f"{root}/device_id={quote(str(d), safe=' ')}" for d in sorted(self.devices)]
+        kind = "part=" if self.parts else "device_id="
         found: dict[str, list] = {}
         for folder in folders:
             for item in system.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)):
                 name = item.path.rsplit("/", 2)[-2]
-                if item.is_file and item.base_name.endswith(".parquet") and name.startswith("device_id="):
-                    found.setdefault(unquote(name[10:]), []).append(item)
+                if item.is_file and item.base_name.endswith(".parquet") and name.startswith(kind):
+                    found.setdefault(unquote(name[len(kind) :]), []).append(item)
         out = []
         for device, items in sorted(found.items()):
+            device = None if self.parts else device
             part, size = [], 0
             for item in sorted(items, key=lambda i: i.path):
                 if part and size + item.size > PART_BYTES:
@@ -79,9 +89,15 @@ class HistoryReader(DataSourceReader):
             f = pads.field(name)
             test = {">": f > at, ">=": f >= at, "<": f < at, "<=": f <= at}[sign]
             keep = test if keep is None else keep & test
-        for batch in files.to_batches(columns=["guid", "category", "tp", "occurred_at", "value"], filter=keep):
+        columns = ["guid", "category", "tp", "occurred_at", "value"]
+        if partition.device is None:
+            columns.append("device_id")
+            if self.devices is not None:
+                asked = pads.field("device_id").isin(sorted(map(str, self.devices)))
+                keep = asked if keep is None else keep & asked
+        for batch in files.to_batches(columns=columns, filter=keep):
             if batch.num_rows:
-                device = pa.array([partition.device] * batch.num_rows)
+                device = pa.array([partition.device] * batch.num_rows) if partition.device is not None else batch.column("device_id")
                 stamp = batch.column("occurred_at").cast(pa.timestamp("us", "UTC"))
                 yield pa.RecordBatch.from_arrays([batch.column("guid"), device, batch.column("category"), batch.column("tp"), stamp, batch.column("value")], names=["guid", "device_id", "category", "tp", "occurred_at", "value"])
 
@@ -95,15 +111,22 @@ class ProviderHistory(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return HistoryReader(self.options["path"])
+        return HistoryReader(self.options["path"], int(self.options.get("parts", 0)))
 
 
-def history(spark: SparkSession, path: str) -> DataFrame:
-    """Landed alarm history below path (a URI); an empty folder gives no rows.
+def land_history(rows: DataFrame, path: str, parts: int) -> None:
+    """Lands rows in folders of many devices: as many folders as parts, however many devices there are; files grow in number with the rows."""
+    part = F.crc32(F.col("device_id").cast("binary")) % parts
+    rows = rows.withColumn("part", part).hint("rebalance", F.col("part"))
+    rows.sortWithinPartitions("part", "device_id", "occurred_at").write.partitionBy("part").parquet(path)
+
+
+def history(spark: SparkSession, path: str, parts: int = 0) -> DataFrame:
+    """Landed alarm history below path (a URI); an empty folder gives no rows. parts: those of land_history; 0 for a folder a device.
 
     Spark hands filters to Python sources only where spark.sql.python.filterPushdown.enabled is set when the query is planned, so this turns it on
     for the session.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ProviderHistory)
-    return spark.read.format("provider_history").option("path", path).load()
+    return spark.read.format("provider_history").option("path", path).option("parts", parts).load()

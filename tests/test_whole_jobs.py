@@ -139,6 +139,26 @@ def test_history_source_opens_only_what_is_asked_for(spark, tmp_path):
     assert history(spark, f"file://{tmp_path}/none").collect() == []
 
 
+def test_history_of_many_devices_is_few_files(spark, tmp_path):
+    import datetime
+    import glob
+
+    from haulmark.sources.provider import HistoryReader, In, history, land_history
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [(f"g{k}", None if k == 7 else f"D{k % 300} é", "Bostezo", "66", day(1 + k % 20), float(k)) for k in range(900)]
+    table = spark.createDataFrame(rows, "guid string, device_id string, category string, tp string, occurred_at timestamp, value double")
+    land_history(table, f"{tmp_path}/h", 8)
+    assert len(glob.glob(f"{tmp_path}/h/part=*")) == 9 and len(glob.glob(f"{tmp_path}/h/*/*.parquet")) < 40
+    reader = HistoryReader(f"file://{tmp_path}/h", 8)
+    assert list(reader.pushFilters([In(("device_id",), ("D1 é", "D299 é", "none"))])) == []
+    assert 1 <= len({f.rsplit("/", 2)[-2] for p in reader.partitions() for f in p.files}) <= 3
+    df = history(spark, f"file://{tmp_path}/h", 8)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, table.collect()), key=str)
+    got = {r.guid for r in df.filter("device_id in ('D1 é', 'D299 é') and occurred_at >= TIMESTAMP '2024-01-15 00:00:00'").collect()}
+    assert got == {g for g, dev, _, _, t, _ in rows if dev in ("D1 é", "D299 é") and t >= day(15)} and got
+
+
 def test_members_like_the_rule(spark):
     from haulmark.operators.tenants import members
 
