@@ -86,6 +86,29 @@ def test_status_state_over_chunks(spark, tmp_path):
     assert [tuple(r) for r in seen] == [("hot", accepted, regressions, last)] and regressions
 
 
+def test_odometers_of_many_devices_without_a_call_each(spark, tmp_path):
+    """Micro-batches in order of arrival, the readings of one in order of time, no total at times; a batch that is done again changes nothing."""
+    schema = "device_id string, observed_at timestamp, event_id long, total_km double"
+    r, want, parts = random.Random(6), {}, []
+    for part in (1, 0, 2):  # the second one is older
+        rows = [(r.choice(["a", "b", f"d{i}", None]), dt.datetime(2024, 1, 5 + part) + dt.timedelta(minutes=i // 3), 3000 * part + i, r.choice([None, float("nan"), 1.0 * i, 2.0 * i, 2.0 * i - 0.1, 3.0 * i - 40, 5.0])) for i in range(120)]
+        for device, _, _, total in sorted(rows, key=lambda x: (x[1], x[2])):
+            accepted, regressions, last = want.get(device, (0, 0, None))
+            if last is not None and total is not None and total + 0.1 < last:
+                want[device] = (accepted, regressions + 1, last)
+            else:
+                want[device] = (accepted + 1, regressions, total)
+        parts.append(spark.createDataFrame(r.sample(rows, len(rows)), schema))
+    stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/readings")
+    for k, part in enumerate(parts):
+        part.repartition(3).write.parquet(f"{tmp_path}/readings/part={k}")
+        cuts.run_odometers(stream(), str(tmp_path))
+    cuts.run_odometers(stream(), str(tmp_path))
+    got = {x.device_id: (x.accepted, x.regressions, x.last_total) for x in cuts.odometers(spark, str(tmp_path)).collect()}
+    assert str(sorted(got.items(), key=str)) == str(sorted(want.items(), key=str)) and sum(x[1] for x in want.values()) > 20
+    assert "Python" not in cuts.fold_readings(cuts.odometers(spark, str(tmp_path)), parts[0])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_hot_key_is_not_one_fold(spark):
     """One vehicle with all sessions: many small folds, with the result of one plain loop; duplicates without any fold."""
     at = lambda minutes: dt.datetime(2024, 1, 5) + dt.timedelta(minutes=minutes)
