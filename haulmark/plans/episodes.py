@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from haulmark.functions.expressions import is_night
 from haulmark.functions.values import RULES
 from haulmark.operators.asof import latest_unconsumed
+from haulmark.operators.batches import kept_rows
 from haulmark.operators.sessions import sessionize
 from haulmark.plans.mileage import BASE_SQL, vehicle_baseline
 from haulmark.plans.register import query
@@ -117,7 +118,7 @@ def episode_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes with fatigue merging: an eyes-closed session and the yawn session that it takes are one; yawn sessions stay visible themselves."""
-    s = with_deviation(spark, sf_dir, sessions(spark, sf_dir))
+    s = kept_rows(with_deviation(spark, sf_dir, sessions(spark, sf_dir)), "episodes")  # read four times below
     pairs = fatigue_pairs(s).drop("plate")
     yawns = s.select(F.col("session_id").alias("given"), F.col("n").alias("yawns"))
     both = s.join(pairs.join(yawns, "given"), F.col("session_id") == F.col("taker"), "left")

@@ -132,6 +132,12 @@ def test_a_hot_key_is_not_one_fold(spark):
     assert "Pandas" not in plan(flags)
 
 
+def test_episodes_make_their_sessions_once(spark):
+    """What sessions, pairs and yawns are read from is written once; the events are not scanned again for each."""
+    plan = QUERIES["episodes"][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and "/episodes-" in plan
+
+
 def test_a_stretch_with_one_giving_session_is_not_folded(spark):
     """A call for each stretch took most of the time: none is made where nothing competes."""
     at = lambda minutes: dt.datetime(2024, 1, 5) + dt.timedelta(minutes=minutes)
