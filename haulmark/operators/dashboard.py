@@ -2,7 +2,7 @@
 
 The state is what snapshots are made of: counts of alarms by company, vehicle, day, hour and category (counts add up, and a vehicle is there as
 long as one of its counts is), sessions, and the last odometer reading of each device and day. A batch of changes touches the cells and
-the vehicles' categories that its alarms are in, whether they come, change or are taken back by a review; nothing else is read again.
+the sessions that its alarms are in or near, whether they come, change or are taken back by a review; nothing else is written again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ KEY = ["company_slug", "plate", "category"]
 TABLES = {
     "alarms": "guid string, event_id long, company_slug string, plate string, category string, occurred_at timestamp, day date, hour int",
     "cells": "company_slug string, plate string, day date, hour int, category string, n long",
-    "sessions": "company_slug string, plate string, category string, start_at timestamp, day date, n long",
+    "sessions": "company_slug string, plate string, category string, start_at timestamp, end_at timestamp, day date, n long",
     "odometer": "device_id string, company_slug string, plate string, day date, observed_at timestamp, event_id long, total_km decimal(28,2), day_km decimal(28,2)",
     "published": "company_slug string, cut_at timestamp, snapshot_json string",
     "ledger": "batch string",
@@ -41,10 +41,34 @@ def cells_of(alarms: DataFrame) -> DataFrame:
 
 
 def sessions_of(alarms: DataFrame, gap_minutes: Column) -> DataFrame:
-    """company, vehicle, category, start, its local day, and alarms of each session."""
+    """company, vehicle, category, start, end, local day of the start, and alarms of each session."""
     rows = sessionize(alarms, KEY, "occurred_at", gap_minutes, "event_id")
     order = F.struct("occurred_at", "event_id")
-    return rows.groupBy(*KEY, "session_no").agg(F.min("occurred_at").alias("start_at"), F.min_by("day", order).alias("day"), F.count("*").alias("n")).drop("session_no")
+    return rows.groupBy(*KEY, "session_no").agg(F.min("occurred_at").alias("start_at"), F.max("occurred_at").alias("end_at"), F.min_by("day", order).alias("day"), F.count("*").alias("n")).drop("session_no")
+
+
+def micros(at: str) -> Column:
+    """A time as a number; rows without one stand together, before all others."""
+    return F.coalesce(F.unix_micros(at), F.lit(-(2**62)))
+
+
+def touched_sessions(sessions: DataFrame, times: DataFrame, gap_minutes: Column) -> DataFrame:
+    """Stored sessions that a changed alarm lies in or within a gap of: only these can grow, shrink, join or fall apart. One pass over a key in order of time."""
+    gap = gap_minutes.cast("long") * 60_000_000
+    held = sessions.select(*KEY, (micros("start_at") - gap).alias("_from"), (micros("end_at") + gap).alias("_upto"), F.struct("start_at", "end_at", "_place").alias("_s"))
+    changed = times.select(*KEY, micros("occurred_at").alias("_from"), micros("occurred_at").alias("_at"))
+    later = Window.partitionBy(*KEY).orderBy(F.desc("_from")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = held.unionByName(changed, allowMissingColumns=True).withColumn("_next", F.min("_at").over(later))
+    return both.filter(F.col("_s").isNotNull() & (F.col("_next") <= F.col("_upto"))).select(*KEY, "_s.*")
+
+
+def alarms_in(alarms: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The alarms of some sessions: those up to the end of the session of their key that started last."""
+    rows = alarms.select(*KEY, micros("occurred_at").alias("_from"), F.struct(*alarms.columns).alias("_a"))
+    starts = sessions.select(*KEY, micros("start_at").alias("_from"), micros("end_at").alias("_end"))
+    before = Window.partitionBy(*KEY).orderBy("_from").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(starts, allowMissingColumns=True).withColumn("_last", F.last("_end", ignorenulls=True).over(before))
+    return both.filter(F.col("_a").isNotNull() & (F.col("_from") <= F.col("_last"))).select("_a.*")
 
 
 def create_dashboard(store: TableStore) -> None:
@@ -76,9 +100,10 @@ def apply_changes(store: TableStore, batch: str, changes: DataFrame, readings: D
     t.delete("cells", held)
     t.append("cells", typed(held.withColumn("n", F.col("n") + F.col("s")).select(*CELL, "n").unionByName(fresh.select(*CELL, "n")).filter("n > 0"), "cells"))
 
-    touched = kept_rows(new.select(*KEY).union(old.select(*KEY)).distinct(), "touched")
-    rest = t.read("alarms").join(touched, KEY, "left_semi").join(last.select("guid"), "guid", "left_anti")
-    t.delete("sessions", t.read("sessions", places=True).join(touched, KEY, "left_semi"))
+    times = new.select(*KEY, "occurred_at").unionByName(old.select(*KEY, "occurred_at"))
+    touched = kept_rows(touched_sessions(t.read("sessions", places=True), times, gap_minutes), "touched")
+    rest = alarms_in(t.read("alarms"), touched).join(last.select("guid"), "guid", "left_anti")
+    t.delete("sessions", touched)
     t.append("sessions", typed(sessions_of(rest.unionByName(new), gap_minutes), "sessions"))
     t.delete("alarms", old)
     t.append("alarms", new)

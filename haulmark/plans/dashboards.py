@@ -40,27 +40,38 @@ def dashboard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(cells_of(alarms), sessions_of(alarms, gap_minutes()), d.daily(spark, sf_dir))
 
 
-def feed(spark: SparkSession, sf_dir: str, part: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """A part of the changes: alarms come in any order of time, some twice, and reviews take discarded ones back some parts later. At first an
-    alarm may be under another category."""
-    a, k = d.alarms(spark, sf_dir), F.col("event_id")
-    columns = ["guid", "event_id", "company_slug", "plate", "category", "occurred_at", "day", "hour"]
-    put = lambda rows, seq: rows.select(F.lit("put").alias("op"), F.lit(seq).alias("seq"), *columns)
-    at = k % parts
-    first = put(a.filter(at == part), 1).withColumn("category", F.when(k % 15 == 0, F.lit("Fumando")).otherwise(F.col("category")))
-    fixed = put(a.filter((at == part) & (k % 15 == 0)), 2) if part == parts - 1 else put(a.filter((at == part - 1) & (k % 15 == 0)), 2)
-    again = put(a.filter((at == part - 2) & (k % 7 == 0) & (k % 15 != 0)), 3)
-    dropped = a.filter("review = 'discarded'").filter(F.least((at + 3).cast("int"), F.lit(parts - 1)) == part).select(F.lit("drop").alias("op"), F.lit(4).alias("seq"), *columns)
-    readings = d.readings(spark, sf_dir).filter(F.col("event_id") % parts == part)
-    return first.unionByName(fixed).unionByName(again).unionByName(dropped), readings
+FEED = {
+    "changes": "guid string, event_id long, company_slug string, plate string, occurred_at timestamp, day date, hour int, op string, seq int, category string",
+    "readings": "device_id string, plate string, fleet_id string, company_slug string, event_id long, observed_at timestamp, day date, total_km decimal(28,2), day_km decimal(21,2)",
+}
+
+
+def land_feed(spark: SparkSession, sf_dir: str, base: str, parts: int) -> None:
+    """Lands the changes by parts, in one pass over the alarms and one over the readings. Alarms come in any order of time, some twice, and reviews take
+    discarded ones back some parts later. At first an alarm may be under another category."""
+    k = F.col("event_id")
+    at, wrong = (k % parts).cast("int"), k % 15 == 0
+    change = lambda op, seq, part, category="category": F.struct(F.lit(op).alias("op"), F.lit(seq).alias("seq"), part.cast("int").alias("part"), (F.col(category) if isinstance(category, str) else category).alias("category"))
+    each = F.array(
+        change("put", 1, at, F.when(wrong, F.lit("Fumando")).otherwise(F.col("category"))),
+        F.when(wrong, change("put", 2, F.least(at + 1, F.lit(parts - 1)))),
+        F.when((k % 7 == 0) & ~wrong & (at + 2 < parts), change("put", 3, at + 2)),
+        F.when(F.col("review") == "discarded", change("drop", 4, F.least(at + 3, F.lit(parts - 1)))),
+    )
+    rows = d.alarms(spark, sf_dir).select("guid", "event_id", "company_slug", "plate", "occurred_at", "day", "hour", F.inline(F.filter(each, lambda c: c.isNotNull())))
+    rows.write.partitionBy("part").parquet(f"{base}/changes")
+    d.readings(spark, sf_dir).withColumn("part", at).write.partitionBy("part").parquet(f"{base}/readings")
 
 
 def kept_up(spark: SparkSession, sf_dir: str, parts: int = 10) -> TableStore:
-    store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/dashboard-{uuid.uuid4().hex}")
+    base = f"{shared_dir(spark).rstrip('/')}/dashboard-{uuid.uuid4().hex}"
+    store = TableStore(spark, base)
     create_dashboard(store)
+    land_feed(spark, sf_dir, f"{base}/feed", parts)
+    # a part without rows has no folder
+    told = lambda name, part: spark.read.schema(f"{FEED[name]}, part int").parquet(f"{base}/feed/{name}").filter(F.col("part") == part).drop("part")
     for part in range(parts):
-        changes, readings = feed(spark, sf_dir, part, parts)
-        apply_changes(store, f"part {part}", changes, readings, gap_minutes())
+        apply_changes(store, f"part {part}", told("changes", part), told("readings", part), gap_minutes())
     return store
 
 
