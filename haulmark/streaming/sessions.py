@@ -64,7 +64,7 @@ def merge_sessions(store: TableStore, pieces: DataFrame, stream: str, batch: int
 
 
 def split(store: TableStore, alarms: DataFrame, delay: timedelta, base: str) -> None:
-    """Deals what arrives to on-time alarms, which land as files, and late ones, which are merged at once."""
+    """Deals what arrives to on-time alarms, which land as a folder of files a micro-batch, and late ones, which are merged at once."""
 
     def deal(batch: DataFrame, number: int) -> None:
         t = store.begin()
@@ -72,7 +72,7 @@ def split(store: TableStore, alarms: DataFrame, delay: timedelta, base: str) ->
         rows = batch.select(*KEYS, "occurred_at")
         late = F.lit(False) if seen is None else F.col("occurred_at") < F.lit(seen - delay)
         rows = kept_rows(rows.withColumn("late", late), "dealt")
-        rows.filter("not late").drop("late").coalesce(1).write.mode("overwrite").parquet(f"{base}/on_time/batch={number:08d}")
+        rows.filter("not late").drop("late").write.mode("overwrite").parquet(f"{base}/dealt/batch={number:08d}")
         merge_sessions(store, pieces_of(rows.filter("late")), "late", number)
         if t.read("frontier").filter(F.col("batch") == number).isEmpty():
             t = store.begin()
@@ -84,16 +84,29 @@ def split(store: TableStore, alarms: DataFrame, delay: timedelta, base: str) ->
 
 
 def close_sessions(spark: SparkSession, store: TableStore, delay: timedelta, base: str) -> list[dict]:
-    """Sessions of what is on time, given out once the watermark has passed them; the progress of each micro-batch."""
-    landed = spark.readStream.schema("plate string, category string, occurred_at timestamp").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{base}/on_time")
-    timed = landed.withWatermark("occurred_at", f"{int(delay.total_seconds())} seconds")
-    open_sessions = timed.groupBy(*KEYS, F.session_window("occurred_at", gap()).alias("w")).agg(F.count("*").alias("n"))
-    closed = open_sessions.select(*KEYS, F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "n")
+    """Sessions of what is on time, given out once the watermark has passed them; the progress of each micro-batch.
+
+    The folders that were dealt are moved in one after another, so each is one micro-batch of many files: the watermark never gets ahead of a part of one."""
     # a filter on the stream itself would reach the scan and take heartbeats away before the watermark sees them
     take = lambda batch, number: (merge_sessions(store, batch.filter("plate is not null"), "closed", number), None)[1]
-    query = closed.writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", f"{base}/close").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return [dict(p) for p in query.recentProgress]
+
+    def run() -> list[dict]:
+        landed = spark.readStream.schema("plate string, category string, occurred_at timestamp").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{base}/on_time")
+        timed = landed.withWatermark("occurred_at", f"{int(delay.total_seconds())} seconds")
+        open_sessions = timed.groupBy(*KEYS, F.session_window("occurred_at", gap()).alias("w")).agg(F.count("*").alias("n"))
+        closed = open_sessions.select(*KEYS, F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "n")
+        query = closed.writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", f"{base}/close").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [dict(p) for p in query.recentProgress]
+
+    shared = TableStore(spark, base)
+    dealt = [s.getPath().getName() for s in shared.files.util().listStatus(shared.path("dealt"))] if shared.files.util().exists(shared.path("dealt")) else []
+    shared.files.mkdir(shared.path("on_time"), None, True)
+    out = [] if dealt else run()
+    for name in sorted(dealt):
+        shared.files.rename(shared.path(f"dealt/{name}"), shared.path(f"on_time/{name}"), spark.sparkContext._gateway.new_array(getattr(shared.hadoop, "Options$Rename"), 0))
+        out += run()
+    return out
 
 
 def run_sessions(store: TableStore, alarms: DataFrame, delay: timedelta, base: str) -> list[dict]:
