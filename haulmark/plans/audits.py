@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulmark.operators.approvals import approve, create_reviews
+from haulmark.operators.batches import kept_rows
 from haulmark.plans.applied import TAKEN_SQL, taken_in
 from haulmark.plans.client import CANDIDATE_SQL, REPORTED_SQL, manual_candidates, reconciliation
 from haulmark.plans.operations import fleet_candidates, fleet_samples
@@ -34,20 +35,23 @@ def histogram(rows: DataFrame, key: Column, name: str, most: int | None = None)
 
 def audit_report(events: DataFrame, raw: DataFrame, audits: DataFrame, anomalies: DataFrame, start: str, end: str, windows: dict[str, str]) -> DataFrame:
     """A row a company: accepted and visible alarms of the range with their histograms, stages and reasons of the audit, anomalies by reason, and for each
-    window how many alarms, raw rows and devices it has. Each table is scanned once, up to its histograms."""
+    window how many alarms, raw rows and devices it has. The columns of events that count are written once."""
     at = lambda text: F.lit(text).cast("timestamp")
     inside = lambda c, lo: F.coalesce(F.col(c).between(at(lo), at(end)), F.lit(False))
     events, raw = events.filter(F.col("occurred_at") <= at(end)), raw.filter((F.col("occurred_at") <= at(end)) | (F.col("received_at") <= at(end)))
     n = lambda c: F.count_if(c)
-    out = events.groupBy("company_slug").agg(
-        n(inside("occurred_at", start)).alias("accepted_total"), n(inside("occurred_at", start) & (F.col("classification_status") == "classified_dms")).alias("visible_total"),
-        *[n(inside("occurred_at", lo)).alias(f"{name}_alarms") for name, lo in windows.items()], *[F.count_distinct(F.when(inside("occurred_at", lo), F.col("device_id"))).alias(f"{name}_devices") for name, lo in windows.items()],
+    # the few columns that count are written once; devices are counted by rows of their own, so no row is copied for a count of distinct ones
+    events = kept_rows(events.select("company_slug", "device_id", "occurred_at", "classification_status", "mapping_source", "category", F.coalesce("raw_alarm_type", "raw_tp").alias("subtype")), "audited")
+    totals = {"accepted_total": inside("occurred_at", start), "visible_total": inside("occurred_at", start) & (F.col("classification_status") == "classified_dms")} | {f"{name}_alarms": inside("occurred_at", lo) for name, lo in windows.items()}
+    devices = events.groupBy("company_slug", "device_id").agg(*[n(c).alias(name) for name, c in totals.items()])
+    out = devices.groupBy("company_slug").agg(
+        *[F.sum(name).alias(name) for name in totals], *[n(F.col("device_id").isNotNull() & (F.col(f"{name}_alarms") > 0)).alias(f"{name}_devices") for name in windows],
     )
     kept = events.filter(inside("occurred_at", start))
     parts = [
         histogram(kept, F.coalesce("mapping_source", F.lit("unknown")), "mapping_sources"),
         histogram(kept, F.col("category"), "by_category"),
-        histogram(kept, F.coalesce("raw_alarm_type", "raw_tp", F.lit("sin_subtipo")), "by_subtype", 20),
+        histogram(kept, F.coalesce("subtype", F.lit("sin_subtipo")), "by_subtype", 20),
         raw.groupBy("company_slug").agg(*[n(inside("occurred_at", lo) | inside("received_at", lo)).alias(f"{name}_raw") for name, lo in windows.items()]),
         histogram(audits.filter(inside("observed_at", start)), F.col("stage"), "audit_stages"),
         histogram(audits.filter(inside("observed_at", start)), F.col("reason"), "audit_reasons"),
@@ -113,6 +117,7 @@ def applied(spark: SparkSession, sf_dir: str) -> TableStore:
 def run_approvals(spark: SparkSession, sf_dir: str) -> TableStore:
     store = TableStore(spark, f"{shared_dir(spark).rstrip('/')}/reviews-{uuid.uuid4().hex}")
     stored = raw(spark, sf_dir).filter("event_id % 11 <> 0").select("guid", "company_slug", "device_id", "source", "status")
+    stored = kept_rows(stored, "stored")  # two tables are made from it
     key = F.sha2(F.concat_ws("|", "company_slug", "guid"), 256).alias("review_key")
     none = F.lit(None)
     reviews = manual_candidates(reconciliation(spark, sf_dir)).select(key, "guid", "company_slug", "device_id", (F.col("class") == "classified_dms").alias("dms"), F.lit("pending").alias("review_status"), none.cast("string").alias("decided_by"), none.cast("timestamp").alias("applied_at"))
