@@ -33,10 +33,12 @@ def approve(store: TableStore, chosen: Column, decided_by: str, now: Column) ->
         return 0
     t.append("reviews", pending.drop("_place").withColumns({"review_status": F.lit("approved"), "decided_by": F.lit(decided_by), "applied_at": now}))
     rows = pending.groupBy("guid").agg(F.min_by(F.struct("company_slug", "device_id"), "review_key").alias("r"), F.max("dms").alias("dms")).select("guid", "r.*", "dms")
-    events = t.read("events", places=True).join(rows.filter("dms").select("guid"), "guid", "left_semi")
+    rows = kept_rows(rows, "rows")
+    held = kept_rows(t.read("events", places=True).join(rows.select("guid"), "guid", "left_semi"), "held")
+    events = held.join(rows.filter("dms").select("guid"), "guid", "left_semi")
     raw = t.read("raw", places=True).join(rows.select("guid"), "guid", "left_semi")
     result = F.when(~F.col("dms"), "kept_raw_only").when(F.col("_old").isNotNull(), "updated_alarm_event").otherwise("inserted_alarm_event")
-    told = rows.join(t.read("events").select("guid", F.lit(1).alias("_old")), "guid", "left").withColumns({"source": F.lit("portal"), "ingest_result": result})
+    told = rows.join(held.select("guid", F.lit(1).alias("_old")).distinct(), "guid", "left").withColumns({"source": F.lit("portal"), "ingest_result": result})
     told = kept_rows(told, "portal")
     t.delete("raw", raw)
     t.append("raw", told.select("guid", "company_slug", "device_id", "source", "ingest_result"))
