@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulmark.operators.batches import FUZZY, LAYER, fuzzy_key, kept_rows, keys_of, resolved
+from haulmark.operators.batches import FUZZY, LAYER, audited, fuzzy_key, kept_rows, keys_of, resolved
+from haulmark.operators.upserts import digest
 from haulmark.sources.versions import TableStore, Transaction
 
 SNAPSHOT = "device_id string, snapshot_date date, observed_at timestamp, total_km double, plate_no string, company_slug string, fleet_id string, source string"
@@ -22,10 +23,17 @@ ENDED = "seq long, raw_guid string, raw_inserted boolean, event_guid string, eve
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and component (its least node) of links (node, key): nodes that share a key belong together. Labels fall by two joins a round, and a label's
-    own label is taken at once, so long chains take few rounds. Keys of one node link nothing and stay out of the rounds."""
+    """node and component (its least node) of links (node, key): nodes that share a key belong together."""
     every = kept_rows(links.distinct(), "links")
-    links = kept_rows(every.join(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key", "left_semi"), "shared")
+    return every.select("node").distinct().join(labels_of(every), "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+
+
+def labels_of(links: DataFrame) -> DataFrame:
+    """label (the least node of its component) of each node that shares a key with another. Labels fall by two joins a round, and a label's
+    own label is taken at once, so long chains take few rounds. Keys of one node link nothing: neighbours in one sort tell, and they stay out of the rounds."""
+    by = Window.partitionBy("key").orderBy("node")
+    beside = links.withColumns({"_before": F.lag(F.lit(True)).over(by), "_after": F.lead(F.lit(True)).over(by)})
+    links = kept_rows(beside.filter("_before is not null or _after is not null").select("node", "key"), "shared")
     labels = kept_rows(links.select("node").distinct().withColumn("label", F.col("node")), "labels")
     while not links.isEmpty():
         by_key = links.join(labels, "node").groupBy("key").agg(F.min("label").alias("label"))
@@ -37,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = now
         if settled:
             break
-    return every.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    return labels
 
 
 def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,32 +94,38 @@ def fold() -> Callable[[tuple], tuple | None]:
     return take
 
 
+def third_key() -> Column:
+    """Device, texts and time as a digest: it is only compared."""
+    return F.md5(fuzzy_key(*FUZZY))
+
+
 def ended(rows: DataFrame, raw: DataFrame, events: DataFrame) -> DataFrame:
-    """For each row (seq, keys, event) the guid that it ends under in the raw layer and among events, and whether it was new there."""
-    stored = lambda df, layer: df.select(F.lit(-1).cast("long").alias("seq"), "guid", "provider_event_key", fuzzy_key(*FUZZY).alias("fuzzy"), F.lit(False).alias("event"), F.lit(True).alias("stored"), F.lit(layer).alias("layer"))
-    mine = rows.select("seq", "guid", "provider_event_key", "fuzzy", "event", F.lit(False).alias("stored"), F.lit(0).alias("layer"))
-    key = F.explode(keys_of(F.col("fuzzy"))).alias("k")
-    known = mine.select(key).distinct()
-    # stored rows that share a key with a row that comes
-    held = stored(raw, 0).unionByName(stored(events, 1))
-    held = held.join(held.select("layer", "guid", key).join(known, "k", "left_semi").select("layer", "guid").distinct(), ["layer", "guid"], "left_semi")
-    every = kept_rows(mine.unionByName(held).withColumn("node", F.when(F.col("stored"), F.concat(F.lit("s"), "layer", "guid")).otherwise(F.concat(F.lit("r"), F.lpad(F.col("seq").cast("string"), 20, "0")))), "nodes")
-    of = components(every.select("node", key).select("node", F.to_json("k").alias("key")))
-    every = every.join(of, "node")
+    """For each row (seq, keys, event) that shares a key with another or a stored one, the guid that it ends under in the raw layer and among events, and
+    whether it was new there. Other rows end under their own, as new ones, and aren't sorted or moved."""
+    stored = lambda df, layer: df.select(F.lit(-1).cast("long").alias("seq"), "guid", "provider_event_key", third_key().alias("fuzzy"), F.lit(False).alias("event"), F.lit(True).alias("stored"), F.lit(layer).alias("layer"))
+    every = rows.select("seq", "guid", "provider_event_key", "fuzzy", "event", F.lit(False).alias("stored"), F.lit(0).alias("layer"))
+
+    def keyed(df: DataFrame, *names: str) -> DataFrame:
+        return df.select(*names, F.explode(keys_of(F.col("fuzzy"))).alias("k")).select(*names, digest(F.to_json("k")).alias("key"))
+
+    if not raw.isEmpty() or not events.isEmpty():
+        # stored rows that share a key with a row that comes
+        held = stored(raw, 0).unionByName(stored(events, 1))
+        hit = kept_rows(keyed(held, "layer", "guid").join(keyed(every), "key", "left_semi").select("layer", "guid").distinct(), "hit")
+        every = every.unionByName(held.join(hit, ["layer", "guid"], "left_semi"))
+    every = kept_rows(every.withColumn("node", F.when(F.col("stored"), F.concat(F.lit("s"), "layer", "guid")).otherwise(F.concat(F.lit("r"), F.lpad(F.col("seq").cast("string"), 20, "0")))), "nodes")
+    linked = every.join(labels_of(keyed(every, "node")).withColumnRenamed("label", "component"), "node")
     # a row that repeats the one before it in its component ends where that one did
     order = Window.partitionBy("component").orderBy("stored", "seq")
     same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(order))
     repeats = ~F.col("stored") & F.coalesce(~F.lag("stored").over(order), F.lit(False)) & same("provider_event_key") & same("guid") & same("fuzzy") & same("event")
-    alone = ~F.col("stored") & F.lag("seq").over(order).isNull() & F.lead("seq").over(order).isNull()
-    runs = every.withColumns({"first": ~repeats, "alone": alone})
-    runs = kept_rows(runs.withColumn("run", F.sum(F.col("first").cast("int")).over(order)), "runs")
-    told = runs.filter("first and not alone").select("component", "seq", "guid", "provider_event_key", "fuzzy", "event", "stored", "layer")
+    runs = kept_rows(linked.withColumn("first", ~repeats).withColumn("run", F.sum(F.col("first").cast("int")).over(order)), "runs")
+    told = runs.filter("first").select("component", "seq", "guid", "provider_event_key", "fuzzy", "event", "stored", "layer")
     result = told.repartition("component").sortWithinPartitions("component", F.desc("stored"), "seq", "guid").mapInPandas(folded, ENDED)
     firsts = runs.filter("first and not stored").select("component", "run", "seq").join(result, "seq").withColumnRenamed("seq", "_first")
-    out = runs.filter("not stored and not alone").select("component", "run", "seq").join(firsts, ["component", "run"])
+    out = runs.filter("not stored").select("component", "run", "seq").join(firsts, ["component", "run"])
     new = lambda c: (F.col(c) & (F.col("seq") == F.col("_first"))).alias(c)
-    fresh = runs.filter("alone").select("seq", F.col("guid").alias("raw_guid"), F.lit(True).alias("raw_inserted"), F.when(F.col("event"), F.col("guid")).alias("event_guid"), F.col("event").alias("event_inserted"))
-    return out.select("seq", "raw_guid", new("raw_inserted"), "event_guid", new("event_inserted")).unionByName(fresh)
+    return out.select("seq", "raw_guid", new("raw_inserted"), "event_guid", new("event_inserted"))
 
 
 def last(c: str) -> Column:
@@ -127,13 +141,17 @@ def merged(rows: DataFrame, stored: DataFrame, more: list[str], events: bool) ->
     """A layer's rows by guid: what is known of company, fleet, plate and key stays until something else is known, other fields are the last row's.
     Where a harvest and live messages meet, the source says harvest."""
     names = [f.split()[0] for f in LAYER.split(",")] + more
+    # a row that is alone under its guid is what the layer then holds
+    several = rows.groupBy("guid").agg(F.count("*").alias("n")).filter("n > 1").select("guid").unionByName(stored.select("guid"))
+    several = kept_rows(several.distinct(), "several")
+    alone, rows = rows.join(several, "guid", "left_anti").select(*names), rows.join(several, "guid", "left_semi")
     both = stored.select(*names).withColumn("seq", F.lit(-1).cast("long")).unionByName(rows.select(*names, "seq"))
     keep = {"company_slug", "fleet_id", "plate_no", "provider_event_key", *(["driver_name"] if events else [])}
     first, final = F.min_by("source", "seq"), F.max_by("source", "seq")
     source = F.when(final == "harvest", final).otherwise(F.when(F.max(F.col("source") == "harvest"), "harvest").otherwise(final) if events else F.coalesce(F.nullif(first, F.lit("")), final))
     latest = [] if events else ["received_at"]
     columns = [known(c) if c in keep else F.max(c).alias(c) if c in latest else last(c) for c in names if c not in ("guid", "source")]
-    return both.groupBy("guid").agg(*columns, source.alias("source")).select(*names)
+    return both.groupBy("guid").agg(*columns, source.alias("source")).select(*names).unionByName(alone)
 
 
 def ingest_singles(store: TableStore, batch: str, arriving: DataFrame, companies: DataFrame, source: str, zone: str) -> bool:
@@ -150,16 +168,22 @@ def ingest_singles(store: TableStore, batch: str, arriving: DataFrame, companies
     if not t.read("ledger").filter(F.col("batch") == batch).isEmpty():
         return False
     rows = resolved(arriving, t.read("devices"), companies).withColumns({"source": F.lit(source), "event": F.col("ingest_result") == "pending_alarm_upsert"})
-    rows = kept_rows(rows, "singles")
-    found = rows.join(ended(rows, t.read("alarm_raw"), t.read("alarm_events")), "seq")
+    rows = kept_rows(rows.withColumn("fuzzy", third_key()).drop("report_text", "end_text", "start_text"), "singles")
+    places = kept_rows(ended(rows, t.read("alarm_raw"), t.read("alarm_events")), "places")
+    own = {"raw_guid": F.col("guid"), "raw_inserted": F.lit(True), "event_guid": F.when(F.col("event"), F.col("guid")), "event_inserted": F.col("event")}
+    found = rows.join(places, "seq", "left").withColumns({c: F.coalesce(c, other) for c, other in own.items()})
     result = F.when(F.col("event"), F.when(F.col("event_inserted"), "inserted_alarm_event").otherwise("updated_alarm_event")).otherwise(F.col("ingest_result"))
     found = kept_rows(found.withColumns({"ingest_result": result, "own_guid": F.col("guid")}), "ended")
 
-    layers = (("alarm_raw", found.withColumn("guid", F.col("raw_guid")), ["temporal_status", "ingest_result"], False), ("alarm_events", found.filter("event").withColumn("guid", F.col("event_guid")), ["driver_name", "start_at", "end_at"], True))
-    for name, of, more, events in layers:
-        old = kept_rows(t.read(name, places=True).join(of.select("guid"), "guid", "left_semi"), name)
+    layers = (
+        ("alarm_raw", found.withColumn("guid", F.col("raw_guid")), ["temporal_status", "ingest_result"], False, "raw_inserted"),
+        ("alarm_events", found.filter("event").withColumn("guid", F.col("event_guid")), ["driver_name", "start_at", "end_at"], True, "event_inserted"),
+    )
+    for name, of, more, events, new in layers:
+        # what a row has put in is none of the stored ones
+        old = kept_rows(t.read(name, places=True).join(kept_rows(of.filter(~F.col(new)).select("guid"), "guids"), "guid", "left_semi"), name)
         t.append(name, merged(of, old, more, events))
-        t.delete(name, old)
+        t.delete(name, old, once=True)
     audit(t, found, source)
     snapshots(t, found, source, zone)
     device_records(t, found)
@@ -177,11 +201,13 @@ def audit(t: Transaction, found: DataFrame, source: str) -> None:
         F.struct(F.lit(f"temporal_resolution_{source}").alias("stage"), F.col("temporal_resolution").alias("reason")),
         F.struct(F.lit(f"ingest_result_{source}").alias("stage"), F.col("ingest_result").alias("reason")),
     )
-    names = t.read("alarm_audit").columns
-    rows = found.withColumns({"guid": F.col("own_guid"), "observed_at": F.col("occurred_at"), "_s": F.explode(said)}).filter("_s.reason is not null").withColumns({"stage": F.col("_s.stage"), "reason": F.col("_s.reason")})
-    keys = ["guid", "stage", "reason"]
-    once = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in names if c not in keys]), "seq").alias("_a")).select(*keys, "_a.*")
-    t.append("alarm_audit", once.join(t.read("alarm_audit").select(*keys), keys, "left_anti"))
+    names, keys = t.read("alarm_audit").columns, ["guid", "stage", "reason"]
+    stages = [f"{stage}_{source}" for stage in ("classification", "temporal_resolution", "ingest_result")]
+    told = audited(found.filter("own_guid is not null"), t.read("alarm_audit").filter(F.col("stage").isin(stages)), said)
+    # without a guid each stage and reason comes once
+    others = found.filter("own_guid is null").withColumns({"guid": F.col("own_guid"), "observed_at": F.col("occurred_at"), "_s": F.explode(said)}).filter("_s.reason is not null").withColumns({"stage": F.col("_s.stage"), "reason": F.col("_s.reason")})
+    once = others.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in names if c not in keys]), "seq").alias("_a")).select(*keys, "_a.*")
+    t.append("alarm_audit", told.unionByName(once))
     late = found.filter("temporal_status <> 'accepted'").withColumns({"source_type": F.lit(f"{source}_alarm"), "reason": F.lit("future_timestamp")})
     t.append("anomalies", late.select(*t.read("anomalies").columns))
 

@@ -2,7 +2,10 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from haulmark.operators.batches import ARRIVING, apply_batch, contexts, create_tables, stored_matches
+from haulmark.operators.singles import ended, ingest_singles
 from haulmark.sources import domain as d
 from haulmark.sources.versions import TableStore
 
@@ -42,3 +45,17 @@ def test_digests_of_keys_move(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "s1", "e1"), (2, "g2", None), (3, None, "g3")]
     moved = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(tier" in line]
     assert moved and "key#" in moved[0] and "unhex" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_singles_are_not_multiplied_by_records(spark, tmp_path):
+    """Alarms one by one of a device with several records: a row a row, and only rows that share a key are sorted or folded."""
+    store, companies = TableStore(spark, str(tmp_path)), d.companies(spark)
+    create_tables(store, several(spark))
+    alarms = rows(spark).withColumn("total_mileage_km", F.col("seq").cast("double"))
+    assert ingest_singles(store, "one", alarms, companies, "live", d.ZONE)
+    (r,) = store.read("ledger").collect()
+    assert (r.provider_rows, r.raw_inserted, r.raw_updated, r.dms_inserted) == (9, 9, 0, 9)
+    assert store.read("alarm_raw").count() == store.read("alarm_events").count() == 9 and store.read("alarm_audit").count() == 18
+    empty = store.read("alarm_raw").filter("false")
+    keyed = spark.createDataFrame([(1, "a", "k", "f1", True), (2, "b", "k", "f2", False), (3, "c", "k3", "f3", True)], "seq long, guid string, provider_event_key string, fuzzy string, event boolean")
+    assert sorted(map(tuple, ended(keyed, empty, empty).collect())) == [(1, "a", True, "a", True), (2, "a", False, None, False)]
