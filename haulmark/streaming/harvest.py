@@ -59,7 +59,8 @@ def normalised(replies: DataFrame, zone: str, received: str) -> DataFrame:
 
     Replies are dealt evenly before they are parsed, as a small file of them holds many alarms, and each is parsed once: the ranges are found on what is written."""
     dealt = replies.select(F.col("body").alias("value")).repartition(int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = kept_rows(normalize_alarm(envelope_rows(dealt), zone), "parsed")
+    needed = {c for c, _ in (f.split() for f in ARRIVING.split(","))} - {"seq", "received_at", "payload_json", "report_text", "end_text", "start_text"}
+    rows = kept_rows(normalize_alarm(envelope_rows(dealt), zone).select(*sorted(needed), "raw_payload"), "parsed")
     text = lambda *keys: F.coalesce(*[F.get_json_object("raw_payload", f"$.{k}") for k in keys])
     rows = rows.withColumns({"received_at": cut_time(received), "payload_json": F.col("raw_payload"), "report_text": text("reportTime"), "end_text": text("endTime", "payload.et"), "start_text": text("startTime", "payload.st")})
     order = ["device_id", "occurred_at", "guid"]
@@ -73,7 +74,9 @@ def harvest_cut(store: TableStore, cut: str, replies: DataFrame, companies: Data
     devices = store.read("devices").select("device_id", "fleet_id")
     members = first_match(devices, companies, "device_id").withColumnRenamed("slug", "company_slug")
     judged = kept_rows(outcomes(replies, members), "outcomes")
-    good = replies.join(judged.filter("status = 'succeeded'").select("device_id"), "device_id", "left_semi")
+    # those to leave out are few, and written, so Spark broadcasts them: replies aren't shuffled for it
+    bad = kept_rows(replies.select("device_id").distinct().join(judged.filter("status = 'succeeded'").select("device_id"), "device_id", "left_anti"), "bad")
+    good = replies.filter("device_id is not null").join(bad, "device_id", "left_anti")
     rows = normalised(good, zone, cut)
     # what each device sent, repeated rows included
     sent = rows.groupBy("device_id").agg(F.count("*").alias("provider_rows"), F.count_if(F.col("classification_status") == "classified_dms").alias("provider_dms_rows"))
@@ -119,7 +122,7 @@ def harvest(spark: SparkSession, path: str, store: TableStore, companies: DataFr
     def take(batch: DataFrame, number: int) -> None:
         replies = kept_rows(batch, f"replies-{number}-{uuid.uuid4().hex}")
         for cut in sorted(r.cut for r in replies.select("cut").distinct().collect()):
-            harvest_cut(store, cut, replies.filter(F.col("cut") == cut), companies, zone)
+            harvest_cut(store, cut, replies.filter(F.col("cut") == cut).select("device_id", "body"), companies, zone)
 
     stream = landed_replies(spark, path).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     stream.trigger(availableNow=True).start().awaitTermination()

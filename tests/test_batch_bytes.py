@@ -8,6 +8,8 @@ from haulmark.operators.batches import ARRIVING, apply_batch, contexts, create_t
 from haulmark.operators.singles import ended, ingest_singles
 from haulmark.sources import domain as d
 from haulmark.sources.versions import TableStore
+from haulmark.streaming.harvest import create_harvest, harvest
+from tests.test_harvest import alarm, land, page
 
 T0 = datetime(2024, 1, 5)
 DEVICES = "device_id string, plate_no string, company_slug string, fleet_id string, driver_name string, last_seen_at timestamp, last_received_at timestamp"
@@ -59,3 +61,16 @@ def test_singles_are_not_multiplied_by_records(spark, tmp_path):
     empty = store.read("alarm_raw").filter("false")
     keyed = spark.createDataFrame([(1, "a", "k", "f1", True), (2, "b", "k", "f2", False), (3, "c", "k3", "f3", True)], "seq long, guid string, provider_event_key string, fuzzy string, event boolean")
     assert sorted(map(tuple, ended(keyed, empty, empty).collect())) == [(1, "a", True, "a", True), (2, "a", False, None, False)]
+
+
+def test_harvest_of_devices_with_several_records(spark, tmp_path):
+    """Replies of a device with several records come in once; those of devices that failed, or that no company has, stay out."""
+    cut = "2024-01-06T0000"
+    land(f"{tmp_path}/landed", cut, {"D90000": [page(*[alarm(f"a{k}", "D90000", f"2024-01-05 0{k}:00:00") for k in range(5)])], "D90001": [page(status=500)], "D7": [page(alarm("x", "D7", "2024-01-05 01:00:00"))]})
+    store = TableStore(spark, f"{tmp_path}/store")
+    create_harvest(store, several(spark))
+    harvest(spark, f"{tmp_path}/landed", store, d.companies(spark), d.ZONE, f"{tmp_path}/checkpoint")
+    (r,) = store.read("ledger").collect()
+    assert (r.provider_rows, r.duplicates, r.raw_inserted) == (5, 0, 5)
+    assert sorted((r.device_id, r.company_slug, r.status, r.provider_rows, r.inserted_raw) for r in store.read("harvest_devices").collect()) == [("D90000", "south", "succeeded", 5, 5), ("D90001", "all", "failed", 0, 0)]
+    assert {r.company_slug: r.events for r in store.read("publications").collect()} == {"south": 5, "all": None}
